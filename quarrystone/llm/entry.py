@@ -7,6 +7,8 @@ import importlib
 #: Query name to the module of this subpackage that defines ``query`` and perhaps ``ORACLE_SQL``.
 MODULES = {
     "op3_quality_rules": "quality_rules",
+    "op5_license_scan": "licenses",
+    "op7_bpe_tree": "bpe_tree",
 }
 
 
