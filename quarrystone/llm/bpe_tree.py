@@ -121,7 +121,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
             found = [[{"a": x, "b": y, "ids": z} for x, y, z in e.spans(t)] for t in strings(b.column(4))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kinds)], [*b.schema.names, "spans"])
 
-    def whole(key, table: pa.Table) -> pa.Table:
+    def whole(key, table):
         e = encoder(path)
         # Equal texts of one id meet here: their leaves are equal, so each number is kept once.
         found, copies = {}, 0
