@@ -9,6 +9,7 @@ MODULES = {
     "op3_quality_rules": "quality_rules",
     "op5_license_scan": "licenses",
     "op7_bpe_tree": "bpe_tree",
+    "op8_language_id": "langid",
     "op10_packing": "packing",
 }
 
