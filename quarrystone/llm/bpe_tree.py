@@ -27,7 +27,9 @@ from .common import map_arrow, strings
 from .wordbpe import WordEncoder, default_path, encoder
 
 #: Characters of a leaf; longer texts are encoded in parallel.
-LEAF = 16_384
+LEAF = 65_536
+#: Characters at either end of a leaf whose words go to the join one by one; those between go as one stretch.
+EDGE = 1024
 #: First reach of a window on each side of a join, in characters.
 REACH = 64
 #: A word counts only if it ends so many characters before a cut: more than any special string has.
@@ -48,6 +50,17 @@ def encode_piece(e: WordEncoder, text: str, start: int = 0) -> Piece:
     return Piece(start, start + len(text), e.spans(text))
 
 
+def fold(spans: list[tuple[int, int, bytes]], size: int, edge: int = EDGE) -> list[tuple[int, int, bytes]]:
+    """Spans of a leaf of ``size`` characters with the words away from its ends made one stretch.
+
+    A stretch agrees with no word of a window, so a window that needs more grows past it.
+    """
+    low, high = bisect.bisect_left(spans, edge, key=lambda s: s[0]), bisect.bisect_left(spans, size - edge, key=lambda s: s[0])
+    if high - low < 2:
+        return spans
+    return [*spans[:low], (spans[low][0], spans[high - 1][1], b"".join(s[2] for s in spans[low:high])), *spans[high:]]
+
+
 def join(e: WordEncoder, text: str, left: Piece, right: Piece) -> Piece:
     """Encoding of the stretch of both pieces; ``text`` is the whole text."""
     first, cut, last, reach = left.start, left.end, right.end, REACH
@@ -86,11 +99,11 @@ def join_all(e: WordEncoder, text: str, pieces: list[Piece]) -> Piece:
     return pieces[0]
 
 
-def tree_encode(e: WordEncoder, text: str, leaf: int = LEAF) -> bytes:
+def tree_encode(e: WordEncoder, text: str, leaf: int = LEAF, edge: int = EDGE) -> bytes:
     """The same within one task."""
     if len(text) <= leaf:
         return e.encode(text)
-    return b"".join(join_all(e, text, [encode_piece(e, text[k : k + leaf], k) for k in range(0, len(text), leaf)]).ids)
+    return b"".join(join_all(e, text, [Piece(k, min(k + leaf, len(text)), fold(e.spans(text[k : k + leaf]), min(leaf, len(text) - k), edge)) for k in range(0, len(text), leaf)]).ids)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, leaf: int = LEAF) -> DataFrame:
@@ -118,7 +131,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
         e = encoder(path)
         kinds = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("ids", pa.binary())]))
         for b in batches:
-            found = [[{"a": x, "b": y, "ids": z} for x, y, z in e.spans(t)] for t in strings(b.column(4))]
+            found = [[{"a": x, "b": y, "ids": z} for x, y, z in fold(e.spans(t), len(t))] for t in strings(b.column(4))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kinds)], [*b.schema.names, "spans"])
 
     def whole(key, table):

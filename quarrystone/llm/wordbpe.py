@@ -90,7 +90,9 @@ class WordEncoder:
         words = None if ODD.search(low := text.lower()) or len(low) != len(text) else WORD.finditer(low)
         if words is not None:
             found = [(m.start(), m.end(), m[0]) for m in words]
-            known = self.fresh(list({w for *_, w in found}))
+            known = self.kept
+            if missing := {w for *_, w in found if w not in known}:
+                known = {**{w: known[w] for *_, w in found if w in known}, **self.fresh(list(missing))}
             return [(a, b, known[w]) for a, b, w in found]
         e = self.library.encode(text, add_special_tokens=False)
         ends = [self.strings[i].endswith("</w>") or self.strings[i].startswith("<|") for i in e.ids]
