@@ -10,6 +10,7 @@ MODULES = {
     "op5_license_scan": "licenses",
     "op7_bpe_tree": "bpe_tree",
     "op8_language_id": "langid",
+    "op9_quality_classifier": "quality_classifier",
     "op10_packing": "packing",
 }
 
