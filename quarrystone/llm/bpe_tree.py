@@ -125,7 +125,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            yield rows(b.column(0), [e.encode(t) for t in strings(b.column(1))], e)
+            yield rows(b.column(0), e.encode_many(strings(b.column(1))), e)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)

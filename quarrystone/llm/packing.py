@@ -2,8 +2,8 @@
 
 Documents keep their order within a partition of the input.  Cuts may stand after a document
 (free), after a sentence (``SENTENCE_CUT``) or, where a sentence exceeds a sequence, anywhere
-(``HARD_CUT``).  A sequence of n tokens costs the padding up to ``SIZE``, none where n is a power
-of two, plus ``SEQUENCE_COST``.  The least total cost over all choices of cuts is found by
+(``HARD_CUT``).  A sequence of n tokens costs the padding up to ``SIZE``, none where n is one of
+the powers of two from ``SHORT`` on, plus ``SEQUENCE_COST``.  The least total cost over all choices of cuts is found by
 
     f(j) = penalty(j) + min over i of f(i) + padding(pos(j) - pos(i)) + SEQUENCE_COST
 
@@ -18,7 +18,6 @@ each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, strings
-from .bpe_tree import tree_encode
+from .bpe_tree import LEAF, tree_encode
 from .wordbpe import default_path, encoder
 
 SIZE = 4096
 #: Id after each document.
 END_ID = 2
+#: Shortest power of two that is left without padding on purpose.
+SHORT = 512
 SENTENCE_CUT, HARD_CUT, SEQUENCE_COST = 6.0, 96.0, 12.0
 #: Tokens of a block of the dynamic programme.
 BLOCK = 1 << 19
@@ -53,43 +54,50 @@ def plan(ends: np.ndarray, stops: np.ndarray, size: int = SIZE, finish: bool = T
     cheapest packing up to the best open place, so that what follows can still be filled.
     """
     total = int(ends[-1])
-    cuts = np.union1d(ends, stops)
-    cuts = cuts[(cuts > 0) & (cuts <= total)]
-    pos = np.concatenate([[0], cuts])
+    stands = np.zeros(total + 1, bool)
+    stands[0] = stands[ends] = stands[stops] = True
+    pos = np.flatnonzero(stands)
     gaps = np.flatnonzero(np.diff(pos) > size)
     if gaps.size:
         extra = np.concatenate([np.arange(pos[g] + size, pos[g + 1], size) for g in gaps])
         pos = np.union1d(pos, extra)
-    penalty = np.full(pos.size, HARD_CUT)
-    penalty[np.isin(pos, stops)] = SENTENCE_CUT
-    penalty[np.isin(pos, ends)] = 0.0
+    penalty = np.full(total + 1, HARD_CUT)
+    penalty[stops] = SENTENCE_CUT
+    penalty[ends] = 0.0
+    penalty = penalty[pos]
     exact: dict[int, list[int]] = {}
-    power = 1
-    while power <= size:
-        at = np.searchsorted(pos, pos - power)
-        hit = np.flatnonzero((pos >= power) & (pos[np.minimum(at, pos.size - 1)] == pos - power))
+    number = np.full(total + 1, -1)
+    number[pos] = np.arange(pos.size)
+    power = SHORT
+    while power < size:
+        at = number[np.maximum(pos - power, 0)]
+        hit = np.flatnonzero((pos >= power) & (at >= 0))
         for j, i in zip(hit.tolist(), at[hit].tolist()):
             exact.setdefault(j, []).append(i)
         power *= 2
     p, pen = pos.tolist(), penalty.tolist()
     n = len(p)
     best, back = [0.0] * n, [0] * n
-    queue: deque = deque([(0.0, 0)])
+    # Candidates in reach, their f(i) + pos(i) ascending: keys, numbers and where the live ones begin.
+    keys, numbers, head = [0.0], [0], 0
     for j in range(1, n):
         x = p[j]
-        while p[queue[0][1]] < x - size:
-            queue.popleft()
-        low, i = queue[0]
-        cost = low + size - x
-        for k in exact.get(j, ()):
-            if best[k] < cost:
-                cost, i = best[k], k
-        cost += pen[j] + SEQUENCE_COST
-        best[j], back[j] = cost, i
+        while p[numbers[head]] < x - size:
+            head += 1
+        i = numbers[head]
+        cost = keys[head] + size - x
+        if j in exact:
+            for k in exact[j]:
+                if best[k] < cost:
+                    cost, i = best[k], k
+        best[j] = cost = cost + pen[j] + SEQUENCE_COST
+        back[j] = i
         key = cost + x
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            numbers.pop()
+        keys.append(key)
+        numbers.append(j)
     j = n - 1
     if not finish:
         # Open end: the cheapest place in reach of the end, as the tokens after it go on in the next block.
@@ -155,8 +163,10 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
 
         for b in batches:
             key_type = b.schema.field(0).type
-            for key, text in zip(b.column(0).to_pylist(), strings(b.column(1))):
-                ids = tree_encode(e, text) + tail
+            texts = strings(b.column(1))
+            short = iter(e.encode_many([t for t in texts if len(t) <= LEAF]))
+            for key, text in zip(b.column(0).to_pylist(), texts):
+                ids = (next(short) if len(text) <= LEAF else tree_encode(e, text)) + tail
                 open_docs.append((key, ids, 0, len(ids) // 4))
                 held += len(ids) // 4
                 if held >= block:

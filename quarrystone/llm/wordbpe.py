@@ -10,6 +10,7 @@ library's ids.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -18,7 +19,7 @@ import numpy as np
 
 FILE = "word_bpe_49k.json"
 #: Words kept by an encoder; the table starts anew when full.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 600_000
 #: Longer words are not kept.
 KEPT_LENGTH = 64
 
@@ -27,6 +28,8 @@ LETTER = "a-zªµºß-öø-ɏ"
 DIGIT = "0-9²³¹¼-¾"
 #: A character outside the plain range; tab to carriage return are plain, U+0130 changes length.
 ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0À-Þİɐ-\U0010ffff]|<\\|")
+#: The plain characters of one byte in Latin-1, lower-cased.
+PLAIN_BYTES = bytes(c for c in range(256) if not ODD.search(chr(c)))
 WORD = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTER}]+|[{DIGIT}]|[^ \t-\r{LETTER}{DIGIT}]+")
 
 
@@ -52,10 +55,18 @@ class WordEncoder:
         self.kept: dict[str, bytes] = {}
         n = self.library.get_vocab_size(with_added_tokens=True)
         self.strings = [self.library.id_to_token(i) or "" for i in range(n)]
+        # The same model without the normaliser, for words that are lower-cased and cut already.
+        plain = json.loads(self.library.to_str())
+        plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.by_word = Tokenizer.from_str(json.dumps(plain))
+        self.ends = np.array([x.endswith("</w>") for x in self.strings])
 
     def fresh(self, words: list[str]) -> dict[str, bytes]:
-        found = self.library.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found)}
+        """Ids of distinct words of plain texts: encoded in one go, spaces between, and cut where words end."""
+        ids = np.array(self.by_word.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        raw, stops = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        assert len(stops) == len(words), "a word was cut"
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *stops], stops)}
 
     def whole(self, text: str) -> bytes:
         """The library's ids, as little-endian unsigned 32-bit integers."""
@@ -64,26 +75,38 @@ class WordEncoder:
     def words(self, text: str) -> list[str] | None:
         """The pre-tokeniser's words of a plain text, None for others."""
         low = text.lower()
-        return None if ODD.search(low) else WORD.findall(low)
+        try:
+            odd = low.encode("latin-1").translate(None, PLAIN_BYTES) or "<|" in low
+        except UnicodeEncodeError:
+            odd = ODD.search(low)
+        return None if odd else WORD.findall(low)
 
     def encode(self, text: str) -> bytes:
-        words = self.words(text)
-        if words is None:
-            return self.whole(text)
-        kept = self.kept
-        try:
-            return b"".join(map(kept.__getitem__, words))
-        except KeyError:
-            missing = set(words).difference(kept)
-            if len(kept) + len(missing) > KEPT_WORDS:
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts; the words that are not kept yet are encoded together."""
+        kept, out, open_, missing = self.kept, [], [], set()
+        for k, text in enumerate(texts):
+            words = self.words(text)
+            if words is None:
+                out.append(self.whole(text))
+                continue
+            ids = list(map(kept.get, words))
+            if None in ids:
+                missing.update(w for w, x in zip(words, ids) if x is None)
+                open_.append((k, words, ids))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        if missing:
+            new = self.fresh(list(missing))
+            for k, words, ids in open_:
+                out[k] = b"".join([new[w] if x is None else x for w, x in zip(words, ids)])
+            if len(kept) + len(new) > KEPT_WORDS:
                 kept.clear()
-                missing = set(words)
-            kept.update(new := self.fresh(list(missing)))
-            out = b"".join(map(kept.__getitem__, words))
-            for w in new:
-                if len(w) > KEPT_LENGTH:
-                    del kept[w]
-            return out
+            kept.update((w, x) for w, x in new.items() if len(w) <= KEPT_LENGTH)
+        return out
 
     def spans(self, text: str) -> list[tuple[int, int, bytes]]:
         """Words as (start, end, ids) in characters of ``text``; special strings count as words."""
