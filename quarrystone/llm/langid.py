@@ -19,7 +19,6 @@ text or language teach nothing; other columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +34,7 @@ CLIP, SWITCH = 4.0, 9.0
 #: A language is a candidate for a script that at least this share of its training words uses.
 SCRIPT_SHARE = 0.005
 #: Words kept with their scores by a worker; the table starts anew when full.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -47,17 +46,29 @@ SCRIPTS = (
 )
 _FIRST = np.array([a for a, _ in SCRIPTS])
 NAMES = sorted({n for _, n in SCRIPTS})
-_INDEX = [NAMES.index(n) for _, n in SCRIPTS]
+_INDEX = np.array([NAMES.index(n) for _, n in SCRIPTS])
 
 
-def script(word: str) -> int:
-    return _INDEX[int(np.searchsorted(_FIRST, ord(word[0]), "right")) - 1]
+_GRAM, _HASH = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
-def buckets(word: str) -> list[int]:
-    """Buckets of a lower-cased word's n-grams."""
-    w = f"<{word}>".encode("utf-16-le", "surrogatepass")
-    return [zlib.crc32(w[k : k + 2 * n]) % BUCKETS for n in (1, 2, 3) for k in range(0, len(w) - 2 * n + 1, 2)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of lower-cased words, and for each the number of its word."""
+    c = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    of = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    found, owners = [c], [of]
+    for n in (2, 3):
+        g = found[-1][:-1] * _GRAM + c[n - 1 :] + np.uint64(n << 40)
+        found.append(g)
+        owners.append(np.where(of[: len(g)] == of[n - 1 :], of[: len(g)], -1))
+    at = ((np.concatenate(found) * _HASH) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
+    owners = np.concatenate(owners)
+    return at[owners >= 0], owners[owners >= 0]
+
+
+def scripts(words: list[str]) -> np.ndarray:
+    """Number of the script of each word's first letter."""
+    return _INDEX[np.searchsorted(_FIRST, np.fromiter((ord(w[0]) for w in words), np.int64, len(words)), "right") - 1]
 
 
 class Model:
@@ -66,9 +77,9 @@ class Model:
     def __init__(self, counts: dict[str, np.ndarray]):
         self.langs = sorted(counts)
         full = np.array([counts[n] for n in self.langs], np.float64).reshape(len(self.langs), BUCKETS + len(NAMES))
-        grams, scripts = full[:, :BUCKETS] + 0.05, full[:, BUCKETS:]
-        self.log = np.log(grams / grams.sum(1, keepdims=True)).astype(np.float32)
-        used = scripts / np.maximum(scripts.sum(1, keepdims=True), 1) >= SCRIPT_SHARE
+        seen, scripts_ = full[:, :BUCKETS] + 0.05, full[:, BUCKETS:]
+        self.log = np.log(seen / seen.sum(1, keepdims=True)).astype(np.float32)
+        used = scripts_ / np.maximum(scripts_.sum(1, keepdims=True), 1) >= SCRIPT_SHARE
         self.allowed = np.where(used.any(0), used, True)
         self.kept: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.langs)), np.float32)
@@ -80,29 +91,32 @@ class Model:
         self.__dict__ |= state
         self.kept, self.rows = {}, np.zeros((1024, len(self.langs)), np.float32)
 
-    def score(self, word: str) -> np.ndarray:
-        s = self.log[:, buckets(word)].sum(1)
-        ok = self.allowed[:, script(word)]
-        s = np.where(ok, s - s[ok].max(), -CLIP)
-        return np.maximum(s, -CLIP)
+    def score(self, words: list[str]) -> np.ndarray:
+        """Scores of distinct words, a row each."""
+        at, of = grams(words)
+        s = np.stack([np.bincount(of, row[at], len(words)) for row in self.log], 1)
+        ok = self.allowed[:, scripts(words)].T
+        s -= np.where(ok, s, -np.inf).max(1, keepdims=True)
+        return np.maximum(np.where(ok, s, -CLIP), -CLIP).astype(np.float32)
 
-    def matrix(self, words: list[str]) -> np.ndarray:
-        """Scores of the words, a row each."""
+    def matrices(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Scores of the words of each text; words that are not kept yet are scored together."""
         kept = self.kept
-        try:
-            at = list(map(kept.__getitem__, words))
-        except KeyError:
-            new = set(words).difference(kept)
+        found = [list(map(kept.get, words)) for words in texts]
+        open_ = [k for k, x in enumerate(found) if None in x]
+        if open_:
+            new = list({w for k in open_ for w, x in zip(texts[k], found[k]) if x is None})
             if len(kept) + len(new) > KEPT_WORDS:
                 kept.clear()
-                new = set(words)
-            while len(kept) + len(new) > len(self.rows):
+                new, open_ = list(set().union(*texts)), range(len(texts))
+            first = len(kept)
+            while first + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            for w in new:
-                self.rows[len(kept)] = self.score(w)
-                kept[w] = len(kept)
-            at = list(map(kept.__getitem__, words))
-        return self.rows[at]
+            self.rows[first : first + len(new)] = self.score(new)
+            kept.update(zip(new, range(first, first + len(new))))
+            for k in open_:
+                found[k] = list(map(kept.__getitem__, texts[k]))
+        return [self.rows[x] for x in found]
 
     def label(self, scores: np.ndarray) -> np.ndarray | int:
         """Number of the language of every word, or of all words."""
@@ -149,10 +163,11 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
         def add() -> None:
             for lang, found in words.items():
                 s = sums.setdefault(lang, np.zeros(BUCKETS + len(NAMES), np.int64))
-                for w, n in found.items():
-                    s[BUCKETS + script(w)] += n
-                    for b in buckets(w):
-                        s[b] += n
+                if found:
+                    n, of = np.fromiter(found.values(), np.float64, len(found)), list(found)
+                    at, owner = grams(of)
+                    s[:BUCKETS] += np.bincount(at, n[owner], BUCKETS).astype(np.int64)
+                    s[BUCKETS:] += np.bincount(scripts(of), n, len(NAMES)).astype(np.int64)
             words.clear()
 
         for b in batches:
@@ -179,16 +194,27 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     return Model(sums)
 
 
-def identify(model: Model, text: str) -> tuple[str, float, list[tuple[int, int, str]]]:
-    """Language, score and spans (start, end, language) of a text.
+def lower(text: str) -> str:
+    """Lower case of the same length, so that places are those of the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def identify(model: Model, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+    """Language, score and spans (start, end, language) of each text.
 
     The score is the share of letters in the language's spans, times how surely it beats the next.
     """
-    low = text.lower()
-    words = WORD.findall(low)
-    if not words or not model.langs:
+    lows = [lower(t) for t in texts]
+    words = [WORD.findall(t) for t in lows]
+    if not model.langs:
+        return [(UNKNOWN, 0.0, [])] * len(texts)
+    return [settle(model, *x) for x in zip(texts, lows, words, model.matrices(words))]
+
+
+def settle(model: Model, text: str, low: str, words: list[str], scores: np.ndarray) -> tuple[str, float, list[tuple[int, int, str]]]:
+    if not words:
         return UNKNOWN, 0.0, []
-    scores = model.matrix(words)
     labels = model.label(scores)
     sums = scores.sum(0, dtype=np.float64)
     if isinstance(labels, int):
@@ -219,7 +245,7 @@ def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for b in batches:
-            found = [identify(own, t) for t in strings(b.column(1))]
+            found = identify(own, strings(b.column(1)))
             spans = [[{"start": s, "end": e, "lang": n} for s, e, n in x[2]] for x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(spans, spans_type)], ["doc_id", "lang_pred", "score", "spans"])
 
