@@ -138,3 +138,50 @@ def query(spark, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+
+
+def _oracle() -> str:
+    """The same counts, estimation and verdict as DuckDB SQL, the estimation as a recursive table of its steps."""
+    rules = {
+        "length": ("n_words < 10", "n_words >= 50"),
+        "word_length": ("word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars >= 3 * n_words AND word_chars <= 12 * n_words"),
+        "symbols": ("20 * n_symbols > n_words", "200 * n_symbols <= n_words"),
+        "dense_symbols": ("10 * n_symbols > n_words", "n_symbols = 0"),
+        "shouting": ("10 * n_shouts > n_words", "100 * n_shouts <= n_words"),
+        "lines": ("2 * n_dup_lines > n_lines", "n_dup_lines = 0 AND n_lines >= 2"),
+        "repeats": ("100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 2 * n_words AND n_words >= 10"),
+    }
+    names = ", ".join(f'"{r}"' for r in rules)
+    odds = "ln(s.prior / (1 - s.prior))" + "".join(f""" + CASE WHEN "{r}" = 1 THEN ln(s.good[{j}] / (1 - s.bad[{j}])) WHEN "{r}" = -1 THEN ln((1 - s.good[{j}]) / s.bad[{j}]) ELSE 0 END""" for j, r in enumerate(rules, 1))
+    post = f"1 / (1 + exp(-({odds})))"
+    clip = f"least(greatest(%s, {LOW}), {HIGH})"
+    good = ", ".join(clip % f"""(sum(CASE WHEN "{r}" = 1 THEN g ELSE 0 END) + 1) / (sum(CASE WHEN "{r}" <> 0 THEN g ELSE 0 END) + 2)""" for r in rules)
+    bad = ", ".join(clip % f"""(sum(CASE WHEN "{r}" = -1 THEN n - g ELSE 0 END) + 1) / (sum(CASE WHEN "{r}" <> 0 THEN n - g ELSE 0 END) + 2)""" for r in rules)
+    votes_sql = ", ".join(f'CASE WHEN {a} THEN -1 WHEN {b} THEN 1 ELSE 0 END AS "{r}"' for r, (a, b) in rules.items())
+    m = len(rules)
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT k, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT k, unnest(range(1, len(w) - 3)) AS i, w FROM w WHERE len(w) >= 5),
+h AS (SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS s FROM g),
+p AS (SELECT k, i FROM h QUALIFY count(*) OVER (PARTITION BY k, s) > 1),
+q AS (SELECT k, count(DISTINCT i + o) AS n FROM p, (SELECT unnest([0, 1, 2, 3, 4]) AS o) GROUP BY k),
+c AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_shouts,
+             CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(q.n, 0) AS BIGINT) AS n_repeat_words
+      FROM d JOIN w USING (k) LEFT JOIN q USING (k)),
+v AS (SELECT *, {votes_sql} FROM c),
+patterns AS (SELECT {names}, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY ALL),
+states AS (
+  SELECT 0 AS step, CAST({START[0]} AS DOUBLE) AS prior, list_transform(range({m}), lambda x: CAST({START[1]} AS DOUBLE)) AS good, list_transform(range({m}), lambda x: CAST({START[2]} AS DOUBLE)) AS bad
+  UNION ALL
+  SELECT step + 1, {clip % "(sum(g) + 1) / (sum(n) + 2)"}, [{good}], [{bad}]
+  FROM (SELECT s.step, patterns.*, n * {post} AS g FROM states s, patterns WHERE s.step < {STEPS}) GROUP BY step),
+f AS (SELECT * FROM states WHERE step = {STEPS}),
+r AS (SELECT v.*, {post} AS posterior, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM v, f s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= {KEEP_AT} AS kept FROM r
+"""
+
+
+ORACLE_SQL = _oracle()
