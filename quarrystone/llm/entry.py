@@ -7,6 +7,7 @@ import importlib
 #: Query name to the module of this subpackage that defines ``query`` and perhaps ``ORACLE_SQL``.
 MODULES = {
     "op1_ngram_join": "ngram_join",
+    "op2_hilbert_ann": "hilbert_ann",
     "op3_quality_rules": "quality_rules",
     "op4_chat_tree": "chat",
     "op5_license_scan": "licenses",
