@@ -9,7 +9,7 @@ size of the intersection reaches 80 times that of the union.  The steps:
    each of ``parts`` ranges of signatures, instead of a row for each.
 3. Runs: signatures held by several classes.  A run's members are compared with its first and last
    and with their neighbours in order, which grows with the run and not with its square.
-4. Candidate pairs are checked exactly on the sets, first one pair for each document, then the
+4. Candidate pairs that sizes and counts by bins allow are checked exactly on the sets, first one pair for each document, then the
    rest of those that components so far do not join.
 5. Runs of more than four members that still hold several components give all remaining pairs
    between components; they are checked too.  After that each pair that shares a signature was
@@ -43,6 +43,8 @@ RANGE = 1 << 20
 HELD = 1 << 22
 #: Members of a run up to which first, last and neighbours make all its pairs.
 COMPLETE = 4
+#: Bins whose counts bound how much two sets differ.
+BINS = 256
 #: Bits of the bitmap that names candidates (2 MB).
 BITMAP = 1 << 24
 
@@ -57,15 +59,16 @@ def unpack(b: bytes) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Size and fingerprint of every document's set."""
+    """Size and fingerprint of every document's set, and how many of its elements fall in each of ``BINS``."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
             prints = np.frombuffer(b"".join(fingerprint(s) for s in sets), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])], ["doc_id", "n_shingles", "p1", "p2"])
+            counts = [np.minimum(np.bincount((s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(counts, pa.binary())], ["doc_id", "n_shingles", "p1", "p2", "bins"])
 
-    return map_arrow(docs, f, "doc_id long, n_shingles long, p1 long, p2 long", 512)
+    return map_arrow(docs, f, "doc_id long, n_shingles long, p1 long, p2 long, bins binary", 512)
 
 
 def blocks(docs: DataFrame, parts: int) -> DataFrame:
@@ -233,23 +236,22 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = d.filter("doc_id is not null")
     described = materialize(describe(d), folder, "described")
-    classes = described.filter("doc_id is not null and n_shingles > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
+    classes = described.filter("doc_id is not null and n_shingles > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bins").alias("bins"))
     classes = materialize(classes, folder, "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE + 1)
     # Document to class, for the documents that may stand in a run.
-    member = described.filter("doc_id is not null and n_shingles > 0").select("doc_id", "p1", "p2", "n_shingles").join(classes.select("p1", "p2", "rep"), ["p1", "p2"]).select(F.col("doc_id").alias("node"), "rep", F.col("n_shingles").alias("n"))
+    member = described.filter("doc_id is not null and n_shingles > 0").select("doc_id", "p1", "p2").join(classes.select("p1", "p2", "rep"), ["p1", "p2"]).select(F.col("doc_id").alias("node"), "rep")
     member = materialize(member, folder, "member")
 
     found = materialize(runs(blocks(known, parts), parts), folder, "runs")
     release(spark)
-    size = member.select(F.col("node").alias("_node"), "n").groupBy("_node").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     rep = member.groupBy("node").agg(F.min("rep").alias("rep"))
     pairs = found.filter("sig is null").select("a", "b").distinct()
     for k, side in (("a", "ra"), ("b", "rb")):
         pairs = pairs.join(rep.select(F.col("node").alias(k), F.col("rep").alias(side)), k)
     pairs = pairs.filter("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
-    pairs = materialize(sized(pairs, size), folder, "pairs")
+    pairs = materialize(bounded(pairs, classes), folder, "pairs")
 
     words = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     sets = materialize(sets_of(known, words), folder, "sets")
@@ -262,7 +264,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = labelled(large, labels)
     open_ = large.groupBy("sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("sig")
     together = large.join(open_, "sig").select("sig", "node", "label").repartition("sig").sortWithinPartitions("sig", "node")
-    more = sized(remaining(together).distinct(), size).join(pairs, ["a", "b"], "left_anti")
+    more = bounded(remaining(together).distinct(), classes).join(pairs, ["a", "b"], "left_anti")
     more = materialize(more, folder, "more")
     if not more.isEmpty():
         words = bitmap(more.select(F.explode(F.array("a", "b")).alias("node")))
@@ -276,12 +278,24 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"), F.coalesce("n_checked_links", F.lit(0)).cast("long").alias("n_checked_links"))
 
 
-def sized(pairs: DataFrame, size: DataFrame) -> DataFrame:
-    """Pairs whose sizes alone allow the similarity."""
-    a = size.select(F.col("_node").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    b = size.select(F.col("_node").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    ok = (DENOMINATOR * F.col("ha") >= NUMERATOR * F.col("lb")) & (DENOMINATOR * F.col("hb") >= NUMERATOR * F.col("la"))
-    return pairs.join(a, "a").join(b, "b").filter(ok).select("a", "b")
+def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs that may be similar by their sizes and bins.
+
+    Similar sets of m and n elements differ in (m + n) / 9 at most, and two sets differ in at least
+    as many elements as their bins' counts do, counts cut off at 255 or not.
+    """
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m, n = b.column(2).to_numpy(), b.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in (4, 5))
+            differ = np.abs(x - y).sum(1, dtype=np.int64)
+            ok = (differ * (NUMERATOR + DENOMINATOR) <= (m + n) * (DENOMINATOR - NUMERATOR)) & (DENOMINATOR * np.minimum(m, n) >= NUMERATOR * np.maximum(m, n))
+            yield pa.RecordBatch.from_arrays(list(b.columns[:2]), ["a", "b"]).filter(pa.array(ok))
+
+    sides = [classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("bins").alias(f"bins_{k}")) for k in ("a", "b")]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
+    return map_arrow(joined, f, "a long, b long", 4096).distinct()
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
