@@ -1,8 +1,9 @@
 """Chat formatting as a prefix tree.
 
 Every turn of a conversation is a node that its conversation shares with all others that begin
-with the same turns.  A node is named by the chained digest of its turns, its path is the chain of
-names, so sorting nodes by path is depth-first order.  Each node's tokens are emitted once, with
+with the same turns.  A node is named by the chained digest of its turns, a conversation's path is
+the chain of names; in the order of paths, the nodes that no earlier conversation holds follow
+each other depth first.  Each node's tokens are emitted once, with
 
 - ``position``: tokens of its ancestors, so its tokens' position ids run on from there, and
 - ``intervals``: where its ancestors' tokens lie in the tree's stream; a token of the node attends
@@ -14,8 +15,8 @@ inside roles and texts ``\\`` and ``<`` get a ``\\`` before them and, in roles,
 texts of assistant turns.
 
 Nothing gathers a tree in one task: nodes are found by a distributed aggregation, the stream's
-offsets are two-level running sums over ranges of the paths, and a node's intervals are gathered
-from its own ancestors only.  Memory is bounded by one conversation.
+offsets are two-level running sums over ranges of the order, and a node's intervals come from its
+own ancestors, those side by side in the stream as one.  Memory is bounded by one conversation.
 
 Defined results: a null role or text is the empty one; turns are ordered by turn (null first), then
 role, then text, and rows that repeat in all of them stay; a null conv_id is a conversation of its
@@ -118,13 +119,17 @@ def prefix_tree(rows: DataFrame, path: str | None = None) -> tuple[DataFrame, Da
     path, spark = path or default_path(), rows.sparkSession
     folder = shared_dir(spark)
     placed = turns(rows)
-    convs = materialize(chains(placed), folder, "conversations")
-    texts = placed.select(F.col("conv_id").alias("_c"), F.col("place").alias("_p"), "role", "text")
-    # A node's first conversation, by least id and in any case one row, brings its text.
-    spread = convs.select("conv_id", F.posexplode("path").alias("_k", "node"), "path")
-    owner = spread.groupBy("node").agg(F.min(F.struct("conv_id", F.col("_k"))).alias("at"))
-    owner = owner.join(convs, owner["at.conv_id"].eqNullSafe(convs["conv_id"])).select("node", F.col("at.conv_id").alias("_o"), (F.col("at._k") + 1).alias("depth"), F.slice("path", F.lit(1), F.col("at._k") + 1).alias("path"))
-    nodes = owner.join(texts, F.col("_o").eqNullSafe(F.col("_c")) & (F.col("depth") == F.col("_p"))).select("node", "depth", "path", "role", "text")
+    # Conversations in order of their paths; their ranks ascend with gaps.
+    key = F.array_join(F.transform("path", F.hex), "")
+    ranked = chains(placed).withColumn("_key", key).repartitionByRange("_key", "conv_id").sortWithinPartitions("_key", F.col("conv_id").asc_nulls_first())
+    convs = materialize(ranked.select("conv_id", "path", F.monotonically_increasing_id().alias("rank")), folder, "conversations")
+    # The first conversation that holds a node owns it.  Owned nodes in order of (rank, depth) are
+    # the tree depth first, so no node needs its whole path as a key.
+    spread = convs.select("rank", F.posexplode("path").alias("_k", "node"))
+    owner = spread.groupBy("node").agg(F.min("rank").alias("rank"), F.min("_k").alias("_k"))
+    by_rank = placed.join(convs.select(F.col("conv_id").alias("_c"), "rank"), F.col("conv_id").eqNullSafe(F.col("_c")))
+    texts = by_rank.select(F.col("rank").alias("_r"), F.col("place").alias("_p"), "role", "text")
+    nodes = owner.join(texts, (F.col("rank") == F.col("_r")) & (F.col("_k") + 1 == F.col("_p"))).select("node", F.col("_p").alias("depth"), "rank", "role", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
@@ -136,25 +141,37 @@ def prefix_tree(rows: DataFrame, path: str | None = None) -> tuple[DataFrame, Da
             end = [len(m) - len(CLOSE) for m in made]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string()), pa.array(ids, pa.binary()), pa.array([r == LEARNED for r in role]), pa.array(start, pa.int32()), pa.array(end, pa.int32())], [*b.schema.names, "formatted", "ids", "loss", "loss_start", "loss_end"])
 
-    coded = materialize(map_arrow(nodes, encode, "node binary, depth int, path array<binary>, role string, text string, formatted string, ids binary, loss boolean, loss_start int, loss_end int", 512), folder, "nodes")
+    coded = materialize(map_arrow(nodes, encode, "node binary, depth int, rank long, role string, text string, formatted string, ids binary, loss boolean, loss_start int, loss_end int", 512), folder, "nodes")
     n = (F.octet_length("ids") / 4).cast("long")
-    # Depth-first order: ranges of paths, then running sums within and over the ranges.
-    key = F.array_join(F.transform("path", F.hex), "")
-    ordered = materialize(coded.select("node", key.alias("key"), n.alias("n")).repartitionByRange("key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id()), folder, "order")
+    # Offsets: running sums within ranges of the order, and over the ranges.
+    ordered = materialize(coded.select("node", "rank", "depth", n.alias("n")).repartitionByRange("rank", "depth").sortWithinPartitions("rank", "depth").withColumn("part", F.spark_partition_id()), folder, "order")
     sums = ordered.groupBy("part").agg(F.sum("n").alias("s"))
     # One row for each task that sorted; a running sum over them.
     before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))
-    within = F.sum("n").over(Window.partitionBy("part").orderBy("key")) - F.col("n")
-    laid = materialize(ordered.withColumn("_w", within).join(F.broadcast(before), "part").select("node", (F.col("before") + F.col("_w")).alias("offset"), "n"), folder, "laid")
-    up = coded.select("node", F.posexplode("path").alias("_k", "_up")).join(laid.withColumnRenamed("node", "_up"), "_up")
-    spans = up.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("_k", "offset", "n"))).alias("_s"))
-    spans = spans.select(
-        F.col("node").alias("_n"),
-        F.element_at("_s", -1)["offset"].alias("offset"),
-        F.transform(F.slice("_s", F.lit(1), F.size("_s") - 1), lambda x: F.struct(x["offset"].alias("start"), (x["offset"] + x["n"]).alias("end"))).alias("intervals"),
-    ).withColumn("position", F.aggregate("intervals", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("rank", "depth")) - F.col("n")
+    laid = materialize(ordered.withColumn("_w", within).join(F.broadcast(before), "part").select("node", F.col("rank").alias("owner"), (F.col("before") + F.col("_w")).alias("offset"), "n"), folder, "laid")
+    along = spread.withColumnRenamed("rank", "_rank").join(laid, "node").groupBy("_rank").agg(F.array_sort(F.collect_list(F.struct("_k", "offset", "n", "node", (F.col("owner") == F.col("_rank")).alias("owned")))).alias("steps"))
+
+    def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+        names = ["_n", "tree", "parent", "offset", "position", "intervals"]
+        for b in batches:
+            out = []
+            for steps in b.column(0).to_pylist():
+                spans, position, parent = [], 0, None
+                for x in steps:
+                    if x["owned"]:
+                        out.append((x["node"], steps[0]["node"], parent, x["offset"], position, [{"start": s, "end": e} for s, e in spans]))
+                    # Ancestors that lie side by side in the stream are one interval.
+                    end = x["offset"] + x["n"]
+                    spans = [*spans[:-1], (spans[-1][0], end)] if spans and spans[-1][1] == x["offset"] else [*spans, (x["offset"], end)]
+                    position, parent = position + x["n"], x["node"]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    spans = map_arrow(along.select("steps"), attend, "_n binary, tree binary, parent binary, offset long, position long, intervals array<struct<start:long,end:long>>", 256)
     full = coded.join(spans, F.col("node") == F.col("_n")).select(
-        "node", F.col("path")[0].alias("tree"), F.when(F.size("path") > 1, F.element_at("path", -2)).alias("parent"), "depth", "role", "text", "formatted", "ids", "loss", "loss_start", "loss_end", "position", "offset", "intervals"
+        "node", "tree", "parent", "depth", "role", "text", "formatted", "ids", "loss", "loss_start", "loss_end", "position", "offset", "intervals"
     )
     return full, convs.select("conv_id", F.element_at("path", -1).alias("leaf"), F.size("path").alias("n_turns"), "path")
 
