@@ -11,6 +11,7 @@ MODULES = {
     "op3_quality_rules": "quality_rules",
     "op4_chat_tree": "chat",
     "op5_license_scan": "licenses",
+    "op6_token_counts": "token_counts",
     "op7_bpe_tree": "bpe_tree",
     "op8_language_id": "langid",
     "op9_quality_classifier": "quality_classifier",
