@@ -67,3 +67,15 @@ def words_column(text: Column | str) -> Column:
 def strings(column: pa.Array) -> list[str]:
     """Values of a string column, null as the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]
+
+
+def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list[str]], list[bool]], rows: int = 512) -> DataFrame:
+    """The rows for whose text ``keep`` says so (null as empty text), all columns as they are, where they lie."""
+    k = docs.columns.index(text_col)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(strings(b.column(k))), pa.bool_()))
+
+    batch_rows(docs.sparkSession, rows)
+    return docs.mapInArrow(f, docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, strings, table
+from .common import keep_rows, map_arrow, strings, table
 
 BUCKETS = 1 << 15
 CLIP, SWITCH = 4.0, 9.0
@@ -253,6 +253,16 @@ def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     return map_arrow(d, f, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>", 512)
 
 
+def in_known_language(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Rows whose text is in a known language with a score of at least ``least``; the others go."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: list[str]) -> list[bool]:
+        return [lang != UNKNOWN and score >= least for lang, score, _ in identify(held.value, texts)]
+
+    return keep_rows(docs, text_col, keep)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 

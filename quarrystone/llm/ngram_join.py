@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, shared_dir, table
@@ -278,6 +278,18 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"), F.coalesce("n_checked_links", F.lit(0)).cast("long").alias("n_checked_links"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents without near duplicates: of each component the row with the smallest id stays.
+
+    Of rows that repeat that id the one with the smallest text stays; rows with a null id all stay.
+    """
+    found = similarity_join(docs, id_col, text_col)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    return left.withColumn("_row", F.row_number().over(first)).filter((F.col("_row") == 1) | F.col(id_col).isNull()).drop("_row")
+
+
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs that may be similar by their sizes and bins.
 

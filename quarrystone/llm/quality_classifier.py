@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, strings, table
+from .common import keep_rows, map_arrow, strings, table
 
 BUCKETS = 1 << 18
 #: Bound of the training sample, in rows.
@@ -161,6 +161,16 @@ def quality_scores(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id",
     return map_arrow(d, f, f"doc_id {kind}, score double", 512)
 
 
+def of_quality(docs: DataFrame, weights: np.ndarray, least: float = PREDICT_AT, text_col: str = "text") -> DataFrame:
+    """Rows whose text scores at least ``least``; the others go."""
+    held = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def keep(texts: list[str]) -> list[bool]:
+        return [score(held.value, t) >= least for t in texts]
+
+    return keep_rows(docs, text_col, keep)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
