@@ -7,13 +7,14 @@ size of the intersection reaches 80 times that of the union.  The steps:
    stands for it.  Of equal sets in one task only the first goes on.
 2. Signatures of the sets.  Tasks sort them by number and send them as packed blocks, a row for
    each of ``parts`` ranges of signatures, instead of a row for each.
-3. Runs: signatures held by several classes.  A run's members are compared with its first and last
-   and with their neighbours in order, which grows with the run and not with its square.
-4. Candidate pairs that sizes and counts by bins allow are checked exactly on the sets, first one pair for each document, then the
-   rest of those that components so far do not join.
-5. Runs of more than four members that still hold several components give all remaining pairs
-   between components; they are checked too.  After that each pair that shares a signature was
-   checked or lies in one component, so components are exact.
+3. Runs: signatures held by several documents.  A similar pair shares not one signature but
+   ``need`` of a tag, so each document leaves out its ``need - 1`` most frequent ones of the tag:
+   signatures made of passages that many documents share go first.
+4. Families: components of the documents that still share a signature, by edges to a run's first.
+5. A family's documents are dealt to blocks of about ``BLOCK``, and each pair of blocks meets in one
+   task, which tests sizes and counts by bins for all its pairs, and the sets of those that pass
+   and are not yet joined.  Each pair that could be similar is thus tested or already joined, so the
+   components of the verified links are exact.
 
 Sets of candidates are made again from the texts; a bitmap of fixed size (``BITMAP`` bits) names
 them, so that other texts are skipped.
@@ -41,8 +42,8 @@ from .shingles import DENOMINATOR, NUMERATOR, fingerprint, shingle_set, signatur
 RANGE = 1 << 20
 #: Signatures that a task holds before it sends a block to each range.
 HELD = 1 << 22
-#: Members of a run up to which first, last and neighbours make all its pairs.
-COMPLETE = 4
+#: Documents of a block of a family, on average.
+BLOCK = 1024
 #: Bins whose counts bound how much two sets differ.
 BINS = 256
 #: Bits of the bitmap that names candidates (2 MB).
@@ -72,12 +73,16 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """Signatures with their documents as packed blocks, one row for a range and up to ``HELD`` signatures."""
+    """Signatures with their documents as packed blocks, one row for a range and up to ``HELD`` signatures.
+
+    The needs of the documents' tags travel with them, as (node, tag, need).
+    """
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         found: list[np.ndarray] = []
         owners: list[int] = []
+        needs: list[tuple[int, int, int]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
@@ -88,9 +93,11 @@ def blocks(docs: DataFrame, parts: int) -> DataFrame:
             part = ((sigs >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
             rows = [(int(part[a]), pack(np.diff(sigs[a:b], prepend=np.uint64(0))), pack(nodes[a:b].view(np.uint64))) for a, b in zip(cuts[:-1], cuts[1:])]
+            shares = [np.array(x, np.int64).reshape(-1, 3).tobytes() for x in np.array_split(np.array(needs, np.int64).reshape(-1, 3), len(rows))]
             found.clear()
             owners.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "sigs", "nodes"])
+            needs.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array(shares, pa.binary())], ["part", "sigs", "nodes", "needs"])
 
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -98,31 +105,41 @@ def blocks(docs: DataFrame, parts: int) -> DataFrame:
                 if not len(s) or (p := fingerprint(s)) in seen:
                     continue
                 seen.add(p)
-                found.append(signatures(s))
+                sigs, need = signatures(s)
+                found.append(sigs)
                 owners.append(key)
-                held += len(found[-1])
+                needs += [(key, tag, n) for tag, n in need]
+                held += len(sigs)
                 if held >= HELD:
                     yield flush()
                     held = 0
         if found:
             yield flush()
 
-    return map_arrow(docs, f, "part int, sigs binary, nodes binary", 512)
+    return map_arrow(docs, f, "part int, sigs binary, nodes binary, needs binary", 512)
 
 
-def runs(sent: DataFrame, parts: int) -> DataFrame:
-    """Of signatures that several documents hold, the runs: rows (a, b) of candidate pairs, a > b, and
-    rows (sig, a) for the members of runs of more than ``COMPLETE``.
+def _rows(names: list[str], columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(columns[0]), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in columns], names)
 
-    A member is paired with its run's first and last and with the one before it, in order of ids.
-    """
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def runs(sent: DataFrame, parts: int) -> DataFrame:
+    """(sig, node, size) of signatures that several documents hold, and (tag, node, -need) rows."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, nodes = [], []
+        names, sigs, nodes = ["sig", "node", "size"], [], []
         for b in batches:
-            for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for x, y, z in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
                 sigs.append(np.cumsum(unpack(x)))
                 nodes.append(unpack(y).view(np.int64))
+                needs = np.frombuffer(z, np.int64).reshape(-1, 3)
+                yield from _rows(names, [needs[:, 1].copy(), needs[:, 0].copy(), -needs[:, 2]])
         if not sigs:
             return
         sig, node = np.concatenate(sigs), np.concatenate(nodes)
@@ -132,53 +149,55 @@ def runs(sent: DataFrame, parts: int) -> DataFrame:
         sig, node = sig[order], node[order]
         new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
         sig, node = sig[new], node[new]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        first = _starts(sig)
         size = np.diff(np.append(first, len(sig)))
-        low, high = np.repeat(node[first], size), np.repeat(node[first + size - 1], size)
-        follows = np.flatnonzero(sig[1:] == sig[:-1]) + 1
-        a = np.concatenate([node, high, node[follows]])
-        b = np.concatenate([low, node, node[follows - 1]])
-        ok = a != b
-        a, b = a[ok], b[ok]
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        if len(a):
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            a, b = a[new], b[new]
-        large = np.repeat(size > COMPLETE, size)
-        sig, node = sig[large].view(np.int64), node[large]
-        for k in range(0, len(a), 1 << 16):
-            x, y = pa.array(a[k : k + (1 << 16)]), pa.array(b[k : k + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), x, y], ["sig", "a", "b"])
-        for k in range(0, len(sig), 1 << 16):
-            x, y = pa.array(sig[k : k + (1 << 16)]), pa.array(node[k : k + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([x, y, pa.nulls(len(x), pa.int64())], ["sig", "a", "b"])
-
-    return sent.repartition(parts, "part").mapInArrow(f, "sig long, a long, b long")
-
-
-def remaining(found: DataFrame) -> DataFrame:
-    """Pairs between components of runs; ``found`` has (sig, node, label), a run's rows together."""
+        size = np.repeat(size, size)
+        many = size > 1
+        yield from _rows(names, [sig[many].view(np.int64), node[many], size[many]])
+
+    return sent.repartition(parts, "part").mapInArrow(f, "sig long, node long, size long")
+
+
+def rarest(found: DataFrame, parts: int) -> DataFrame:
+    """(sig, node) without the ``need - 1`` signatures of each tag and node that most documents hold."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int]] = []
-        current, out_a, out_b = None, [], []
-        for b in batches:
-            for sig, node, label in zip(*(c.to_pylist() for c in b.columns)):
-                if sig != current:
-                    held, current = [], sig
-                for other, its in held:
-                    if its != label:
-                        out_a.append(max(node, other))
-                        out_b.append(min(node, other))
-                held.append((node, label))
-                if len(out_a) >= 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-                    out_a, out_b = [], []
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-
-    return found.mapInArrow(f, "a long, b long")
+        held = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not held:
+            return
+        sig, node, size = (np.concatenate(x) for x in zip(*held))
+        is_need = size < 0
+        tag = np.where(is_need, sig, (sig & 255) >> 1)
+        # By node and tag, needs first, then the most frequent; one order of signatures for all nodes.
+        order = np.lexsort((sig, -size, ~is_need, tag, node))
+        sig, node, size, tag, is_need = (x[order] for x in (sig, node, size, tag, is_need))
+        first = np.concatenate([[True], (node[1:] != node[:-1]) | (tag[1:] != tag[:-1])])
+        start = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
+        # A node that came twice has its need twice, both the same: all need rows are skipped.
+        skipped = np.cumsum(is_need)
+        rank = np.arange(len(sig)) - start - (skipped - (skipped[start] - is_need[start]))
+        keep = ~is_need & (rank >= -size[start] - 1)
+        yield from _rows(["sig", "node"], [sig[keep], node[keep]])
+
+    return found.repartition(parts, "node").mapInArrow(f, "sig long, node long")
+
+
+def stars(kept: DataFrame, parts: int) -> DataFrame:
+    """(a, b): each member of a run with the run's first, once in a task."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not held:
+            return
+        sig, node = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        first = _starts(sig)
+        low = np.repeat(node[first], np.diff(np.append(first, len(sig))))
+        both = np.unique(np.stack([node, low], 1)[node != low], axis=0)
+        yield from _rows(["a", "b"], [both[:, 0].copy(), both[:, 1].copy()])
+
+    return kept.repartition(parts, "sig").mapInArrow(f, "a long, b long")
 
 
 def bitmap(nodes: DataFrame) -> np.ndarray:
@@ -192,7 +211,7 @@ def bitmap(nodes: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(node, s): sets of the documents that the bitmap names."""
+    """(node, s, p1, p2): sets and fingerprints of the documents that the bitmap names."""
     held = docs.sparkSession.sparkContext.broadcast(words)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,23 +221,68 @@ def sets_of(docs: DataFrame, words: np.ndarray) -> DataFrame:
             at = (node ^ (node >> 24)) & (BITMAP - 1)
             b = b.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "s"])
+                sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+                prints = np.frombuffer(b"".join(fingerprint(s) for s in sets), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(prints[:, 0]), pa.array(prints[:, 1])], ["node", "s", "p1", "p2"])
 
-    return map_arrow(docs, f, "node long, s binary", 512)
+    return map_arrow(docs, f, "node long, s binary, p1 long, p2 long", 512)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs whose sets are similar enough."""
+def block_pairs(members: DataFrame) -> DataFrame:
+    """Verified links (a, b) of families: ``members`` has family, node, n, bins and s.
+
+    Each pair of a family's blocks is one group of rows; groups stream through the task one by one.
+    """
+    size = members.groupBy("family").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > BLOCK)
+    d = members.join(size, "family", "left").withColumn("_k", F.ceil(F.coalesce("_m", F.lit(1)) / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
+    d = d.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    d = d.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "bins", "s")
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        i, j = rows[0][1], rows[0][2]
+        left = [r for r in rows if r[3] == i]
+        right = left if i == j else [r for r in rows if r[3] == j]
+        if not left or not right:
+            return []
+        sets = [np.frombuffer(r[7], np.uint64) for r in right]
+        bins = np.frombuffer(b"".join(r[6] for r in right), np.uint8).reshape(-1, BINS).astype(np.int16)
+        n = np.array([r[5] for r in right])
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        out = []
+        for k, r in enumerate(left):
+            x, mine = np.frombuffer(r[6], np.uint8).astype(np.int16), np.frombuffer(r[7], np.uint64)
+            first = k + 1 if left is right else 0
+            # Similar sets of m and n elements differ in (m + n) / 9 at most, and in no fewer than their bins do.
+            differ = np.abs(bins[first:] - x).sum(1, dtype=np.int64)
+            ok = (differ * (NUMERATOR + DENOMINATOR) <= (r[5] + n[first:]) * (DENOMINATOR - NUMERATOR)) & (DENOMINATOR * np.minimum(r[5], n[first:]) >= NUMERATOR * np.maximum(r[5], n[first:]))
+            for m in (np.flatnonzero(ok) + first).tolist():
+                a, b = r[4], right[m][4]
+                if (ra := root(a)) != (rb := root(b)) and similar(mine, sets[m]):
+                    up[max(ra, rb)] = min(ra, rb)
+                    out.append((a, b))
+        return out
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for b in batches:
-            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays(list(b.columns[:2]), ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            out = []
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if held and r[:3] != held[0][:3]:
+                    out += links(held)
+                    held = []
+                held.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+        out = links(held) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("s").alias("s1"))
-    right = sets.select(F.col("node").alias("b"), F.col("s").alias("s2"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "s1", "s2")
-    return map_arrow(joined, f, "a long, b long", 256)
+    return map_arrow(d.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node"), f, "a long, b long", 1024)
 
 
 def release(spark) -> None:
@@ -228,9 +292,7 @@ def release(spark) -> None:
 
 
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and n_checked_links, the links of the document's class among the
-    pairs that were checked; pairs that already lay in one component are not compared.
-    """
+    """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -246,36 +308,26 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = materialize(runs(blocks(known, parts), parts), folder, "runs")
     release(spark)
-    rep = member.groupBy("node").agg(F.min("rep").alias("rep"))
-    pairs = found.filter("sig is null").select("a", "b").distinct()
-    for k, side in (("a", "ra"), ("b", "rb")):
-        pairs = pairs.join(rep.select(F.col("node").alias(k), F.col("rep").alias(side)), k)
-    pairs = pairs.filter("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()
-    pairs = materialize(bounded(pairs, classes), folder, "pairs")
-
-    words = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    rep = member.distinct()
+    near = materialize(stars(rarest(found, parts), parts), folder, "stars")
+    for k in ("a", "b"):
+        near = near.join(rep.select(F.col("node").alias(k), F.col("rep").alias(f"r{k}")), k)
+    families = components(near.select(F.col("ra").alias("a"), F.col("rb").alias("b")), folder, "families")
+
+    words = bitmap(families.select("node"))
     sets = materialize(sets_of(known, words), folder, "sets")
-    links, labels = check(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, None, folder, "first")
-    rest = between(pairs, labels)
-    links, labels = check(rest, sets, links, folder, "second")
-
-    # Runs of up to four members have given all their pairs.
-    large = found.filter("sig is not null").select("sig", F.col("a").alias("node")).join(rep, "node").select("sig", F.col("rep").alias("node")).distinct()
-    large = labelled(large, labels)
-    open_ = large.groupBy("sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("sig")
-    together = large.join(open_, "sig").select("sig", "node", "label").repartition("sig").sortWithinPartitions("sig", "node")
-    more = bounded(remaining(together).distinct(), classes).join(pairs, ["a", "b"], "left_anti")
-    more = materialize(more, folder, "more")
-    if not more.isEmpty():
-        words = bitmap(more.select(F.explode(F.array("a", "b")).alias("node")))
-        sets = materialize(sets_of(known, words), folder, "sets-more")
-        links, labels = check(more, sets, links, folder, "third")
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("_rep")).groupBy("_rep").agg(F.count(F.lit(1)).alias("n_checked_links"))
-    class_of = classes.select(F.col("p1").alias("_p1"), F.col("p2").alias("_p2"), "rep").join(labels, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("_rep"), "left")
-    # Rows of one id are one node: the smallest label of its classes, by components where ids repeat.
+    # An id that repeats may stand for several classes: fingerprints tell their sets apart.
+    sizes = classes.select(F.col("rep").alias("node"), "n", "bins", "p1", "p2")
+    full = families.select("node", F.col("label").alias("family")).join(sets, "node").join(sizes, ["node", "p1", "p2"])
+    links = materialize(block_pairs(full.dropDuplicates(["node", "p1", "p2"]).select("family", "node", "n", "bins", "s")), folder, "links")
+    same_id = member.groupBy("node").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).filter("a <> b").select("node")
+    same_id = rep.join(same_id, "node").withColumn("b", F.min("rep").over(Window.partitionBy("node"))).select(F.col("rep").alias("a"), "b")
+    links = links.unionByName(same_id)
+    labels = components(links, folder, "labels")
+
+    class_of = classes.select(F.col("p1").alias("_p1"), F.col("p2").alias("_p2"), "rep").join(labels, F.col("rep") == F.col("node"), "left")
     out = described.join(class_of, (F.col("p1") == F.col("_p1")) & (F.col("p2") == F.col("_p2")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"), F.coalesce("n_checked_links", F.lit(0)).cast("long").alias("n_checked_links"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,44 +342,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return left.withColumn("_row", F.row_number().over(first)).filter((F.col("_row") == 1) | F.col(id_col).isNull()).drop("_row")
 
 
-def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that may be similar by their sizes and bins.
-
-    Similar sets of m and n elements differ in (m + n) / 9 at most, and two sets differ in at least
-    as many elements as their bins' counts do, counts cut off at 255 or not.
-    """
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m, n = b.column(2).to_numpy(), b.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in (4, 5))
-            differ = np.abs(x - y).sum(1, dtype=np.int64)
-            ok = (differ * (NUMERATOR + DENOMINATOR) <= (m + n) * (DENOMINATOR - NUMERATOR)) & (DENOMINATOR * np.minimum(m, n) >= NUMERATOR * np.maximum(m, n))
-            yield pa.RecordBatch.from_arrays(list(b.columns[:2]), ["a", "b"]).filter(pa.array(ok))
-
-    sides = [classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("bins").alias(f"bins_{k}")) for k in ("a", "b")]
-    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
-    return map_arrow(joined, f, "a long, b long", 4096).distinct()
-
-
-def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("label", F.coalesce("label", "node")).drop("_n")
-
-
-def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components."""
-    for k in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(f"_{k}"), F.col("label").alias(f"l{k}")), F.col(k) == F.col(f"_{k}"), "left")
-    return pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-
-def check(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """All links so far with those of ``pairs``, and the components' labels."""
-    new = materialize(verified(pairs, sets), folder, f"links-{name}")
-    links = new if links is None else links.unionByName(new)
-    return links, components(links, folder, f"labels-{name}")
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return similarity_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 

@@ -78,25 +78,29 @@ def bands(size: int) -> tuple[tuple[int, int, int], ...]:
     out = []
     upper = (2 << i) - 1
     k = 2 * upper * gap // (NUMERATOR + DENOMINATOR)
-    out.append((2 * i, k, k + 1 if not k else (13 * k + 9) // 10 + 1))
+    out.append((2 * i, k, k + 1 if not k else (3 * k + 1) // 2 + 1))
     for j in range(max(0, i - 1), i + 1):
         bound = 2 << j
         # The smaller set is below the bound and at least 0.8 of the larger one.
         if size < bound and DENOMINATOR * size >= NUMERATOR * bound or size >= bound and NUMERATOR * size <= DENOMINATOR * (bound - 1):
             k = ((bound - 1) + (bound - 1) * DENOMINATOR // NUMERATOR) * gap // (NUMERATOR + DENOMINATOR)
-            out.append((2 * j + 1, k, k + 1 if not k else (23 * k + 19) // 20 + 1))
+            out.append((2 * j + 1, k, k + 1 if not k else (13 * k + 9) // 10 + 1))
     return tuple(out)
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
+def signatures(s: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """PartEnum signatures: for every tag the digest of each partition of the feature domain.
 
     Sets that differ in k elements differ in k partitions at most.  With more than k partitions
     that hold elements, one that holds some is equal; a set with fewer also gets the signatures of
     finer partitions, level by level, until it has more.  Of two sets, the one that stops first
     has more than k at its last level, where the other has signatures too.
+
+    Also returns (tag, need) for each tag: how many signatures of it every similar set shares.  So
+    all but any need - 1 of them suffice.  The last byte of a signature is twice its tag, plus one
+    beyond the first level.
     """
-    out = []
+    out, needs = [], []
     for tag, k, n in bands(len(s)):
         level = 0
         h = mix(s, tag + 1)
@@ -108,8 +112,10 @@ def signatures(s: np.ndarray) -> np.ndarray:
             part = part[order]
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             sums = np.add.reduceat(mix(h, level)[order], first)
-            out.append(mix(sums ^ mix(part[first], (tag << 8) + level)))
+            sums = mix(sums ^ mix(part[first], (tag << 8) + level))
+            out.append((sums & ~np.uint64(255)) | np.uint64(2 * tag + (level > 0)))
             if len(first) > k:
+                needs.append((tag, 1 if level else len(first) - k))
                 break
             level += 1
-    return np.concatenate(out)
+    return np.concatenate(out), needs
