@@ -125,7 +125,7 @@ def lock_fields(cells: DataFrame, types: DataFrame, fields: Sequence[str], name:
     d = cells.join(types.select(name, "type"), name, "left")
     skip = F.col("type").isin("Collection", "Provider") & F.col("field").isin(*fields) & cell_missing("value")
     skip = F.coalesce(skip, F.lit(False))
-    return d.withColumn("value", F.when(skip, "[Skipped]").otherwise(F.col("value"))).withColumn("confidence", F.when(skip, 1.0).otherwise(F.col("confidence"))).drop("type")
+    return d.withColumns({"value": F.when(skip, "[Skipped]").otherwise(F.col("value")), "confidence": F.when(skip, 1.0).otherwise(F.col("confidence"))}).drop("type")
 
 
 def entity_type(name: Column | str) -> Column:

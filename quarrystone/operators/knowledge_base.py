@@ -100,7 +100,7 @@ def write_back(rows: DataFrame, updates: DataFrame, key: str, field: str, longer
     else:
         take = has & (F.length("_v") > F.length(text_or_empty(F.col(f"`{field}`"))) + longer_by)
     take = F.coalesce(take, F.lit(False))
-    return d.withColumn(field, F.when(take, F.col("_v")).otherwise(F.col(f"`{field}`"))).withColumn(c, F.when(take, F.col("_c")).otherwise(F.col(f"`{c}`"))).drop("_k", "_v", "_c")
+    return d.withColumns({field: F.when(take, F.col("_v")).otherwise(F.col(f"`{field}`")), c: F.when(take, F.col("_c")).otherwise(F.col(f"`{c}`"))}).drop("_k", "_v", "_c")
 
 
 def quarantine(rows: DataFrame, links: DataFrame, key: str, conf: str, least: float = QUARANTINE) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import catalog_queries, evaluation_queries, knowledge_queries, text_queries
+
 FLAGSHIP = "catalog_cell_fold"
+_MODULES = (catalog_queries, evaluation_queries, knowledge_queries, text_queries)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
