@@ -19,7 +19,7 @@ import numpy as np
 
 FILE = "word_bpe_49k.json"
 #: Words kept by an encoder; the table starts anew when full.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 450_000
 #: Longer words are not kept.
 KEPT_LENGTH = 64
 
