@@ -40,6 +40,8 @@ from .shingles import DENOMINATOR, NUMERATOR, fingerprint, shingle_set, signatur
 
 #: Signatures of a range, on average; the number of ranges follows from the corpus.
 RANGE = 1 << 20
+#: Ranges whose shared signatures one task takes; few signatures are shared.
+SHARED = 8
 #: Signatures that a task holds before it sends a block to each range.
 HELD = 1 << 22
 #: Documents of a block of a family, on average.
@@ -309,7 +311,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = materialize(runs(blocks(known, parts), parts), folder, "runs")
     release(spark)
     rep = member.distinct()
-    near = materialize(stars(rarest(found, parts), parts), folder, "stars")
+    near = materialize(stars(rarest(found, parts), total // (SHARED * RANGE) + 1).distinct(), folder, "stars")
     for k in ("a", "b"):
         near = near.join(rep.select(F.col("node").alias(k), F.col("rep").alias(f"r{k}")), k)
     families = components(near.select(F.col("ra").alias("a"), F.col("rb").alias("b")), folder, "families")
