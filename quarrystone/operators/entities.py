@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions.constants import MISSING_ENTITY
 from quarrystone.functions.text import clean_name, clean_url, distinct_variants, first_integer, is_generic_url, strip, text_or_empty
 from quarrystone.functions.values import confidence, similarity
+from quarrystone.operators.work import folder, written
 
 #: Largest table for which all pairs of a length band are compared for the fuzzy rules; larger ones use trigram blocks.
 ALL_PAIRS = 5_000
@@ -101,18 +102,20 @@ def leader_groups(d: DataFrame, found: DataFrame) -> DataFrame:
     each round decides the records all of whose earlier matches are decided, with one join.
     Rounds are bounded by the longest chain of matches.
     """
-    edges = found.select(F.col("b_id").alias("id"), F.col("a_id").alias("other"), F.col("a_ord").alias("at")).persist()
-    decided = d.join(edges.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("leader"))
-    left = edges
-    while True:
-        decided = decided.persist()
-        open_ = left.join(decided.select(F.col("id").alias("_d")), F.col("id") == F.col("_d"), "left_anti")
-        known = open_.join(decided.select(F.col("id").alias("other"), "leader"), "other", "left")
-        step = known.groupBy("id").agg(F.count_if(F.col("leader").isNull()).alias("unknown"), F.min_by(F.when(F.col("leader") == F.col("other"), F.col("other")), F.when(F.col("leader") == F.col("other"), F.col("at"))).alias("leader"))
-        done = step.filter("unknown = 0").select("id", F.coalesce("leader", "id").alias("leader")).persist()
-        if done.isEmpty():
-            return decided
-        decided = decided.unionByName(done)
+    path = folder(d.sparkSession)
+    d = written(d.select("id"), path, "ids")
+    left = written(found.select(F.col("b_id").alias("id"), F.col("a_id").alias("other"), F.col("a_ord").alias("at")), path, "edges")
+    decided = written(d.join(left.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")), path, "decided-0")
+    step = 0
+    while not left.isEmpty():
+        step += 1
+        known = left.join(decided.select(F.col("id").alias("other"), "leader"), "other", "left")
+        leads = F.col("leader") == F.col("other")
+        judged = known.groupBy("id").agg(F.count_if(F.col("leader").isNull()).alias("unknown"), F.min_by(F.when(leads, F.col("other")), F.when(leads, F.col("at"))).alias("leader"))
+        new = judged.filter("unknown = 0").select("id", F.coalesce("leader", "id").alias("leader"))
+        decided = written(decided.unionByName(new), path, f"decided-{step}")
+        left = written(left.join(decided.select("id"), "id", "left_anti"), path, f"left-{step}")
+    return decided
 
 
 def fuse(groups: DataFrame, records: DataFrame, id_: str, order: str, urls: Sequence[str] = (), texts: Sequence[str] = (), others: Sequence[str] = ()) -> DataFrame:
@@ -139,14 +142,16 @@ def fuse(groups: DataFrame, records: DataFrame, id_: str, order: str, urls: Sequ
         take = (x["confidence"] == 1.0) | (none(s["value"]) & ~none(x["value"])) | (~none(x["value"]) & (x["confidence"] > s["confidence"]))
         return F.when(take, state(x["value"], x["confidence"])).otherwise(s)
 
+    def certain(step):
+        return lambda s, x: F.when(s["confidence"] == 1.0, s).otherwise(step(s, x))
+
     kinds = [*((f, url_step) for f in urls), *((f, text_step) for f in texts), *((f, other_step) for f in others)]
     cells = [F.struct(F.when(F.col(id_) == F.col("leader"), 0).otherwise(1).alias("late"), F.col(order).alias("o"), strip(text_or_empty(F.col(f"`{f}`"))).alias("value"), confidence(F.col(f"`{f} (C)`")).alias("confidence")) for f, _ in kinds]
     listed = d.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), *[F.array_sort(F.collect_list(c)).alias(f"_l{k}") for k, c in enumerate(cells)])
     out = [F.col("leader"), F.col("members")]
     for k, (f, step) in enumerate(kinds):
         a = F.col(f"_l{k}")
-        certain = lambda s, x, step=step: F.when(s["confidence"] == 1.0, s).otherwise(step(s, x))
-        folded = F.aggregate(F.slice(a, 2, 1 << 30), state(a[0]["value"], a[0]["confidence"]), certain)
+        folded = F.aggregate(F.slice(a, 2, 1 << 30), state(a[0]["value"], a[0]["confidence"]), certain(step))
         out += [folded["value"].alias(f), folded["confidence"].alias(f"{f} (C)")]
     return listed.select(*out)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions.constants import AUTO_KEEP, LOW, MISSING_ENTITY, MISSING_PLANNER, QUARANTINE
 from quarrystone.functions.text import is_missing, strip, text_or_empty
 from quarrystone.functions.values import confidence
+from quarrystone.operators.work import folder, written
 
 
 def keep_first(rows: DataFrame, keys: Sequence[str | Column], order: Sequence[str]) -> DataFrame:
@@ -118,8 +119,9 @@ def resolve_chains(pairs: DataFrame, dropped: str = "dropped", kept: str = "kept
     """
     links = pairs.filter(F.col(dropped) != F.col(kept)).groupBy(dropped).agg(F.min(kept).alias("to"))
     links = links.withColumn("low", F.least(F.col(dropped), F.col("to")))
-    for _ in range(steps):
-        links = links.checkpoint() if links.sparkSession.sparkContext.getCheckpointDir() else links.persist()
+    path = folder(pairs.sparkSession)
+    for step in range(steps):
+        links = written(links, path, f"links-{step}")
         up = links.select(F.col(dropped).alias("_d"), F.col("to").alias("_t"), F.col("low").alias("_l"))
         moved = links.join(up, F.col("to") == F.col("_d"), "left")
         # A pointer that comes back to its own row is in a cycle: it stays at the smallest row seen.
