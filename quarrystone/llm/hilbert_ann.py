@@ -120,7 +120,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     reach = max(1, round(share * cuts))
     at = F.percentile_approx("key", [i / cuts for i in range(1, cuts)], max(10_000, 20 * cuts))
     found = map_arrow(points.select("v"), numbers, "curve int, key long", 1024).groupBy("curve").agg(at.alias("at")).collect()
-    bounds = {r["curve"]: np.array(r["at"], np.int64) for r in found}
+    bounds = {r["curve"]: np.array(r["at"] or [], np.int64) for r in found}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
