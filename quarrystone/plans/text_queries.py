@@ -279,7 +279,7 @@ QUERIES = {
     "text_distinct_variants": (variants, "SELECT p_partkey, p_partkey % 5 <> 4 AND (p_partkey % 5 IN (0, 1, 3) OR length(p_name) + 2 <= 6) AS distinct_variants FROM part"),
     "text_first_integer": (digits, "SELECT s_suppkey, CAST('12' || s_suppkey AS BIGINT) AS n, CAST(regexp_extract(s_name, '[0-9]+') AS BIGINT) AS of_name, CAST(-1 AS BIGINT) AS none FROM supplier"),
     "text_plausibility": (plausible, _PLAUSIBLE),
-    "text_clean_urls": (urls, "WITH u AS (SELECT page_id, regexp_replace(lower(url), '/+$', '') AS c, lower(url) || CASE WHEN page_id % 2 = 0 THEN '?q=1' ELSE '//' END AS l FROM pages) SELECT page_id, CASE WHEN page_id % 2 = 0 THEN c ELSE c END AS clean, length(c) < 15 OR regexp_matches(c, 'search|query|google\\.com|bing\\.com|kaggle\\.com|archive\\.ics\\.uci\\.edu|zenodo\\.org|github\\.com|timeseriesclassification\\.com|huggingface\\.co|hf\\.co') AS generic, regexp_matches(l, 'arxiv\\.org|doi\\.org|researchgate\\.net|ieeexplore\\.ieee\\.org|sciencedirect\\.com|springer\\.com|nature\\.com|acm\\.org|semanticscholar\\.org') AS paper, '[x]([''' || l || ''']' || '), y' AS tidy FROM u"),
+    "text_clean_urls": (urls, "WITH u AS (SELECT page_id, regexp_replace(split_part(lower(url), '?', 1), '/+$', '') AS c, lower(url) || CASE WHEN page_id % 2 = 0 THEN '?q=1' ELSE '//' END AS l FROM pages) SELECT page_id, CASE WHEN page_id % 2 = 0 THEN c ELSE c END AS clean, length(c) < 15 OR regexp_matches(c, 'search|query|google\\.com|bing\\.com|kaggle\\.com|archive\\.ics\\.uci\\.edu|zenodo\\.org|github\\.com|timeseriesclassification\\.com|huggingface\\.co|hf\\.co') AS generic, regexp_matches(l, 'arxiv\\.org|doi\\.org|researchgate\\.net|ieeexplore\\.ieee\\.org|sciencedirect\\.com|springer\\.com|nature\\.com|acm\\.org|semanticscholar\\.org') AS paper, '[x]([''' || l || ''']' || '), y' AS tidy FROM u"),
     "text_page_links": (page_links, "WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"''#]+)[\"'']', 1) AS l FROM pages), o AS (SELECT page_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM l) SELECT page_id, array_to_string(l, ' ') AS links, len(l) AS n FROM o"),
     "text_page_text": (page_text, None),
     "text_loaded_pages": (loaded_pages, "SELECT page_id FROM pages WHERE len(string_split_regex(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), '\\s+')) >= 100"),
