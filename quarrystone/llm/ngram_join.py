@@ -43,7 +43,7 @@ RANGE = 1 << 20
 #: Ranges whose shared signatures one task takes; few signatures are shared.
 SHARED = 8
 #: Signatures that a task holds before it sends a block to each range.
-HELD = 1 << 22
+HELD = 1 << 20
 #: Documents of a block of a family, on average.
 BLOCK = 1024
 #: Bins whose counts bound how much two sets differ.
