@@ -91,7 +91,7 @@ def inspected(content: pd.Series, name: pd.Series) -> pd.DataFrame:
 
 
 def inspect_files(spark: SparkSession, path: str, pattern: str | None = None, largest: int = LARGEST) -> DataFrame:
-    """Inspects all files below a path; larger ones are left out by their metadata, before they are read."""
+    """Inspects all files below a path that hold a byte; too large ones are left out by their metadata, before they are read."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         r = r.option("pathGlobFilter", pattern)
