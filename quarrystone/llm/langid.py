@@ -31,6 +31,8 @@ from .common import keep_rows, map_arrow, strings, table
 
 BUCKETS = 1 << 15
 CLIP, SWITCH = 4.0, 9.0
+#: Least score of a text that a filter keeps; a text in several languages has a low one and is kept.
+KEEP_AT = 0.2
 #: A language is a candidate for a script that at least this share of its training words uses.
 SCRIPT_SHARE = 0.005
 #: Words kept with their scores by a worker; the table starts anew when full.
@@ -253,7 +255,7 @@ def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     return map_arrow(d, f, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>", 512)
 
 
-def in_known_language(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def in_known_language(docs: DataFrame, model: Model, least: float = KEEP_AT, text_col: str = "text") -> DataFrame:
     """Rows whose text is in a known language with a score of at least ``least``; the others go."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -146,7 +146,7 @@ def scan(text: str, base: tuple = BASE, notices: tuple = NOTICES) -> tuple[int,
             line = raw[end + 1 : stop if stop >= 0 else len(raw)].decode("utf-8", "replace")
             if rpn := parse(line):
                 start = len(raw[: end + 1 - len(tag)].decode("utf-8", "replace"))
-                expressions.append((start, line.strip(), " ".join(rpn), sorted(evaluate(rpn))))
+                expressions.append((start, line.strip(), " ".join(rpn), sorted(evaluate(rpn))))  # the line as it stands, prose behind the expression included
                 doubt *= 1 - TAG_WEIGHT
     return len(split), sorted(places), expressions, 1 - doubt
 
