@@ -30,7 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
             root = tempfile.gettempdir() + "/quarrystone-work"
         else:
             root = spark.conf.get("spark.sql.warehouse.dir") + "/_work"
-    return f"{root.rstrip('/')}/qs-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/qs-{uuid.uuid4().hex}"
+    # Results may read these tables as long as the session lives; they go with it.
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
 
 
 def materialize(df: DataFrame, path: str, name: str) -> DataFrame:
