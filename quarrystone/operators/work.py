@@ -14,7 +14,13 @@ def folder(spark: SparkSession) -> str:
     if not root:
         local = spark.sparkContext.master.startswith("local")
         root = tempfile.gettempdir() + "/quarrystone-work" if local else spark.conf.get("spark.sql.warehouse.dir") + "/_work"
-    return f"{root.rstrip('/')}/qs-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/qs-{uuid.uuid4().hex}"
+    # The tables go with the session, which may read them until then.
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
 
 
 def written(df: DataFrame, path: str, name: str) -> DataFrame:
