@@ -199,7 +199,8 @@ def stars(kept: DataFrame, parts: int) -> DataFrame:
         both = np.unique(np.stack([node, low], 1)[node != low], axis=0)
         yield from _rows(["a", "b"], [both[:, 0].copy(), both[:, 1].copy()])
 
-    return kept.repartition(parts, "sig").mapInArrow(f, "a long, b long")
+    # However finely the shuffle is dealt, ``parts`` tasks read it, as few tasks repeat few edges.
+    return kept.repartition(parts, "sig").coalesce(parts).mapInArrow(f, "a long, b long")
 
 
 def bitmap(nodes: DataFrame) -> np.ndarray:
