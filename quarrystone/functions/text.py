@@ -279,3 +279,23 @@ def file_type(x: Column | str) -> Column:
 
 def fill_template(template: Column | str, name: Column | str) -> Column:
     return F.replace(text_or_empty(template), F.lit("{name}"), text_or_empty(name))
+
+
+def tidy_cell(x: Column | str) -> Column:
+    """Cell of a report's table without emphasis and notes in brackets."""
+    s = F.regexp_replace(F.regexp_replace(text_or_empty(x), r"\*\*|__", ""), r"^[\s*_]+|[\s*_]+$", "")
+    for p in NAME_PATTERNS[5:10]:
+        s = strip(F.regexp_replace(s, f"(?i){p}", ""))
+    return s
+
+
+def plain_query(x: Column | str) -> Column:
+    return strip(F.regexp_replace(text_or_empty(x), r"\*\*|__", ""))
+
+
+def simple_query(x: Column | str) -> Column:
+    """Search words of a query without operators, sites, commands before and requests behind."""
+    s = F.regexp_replace(F.replace(text_or_empty(x), F.lit('"'), F.lit("")), " (OR|AND) ", " ")
+    s = F.regexp_replace(s, r"site:\S+", "")
+    s = F.regexp_replace(s, r"(?i)^(Look for|Search for|Find|Identify|Locate)\s+", "")
+    return strip(F.regexp_replace(s, r"(?i)\s+(with its attributes|with attributes|and provide|details about).*$", ""))

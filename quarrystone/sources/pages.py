@@ -136,3 +136,30 @@ def rows_of_table(html: str | None) -> list[list[str]]:
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def table_rows(html: pd.Series) -> pd.Series:
     return html.map(rows_of_table)
+
+
+def labelled_number(html: str | None, label: str) -> int | None:
+    """Last number in the text behind a label, up to the next label-like word; else rows of a variable table for features."""
+    text = page_text(html)
+    if m := re.search(rf"(?i)\b(?:number of )?{label}\b\W*((?:[0-9]+\W+)*[0-9]+)", text):
+        return int(re.findall("[0-9]+", m[1])[-1])
+    if label == "features":
+        for table in re.findall(r"(?is)<table.*?</table>", html or ""):
+            head = re.search(r"(?is)<th[^>]*>(.*?)</th>", table)
+            rows = len(re.findall(r"(?is)<tr\b", table))
+            if head and re.search("(?i)variable|feature", head[1]) and rows > 1:
+                return rows - 1
+    return None
+
+
+@F.pandas_udf(T.StructType([T.StructField("instances", T.LongType()), T.StructField("features", T.LongType())]))
+def page_numbers(html: pd.Series) -> pd.DataFrame:
+    """Counts of instances and features that a page shows; null where it shows none."""
+    return pd.DataFrame({"instances": html.map(lambda h: labelled_number(h, "instances")).astype("Int64"), "features": html.map(lambda h: labelled_number(h, "features")).astype("Int64")})
+
+
+def variable_table(headers: Column, rows: Column) -> Column:
+    """Variables as a pipe table."""
+    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
+    rule = line(F.transform(headers, lambda _: F.lit("---")))
+    return F.array_join(F.concat(F.array(line(headers), rule), F.transform(rows, line)), "\n")
