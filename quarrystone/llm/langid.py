@@ -209,6 +209,8 @@ def identify(model: Model, texts: list[str]) -> list[tuple[str, float, list[tupl
     """
     lows = [lower(t) for t in texts]
     words = [WORD.findall(t) for t in lows]
+    # Signs such as fractions count as word characters, but a text of those alone has no letter.
+    words = [w if any(c.isalpha() for x in w for c in x) else [] for w in words]
     if not model.langs:
         return [(UNKNOWN, 0.0, [])] * len(texts)
     return [settle(model, *x) for x in zip(texts, lows, words, model.matrices(words))]
@@ -227,7 +229,7 @@ def settle(model: Model, text: str, low: str, words: list[str], scores: np.ndarr
         best = int(letters.argmax())
         share = float(letters[best] / letters.sum())
         spans = []
-        for k, m in zip(labels.tolist(), WORD.finditer(low)):
+        for k, m in zip(labels.tolist(), WORD.finditer(low)):  # the same words
             if spans and spans[-1][2] == model.langs[k]:
                 spans[-1] = (spans[-1][0], m.end(), model.langs[k])
             else:

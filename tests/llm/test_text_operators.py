@@ -229,6 +229,7 @@ def test_language_spans_and_scripts(spark, odd_docs, no_docs):
     assert model.langs == ["de", "en", "ru"]
     (lang, score, spans), *_ = langid.identify(model, ["the cat and the dog were here собака и кошка здесь собака и кошка"])
     assert {x[2] for x in spans} == {"en", "ru"}
+    assert [x[0] for x in langid.identify(model, ["½ ² 12", "½ the"])] == ["und", "en"]
     rows = langid.language_spans(odd_docs, model).collect()
     assert len(rows) == odd_docs.count() and {r["lang_pred"] for r in rows if r["doc_id"] in (0, 1, 2, 7)} == {"und"}
     assert langid.language_spans(no_docs, model).count() == 0
