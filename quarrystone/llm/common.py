@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.operators.work import folder as shared_dir
+from quarrystone.operators.work import written as materialize
+
+__all__ = ["batch_rows", "discard", "keep_rows", "map_arrow", "materialize", "shared_dir", "strings", "table", "words_column"]
+
 #: White space that separates words: space and the control characters tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -18,34 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which the driver and all executors share.
-
-    Where the setting is absent, a local master (tests) gets a temporary folder and any other
-    master a folder of the warehouse; a cluster never gets a machine-local folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.startswith("local"):
-            root = tempfile.gettempdir() + "/quarrystone-work"
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir") + "/_work"
-    path = f"{root.rstrip('/')}/qs-{uuid.uuid4().hex}"
-    # Results may read these tables as long as the session lives; they go with it.
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(at)
-    files.deleteOnExit(at)
-    return path
-
-
-def materialize(df: DataFrame, path: str, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as a Parquet table in the shared folder and reads it again."""
-    target = f"{path}/{name}"
-    df.write.mode("overwrite").parquet(target)
-    return df.sparkSession.read.schema(df.schema).parquet(target)
-
-
 def discard(spark: SparkSession, *paths: str) -> None:
     """Deletes work tables that no later plan reads."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
