@@ -294,8 +294,12 @@ def release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_range: int = RANGE) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row.
+
+    ``per_range`` is what one task takes of the signatures; a task needs about 100 bytes for each,
+    so executors with more memory can have fewer, larger ranges.
+    """
     spark = docs.sparkSession
     folder = shared_dir(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -304,7 +308,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = described.filter("doc_id is not null and n_shingles > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bins").alias("bins"))
     classes = materialize(classes, folder, "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // per_range + 1)
     # Document to class, for the documents that may stand in a run.
     member = described.filter("doc_id is not null and n_shingles > 0").select("doc_id", "p1", "p2").join(classes.select("p1", "p2", "rep"), ["p1", "p2"]).select(F.col("doc_id").alias("node"), "rep")
     member = materialize(member, folder, "member")
@@ -312,7 +316,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = materialize(runs(blocks(known, parts), parts), folder, "runs")
     release(spark)
     rep = member.distinct()
-    near = materialize(stars(rarest(found, parts), total // (SHARED * RANGE) + 1).distinct(), folder, "stars")
+    near = materialize(stars(rarest(found, parts), total // (SHARED * per_range) + 1).distinct(), folder, "stars")
     for k in ("a", "b"):
         near = near.join(rep.select(F.col("node").alias(k), F.col("rep").alias(f"r{k}")), k)
     families = components(near.select(F.col("ra").alias("a"), F.col("rb").alias("b")), folder, "families")
