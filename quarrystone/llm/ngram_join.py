@@ -26,7 +26,6 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -288,12 +287,6 @@ def block_pairs(members: DataFrame) -> DataFrame:
     return map_arrow(d.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node"), f, "a long, b long", 1024)
 
 
-def release(spark) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_range: int = RANGE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -313,10 +306,8 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = described.filter("doc_id is not null and n_shingles > 0").select("doc_id", "p1", "p2").join(classes.select("p1", "p2", "rep"), ["p1", "p2"]).select(F.col("doc_id").alias("node"), "rep")
     member = materialize(member, folder, "member")
 
-    found = materialize(runs(blocks(known, parts), parts), folder, "runs")
-    release(spark)
     rep = member.distinct()
-    near = materialize(stars(rarest(found, parts), total // (SHARED * per_range) + 1).distinct(), folder, "stars")
+    near = materialize(stars(rarest(runs(blocks(known, parts), parts), parts), total // (SHARED * per_range) + 1).distinct(), folder, "stars")
     for k in ("a", "b"):
         near = near.join(rep.select(F.col("node").alias(k), F.col("rep").alias(f"r{k}")), k)
     families = components(near.select(F.col("ra").alias("a"), F.col("rb").alias("b")), folder, "families")
