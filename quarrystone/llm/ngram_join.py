@@ -307,17 +307,17 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = materialize(member, folder, "member")
 
     rep = member.distinct()
-    near = materialize(stars(rarest(runs(blocks(known, parts), parts), parts), total // (SHARED * per_range) + 1).distinct(), folder, "stars")
+    near = stars(rarest(runs(blocks(known, parts), parts), parts), total // (SHARED * per_range) + 1).distinct()
     for k in ("a", "b"):
         near = near.join(rep.select(F.col("node").alias(k), F.col("rep").alias(f"r{k}")), k)
     families = components(near.select(F.col("ra").alias("a"), F.col("rb").alias("b")), folder, "families")
 
     words = bitmap(families.select("node"))
-    sets = materialize(sets_of(known, words), folder, "sets")
+    sets = sets_of(known, words)
     # An id that repeats may stand for several classes: fingerprints tell their sets apart.
     sizes = classes.select(F.col("rep").alias("node"), "n", "bins", "p1", "p2")
     full = families.select("node", F.col("label").alias("family")).join(sets, "node").join(sizes, ["node", "p1", "p2"])
-    links = materialize(block_pairs(full.dropDuplicates(["node", "p1", "p2"]).select("family", "node", "n", "bins", "s")), folder, "links")
+    links = block_pairs(full.dropDuplicates(["node", "p1", "p2"]).select("family", "node", "n", "bins", "s"))
     same_id = member.groupBy("node").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).filter("a <> b").select("node")
     same_id = rep.join(same_id, "node").withColumn("b", F.min("rep").over(Window.partitionBy("node"))).select(F.col("rep").alias("a"), "b")
     links = links.unionByName(same_id)
