@@ -82,11 +82,17 @@ def melt(spark, d):
 
 
 def adjudicated(spark, d):
-    """Votes of line items on a part's return flag against a golden flag that follows from its size."""
-    li = t(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.lower("l_returnflag").alias("norm_value"))
-    vote = evaluation.consensus(evaluation.jury_vote(li.filter(F.col("part") % 5 != 0), ["part"]), ["part"])
-    golden = t(spark, d, "part").filter(F.col("p_partkey") % 3 != 0).select(F.col("p_partkey").alias("part"), F.when(F.col("p_size") % 2 == 0, "n").otherwise("r").alias("golden"))
-    out = evaluation.adjudicate(vote, golden, ["part"], hallucinated=F.col("part") % 101 == 0)
+    """Votes of line items on a part's return flag against a golden flag that follows from its size.
+
+    Customers, with votes of their orders' states, have no golden row, and suppliers no vote.
+    """
+    li = t(spark, d, "lineitem").select(F.lit("part").alias("kind"), F.col("l_partkey").alias("id"), F.lower("l_returnflag").alias("norm_value"))
+    o = t(spark, d, "orders").select(F.lit("customer").alias("kind"), F.col("o_custkey").alias("id"), F.lower("o_orderstatus").alias("norm_value"))
+    vote = evaluation.consensus(evaluation.jury_vote(li.unionByName(o), ["kind", "id"]), ["kind", "id"])
+    flag = lambda x: F.when(F.col(x) % 2 == 0, "n").otherwise("r").alias("golden")
+    p = t(spark, d, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), flag("p_size"))
+    s = t(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), flag("s_nationkey"))
+    out = evaluation.adjudicate(vote, p.unionByName(s), ["kind", "id"], hallucinated=F.col("id") % 101 == 0)
     return out.groupBy("action", "truth").agg(F.count(F.lit(1)).alias("n"))
 
 

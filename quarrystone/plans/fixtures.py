@@ -43,6 +43,7 @@ JOBS = """jobs AS (SELECT 'PROJ_' || (user_id % 40) AS project, CASE event_type
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t(spark, sf_dir, "events").filter(F.col("event_id") % 23 == F.col("user_id") % 23)
+    """Every event as a run of one of 40 projects."""
+    e = t(spark, sf_dir, "events")
     mode = F.when(F.col("event_type") == "click", "AGENT").when(F.col("event_type") == "view", "HARVEST").when(F.col("event_type") == "purchase", "MERGE").when(F.col("event_type") == "error", "REPAIR").otherwise("PLAN")
     return e.select(F.concat(F.lit("PROJ_"), (F.col("user_id") % 40).cast("string")).alias("project"), mode.alias("mode"), "ts")

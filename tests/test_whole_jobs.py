@@ -1,5 +1,7 @@
 """Registered queries that must take every row: results of the whole job, worked out here."""
 
+from collections import Counter, defaultdict
+
 import duckdb
 
 from quarrystone.plans import registry
@@ -17,3 +19,64 @@ def test_parsed_answers_of_every_event(spark):
 
     got = {r["event_id"]: (r["value"], r["confidence"]) for r in registry.queries()["text_parsed_answers"](spark, SF).collect()}
     assert got == {k: (f"https://a.org/x{k}", confidence(k % 120)) for (k,) in rows("events", "event_id")}
+
+
+def _jobs():
+    """Times of each project's runs by mode."""
+    modes, found = {"click": "AGENT", "view": "HARVEST", "purchase": "MERGE", "error": "REPAIR"}, defaultdict(lambda: defaultdict(list))
+    for user, kind, ts in rows("events", "user_id, event_type, ts"):
+        found[f"PROJ_{user % 40}"][modes.get(kind, "PLAN")].append(ts)
+    return found
+
+
+def test_merge_targets_of_every_run(spark):
+    want = {}
+    for project, m in _jobs().items():
+        gathered = m["AGENT"] + m["HARVEST"]
+        if project != "PROJ_3" and len(gathered) > 1 and (not m["MERGE"] or max(gathered) > max(m["MERGE"])):
+            want[project] = len(gathered)
+    assert {r["project"]: r["runs"] for r in registry.queries()["kb_merge_targets"](spark, SF).collect()} == want
+
+
+def test_repair_targets_of_every_run(spark):
+    need, total, jobs = Counter(), Counter(), _jobs()
+    for key, nation in rows("customer", "c_custkey, c_nationkey"):
+        need[nation] += key % 5 < nation % 4
+        total[nation] += 1
+    want = {}
+    for n in total:
+        m = jobs[f"PROJ_{n}"]
+        other = m["AGENT"] + m["HARVEST"] + m["MERGE"]
+        if need[n] * 100 / total[n] > 30 and total[n] > 2 and (not m["REPAIR"] or (other and max(m["REPAIR"]) < max(other))):
+            want[f"PROJ_{n}"] = (need[n], total[n])
+    assert {r["project"]: (r["need"], r["total"]) for r in registry.queries()["kb_repair_targets"](spark, SF).collect()} == want
+
+
+def test_completed_of_every_run(spark):
+    want = {p: n for p, m in _jobs().items() if (n := sum(ts.minute % 3 == 0 for ts in m["AGENT"] + m["HARVEST"]))}
+    assert {r["project"]: r["n"] for r in registry.queries()["runs_completed"](spark, SF).collect()} == want
+
+
+def test_adjudicated_has_every_key_of_both_sides(spark):
+    votes = defaultdict(Counter)
+    for key, flag in rows("lineitem", "l_partkey, lower(l_returnflag)"):
+        votes["part", key][flag] += 1
+    for key, state in rows("orders", "o_custkey, lower(o_orderstatus)"):
+        votes["customer", key][state] += 1
+    golden = {("part", k): "rn"[x % 2 == 0] for k, x in rows("part", "p_partkey, p_size")}
+    golden |= {("supplier", k): "rn"[x % 2 == 0] for k, x in rows("supplier", "s_suppkey, s_nationkey")}
+    want = Counter()
+    for k in votes.keys() | golden.keys():
+        n, c = min(((-n, v) for v, n in votes[k].items()), default=(0, "")) if k in votes else (0, "")
+        share, g = (-n / sum(votes[k].values()) if c else 0), golden.get(k, "")
+        if k[1] % 101 == 0:
+            want["Hallucinated Dataset", ""] += 1
+        elif g == c and g:
+            want["Match", g] += 1
+        elif not g:
+            want[("Novel Discovery (Merge)", c) if share >= 0.5 else ("Weak Novel (Ignore)", "")] += 1
+        elif c:
+            want[("Conflict (Repair KB)", c) if share >= 0.6 else ("GoldenKB Maintained (Weak Conflict)", g)] += 1
+        else:
+            want["GoldenKB Maintained (No Extraction)", g] += 1
+    assert {(r["action"], r["truth"]): r["n"] for r in registry.queries()["eval_adjudicate_outer"](spark, SF).collect()} == want
