@@ -46,10 +46,14 @@ def chunks(docs: DataFrame, id_: str, text: str, size: int = CHUNK_WORDS) -> Dat
     return d.select(id_, F.posexplode(F.aggregate("_p", start, step, end)).alias("chunk", "text"))
 
 
-def cosine(a: Column, b: Column) -> Column:
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def cosine(a: Column, b: Column, norms: Column | None = None) -> Column:
+    """Cosine of two vectors; ``norms`` is the product of their lengths where it is known."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.try_divide(dot, norm(a) * norm(b))
+    return F.try_divide(dot, norm(a) * norm(b) if norms is None else norms)
 
 
 def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int) -> DataFrame:
@@ -62,15 +66,15 @@ def vector_top_k(index: DataFrame, queries: DataFrame, id_: str, vector: str, k:
 
     Beyond 10,000 queries they are joined in blocks instead, block by block of the index.
     """
-    q = queries.select(F.col(id_).alias("query_id"), F.col(vector).alias("_q"))
-    d = index.select(F.col(id_), F.col(vector).alias("_v"))
+    q = queries.select(F.col(id_).alias("query_id"), F.col(vector).alias("_q"), norm(F.col(vector)).alias("_qn"))
+    d = index.select(F.col(id_), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_vn"))
     if q.limit(10_001).count() <= 10_000:
         pairs = d.join(F.broadcast(q), F.lit(True))
     else:
         n = 64
         q = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n)))
         pairs = d.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(q, "_b")
-    return top_k(pairs.withColumn("score", cosine(F.col("_v"), F.col("_q"))), "query_id", "score", id_, k).select("query_id", "rank", id_, "score")
+    return top_k(pairs.withColumn("score", cosine(F.col("_v"), F.col("_q"), F.col("_vn") * F.col("_qn"))), "query_id", "score", id_, k).select("query_id", "rank", id_, "score")
 
 
 def terms(x: Column) -> Column:

@@ -194,7 +194,7 @@ def templates(spark, d):
 
 def vector_top(spark, d):
     e = t(spark, d, "embeddings")
-    r = retrieval.vector_top_k(e, e.filter("vec_id < 10"), "vec_id", "embedding", 5)
+    r = retrieval.vector_top_k(e, e, "vec_id", "embedding", 5)
     return r.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -206,7 +206,7 @@ QUALIFY rank <= 5
 
 
 def _bm25(spark, d, k=5):
-    q = t(spark, d, "benchmark").filter("item_id < 12").select("item_id", F.substring("text", 1, 60).alias("q"))
+    q = t(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
     return retrieval.bm25_top_k(t(spark, d, "documents"), q, "doc_id", "text", "item_id", "q", k)
 
 
@@ -228,7 +228,7 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 def hybrid(spark, d):
     """Documents stand for the vectors of their number; three by vector, the rest by BM25."""
     e = t(spark, d, "embeddings")
-    v = retrieval.vector_top_k(e, e.filter("vec_id < 12"), "vec_id", "embedding", 3).withColumnRenamed("vec_id", "doc_id")
+    v = retrieval.vector_top_k(e, e, "vec_id", "embedding", 3).withColumnRenamed("vec_id", "doc_id")
     return retrieval.hybrid_top_k(v, _bm25(spark, d), "doc_id", 6).select("query_id", "rank", "doc_id", F.col("source").cast("long").alias("source"))
 
 

@@ -1,8 +1,12 @@
 """Registered queries that must take every row: results of the whole job, worked out here."""
 
+import math
+import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pytest
 
 from quarrystone.plans import registry
 
@@ -80,3 +84,54 @@ def test_adjudicated_has_every_key_of_both_sides(spark):
         else:
             want["GoldenKB Maintained (No Extraction)", g] += 1
     assert {(r["action"], r["truth"]): r["n"] for r in registry.queries()["eval_adjudicate_outer"](spark, SF).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def ranked():
+    """The best five documents of each benchmark item by its whole text: (rounded score, doc_id)."""
+    split = lambda x: [w for w in re.split("[^a-z0-9]+", x.lower()) if w]
+    docs = {k: Counter(split(x)) for k, x in rows("documents", "doc_id, text")}
+    size = {k: sum(c.values()) for k, c in docs.items()}
+    mean, df = sum(size.values()) / len(docs), Counter(w for c in docs.values() for w in c)
+    found = {}
+    for item, x in rows("benchmark", "item_id, text"):
+        terms, scores = set(split(x)), []
+        for k, c in docs.items():
+            if hit := terms & c.keys():
+                s = sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * size[k] / mean)) for w in hit)
+                scores.append((-round(s, 6), k))
+        found[item] = sorted(scores)[:5]
+    return found
+
+
+def test_bm25_of_every_item_and_whole_texts(spark, ranked):
+    got = defaultdict(list)
+    for r in sorted(registry.queries()["search_bm25_top_k"](spark, SF).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append(r["score"])
+    assert got.keys() == {k for k, v in ranked.items() if v}
+    for k, scores in got.items():
+        assert scores == pytest.approx([-s for s, _ in ranked[k]], abs=2e-6)
+
+
+def test_contexts_and_topics_of_every_item(spark, ranked):
+    texts = dict(rows("documents", "doc_id, text"))
+    got = {r["query_id"]: r["n"] for r in registry.queries()["search_contexts"](spark, SF).collect()}
+    assert got == {q: len("\n\n".join(texts[k][:200] for _, k in v)[:700]) for q, v in ranked.items() if v}
+    want = set()
+    for topic in range(4):
+        seen = dict.fromkeys(k for q in sorted(ranked) if q % 4 == topic for _, k in ranked[q])
+        want |= {(topic, n, k) for n, k in enumerate(list(seen)[:8], 1)}
+    assert {tuple(r) for r in registry.queries()["search_multi_query"](spark, SF).select("topic", "rank", "doc_id").collect()} == want
+
+
+def test_vector_searches_of_every_vector(spark):
+    found = rows("embeddings", "vec_id, embedding")
+    v = np.array([e for _, e in found], float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    best = np.sort(v @ v.T, axis=1)[:, ::-1][:, :5]
+    got = {(r["query_id"], r["rank"]): r["score"] for r in registry.queries()["search_vector_top_k"](spark, SF).collect()}
+    assert got.keys() == {(k, n) for k, _ in found for n in range(1, 6)}
+    assert all(got[k, n + 1] == pytest.approx(best[at, n], abs=2e-6) for at, (k, _) in enumerate(found) for n in range(5))
+    hybrid = registry.queries()["search_hybrid_top_k"](spark, SF).collect()
+    assert {r["query_id"] for r in hybrid if r["source"] == 0} == {k for k, _ in found}
+    assert {r["query_id"] for r in hybrid if r["source"] == 1} == {k for (k,) in rows("benchmark", "item_id")}
