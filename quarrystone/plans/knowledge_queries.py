@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrystone.functions.text import normalize
 from quarrystone.functions.values import similarity
 from quarrystone.operators import entities
 from quarrystone.operators import knowledge_base as kb
@@ -214,7 +215,7 @@ SELECT leader, n AS members, de AS description, dv AS domain, dc AS domain_c FRO
 
 
 def blocks(spark, d):
-    return entities.duplicate_blocks(t(spark, d, "documents"), "doc_id", F.md5(F.lower(F.substring("text", 1, 40))))
+    return entities.duplicate_blocks(t(spark, d, "documents"), "doc_id", F.md5(normalize("text")))
 
 
 def closest(spark, d):

@@ -188,7 +188,7 @@ def chunked(spark, d):
 
 
 def templates(spark, d):
-    p = t(spark, d, "documents").select("doc_id", retrieval.document_text(F.concat(F.lit("http://x/"), F.repeat(F.lit("y"), 200)), F.col("source"), F.col("lang"), F.substring("text", 1, 20)).alias("x"))
+    p = t(spark, d, "documents").select("doc_id", retrieval.document_text(F.concat(F.lit("http://x/"), F.repeat(F.lit("y"), 200)), F.col("source"), F.col("lang"), F.col("text")).alias("x"))
     return p.select("doc_id", F.md5("x").alias("digest"))
 
 

@@ -1,5 +1,6 @@
 """Registered queries that must take every row: results of the whole job, worked out here."""
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -135,3 +136,20 @@ def test_vector_searches_of_every_vector(spark):
     hybrid = registry.queries()["search_hybrid_top_k"](spark, SF).collect()
     assert {r["query_id"] for r in hybrid if r["source"] == 0} == {k for k, _ in found}
     assert {r["query_id"] for r in hybrid if r["source"] == 1} == {k for (k,) in rows("benchmark", "item_id")}
+
+
+def _md5(x):
+    return hashlib.md5(x.encode()).hexdigest()
+
+
+def test_duplicate_blocks_of_whole_texts(spark):
+    found = defaultdict(list)
+    for k, x in rows("documents", "doc_id, text"):
+        found[_md5(" ".join(x.lower().split()))].append(k)
+    want = {b: (len(ids), min(ids)) for b, ids in found.items() if len(ids) > 1}
+    assert {r["block"]: (r["n"], r["first_id"]) for r in registry.queries()["entity_duplicate_blocks"](spark, SF).collect()} == want
+
+
+def test_document_text_has_the_whole_content(spark):
+    want = {k: _md5(f"Title: {s}\nURL: http://x/{'y' * 141}\nContext: {lang}\nContent: {x}") for k, s, lang, x in rows("documents", "doc_id, source, lang, text")}
+    assert {r["doc_id"]: r["digest"] for r in registry.queries()["search_document_text"](spark, SF).collect()} == want
