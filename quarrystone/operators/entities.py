@@ -10,6 +10,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from quarrystone.operators.work import folder, written
 
 #: Largest table for which all pairs of a length band are compared for the fuzzy rules; larger ones use trigram blocks.
 ALL_PAIRS = 5_000
+#: Names of a block, on average, whose pairs are compared in one task.
+BLOCK = 1_000
 ARBITRATED = ("WEAK", "MISMATCH", "FINGERPRINT")
 
 
@@ -177,11 +180,42 @@ def merge_summary(groups: DataFrame, names: DataFrame, id_: str, name: str) -> D
     return d.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.array_join(F.array_sort(F.collect_set(absorbed)), ", ").alias("absorbed"))
 
 
+def _beating(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple]:
+    """(name, job, match, score, ord) of the best of ``right`` for each name of ``left``, if it can beat or tie its ``low``.
+
+    Common characters bound the ratio from above, as each is matched once at most.
+    """
+    names = [*left["name"], *right["name"]]
+    at = {c: k for k, c in enumerate(sorted(set("".join(names))))}
+    counts = np.zeros((len(names), max(len(at), 1)), np.int32)
+    for k, name in enumerate(names):
+        for c in name:
+            counts[k, at[c]] += 1
+    theirs, jobs, others = counts[len(left) :], right["job"].to_numpy(), right["name"].tolist()
+    ids, ords = right["id"].tolist(), right["ord"].tolist()
+    size, matcher = theirs.sum(1), difflib.SequenceMatcher(None)
+    for k, (name, job, low) in enumerate(zip(left["name"], left["job"], left["low"])):
+        total = size + len(name)
+        bound = np.where(total > 0, 2.0 * np.minimum(theirs, counts[k]).sum(1) / np.maximum(total, 1), 1.0)
+        best = None
+        able = np.flatnonzero((bound > 0) & (bound >= low) & (jobs != job))
+        for m in able[np.argsort(-bound[able], kind="stable")].tolist():
+            if bound[m] < low:
+                break
+            matcher.set_seqs(name, others[m])
+            score = matcher.ratio()
+            if score > 0 and (score > low or (score == low and (best is None or ords[m] < best[4]))):
+                low, best = score, (name, job, ids[m], score, ords[m])
+        if best:
+            yield best
+
+
 def closest_match(rows: DataFrame, id_: str, name: str, job: str, order: str) -> DataFrame:
-    """For each record the most similar name of another job, the earliest of equals, if similar at all.
+    """For each record the most similar name of another job, the earliest of equals; null where none is similar at all.
 
-    Names are compared once a distinct pair that shares a trigram; a common trigram is demanded of
-    a match, so names without any count as not similar.
+    Names that share a trigram are compared first, once a distinct pair.  What they reach is a lower
+    bound: of all other names, in pairs of blocks of about ``BLOCK``, those are compared whose common
+    characters allow as much, so the result is that of all pairs.
     """
     s = F.lower(strip(text_or_empty(name)))
     d = rows.select(F.col(id_).alias("id"), s.alias("name"), F.col(job).alias("job"), F.col(order).alias("ord"))
@@ -189,10 +223,26 @@ def closest_match(rows: DataFrame, id_: str, name: str, job: str, order: str) ->
     names = d.select("name").distinct().select("name", gram.alias("g"))
     pairs = names.join(names.select(F.col("name").alias("other"), "g"), "g").select("name", "other").distinct()
     scored = pairs.withColumn("score", similarity("name", "other")).filter("score > 0")
-    first = d.groupBy("name", "job").agg(F.min("ord").alias("ord"), F.min_by("id", "ord").alias("id"))
-    best = scored.join(first.select(F.col("name").alias("other"), F.col("job").alias("_job"), F.col("ord").alias("_ord"), F.col("id").alias("match")), "other")
-    joined = d.join(best, "name").filter(F.col("job") != F.col("_job"))
-    return joined.groupBy("id").agg(F.max_by(F.struct("match", "score"), F.struct("score", -F.col("_ord"))).alias("m")).select("id", "m.match", "m.score")
+    first = d.filter("job is not null").groupBy("name", "job").agg(F.min("ord").alias("ord"), F.min_by("id", "ord").alias("id"))
+    best = scored.join(first.select(F.col("name").alias("other"), F.col("job").alias("_job"), "ord", F.col("id").alias("match")), "other")
+    asked = first.select("name", "job")
+    top = lambda x: x.groupBy("name", "job").agg(F.max_by(F.struct("match", "score", "ord"), F.struct("score", -F.col("ord"))).alias("m")).select("name", "job", "m.*")
+    near = top(asked.join(best, "name").filter(F.col("job") != F.col("_job")))
+    low = asked.join(near.select("name", "job", F.col("score").alias("low")), ["name", "job"], "left").fillna(0.0, "low")
+    k = first.count() // BLOCK + 1
+    dealt = lambda: F.pmod(F.xxhash64("name", "job"), F.lit(k)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    again = lambda x: x.select(*[F.col(c).alias(c) for c in x.columns])
+    left, right = again(low.withColumn("i", dealt()).withColumn("j", every)), again(first.withColumn("j", dealt()).withColumn("i", every))
+    types = {f.name: f.dataType.simpleString() for f in d.schema}
+    out = f"name string, job {types['job']}, match {types['id']}, score double, ord {types['ord']}"
+
+    def beating(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(_beating(a, b)) if len(a) and len(b) else [], columns=["name", "job", "match", "score", "ord"])
+
+    rest = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(beating, out)
+    found = top(near.unionByName(rest)).drop("ord")
+    return d.join(found, ["name", "job"], "left").select("id", "match", "score")
 
 
 def name_ratio(a: str, b: str) -> float:

@@ -1,7 +1,9 @@
 """Registered queries that must take every row: results of the whole job, worked out here."""
 
+import difflib
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -9,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from quarrystone.operators import entities
 from quarrystone.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -153,3 +156,18 @@ def test_duplicate_blocks_of_whole_texts(spark):
 def test_document_text_has_the_whole_content(spark):
     want = {k: _md5(f"Title: {s}\nURL: http://x/{'y' * 141}\nContext: {lang}\nContent: {x}") for k, s, lang, x in rows("documents", "doc_id, source, lang, text")}
     assert {r["doc_id"]: r["digest"] for r in registry.queries()["search_document_text"](spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_closest_match_equals_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(entities, "BLOCK", block)
+    r = random.Random(4)
+    names = ["tide", "diet", "a", "ab", "b", "", " ", "zzzz", "Tide"] + ["".join(r.choices("abcde", k=r.randrange(1, 9))) for _ in range(50)]
+    given = [(k, x, r.choice("pqr"), k) for k, x in enumerate(names)] + [(900, "\u4e2d", "p", 900)]
+    want = {}
+    for k, x, job, _ in given:
+        s = [(difflib.SequenceMatcher(None, x.strip().lower(), y.strip().lower()).ratio(), -o, m) for m, y, other, o in given if other != job]
+        score, _, m = max(s)
+        want[k] = (m, score) if score > 0 else (None, None)
+    got = entities.closest_match(spark.createDataFrame(given, "id long, name string, job string, ord long"), "id", "name", "job", "ord").collect()
+    assert len(got) == len(given) and {x["id"]: (x["match"], x["score"]) for x in got} == want and want[900] == (None, None)
