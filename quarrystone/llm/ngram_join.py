@@ -12,9 +12,9 @@ size of the intersection reaches 80 times that of the union.  The steps:
    signatures made of passages that many documents share go first.
 4. Families: components of the documents that still share a signature, by edges to a run's first.
 5. A family's documents are dealt to blocks of about ``BLOCK``, and each pair of blocks meets in one
-   task, which tests sizes and counts by bins for all its pairs, and the sets of those that pass
-   and are not yet joined.  Each pair that could be similar is thus tested or already joined, so the
-   components of the verified links are exact.
+   task, which tests sizes and counts by bins for all its pairs, and the sets of those that pass.
+   Each pair that could be similar is thus tested: components and numbers of links are exact.  A task
+   returns a forest of its links and the sum of each document's, copies counted, not the links.
 
 Sets of candidates are made again from the texts; a bitmap of fixed size (``BITMAP`` bits) names
 them, so that other texts are skipped.
@@ -230,18 +230,21 @@ def sets_of(docs: DataFrame, words: np.ndarray) -> DataFrame:
     return map_arrow(docs, f, "node long, s binary, p1 long, p2 long", 512)
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """Verified links (a, b) of families: ``members`` has family, node, n, bins and s.
+def block_pairs(members: DataFrame, count: bool = True) -> DataFrame:
+    """Verified links of families: ``members`` has family, node, n, bins, s, p1, p2 and copies.
 
-    Each pair of a family's blocks is one group of rows; groups stream through the task one by one.
+    Rows with b are a forest (a, b) of the links.  The others have in ``links`` how many documents of
+    other sets in a pair of blocks are similar to the set (p1, p2) of a; without ``count`` there are
+    none, and pairs that are joined already are not verified.  Each pair of a family's blocks is one
+    group of rows; groups stream through the task one by one.
     """
     size = members.groupBy("family").agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > BLOCK)
     d = members.join(size, "family", "left").withColumn("_k", F.ceil(F.coalesce("_m", F.lit(1)) / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
     d = d.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    d = d.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "bins", "s")
+    d = d.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "bins", "s", "p1", "p2", "copies")
 
-    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+    def links(rows: list[tuple]) -> list[tuple]:
         i, j = rows[0][1], rows[0][2]
         left = [r for r in rows if r[3] == i]
         right = left if i == j else [r for r in rows if r[3] == j]
@@ -257,7 +260,8 @@ def block_pairs(members: DataFrame) -> DataFrame:
                 x = up[x]
             return x
 
-        out = []
+        out: list[tuple] = []
+        found: dict[tuple[int, int, int], int] = {}
         for k, r in enumerate(left):
             x, mine = np.frombuffer(r[6], np.uint8).astype(np.int16), np.frombuffer(r[7], np.uint64)
             first = k + 1 if left is right else 0
@@ -265,11 +269,19 @@ def block_pairs(members: DataFrame) -> DataFrame:
             differ = np.abs(bins[first:] - x).sum(1, dtype=np.int64)
             ok = (differ * (NUMERATOR + DENOMINATOR) <= (r[5] + n[first:]) * (DENOMINATOR - NUMERATOR)) & (DENOMINATOR * np.minimum(r[5], n[first:]) >= NUMERATOR * np.maximum(r[5], n[first:]))
             for m in (np.flatnonzero(ok) + first).tolist():
-                a, b = r[4], right[m][4]
-                if (ra := root(a)) != (rb := root(b)) and similar(mine, sets[m]):
+                o = right[m]
+                if not count and root(r[4]) == root(o[4]) or not similar(mine, sets[m]):
+                    continue
+                for one, other in ((r, o), (o, r)) if count else ():
+                    key = (one[4], one[8], one[9])
+                    found[key] = found.get(key, 0) + other[10]
+                if (ra := root(r[4])) != (rb := root(o[4])):
                     up[max(ra, rb)] = min(ra, rb)
-                    out.append((a, b))
-        return out
+                    out.append((r[4], o[4], None, None, None))
+        return out + [(a, None, p1, p2, n) for (a, p1, p2), n in found.items()]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(5)], ["a", "b", "p1", "p2", "links"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -280,15 +292,16 @@ def block_pairs(members: DataFrame) -> DataFrame:
                     out += links(held)
                     held = []
                 held.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-        out = links(held) if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+            yield batch(out)
+        yield batch(links(held) if held else [])
+
+    return map_arrow(d.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node"), f, "a long, b long, p1 long, p2 long, links long", 1024)
 
-    return map_arrow(d.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node"), f, "a long, b long", 1024)
 
+def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_range: int = RANGE, count: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, with ``count``, n_links of every row.
 
-def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_range: int = RANGE) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+    ``n_links`` is the number of other rows with an id and a similar text, copies of its own included.
 
     ``per_range`` is what one task takes of the signatures; a task needs about 100 bytes for each,
     so executors with more memory can have fewer, larger ranges.
@@ -315,17 +328,25 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = bitmap(families.select("node"))
     sets = sets_of(known, words)
     # An id that repeats may stand for several classes: fingerprints tell their sets apart.
-    sizes = classes.select(F.col("rep").alias("node"), "n", "bins", "p1", "p2")
+    sizes = classes.select(F.col("rep").alias("node"), "n", "bins", "p1", "p2", "copies")
     full = families.select("node", F.col("label").alias("family")).join(sets, "node").join(sizes, ["node", "p1", "p2"])
-    links = block_pairs(full.dropDuplicates(["node", "p1", "p2"]).select("family", "node", "n", "bins", "s"))
+    verified = block_pairs(full.dropDuplicates(["node", "p1", "p2"]).select("family", "node", "n", "bins", "s", "p1", "p2", "copies"), count)
+    if count:
+        verified = materialize(verified, folder, "links")
+    links = verified.filter("b is not null").select("a", "b")
+    linked = verified.filter("b is null").groupBy(F.col("p1").alias("_l1"), F.col("p2").alias("_l2")).agg(F.sum("links").alias("links"))
     same_id = member.groupBy("node").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).filter("a <> b").select("node")
     same_id = rep.join(same_id, "node").withColumn("b", F.min("rep").over(Window.partitionBy("node"))).select(F.col("rep").alias("a"), "b")
     links = links.unionByName(same_id)
     labels = components(links, folder, "labels")
 
-    class_of = classes.select(F.col("p1").alias("_p1"), F.col("p2").alias("_p2"), "rep").join(labels, F.col("rep") == F.col("node"), "left")
+    class_of = classes.select(F.col("p1").alias("_p1"), F.col("p2").alias("_p2"), "rep", "copies").join(labels, F.col("rep") == F.col("node"), "left")
+    if count:
+        class_of = class_of.join(linked, (F.col("_p1") == F.col("_l1")) & (F.col("_p2") == F.col("_l2")), "left")
     out = described.join(class_of, (F.col("p1") == F.col("_p1")) & (F.col("p2") == F.col("_p2")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id")
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).otherwise(0).alias("n_links")
+    return out.select("doc_id", "n_shingles", component, *([n_links] if count else []))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,7 +354,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of rows that repeat that id the one with the smallest text stays; rows with a null id all stay.
     """
-    found = similarity_join(docs, id_col, text_col)
+    found = similarity_join(docs, id_col, text_col, count=False)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
     first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
@@ -341,7 +362,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return similarity_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return similarity_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 ORACLE_SQL = r"""
