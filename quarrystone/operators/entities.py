@@ -62,12 +62,14 @@ def reason(pairs: DataFrame, later: str = "b", leader: str = "a") -> DataFrame:
     return d.withColumn("reason", full).withColumn("needs_provider", (full != "") & (full != "HARD_DISCRIMINATOR_CONFLICT") & ~sure).withColumn("matched", (full != "") & (full != "HARD_DISCRIMINATOR_CONFLICT") & sure).drop("_ratio")
 
 
-def candidate_pairs(d: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Pairs (a earlier, b later) that some rule could match, each once.
+def candidate_pairs(d: DataFrame, fuzzy: bool = True, weak: bool = False) -> DataFrame:
+    """Pairs (a earlier, b later) that some sure rule could match, with ``weak`` any rule, each once.
 
     Equal clean names, URLs and counts meet by equi joins.  For the fuzzy rule, names whose lengths
     allow a ratio of 0.9 and that share a trigram meet; a ratio of 0.9 leaves a common run of three
     characters in any name of five or more, so only shorter names, which are few, meet by length.
+    The weak rules need names of four or more characters, a ratio of 0.82 or one name inside the other,
+    so their names share two characters in a row; lengths do not bound them.
     """
     cols = d.columns
     left, right = (d.select(*[F.col(c).alias(f"{p}_{c}") for c in cols]) for p in ("a", "b"))
@@ -81,18 +83,20 @@ def candidate_pairs(d: DataFrame, fuzzy: bool = True) -> DataFrame:
     marks = F.array_compact(F.array(*keys))
     if fuzzy:
         n = F.length("clean")
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.concat(F.lit("g:"), F.substring(F.col("clean"), i, F.lit(3))))
-        marks = F.when(F.col("clean") != "", F.array_union(marks, F.when(n >= 5, grams).otherwise(F.array(F.lit("s:"))))).otherwise(marks)
+        size = 2 if weak else 3
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.concat(F.lit("g:"), F.substring(F.col("clean"), i, F.lit(size))))
+        short = F.when(n >= 4, F.array_append(grams, F.lit("s:"))).otherwise(F.array(F.lit("s:"))) if weak else F.array(F.lit("s:"))
+        marks = F.when(F.col("clean") != "", F.array_union(marks, F.when(n >= 5, grams).otherwise(short))).otherwise(marks)
     spread = d.select("id", "ord", F.length("clean").alias("n"), F.explode(marks).alias("k"))
     a, b = (spread.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "ord", "n", "k")]) for p in ("a", "b"))
-    bound = ~F.col("a_k").startswith("g:") | (2 * F.least("a_n", "b_n") >= 0.9 * (F.col("a_n") + F.col("b_n")))
+    bound = F.lit(True) if weak else ~F.col("a_k").startswith("g:") | (2 * F.least("a_n", "b_n") >= 0.9 * (F.col("a_n") + F.col("b_n")))
     ids = a.join(b, (F.col("a_k") == F.col("b_k")) & later & bound).select("a_id", "b_id").distinct()
     return ids.join(left, "a_id").join(right, "b_id")
 
 
 def matches(d: DataFrame, arbiter: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a_id, b_id, a_ord, b_ord, reason) of matching pairs; ``arbiter`` may turn weak ones into matches."""
-    judged = reason(candidate_pairs(d))
+    judged = reason(candidate_pairs(d, weak=arbiter is not None))
     if arbiter:
         judged = arbiter(judged)
     return judged.filter("matched").select("a_id", "b_id", "a_ord", "b_ord", "reason")

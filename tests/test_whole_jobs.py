@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrystone.operators import entities
 from quarrystone.plans import registry
@@ -171,3 +172,13 @@ def test_closest_match_equals_all_pairs(spark, monkeypatch, block):
         want[k] = (m, score) if score > 0 else (None, None)
     got = entities.closest_match(spark.createDataFrame(given, "id long, name string, job string, ord long"), "id", "name", "job", "ord").collect()
     assert len(got) == len(given) and {x["id"]: (x["match"], x["score"]) for x in got} == want and want[900] == (None, None)
+
+
+def test_weak_pairs_reach_the_arbiter(spark):
+    names = ["tran", "transit counts of every borough", "electricity", "electricity load of many houses", "abcdefghij", "abxdefxhij"]
+    d = spark.createDataFrame([(k, x, x, "", -1, -1, "", "", k) for k, x in enumerate(names)], "id long, name string, clean string, type string, t long, v long, url string, data_url string, ord long")
+    asked = entities.matches(d, lambda p: p.withColumn("matched", F.col("matched") | F.col("needs_provider"))).collect()
+    left, right = (d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns]) for p in ("a", "b"))
+    want = entities.reason(left.join(right, F.col("a_ord") < F.col("b_ord"))).filter("matched or needs_provider").collect()
+    assert {(r["a_id"], r["b_id"], r["reason"]) for r in asked} == {(r["a_id"], r["b_id"], r["reason"]) for r in want}
+    assert {(0, 1), (2, 3)} <= {(r["a_id"], r["b_id"]) for r in want}
