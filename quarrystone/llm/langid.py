@@ -258,7 +258,12 @@ def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def in_known_language(docs: DataFrame, model: Model, least: float = KEEP_AT, text_col: str = "text") -> DataFrame:
-    """Rows whose text is in a known language with a score of at least ``least``; the others go."""
+    """Rows whose text is in a known language with a score of at least ``least``; the others go.
+
+    At ``KEEP_AT`` those that go are ``und`` texts, which have no letter, and texts whose labels are
+    spread over so many languages that none has the share.  A text of one label scores at least 0.5,
+    so gibberish and texts in unlearned languages or scripts stay under the label nearest to them.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(texts: list[str]) -> list[bool]:
