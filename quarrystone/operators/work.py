@@ -23,6 +23,6 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, path: str, name: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(f"{path}/{name}")
+def written(df: DataFrame, path: str, name: str, codec: str = "snappy") -> DataFrame:
+    df.write.mode("overwrite").option("compression", codec).parquet(f"{path}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
