@@ -2,8 +2,9 @@
 
 Every turn of a conversation is a node that its conversation shares with all others that begin
 with the same turns.  A node is named by the chained digest of its turns, a conversation's path is
-the chain of names; in the order of paths, the nodes that no earlier conversation holds follow
-each other depth first.  Each node's tokens are emitted once, with
+the chain of names.  In the order of paths a conversation shares with all earlier ones just what it
+shares with the one before it, so the nodes beyond that are its own, and own nodes follow each other
+depth first.  Each node's tokens are emitted once, with
 
 - ``position``: tokens of its ancestors, so its tokens' position ids run on from there, and
 - ``intervals``: where its ancestors' tokens lie in the tree's stream; a token of the node attends
@@ -14,9 +15,10 @@ inside roles and texts ``\\`` and ``<`` get a ``\\`` before them and, in roles,
 ``\\n``, so no text can forge a mark and the output reads back exactly.  The loss mask covers the
 texts of assistant turns.
 
-Nothing gathers a tree in one task: nodes are found by a distributed aggregation, the stream's
-offsets are two-level running sums over ranges of the order, and a node's intervals come from its
-own ancestors, those side by side in the stream as one.  Memory is bounded by one conversation.
+Turns are sorted by conversation once and encoded as they pass; from then on texts exist as tokens
+alone.  The tree is laid out over the paths, which are small: tasks sum the ranges of their order,
+the driver carries one path for each task from range to range, tasks lay out their ranges.  A task
+holds the names of one path and a slice of turns; reading back takes one conversation at a time.
 
 Defined results: a null role or text is the empty one; turns are ordered by turn (null first), then
 role, then text, and rows that repeat in all of them stay; a null conv_id is a conversation of its
@@ -25,23 +27,25 @@ own; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import os
+import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, shared_dir, table
+from .bytebpe import default_path, encoder
+from .common import discard, map_arrow, materialize, shared_dir, table
 
-FILE = "byte_bpe_50k.json"
 OPEN, CLOSE = "<turn> ", "</turn>\n"
 #: The conversation that the query adds, fixed by its contract.
 ADDED_ID, ADDED_TEXT = -7, "\\### Assistant: </turn> ok"
 LEARNED = "assistant"
+#: Bytes of a node's name.
+NAME = 16
 
 _ESCAPED = re.compile(r"[\\<]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
@@ -49,12 +53,12 @@ _TURN = re.compile(r"<turn> ((?:[^\\\n]|\\.)*)\n((?:[^\\<]|\\.)*)</turn>\n", re.
 
 
 def escape(text: str, line: bool = False) -> str:
-    text = _ESCAPED.sub(lambda m: "\\" + m[0], text)
+    text = text if "<" not in text and "\\" not in text else _ESCAPED.sub(lambda m: "\\" + m[0], text)
     return text.replace("\n", "\\n") if line else text
 
 
 def unescape(text: str, line: bool = False) -> str:
-    return _UNESCAPE.sub(lambda m: "\n" if line and m[1] == "n" else m[1], text)
+    return text if "\\" not in text else _UNESCAPE.sub(lambda m: "\n" if line and m[1] == "n" else m[1], text)
 
 
 def format_turn(role: str, text: str) -> str:
@@ -73,128 +77,201 @@ def read_turns(formatted: str) -> list[tuple[str, str, tuple[int, int]]]:
     return out
 
 
-def default_path() -> str:
-    import public_tokenizers
+def encoded(rows: DataFrame, path: str) -> DataFrame:
+    """Turns as tokens, in order, and behind each conversation's turns a row (node null) with its path and sizes.
 
-    return public_tokenizers.path(FILE)
-
-
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
-
-
-def turns(rows: DataFrame) -> DataFrame:
-    """Turns by conversation: place, parent's and own node, path; roles and texts without nulls."""
+    ``c`` numbers the conversations, ``before`` counts a conversation's tokens before the turn.
+    """
     c = F.col
-    rows = rows.select(c("conv_id"), c("turn"), F.coalesce(c("role").cast("string"), F.lit("")).alias("role"), F.coalesce(c("text").cast("string"), F.lit("")).alias("text"))
-    # A conversation's turns are one group; only digests of its turns are kept in it.
-    digest = F.unhex(F.substring(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), c("role"), c("text")), 256), 1, 32))
-    w = Window.partitionBy("conv_id").orderBy(c("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumn("place", F.row_number().over(w)).withColumn("digest", digest)
-    return rows
-
+    rows = rows.select("conv_id", "turn", F.coalesce(c("role").cast("string"), F.lit("")).alias("role"), F.coalesce(c("text").cast("string"), F.lit("")).alias("text"))
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    names = ["c", "place", "node", "parent", "role", "loss", "loss_start", "loss_end", "before", "size", "ids", "conv_id", "path", "sizes"]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), None, pa.binary(), pa.binary()]
 
-def chains(rows: DataFrame) -> DataFrame:
-    """Adds to each turn its node (digest of all turns so far) and its path (nodes so far)."""
-    listed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "digest"))).alias("all"))
-    step = lambda a, x: F.struct(F.unhex(F.substring(F.sha2(F.concat(a["node"], x["digest"]), 256), 1, 32)).alias("node"), F.array_append(a["path"], F.unhex(F.substring(F.sha2(F.concat(a["node"], x["digest"]), 256), 1, 32))).alias("path"))
-    start = F.struct(F.lit(b"").alias("node"), F.array().cast("array<binary>").alias("path"))
-    return listed.select("conv_id", F.aggregate("all", start, step, lambda a: a["path"]).alias("path"))
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        number = TaskContext.get().partitionId() << 33
+        conv, node, before, nodes, sizes, id_kind = None, None, 0, [], [], None
+        ended = lambda: (number, None, None, None, None, None, None, None, None, None, None, conv, b"".join(nodes), np.array(sizes, "<u4").tobytes())
 
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, id_kind if k == "conv_id" else t) for x, t, k in zip(zip(*out), kinds, names)], names)
 
-def prefix_tree(rows: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes of the forest and the conversations' last nodes.
-
-    nodes: node, tree (its root), parent, depth, role, text, formatted, ids, loss (whether its text
-    is learned), loss_start and loss_end (the text's place in ``formatted``), position, offset
-    (where its tokens begin in the forest's stream) and intervals (ancestors' [start, end) there).
-    conversations: conv_id, leaf, n_turns, path.
-    """
-    path, spark = path or default_path(), rows.sparkSession
-    folder = shared_dir(spark)
-    placed = turns(rows)
-    # Conversations in order of their paths; their ranks ascend with gaps.
-    key = F.array_join(F.transform("path", F.hex), "")
-    ranked = chains(placed).withColumn("_key", key).repartitionByRange("_key", "conv_id").sortWithinPartitions("_key", F.col("conv_id").asc_nulls_first())
-    convs = materialize(ranked.select("conv_id", "path", F.monotonically_increasing_id().alias("rank")), folder, "conversations")
-    # The first conversation that holds a node owns it.  Owned nodes in order of (rank, depth) are
-    # the tree depth first, so no node needs its whole path as a key.
-    spread = convs.select("rank", F.posexplode("path").alias("_k", "node"))
-    owner = spread.groupBy("node").agg(F.min("rank").alias("rank"), F.min("_k").alias("_k"))
-    by_rank = placed.join(convs.select(F.col("conv_id").alias("_c"), "rank"), F.col("conv_id").eqNullSafe(F.col("_c")))
-    texts = by_rank.select(F.col("rank").alias("_r"), F.col("place").alias("_p"), "role", "text")
-    nodes = owner.join(texts, (F.col("rank") == F.col("_r")) & (F.col("_k") + 1 == F.col("_p"))).select("node", F.col("_p").alias("depth"), "rank", "role", "text")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for b in batches:
-            role, text = (b.column(b.schema.get_field_index(k)).to_pylist() for k in ("role", "text"))
-            made = [format_turn(r, x) for r, x in zip(role, text)]
-            ids = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(made, add_special_tokens=False)]
-            start = [len(OPEN) + len(escape(r, True)) + 1 for r in role]
-            end = [len(m) - len(CLOSE) for m in made]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string()), pa.array(ids, pa.binary()), pa.array([r == LEARNED for r in role]), pa.array(start, pa.int32()), pa.array(end, pa.int32())], [*b.schema.names, "formatted", "ids", "loss", "loss_start", "loss_end"])
-
-    coded = materialize(map_arrow(nodes, encode, "node binary, depth int, rank long, role string, text string, formatted string, ids binary, loss boolean, loss_start int, loss_end int", 512), folder, "nodes")
-    n = (F.octet_length("ids") / 4).cast("long")
-    # Offsets: running sums within ranges of the order, and over the ranges.
-    ordered = materialize(coded.select("node", "rank", "depth", n.alias("n")).repartitionByRange("rank", "depth").sortWithinPartitions("rank", "depth").withColumn("part", F.spark_partition_id()), folder, "order")
-    sums = ordered.groupBy("part").agg(F.sum("n").alias("s"))
-    # One row for each task that sorted; a running sum over them.
-    before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))
-    within = F.sum("n").over(Window.partitionBy("part").orderBy("rank", "depth")) - F.col("n")
-    laid = materialize(ordered.withColumn("_w", within).join(F.broadcast(before), "part").select("node", F.col("rank").alias("owner"), (F.col("before") + F.col("_w")).alias("offset"), "n"), folder, "laid")
-    along = spread.withColumnRenamed("rank", "_rank").join(laid, "node").groupBy("_rank").agg(F.array_sort(F.collect_list(F.struct("_k", "offset", "n", "node", (F.col("owner") == F.col("_rank")).alias("owned")))).alias("steps"))
-
-    def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-        names = ["_n", "tree", "parent", "offset", "position", "intervals"]
         for b in batches:
-            out = []
-            for steps in b.column(0).to_pylist():
-                spans, position, parent = [], 0, None
-                for x in steps:
-                    if x["owned"]:
-                        out.append((x["node"], steps[0]["node"], parent, x["offset"], position, [{"start": s, "end": e} for s, e in spans]))
-                    # Ancestors that lie side by side in the stream are one interval.
-                    end = x["offset"] + x["n"]
-                    spans = [*spans[:-1], (spans[-1][0], end)] if spans and spans[-1][1] == x["offset"] else [*spans, (x["offset"], end)]
-                    position, parent = position + x["n"], x["node"]
+            id_kind, out = b.schema.field(0).type, []
+            ids, roles, texts = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
+            shown = [format_turn(r, t) for r, t in zip(roles, texts)]
+            for key, role, text, turn, tokens in zip(ids, roles, texts, shown, e.encode_many(shown)):
+                if nodes and key != conv:
+                    out.append(ended())
+                    number, node, before, nodes, sizes = number + 1, None, 0, [], []
+                conv, parent = key, node
+                node = hashlib.blake2b(b"%s%d:" % (parent or b"", len(role)) + (role + text).encode(), digest_size=NAME).digest()
+                n = len(tokens) // e.kind.itemsize
+                nodes.append(node)
+                sizes.append(n)
+                start = len(OPEN) + len(escape(role, True)) + 1
+                out.append((number, len(nodes), node, parent, role, role == LEARNED, start, len(turn) - len(CLOSE), before, n, tokens, None, None, None))
+                before += n
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                yield made(out)
+        if nodes:
+            yield made([ended()])
+
+    placed = rows.repartition("conv_id").sortWithinPartitions(c("conv_id").asc_nulls_first(), c("turn").asc_nulls_first(), "role", "text").select("conv_id", "turn", "role", "text")
+    return map_arrow(placed, f, f"c long, place int, node binary, parent binary, role string, loss boolean, loss_start int, loss_end int, before long, size int, ids binary, conv_id {kind}, path binary, sizes binary")
+
+
+class Stack:
+    """The path of the conversation before, with where its nodes lie in the stream."""
+
+    def __init__(self, path: bytes = b"", offsets: list[int] | None = None, sizes: list[int] | None = None, at: int = 0):
+        self.path, self.offsets, self.sizes, self.at = path, offsets or [], sizes or [], at
+
+    def shared(self, path: bytes) -> int:
+        """Nodes that ``path`` shares with the stack's path."""
+        most, k = min(len(path), len(self.path)), 0
+        while k < most and path[k : k + NAME] == self.path[k : k + NAME]:
+            k += NAME
+        return k // NAME
+
+    def push(self, path: bytes, sizes: list[int]) -> int:
+        """Goes on to a conversation and lays out its own nodes; returns how many it shares."""
+        own = self.shared(path)
+        del self.offsets[own:]
+        for n in sizes[own:]:
+            self.offsets.append(self.at)
+            self.at += n
+        self.path, self.sizes = path, sizes
+        return own
+
+    def intervals(self, nodes: int) -> list[dict[str, int]]:
+        """Where the first nodes of the path lie; those side by side in the stream are one interval."""
+        out: list[dict[str, int]] = []
+        for start, n in zip(self.offsets[:nodes], self.sizes):
+            if out and out[-1]["end"] == start:
+                out[-1]["end"] = start + n
+            else:
+                out.append({"start": start, "end": start + n})
+        return out
+
+
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, list[int]]]:
+    """(part, c, path, sizes) of rows in order."""
+    for b in batches:
+        for part, c, path, sizes in zip(*(b.column(k).to_pylist() for k in range(4))):
+            yield part, c, path, np.frombuffer(sizes, "<u4").tolist()
+
+
+def layout(paths: DataFrame, folder: str) -> DataFrame:
+    """(c, part, path, shared, offset, position, base) of conversations: nodes shared with earlier ones,
+    where the own ones begin, tokens before those, and the shared ones' intervals."""
+    order = paths.repartitionByRange("path", "c").sortWithinPartitions("path", "c").select(F.spark_partition_id().alias("part"), "c", "path", "sizes")
+    order = materialize(order, folder, "order").repartition("part").sortWithinPartitions("part", "path", "c")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, stack = None, None, Stack()
+        longs = pa.list_(pa.int64())
+        kinds = pa.schema([("part", pa.int32()), ("first", pa.binary()), ("first_sizes", longs), ("last", pa.binary()), ("sizes", longs), ("offsets", longs), ("total", pa.int64())])
+        done = lambda: pa.RecordBatch.from_pylist([{"part": now, "first": first[0], "first_sizes": first[1], "last": stack.path, "sizes": stack.sizes, "offsets": stack.offsets, "total": stack.at}], kinds)
+        for part, _, path, sizes in _conversations(batches):
+            if part != now:
+                if first:
+                    yield done()
+                now, first, stack = part, (path, sizes), Stack()
+            stack.push(path, sizes)
+        if first:
+            yield done()
+
+    # One row, of one path, for each task that sorted.
+    sums = map_arrow(order, summed, "part int, first binary, first_sizes array<long>, last binary, sizes array<long>, offsets array<long>, total long").collect()
+    before, now = {}, Stack()
+    for r in sorted(sums, key=lambda r: r["part"]):
+        before[r["part"]] = (now.path, list(now.offsets), now.sizes, now.at)
+        # Laid out alone, the range's first conversation owned all its nodes; those shared with the stack move everything down.
+        known, last = now.shared(bytes(r["first"])), bytes(r["last"])
+        move = now.at - sum(r["first_sizes"][:known])
+        kept = min(known, now.shared(last))
+        now = Stack(last, now.offsets[:kept] + [x + move for x in r["offsets"][kept:]], r["sizes"], move + r["total"])
+    held = paths.sparkSession.sparkContext.broadcast(before)
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack, out = None, Stack(), []
+        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), spans]
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["c", "part", "path", "shared", "offset", "position", "base"])
+        for part, c, path, sizes in _conversations(batches):
+            if part != now:
+                known = held.value[part]
+                now, stack = part, Stack(known[0], list(known[1]), known[2], known[3])
+            at = stack.at
+            own = stack.push(path, sizes)
+            out.append((c, part, path, own, at, sum(sizes[:own]), stack.intervals(own)))
+            if len(out) == 1024:
+                yield flush()
+                out = []
+        if out:
+            yield flush()
+
+    return map_arrow(order, lay, "c long, part int, path binary, shared int, offset long, position long, base array<struct<start:long,end:long>>")
 
-    spans = map_arrow(along.select("steps"), attend, "_n binary, tree binary, parent binary, offset long, position long, intervals array<struct<start:long,end:long>>", 256)
-    full = coded.join(spans, F.col("node") == F.col("_n")).select(
-        "node", "tree", "parent", "depth", "role", "text", "formatted", "ids", "loss", "loss_start", "loss_end", "position", "offset", "intervals"
-    )
-    return full, convs.select("conv_id", F.element_at("path", -1).alias("leaf"), F.size("path").alias("n_turns"), "path")
 
+def prefix_tree(rows: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the forest and the conversations.
 
-def read_back(nodes: DataFrame, convs: DataFrame) -> DataFrame:
-    """Conversations read from the tree's output: the formatted text along each path.
+    nodes: node, tree (its root), parent, depth, role, size (tokens), ids (``bytebpe``), loss (whether its
+    text is learned), loss_start and loss_end (the text's place in the decoded turn), position, offset
+    (where its tokens begin in the forest's stream), intervals (ancestors' [start, end) there) and c
+    (the conversation that owns it).  conversations: conv_id, leaf, n_turns, path, c, part and shared
+    (how many of its nodes others own).
+    """
+    folder = shared_dir(rows.sparkSession)
+    turns = materialize(encoded(rows, path or default_path()), folder, "turns", "zstd")
+    ends = turns.filter("node is null")
+    laid = materialize(layout(ends.select("c", "path", "sizes"), folder), folder, "laid", "zstd")
+    discard(rows.sparkSession, f"{folder}/order")
+    where = laid.select(F.col("c").alias("_c"), F.substring("path", 1, NAME).alias("tree"), "shared", F.col("offset").alias("_first"), F.col("position").alias("_position"), "base")
+    own = turns.filter("node is not null").drop("conv_id", "path", "sizes").join(where, F.col("c") == F.col("_c")).filter("place > shared")
+    at = F.col("_first") + F.col("before") - F.col("_position")
+    # The conversation's own nodes before this one lie side by side from the first on.
+    last = F.try_element_at("base", F.lit(-1))
+    span = lambda start: F.array(F.struct(start.alias("start"), at.alias("end")))
+    joined = F.concat(F.slice("base", 1, F.size("base") - 1), span(last["start"]))
+    intervals = F.when(F.col("before") == F.col("_position"), F.col("base")).when((F.size("base") > 0) & (last["end"] == F.col("_first")), joined).otherwise(F.concat("base", span(F.col("_first"))))
+    nodes = own.select("node", "tree", "parent", F.col("place").alias("depth"), "role", "size", "ids", "loss", "loss_start", "loss_end", F.col("before").alias("position"), at.alias("offset"), intervals.alias("intervals"), "c")
+    count = (F.octet_length("path") / NAME).cast("int")
+    names = F.transform(F.sequence(F.lit(1), F.col("n_turns")), lambda k: F.substring(F.col("path"), (k - 1) * NAME + 1, F.lit(NAME)))
+    convs = ends.select("conv_id", F.col("c").alias("_e")).join(laid, F.col("_e") == F.col("c")).withColumn("n_turns", count).withColumn("path", names)
+    return nodes, convs.select("conv_id", F.element_at("path", -1).alias("leaf"), "n_turns", "path", "c", "part", "shared")
+
+
+def read_back(nodes: DataFrame, convs: DataFrame, path: str | None = None) -> DataFrame:
+    """Conversations read from the tree's tokens: the decoded turns along each path.
 
     One row a conversation, with the turns parsed from it and the text under the loss mask.
     """
-    steps = convs.select("conv_id", F.posexplode("path").alias("_k", "node"))
-    # A first turn may be in a third of the paths; the join is one that adaptive execution can split.
-    joined = steps.join(nodes.select("node", "formatted", "loss", "loss_start", "loss_end"), "node")
-    listed = joined.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("_k", "formatted", "loss", "loss_start", "loss_end"))).alias("parts"))
+    path = path or default_path()
+    part = lambda k: F.struct(F.col(k).alias("k"), "ids", "loss", "loss_start", "loss_end")
+    own = nodes.groupBy(F.col("c").alias("_o")).agg(F.collect_list(part("depth")).alias("own"))
+    # Nodes of others: a first turn may be in a third of the paths, so it goes once to each range of the order, and from there to its conversations.
+    steps = convs.filter("shared > 0").select(F.col("c").alias("_c"), "part", F.posexplode(F.slice("path", 1, F.col("shared"))).alias("_k", "node"))
+    asked = steps.select("node", "part").distinct()
+    held = asked.join(nodes.select(F.col("node").alias("_n"), "ids", "loss", "loss_start", "loss_end"), F.col("node") == F.col("_n")).drop("_n")
+    others = steps.withColumn("_k", F.col("_k") + 1).join(held, ["node", "part"]).groupBy("_c").agg(F.collect_list(part("_k")).alias("others"))
+    whole = convs.select("conv_id", "c").join(own, F.col("c") == F.col("_o"), "left").join(others, F.col("c") == F.col("_c"), "left")
+    none = F.array().cast(own.schema["own"].dataType)
+    listed = whole.select("conv_id", F.array_sort(F.concat(F.coalesce("own", none), F.coalesce("others", none))).alias("parts"))
     kind = convs.schema["conv_id"].dataType.simpleString()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
         for b in batches:
             texts, parsed, learned = [], [], []
             for parts in b.column(1).to_pylist():
-                whole = "".join(p["formatted"] for p in parts)
-                texts.append(whole)
-                parsed.append([{"role": r, "text": t} for r, t, _ in read_turns(whole)])
-                learned.append("".join(unescape(p["formatted"][p["loss_start"] : p["loss_end"]]) for p in parts if p["loss"]))
+                shown = [e.decode(p["ids"]) for p in parts]
+                texts.append("".join(shown))
+                parsed.append([{"role": r, "text": t} for r, t, _ in read_turns(texts[-1])])
+                learned.append("".join(unescape(x[p["loss_start"] : p["loss_end"]]) for x, p in zip(shown, parts) if p["loss"]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(parsed, pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), pa.array(learned, pa.string())], ["conv_id", "formatted", "turns", "loss_text"])
 
     return map_arrow(listed, parse, f"conv_id {kind}, formatted string, turns array<struct<role:string,text:string>>, loss_text string", 256)

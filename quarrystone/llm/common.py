@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from quarrystone.operators.work import folder as shared_dir
 from quarrystone.operators.work import written as materialize
 
-__all__ = ["batch_rows", "discard", "keep_rows", "map_arrow", "materialize", "shared_dir", "strings", "table", "words_column"]
+__all__ = ["discard", "keep_rows", "map_arrow", "materialize", "shared_dir", "slices", "strings", "table", "words_column"]
 
 #: White space that separates words: space and the control characters tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch that a function works on at once, about.
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,14 +31,17 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def batch_rows(spark: SparkSession, rows: int = 1024) -> None:
-    """Rows of an Arrow batch; few, as one text may have a hundred thousand characters."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows and about ``size`` bytes, but one row at least, so that work on a part is bounded."""
+    for b in batches:
+        step = max(1, min(rows, size * b.num_rows // max(b.nbytes, 1)))
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1024) -> DataFrame:
-    batch_rows(df.sparkSession, rows)
-    return df.mapInArrow(f, schema)
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
+    """``mapInArrow`` over parts of the batches; no setting of the session is touched."""
+    return df.mapInArrow(lambda batches: f(slices(batches, rows)), schema)
 
 
 def words_column(text: Column | str) -> Column:
@@ -55,8 +60,7 @@ def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list[str]], list[b
     k = docs.columns.index(text_col)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, rows):
             yield b.filter(pa.array(keep(strings(b.column(k))), pa.bool_()))
 
-    batch_rows(docs.sparkSession, rows)
     return docs.mapInArrow(f, docs.schema)

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from quarrystone.llm import chat, entry, hilbert_ann, ngram_join, packing, shingles
+from quarrystone.llm.bytebpe import default_path, encoder
 from quarrystone.llm.components import components
 from quarrystone.llm.common import shared_dir
 
@@ -176,7 +177,8 @@ def test_tree_reads_back(conversations):
 def test_tree_layout(conversations):
     nodes, _ = chat.prefix_tree(conversations)
     rows = {bytes(r["node"]): r for r in nodes.collect()}
-    ids = lambda r: len(r["ids"]) // 4
+    ids = lambda r: r["size"]
+    assert all(len(r["ids"]) == r["size"] * encoder(default_path()).kind.itemsize for r in rows.values())
     order = sorted(rows.values(), key=lambda r: r["offset"])
     at = 0
     for r in order:
