@@ -123,10 +123,10 @@ def encoded(rows: DataFrame, path: str) -> DataFrame:
 
 
 class Stack:
-    """The path of the conversation before, with where its nodes lie in the stream."""
+    """The path of the conversation before, with its nodes' owners and where they lie in the stream."""
 
-    def __init__(self, path: bytes = b"", offsets: list[int] | None = None, sizes: list[int] | None = None, at: int = 0):
-        self.path, self.offsets, self.sizes, self.at = path, offsets or [], sizes or [], at
+    def __init__(self, path: bytes = b"", offsets: list[int] | None = None, sizes: list[int] | None = None, owners: list[int] | None = None, at: int = 0):
+        self.path, self.offsets, self.sizes, self.owners, self.at = path, offsets or [], sizes or [], owners or [], at
 
     def shared(self, path: bytes) -> int:
         """Nodes that ``path`` shares with the stack's path."""
@@ -135,10 +135,11 @@ class Stack:
             k += NAME
         return k // NAME
 
-    def push(self, path: bytes, sizes: list[int]) -> int:
+    def push(self, c: int, path: bytes, sizes: list[int]) -> int:
         """Goes on to a conversation and lays out its own nodes; returns how many it shares."""
         own = self.shared(path)
-        del self.offsets[own:]
+        del self.offsets[own:], self.owners[own:]
+        self.owners += [c] * (len(sizes) - own)
         for n in sizes[own:]:
             self.offsets.append(self.at)
             self.at += n
@@ -164,56 +165,56 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int
 
 
 def layout(paths: DataFrame, folder: str) -> DataFrame:
-    """(c, part, path, shared, offset, position, base) of conversations: nodes shared with earlier ones,
-    where the own ones begin, tokens before those, and the shared ones' intervals."""
+    """(c, part, path, shared, offset, position, base, owners) of conversations: nodes shared with earlier
+    ones, where the own ones begin, tokens before those, and the shared ones' intervals and owners."""
     order = paths.repartitionByRange("path", "c").sortWithinPartitions("path", "c").select(F.spark_partition_id().alias("part"), "c", "path", "sizes")
     order = materialize(order, folder, "order").repartition("part").sortWithinPartitions("part", "path", "c")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, first, stack = None, None, Stack()
         longs = pa.list_(pa.int64())
-        kinds = pa.schema([("part", pa.int32()), ("first", pa.binary()), ("first_sizes", longs), ("last", pa.binary()), ("sizes", longs), ("offsets", longs), ("total", pa.int64())])
-        done = lambda: pa.RecordBatch.from_pylist([{"part": now, "first": first[0], "first_sizes": first[1], "last": stack.path, "sizes": stack.sizes, "offsets": stack.offsets, "total": stack.at}], kinds)
-        for part, _, path, sizes in _conversations(batches):
+        kinds = pa.schema([("part", pa.int32()), ("first", pa.binary()), ("first_sizes", longs), ("last", pa.binary()), ("sizes", longs), ("offsets", longs), ("owners", longs), ("total", pa.int64())])
+        done = lambda: pa.RecordBatch.from_pylist([{"part": now, "first": first[0], "first_sizes": first[1], "last": stack.path, "sizes": stack.sizes, "offsets": stack.offsets, "owners": stack.owners, "total": stack.at}], kinds)
+        for part, c, path, sizes in _conversations(batches):
             if part != now:
                 if first:
                     yield done()
                 now, first, stack = part, (path, sizes), Stack()
-            stack.push(path, sizes)
+            stack.push(c, path, sizes)
         if first:
             yield done()
 
     # One row, of one path, for each task that sorted.
-    sums = map_arrow(order, summed, "part int, first binary, first_sizes array<long>, last binary, sizes array<long>, offsets array<long>, total long").collect()
+    sums = map_arrow(order, summed, "part int, first binary, first_sizes array<long>, last binary, sizes array<long>, offsets array<long>, owners array<long>, total long").collect()
     before, now = {}, Stack()
     for r in sorted(sums, key=lambda r: r["part"]):
-        before[r["part"]] = (now.path, list(now.offsets), now.sizes, now.at)
+        before[r["part"]] = (now.path, now.offsets, now.sizes, now.owners, now.at)
         # Laid out alone, the range's first conversation owned all its nodes; those shared with the stack move everything down.
         known, last = now.shared(bytes(r["first"])), bytes(r["last"])
         move = now.at - sum(r["first_sizes"][:known])
         kept = min(known, now.shared(last))
-        now = Stack(last, now.offsets[:kept] + [x + move for x in r["offsets"][kept:]], r["sizes"], move + r["total"])
+        now = Stack(last, now.offsets[:kept] + [x + move for x in r["offsets"][kept:]], r["sizes"], now.owners[:kept] + r["owners"][kept:], move + r["total"])
     held = paths.sparkSession.sparkContext.broadcast(before)
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, stack, out = None, Stack(), []
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), spans]
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["c", "part", "path", "shared", "offset", "position", "base"])
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), spans, pa.list_(pa.int64())]
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["c", "part", "path", "shared", "offset", "position", "base", "owners"])
         for part, c, path, sizes in _conversations(batches):
             if part != now:
                 known = held.value[part]
-                now, stack = part, Stack(known[0], list(known[1]), known[2], known[3])
+                now, stack = part, Stack(known[0], list(known[1]), known[2], list(known[3]), known[4])
             at = stack.at
-            own = stack.push(path, sizes)
-            out.append((c, part, path, own, at, sum(sizes[:own]), stack.intervals(own)))
+            own = stack.push(c, path, sizes)
+            out.append((c, part, path, own, at, sum(sizes[:own]), stack.intervals(own), stack.owners[:own]))
             if len(out) == 1024:
                 yield flush()
                 out = []
         if out:
             yield flush()
 
-    return map_arrow(order, lay, "c long, part int, path binary, shared int, offset long, position long, base array<struct<start:long,end:long>>")
+    return map_arrow(order, lay, "c long, part int, path binary, shared int, offset long, position long, base array<struct<start:long,end:long>>, owners array<long>")
 
 
 def prefix_tree(rows: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -222,8 +223,8 @@ def prefix_tree(rows: DataFrame, path: str | None = None) -> tuple[DataFrame, Da
     nodes: node, tree (its root), parent, depth, role, size (tokens), ids (``bytebpe``), loss (whether its
     text is learned), loss_start and loss_end (the text's place in the decoded turn), position, offset
     (where its tokens begin in the forest's stream), intervals (ancestors' [start, end) there) and c
-    (the conversation that owns it).  conversations: conv_id, leaf, n_turns, path, c, part and shared
-    (how many of its nodes others own).
+    (the conversation that owns it).  conversations: conv_id, leaf, n_turns, path, c, part, shared (how
+    many of its nodes others own) and owners (the c of those).
     """
     folder = shared_dir(rows.sparkSession)
     turns = materialize(encoded(rows, path or default_path()), folder, "turns", "zstd")
@@ -242,7 +243,7 @@ def prefix_tree(rows: DataFrame, path: str | None = None) -> tuple[DataFrame, Da
     count = (F.octet_length("path") / NAME).cast("int")
     names = F.transform(F.sequence(F.lit(1), F.col("n_turns")), lambda k: F.substring(F.col("path"), (k - 1) * NAME + 1, F.lit(NAME)))
     convs = ends.select("conv_id", F.col("c").alias("_e")).join(laid, F.col("_e") == F.col("c")).withColumn("n_turns", count).withColumn("path", names)
-    return nodes, convs.select("conv_id", F.element_at("path", -1).alias("leaf"), "n_turns", "path", "c", "part", "shared")
+    return nodes, convs.select("conv_id", F.element_at("path", -1).alias("leaf"), "n_turns", "path", "c", "part", "shared", "owners")
 
 
 def read_back(nodes: DataFrame, convs: DataFrame, path: str | None = None) -> DataFrame:
@@ -251,13 +252,13 @@ def read_back(nodes: DataFrame, convs: DataFrame, path: str | None = None) -> Da
     One row a conversation, with the turns parsed from it and the text under the loss mask.
     """
     path = path or default_path()
-    part = lambda k: F.struct(F.col(k).alias("k"), "ids", "loss", "loss_start", "loss_end")
-    own = nodes.groupBy(F.col("c").alias("_o")).agg(F.collect_list(part("depth")).alias("own"))
+    own = nodes.groupBy(F.col("c").alias("_o")).agg(F.array_sort(F.collect_list(F.struct(F.col("depth").alias("k"), "ids", "loss", "loss_start", "loss_end"))).alias("own"))
     # Nodes of others: a first turn may be in a third of the paths, so it goes once to each range of the order, and from there to its conversations.
-    steps = convs.filter("shared > 0").select(F.col("c").alias("_c"), "part", F.posexplode(F.slice("path", 1, F.col("shared"))).alias("_k", "node"))
-    asked = steps.select("node", "part").distinct()
-    held = asked.join(nodes.select(F.col("node").alias("_n"), "ids", "loss", "loss_start", "loss_end"), F.col("node") == F.col("_n")).drop("_n")
-    others = steps.withColumn("_k", F.col("_k") + 1).join(held, ["node", "part"]).groupBy("_c").agg(F.collect_list(part("_k")).alias("others"))
+    steps = convs.filter("shared > 0").select(F.col("c").alias("_c"), "part", F.posexplode("owners").alias("k", "owner")).withColumn("k", F.col("k") + 1)
+    asked = steps.select("owner", "k", "part").distinct().groupBy("owner").agg(F.collect_list(F.struct("k", "part")).alias("asked"))
+    held = own.join(asked, F.col("_o") == F.col("owner")).select("owner", "own", F.explode("asked").alias("x"))
+    held = held.select("owner", "x.k", "x.part", F.element_at("own", (F.col("x.k") - F.col("own")[0]["k"] + 1).cast("int")).alias("p"))
+    others = steps.join(held, ["owner", "k", "part"]).groupBy("_c").agg(F.collect_list("p").alias("others"))
     whole = convs.select("conv_id", "c").join(own, F.col("c") == F.col("_o"), "left").join(others, F.col("c") == F.col("_c"), "left")
     none = F.array().cast(own.schema["own"].dataType)
     listed = whole.select("conv_id", F.array_sort(F.concat(F.coalesce("own", none), F.coalesce("others", none))).alias("parts"))
