@@ -62,6 +62,13 @@ PLAUSIBLE = {"Variables per Location": (1, 50000), "Number of Locations/Series":
 GROUNDING_FIELDS = ("Primary Source Repository", "Primary URL", "Link to Data (Actual Source)", "Other URL", "Comments on Data Preparation")
 URL_FIELDS = ("Link to Data (Actual Source)", "Primary URL", "Other URL", "URL")
 
+# Where a model's answer turns into thoughts of its own, and its fenced part.
+ANSWER_ENDS = (r"\n\s*thought\b", r"\n\s*Wait, I noticed", r"======")
+ANSWER_FENCE = r"```(?:json)?\n(.*?)\n```"
+# Notes of the audit's log.
+AUDIT_FILLED, AUDIT_ADDED, AUDIT_REPLACED, AUDIT_UPGRADED = "Filled {}", "Added {}", "Replaced {} with longer text", "Upgraded {}"
+AUDIT_NOTES = 5
+
 # Thresholds.
 LOCK = 0.95
 GATE = 0.40
@@ -93,14 +100,12 @@ PROJECTS = ("UTSD", "TIMEBENCH", "LOTSA", "TEMPO", "TSFM", "KAGGLETS", "M2", "M6
 CONTEXTS = ("32K", "64K", "131K")
 
 # Columns of the knowledge-base tabs.
-_PAIRED = ["Num Time Points", "Num Locations/Series", "Total Variables", "Variables per Location", "Frequency", "Domain"]
-_DATASETS = (
-    ["DatasetID", "Canonical Name", "Variant Name", "Aliases", "Type"]
-    + [x for c in _PAIRED for x in (c, f"{c} (C)")]
-    + ["Description", "Primary Creator"]
-    + [x for c in ("Primary URL", "Link to Data (Actual Source)", "Other URL") for x in (c, f"{c} (C)")]
-    + ["License", "Overall Confidence", "Job_Created", "Date_Created", "Project_Created", "Job_Updated", "Date_Updated", "Project_Updated"]
-)
+_DATASETS = [
+    "DatasetID", "Canonical Name", "Variant Name", "Aliases", "Type", "Num Time Points", "Num Time Points (C)", "Num Locations/Series", "Num Locations/Series (C)",
+    "Total Variables", "Total Variables (C)", "Variables per Location", "Variables per Location (C)", "Frequency", "Frequency (C)", "Domain", "Domain (C)", "Description", "Primary Creator",
+    "Primary URL", "Primary URL (C)", "Link to Data (Actual Source)", "Link to Data (Actual Source) (C)", "Other URL", "Other URL (C)", "License", "Overall Confidence",
+    "Job_Created", "Date_Created", "Project_Created", "Job_Updated", "Date_Updated", "Project_Updated",
+]
 _LINKS = ["LinkID", "ProjectID", "DatasetID", "Actual Data URL Used", "Data Preparation Comments", "CitationID", "Assignment Confidence", "Link_Date", "Linked_By_Job"]
 TABS = {
     "Jobs": ["JobID", "ProjectID", "Mode", "Start_Time", "End_Time", "Duration_Sec", "Status", "Items_Found", "Operational_Parameters", "JOB_COMMENT"],

@@ -20,8 +20,6 @@ from quarrystone.functions.text import clean_name, clean_url, distinct_variants,
 from quarrystone.functions.values import confidence, similarity
 from quarrystone.operators.work import folder, written
 
-#: Largest table for which all pairs of a length band are compared for the fuzzy rules; larger ones use trigram blocks.
-ALL_PAIRS = 5_000
 #: Names of a block, on average, whose pairs are compared in one task.
 BLOCK = 1_000
 ARBITRATED = ("WEAK", "MISMATCH", "FINGERPRINT")
@@ -163,20 +161,6 @@ def fuse(groups: DataFrame, records: DataFrame, id_: str, order: str, urls: Sequ
     return listed.select(*out)
 
 
-def audit_groups(d: pd.DataFrame, match: Callable[[dict, dict], tuple[bool, str]], merge: Callable[[dict, dict], list[str]]) -> tuple[list[dict], list[dict]]:
-    """Sequential audit of one small table: each row against kept rows that may have absorbed values."""
-    kept, log = [], []
-    for row in d.to_dict("records"):
-        for other in kept:
-            same, why = match(row, other)
-            if same:
-                log.append({"dropped": row.get("id"), "kept": other.get("id"), "reason": why, "notes": "; ".join(merge(other, row)[:5])})
-                break
-        else:
-            kept.append(row)
-    return kept, log
-
-
 def merge_summary(groups: DataFrame, names: DataFrame, id_: str, name: str) -> DataFrame:
     """Per leader: number of members and the absorbed names, sorted."""
     d = groups.join(names, groups["id"] == names[id_])

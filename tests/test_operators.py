@@ -73,12 +73,20 @@ def test_recover_json(given, want):
     assert values.recover_json(given) == want
 
 
-def test_answers():
-    assert values.answer('{"value": ["a", "b"], "confidence": 90, "rationale": "r"}') == ("a, b", 0.9, "r")
-    assert values.answer('"value": "x", "confidence": 0.4') == ("x", 0.4, "JSON Parse Error")
-    assert values.answer("nothing")[:2] == ("[missing]", 0.0)
-    assert values.answer('{"value": "go to https://a.b/c, d"}', "Other URL")[0] == "https://a.b/c"
-    assert values.dimension("{'Num': 5}", "num") == "5" and values.dimension("{'a': 1}", "zz") == "[extraction_error: dict_returned]" and values.dimension("{a", "x") == "[extraction_error: complex_string]" and values.dimension("1-5", "x") == "1-5"
+def test_answers(spark):
+    answer = lambda text, field="": tuple(one(spark, values.parsed_answer(F.lit(text), F.lit(field))))
+    assert answer('{"value": ["a", "b"], "confidence": 90, "rationale": "r"}') == ("a, b", 0.9, "r")
+    assert answer('"value": "x", "confidence": 0.4') == ("x", 0.4, "JSON Parse Error")
+    assert answer("nothing") == ("[missing]", 0.0, "JSON Parse Error") and answer('{"value": null}') == ("[missing]", 0.0, "JSON Parse Error")
+    assert answer('{"value": "go to https://a.b/c, d"}', "Other URL")[0] == "https://a.b/c"
+    assert answer('```json\n{"value": "[\'a\']", "confidence": "7",}\n```') == ("a", 0.7, "") and answer('{"value": " a\\nb "}')[0] == "a b"
+
+
+def test_dimension():
+    assert values.dimension("{'Num': 5}", "num") == "5" and values.dimension("{'a': 1}", "zz") == "[extraction_error: dict_returned]" and values.dimension("{a", "x") == "{a"
+    assert values.dimension("{'ETT': 1, 'ETTh1': 2}", "ETTh1") == "2" and values.dimension("{'ETT': 1, 'x': 2}", "etth1") == "1"
+    assert values.dimension("sizes {'a': 1, 'b': 2, 'c': 3} rows", "b") == "2" and values.dimension("{a}", "x") == "[extraction_error: complex_string]"
+    assert values.dimension("1-5", "x") == "1-5" and values.dimension(None) == "" and values.dimension("{'a': 1}") == "[extraction_error: dict_returned]"
 
 
 def _fold(updates, lock=0.95):
