@@ -97,11 +97,11 @@ def adjudicated(spark, d):
 
 
 _ADJ = """
-WITH v AS (SELECT l_partkey AS part, lower(l_returnflag) AS nv, count(*) AS votes FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY ALL),
-a AS (SELECT *, votes / sum(votes) OVER (PARTITION BY part) AS pct FROM v QUALIFY row_number() OVER (PARTITION BY part ORDER BY votes DESC, nv) = 1),
-g AS (SELECT p_partkey AS part, CASE WHEN p_size % 2 = 0 THEN 'n' ELSE 'r' END AS golden FROM part WHERE p_partkey % 3 <> 0),
-b AS (SELECT coalesce(a.part, g.part) AS part, coalesce(nv, '') AS c, coalesce(golden, '') AS g, coalesce(pct, 0) AS p FROM a FULL JOIN g ON a.part = g.part),
-k AS (SELECT *, CASE WHEN part % 101 = 0 THEN 'Hallucinated Dataset' WHEN g = c AND g <> '' THEN 'Match' WHEN g = '' AND p >= 0.5 THEN 'Novel Discovery (Merge)' WHEN g = '' THEN 'Weak Novel (Ignore)' WHEN c <> '' AND p >= 0.6 THEN 'Conflict (Repair KB)' WHEN c <> '' THEN 'GoldenKB Maintained (Weak Conflict)' ELSE 'GoldenKB Maintained (No Extraction)' END AS action FROM b)
+WITH v AS (SELECT kind, id, nv, count(*) AS votes FROM (SELECT 'part' AS kind, l_partkey AS id, lower(l_returnflag) AS nv FROM lineitem UNION ALL SELECT 'customer', o_custkey, lower(o_orderstatus) FROM orders) GROUP BY ALL),
+a AS (SELECT *, votes / sum(votes) OVER (PARTITION BY kind, id) AS pct FROM v QUALIFY row_number() OVER (PARTITION BY kind, id ORDER BY votes DESC, nv) = 1),
+g AS (SELECT 'part' AS kind, p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'n' ELSE 'r' END AS golden FROM part UNION ALL SELECT 'supplier', s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'n' ELSE 'r' END FROM supplier),
+b AS (SELECT coalesce(a.id, g.id) AS id, coalesce(nv, '') AS c, coalesce(golden, '') AS g, coalesce(pct, 0) AS p FROM a FULL JOIN g ON a.kind = g.kind AND a.id = g.id),
+k AS (SELECT *, CASE WHEN id % 101 = 0 THEN 'Hallucinated Dataset' WHEN g = c AND g <> '' THEN 'Match' WHEN g = '' AND p >= 0.5 THEN 'Novel Discovery (Merge)' WHEN g = '' THEN 'Weak Novel (Ignore)' WHEN c <> '' AND p >= 0.6 THEN 'Conflict (Repair KB)' WHEN c <> '' THEN 'GoldenKB Maintained (Weak Conflict)' ELSE 'GoldenKB Maintained (No Extraction)' END AS action FROM b)
 SELECT action, CASE WHEN action IN ('Hallucinated Dataset', 'Weak Novel (Ignore)') THEN '' WHEN action IN ('Novel Discovery (Merge)', 'Conflict (Repair KB)') THEN c ELSE g END AS truth, count(*) AS n FROM k GROUP BY ALL
 """
 

@@ -39,7 +39,7 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-JOBS = """jobs AS (SELECT 'PROJ_' || (user_id % 40) AS project, CASE event_type WHEN 'click' THEN 'AGENT' WHEN 'view' THEN 'HARVEST' WHEN 'purchase' THEN 'MERGE' WHEN 'error' THEN 'REPAIR' ELSE 'PLAN' END AS mode, ts FROM events WHERE event_id % 23 = user_id % 23)"""
+JOBS = """jobs AS (SELECT 'PROJ_' || (user_id % 40) AS project, CASE event_type WHEN 'click' THEN 'AGENT' WHEN 'view' THEN 'HARVEST' WHEN 'purchase' THEN 'MERGE' WHEN 'error' THEN 'REPAIR' ELSE 'PLAN' END AS mode, ts FROM events)"""
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

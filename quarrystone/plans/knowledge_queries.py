@@ -261,7 +261,7 @@ QUERIES = {
     "entity_leader_groups": (groups, None),
     "entity_merge_summary": (merge_summary, None),
     "entity_golden_fusion": (fused, _FUSED),
-    "entity_duplicate_blocks": (blocks, "SELECT md5(lower(substr(text, 1, 40))) AS block, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1"),
+    "entity_duplicate_blocks": (blocks, "SELECT md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS block, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1"),
     "entity_closest_match": (closest, None),
     "entity_name_similarity": (name_similarity, None),
 }

@@ -193,14 +193,15 @@ def templates(spark, d):
 
 
 def vector_top(spark, d):
+    """The stated query set is every vector whose id is divisible by 50; the index is all vectors."""
     e = t(spark, d, "embeddings")
-    r = retrieval.vector_top_k(e, e, "vec_id", "embedding", 5)
+    r = retrieval.vector_top_k(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 5)
     return r.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 _VECTOR = """
 SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, v.vec_id) AS rank, v.vec_id, round(s, 6) AS score
-FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) v, LATERAL (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 10) q, LATERAL (SELECT list_cosine_similarity(v.e, q.e) AS s)
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) v, LATERAL (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0) q, LATERAL (SELECT list_cosine_similarity(v.e, q.e) AS s)
 QUALIFY rank <= 5
 """
 
@@ -217,7 +218,7 @@ def bm25(spark, d):
 _BM25_BASE = """
 w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(substr(text, 1, 60)), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id < 12),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark),
 p AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM w),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -228,14 +229,14 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 def hybrid(spark, d):
     """Documents stand for the vectors of their number; three by vector, the rest by BM25."""
     e = t(spark, d, "embeddings")
-    v = retrieval.vector_top_k(e, e, "vec_id", "embedding", 3).withColumnRenamed("vec_id", "doc_id")
+    v = retrieval.vector_top_k(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 3).withColumnRenamed("vec_id", "doc_id")
     return retrieval.hybrid_top_k(v, _bm25(spark, d), "doc_id", 6).select("query_id", "rank", "doc_id", F.col("source").cast("long").alias("source"))
 
 
 _HYBRID = f"""
 WITH {_BM25_BASE},
 v AS (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, v.vec_id) AS rank, v.vec_id AS doc_id
-      FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) v, LATERAL (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 12) q, LATERAL (SELECT list_cosine_similarity(v.e, q.e) AS s) QUALIFY rank <= 3),
+      FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) v, LATERAL (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0) q, LATERAL (SELECT list_cosine_similarity(v.e, q.e) AS s) QUALIFY rank <= 3),
 u AS (SELECT query_id, doc_id, min((source, rank)) AS pos FROM (SELECT query_id, doc_id, 0 AS source, rank FROM v UNION ALL SELECT query_id, doc_id, 1, rank FROM r WHERE rank <= 5) GROUP BY ALL)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, doc_id) AS rank, doc_id, CAST(pos[1] AS BIGINT) AS source FROM u QUALIFY rank <= 6
 """
@@ -286,7 +287,7 @@ QUERIES = {
     "text_file_registry": (file_registry, _REGISTRY),
     "text_json_props": (json_props, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     "text_json_recovered": (json_recovered, "SELECT event_id, CAST(2 AS BIGINT) AS second FROM events"),
-    "text_parsed_answers": (parsed_answers, "SELECT event_id, 'https://a.org/x' || event_id AS value, round(least(1.0, CASE WHEN event_id % 120 > 10 THEN (event_id % 120) / 100.0 WHEN event_id % 120 > 1 THEN (event_id % 120) / 10.0 ELSE event_id % 120 END), 6) AS confidence FROM events WHERE event_id % 10 = 0"),
+    "text_parsed_answers": (parsed_answers, "SELECT event_id, 'https://a.org/x' || event_id AS value, round(least(1.0, CASE WHEN event_id % 120 > 10 THEN (event_id % 120) / 100.0 WHEN event_id % 120 > 1 THEN (event_id % 120) / 10.0 ELSE event_id % 120 END), 6) AS confidence FROM events"),
     "text_hyperlinks": (hyperlinks, "SELECT page_id, url AS urls, 'page ' || page_id AS label, ''' -' || page_id AS guarded, '[missing]' AS missing FROM pages"),
     "text_standard_names": (standard_names, _STANDARD),
     "text_frequencies": (frequencies, "SELECT event_id, CASE event_id % 5 WHEN 0 THEN '15 minutes' WHEN 1 THEN 'Hourly' WHEN 2 THEN '10-minute' WHEN 4 THEN 'Weekly' END AS frequency FROM events"),
@@ -298,7 +299,7 @@ QUERIES = {
     "sheet_header_row": (sheet_header, "SELECT CAST(2 AS BIGINT) AS row, CAST(2 AS BIGINT) AS overlap"),
     "sheet_conformed": (conformed, "SELECT n_name AS name, CAST(n_nationkey AS VARCHAR) AS key, '' AS type FROM nation"),
     "search_chunks": (chunked, None),
-    "search_document_text": (templates, "SELECT doc_id, md5('Title: ' || source || chr(10) || 'URL: http://x/' || repeat('y', 141) || chr(10) || 'Context: ' || lang || chr(10) || 'Content: ' || substr(text, 1, 20)) AS digest FROM documents"),
+    "search_document_text": (templates, "SELECT doc_id, md5('Title: ' || source || chr(10) || 'URL: http://x/' || repeat('y', 141) || chr(10) || 'Context: ' || lang || chr(10) || 'Content: ' || text) AS digest FROM documents"),
     "search_vector_top_k": (vector_top, _VECTOR),
     "search_bm25_top_k": (bm25, f"WITH {_BM25_BASE} SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 5"),
     "search_hybrid_top_k": (hybrid, _HYBRID),

@@ -129,16 +129,18 @@ def test_contexts_and_topics_of_every_item(spark, ranked):
     assert {tuple(r) for r in registry.queries()["search_multi_query"](spark, SF).select("topic", "rank", "doc_id").collect()} == want
 
 
-def test_vector_searches_of_every_vector(spark):
+def test_vector_searches_of_the_stated_set(spark):
+    """Queries are all vectors whose id is divisible by 50, against every vector."""
     found = rows("embeddings", "vec_id, embedding")
     v = np.array([e for _, e in found], float)
     v /= np.linalg.norm(v, axis=1)[:, None]
     best = np.sort(v @ v.T, axis=1)[:, ::-1][:, :5]
     got = {(r["query_id"], r["rank"]): r["score"] for r in registry.queries()["search_vector_top_k"](spark, SF).collect()}
-    assert got.keys() == {(k, n) for k, _ in found for n in range(1, 6)}
-    assert all(got[k, n + 1] == pytest.approx(best[at, n], abs=2e-6) for at, (k, _) in enumerate(found) for n in range(5))
+    asked = [(at, k) for at, (k, _) in enumerate(found) if k % 50 == 0]
+    assert got.keys() == {(k, n) for _, k in asked for n in range(1, 6)}
+    assert all(got[k, n + 1] == pytest.approx(best[at, n], abs=2e-6) for at, k in asked for n in range(5))
     hybrid = registry.queries()["search_hybrid_top_k"](spark, SF).collect()
-    assert {r["query_id"] for r in hybrid if r["source"] == 0} == {k for k, _ in found}
+    assert {r["query_id"] for r in hybrid if r["source"] == 0} == {k for _, k in asked}
     assert {r["query_id"] for r in hybrid if r["source"] == 1} == {k for (k,) in rows("benchmark", "item_id")}
 
 
