@@ -372,6 +372,6 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
 r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.c = e.a)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
-FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(l.l, 0) AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, count(*) AS l FROM e GROUP BY a) l ON l.a = d.doc_id JOIN (SELECT a, min(c) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
 """

@@ -5,7 +5,6 @@ import random
 import pytest
 
 from quarrystone.llm import ngram_join, shingles
-from tests.compare import same
 
 
 @pytest.mark.parametrize("block", [1024, 3])
@@ -24,7 +23,3 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
     want = {i: sum(i != j and len(a) > 0 and len(b) > 0 and shingles.similar(a, b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
     assert {x["doc_id"]: x["n_links"] for x in ngram_join.similarity_join(docs).collect()} == want
     assert max(want.values()) > 3
-
-
-def test_query_without_links_equals_sql(spark, sf):
-    same(spark, sf, lambda spark, d: ngram_join.query(spark, d).drop("n_links"), ngram_join.ORACLE_SQL)
