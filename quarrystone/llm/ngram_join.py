@@ -5,16 +5,20 @@ size of the intersection reaches 80 times that of the union.  The steps:
 
 1. Sets, sizes and 128-bit fingerprints per document; equal sets form a class, whose smallest id
    stands for it.  Of equal sets in one task only the first goes on.
-2. Signatures of the sets.  Tasks sort them by number and send them as packed blocks, a row for
-   each of ``parts`` ranges of signatures, instead of a row for each.
-3. Runs: signatures held by several documents.  A similar pair shares not one signature but
-   ``need`` of a tag, so each document leaves out its ``need - 1`` most frequent ones of the tag:
-   signatures made of passages that many documents share go first.
-4. Families: components of the documents that still share a signature, by edges to a run's first.
-5. A family's documents are dealt to blocks of about ``BLOCK``, and each pair of blocks meets in one
-   task, which tests sizes and counts by bins for all its pairs, and the sets of those that pass.
-   Each pair that could be similar is thus tested: components and numbers of links are exact.  A task
-   returns a forest of its links and the sum of each document's, copies counted, not the links.
+2. Signatures of the sets: enumerated subsets of partitions of the shingles' domain, by size band.
+   A task takes blocks of ``HELD`` signatures, sorted, and sends each distinct one of a block once, with
+   its first document and how many there are, packed, in a row for each of ``parts`` ranges.
+   A signature of a passage that all documents share is so many rows as there are blocks.
+3. Ranges answer the blocks which signatures several documents hold: how many, and the first of all.
+   Each range is one task's, dealt by number.
+4. Blocks, which know all signatures of their documents, leave out the most frequent: a similar pair
+   shares not one signature but ``need`` of a tag, so each document leaves out ``need - 1``; signatures of
+   passages that many documents share go first.  The others are edges to the first holder.
+5. Families: components of those edges.  A family's documents are dealt to blocks of about ``BLOCK``, and
+   each pair of blocks meets in one task, which tests sizes and counts by bins for all its pairs, and
+   the sets of those that pass.  Each pair that could be similar is thus tested: components and numbers
+   of links are exact.  A task returns a forest of its links and the sum of each document's, copies
+   counted, not the links.
 
 Sets of candidates are made again from the texts; a bitmap of fixed size (``BITMAP`` bits) names
 them, so that other texts are skipped.
@@ -26,10 +30,12 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +45,7 @@ from .shingles import DENOMINATOR, NUMERATOR, fingerprint, shingle_set, signatur
 
 #: Signatures of a range, on average; the number of ranges follows from the corpus.
 RANGE = 1 << 20
-#: Ranges whose shared signatures one task takes; few signatures are shared.
-SHARED = 8
-#: Signatures that a task holds before it sends a block to each range.
+#: Signatures of a block: what a task holds before it sends to each range.
 HELD = 1 << 20
 #: Documents of a block of a family, on average.
 BLOCK = 1024
@@ -73,32 +77,60 @@ def describe(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, f, "doc_id long, n_shingles long, p1 long, p2 long, bins binary", 512)
 
 
+def dealt(parts: int) -> np.ndarray:
+    """For each of ``parts`` tasks an integer that hash partitioning by an int column sends to it.
+
+    Spark's hash of an int is Murmur3 with seed 42.
+    """
+    with np.errstate(over="ignore"):
+        keys = np.arange(parts * 32, dtype=np.uint32)
+        turn = lambda x, n: (x << np.uint32(n)) | (x >> np.uint32(32 - n))
+        h = turn(keys * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42)
+        h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+    task, first = np.unique(h.view(np.int32).astype(np.int64) % parts, return_index=True)
+    out = np.arange(parts, dtype=np.int32)
+    out[task] = keys[first]
+    return out
+
+
 def blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """Signatures with their documents as packed blocks, one row for a range and up to ``HELD`` signatures.
+    """Packed rows of blocks.
 
-    The needs of the documents' tags travel with them, as (node, tag, need).
+    A row for a range has the block's distinct signatures there, their first documents and how many
+    each has.  Rows without signatures are the block's own: ``nodes`` has (signature, document) of
+    those that several of its documents hold, ``needs`` has (document, tag, need).
     """
+    keys = dealt(parts)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         found: list[np.ndarray] = []
         owners: list[int] = []
         needs: list[tuple[int, int, int]] = []
-        held = 0
+        held, block = 0, TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
             sigs = np.concatenate(found)
             nodes = np.repeat(np.array(owners, np.int64), [len(x) for x in found])
-            order = np.argsort(sigs, kind="stable")
+            order = np.lexsort((nodes, sigs))
             sigs, nodes = sigs[order], nodes[order]
+            first = _starts(sigs)
+            size = np.diff(np.append(first, len(sigs)))
+            many = np.repeat(size > 1, size)
+            own = (pack(sigs[many]), pack(nodes[many].view(np.uint64)), np.array(needs, np.int64).reshape(-1, 3).tobytes())
+            sigs, nodes = sigs[first], nodes[first].view(np.uint64)
             part = ((sigs >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-            rows = [(int(part[a]), pack(np.diff(sigs[a:b], prepend=np.uint64(0))), pack(nodes[a:b].view(np.uint64))) for a, b in zip(cuts[:-1], cuts[1:])]
-            shares = [np.array(x, np.int64).reshape(-1, 3).tobytes() for x in np.array_split(np.array(needs, np.int64).reshape(-1, 3), len(rows))]
+            cuts = np.concatenate([_starts(part), [len(part)]])
+            rows = [(int(keys[int(part[a])]), block, pack(np.diff(sigs[a:b], prepend=np.uint64(0))), pack(nodes[a:b]), pack(size[a:b].astype(np.uint64)), None) for a, b in zip(cuts[:-1], cuts[1:])]
+            rows.append((int(keys[block % parts]), block, None, own[0], own[1], own[2]))
             found.clear()
             owners.clear()
             needs.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array(shares, pa.binary())], ["part", "sigs", "nodes", "needs"])
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "block", "sigs", "nodes", "sizes", "needs"])
 
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -113,16 +145,11 @@ def blocks(docs: DataFrame, parts: int) -> DataFrame:
                 held += len(sigs)
                 if held >= HELD:
                     yield flush()
-                    held = 0
+                    held, block = 0, block + 1
         if found:
             yield flush()
 
-    return map_arrow(docs, f, "part int, sigs binary, nodes binary, needs binary", 512)
-
-
-def _rows(names: list[str], columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(columns[0]), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in columns], names)
+    return map_arrow(docs, f, "part int, block long, sigs binary, nodes binary, sizes binary, needs binary")
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -130,76 +157,91 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
-def runs(sent: DataFrame, parts: int) -> DataFrame:
-    """(sig, node, size) of signatures that several documents hold, and (tag, node, -need) rows."""
+def shared(sent: DataFrame, parts: int) -> DataFrame:
+    """What ranges answer: of each block's signatures those that several documents hold, with the
+    block's first document and size, how many hold it in all, and the first document of all."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sigs, nodes = ["sig", "node", "size"], [], []
+        names, kinds = ["block", "sigs", "nodes", "sizes", "needs", "totals", "firsts"], [pa.int64()] + [pa.binary()] * 6
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        number, parted = [], [[], [], []]
         for b in batches:
-            for x, y, z in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
-                sigs.append(np.cumsum(unpack(x)))
-                nodes.append(unpack(y).view(np.int64))
-                needs = np.frombuffer(z, np.int64).reshape(-1, 3)
-                yield from _rows(names, [needs[:, 1].copy(), needs[:, 0].copy(), -needs[:, 2]])
-        if not sigs:
+            for block, sigs, nodes, sizes, needs in zip(*(b.column(k).to_pylist() for k in range(1, 6))):
+                if sigs is None:
+                    yield batch([(block, None, nodes, sizes, needs, None, None)])
+                    continue
+                number.append(block)
+                for held, x in zip(parted, (np.cumsum(unpack(sigs)), unpack(nodes), unpack(sizes))):
+                    held.append(x)
+        if not number:
             return
-        sig, node = np.concatenate(sigs), np.concatenate(nodes)
-        sigs.clear()
-        nodes.clear()
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
-        sig, node = sig[new], node[new]
+        of = np.repeat(np.arange(len(number)), [len(x) for x in parted[0]])
+        sig, node, size = (np.concatenate(x) for x in parted)
+        parted.clear()
+        order = np.lexsort((node.view(np.int64), sig))
+        sig, node, size, of = sig[order], node[order], size[order], of[order]
         first = _starts(sig)
-        size = np.diff(np.append(first, len(sig)))
-        size = np.repeat(size, size)
-        many = size > 1
-        yield from _rows(names, [sig[many].view(np.int64), node[many], size[many]])
-
-    return sent.repartition(parts, "part").mapInArrow(f, "sig long, node long, size long")
-
-
-def rarest(found: DataFrame, parts: int) -> DataFrame:
-    """(sig, node) without the ``need - 1`` signatures of each tag and node that most documents hold."""
+        count = np.diff(np.append(first, len(sig)))
+        total = np.repeat(np.add.reduceat(size, first), count)
+        root = np.repeat(node[first], count)
+        many = np.flatnonzero(total > 1)
+        many = many[np.argsort(of[many], kind="stable")]
+        sig, node, size, total, root, of = (x[many] for x in (sig, node, size, total, root, of))
+        cuts = np.concatenate([_starts(of), [len(of)]])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield batch([(number[of[a]], pack(np.diff(sig[a:b], prepend=np.uint64(0))), pack(node[a:b]), pack(size[a:b]), None, pack(total[a:b]), pack(root[a:b]))])
+
+    return sent.repartition(parts, "part").mapInArrow(f, "block long, sigs binary, nodes binary, sizes binary, needs binary, totals binary, firsts binary")
+
+
+def edges(answers: DataFrame, parts: int) -> DataFrame:
+    """(a, b): the documents of each block with the first holders of the signatures that they keep."""
+
+    def settle(rows: list[tuple]) -> np.ndarray:
+        own = next(r for r in rows if r[1] is None)
+        rows = [r for r in rows if r[1] is not None]
+        if not rows:
+            return np.zeros((0, 2), np.int64)
+        needs = np.frombuffer(own[4], np.int64).reshape(-1, 3)
+        sig, node, size, total, root = (np.concatenate([g(r) for r in rows]) for g in (lambda r: np.cumsum(unpack(r[1])), lambda r: unpack(r[2]), lambda r: unpack(r[3]), lambda r: unpack(r[5]), lambda r: unpack(r[6])))
+        # Signatures that several documents of the block hold stand for all of those.
+        group, members = unpack(own[2]), unpack(own[3])
+        order = np.argsort(sig)
+        at = order[np.searchsorted(sig, group, sorter=order)] if len(group) else np.zeros(0, np.int64)
+        one = size == 1
+        sig, node, total, root = (np.concatenate([x[one], y]) for x, y in ((sig, group), (node, members), (total, total[at]), (root, root[at])))
+        sig, node, total, root = sig.view(np.int64), node.view(np.int64), total.view(np.int64), root.view(np.int64)
+        tag = (sig & 255) >> 1
+        # By document and tag, the most frequent first; one order of signatures for all documents.
+        order = np.lexsort((sig, -total, tag, node))
+        node, tag, root = node[order], tag[order], root[order]
+        ids = np.unique(needs[:, 0])
+        key = np.searchsorted(ids, node) * 256 + tag
+        first = _starts(key)
+        rank = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+        # An id that has several texts keeps what the one with the least need keeps.
+        known = np.searchsorted(ids, needs[:, 0]) * 256 + needs[:, 1]
+        by = np.lexsort((needs[:, 2], known))
+        least = by[_starts(known[by])]
+        keep = rank >= needs[least, 2][np.searchsorted(known[least], key)] - 1
+        keep &= node != root
+        return np.unique(np.stack([node[keep], root[keep]], 1), axis=0)
+
+    def batch(found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in b.columns] for b in batches]
-        if not held:
-            return
-        sig, node, size = (np.concatenate(x) for x in zip(*held))
-        is_need = size < 0
-        tag = np.where(is_need, sig, (sig & 255) >> 1)
-        # By node and tag, needs first, then the most frequent; one order of signatures for all nodes.
-        order = np.lexsort((sig, -size, ~is_need, tag, node))
-        sig, node, size, tag, is_need = (x[order] for x in (sig, node, size, tag, is_need))
-        first = np.concatenate([[True], (node[1:] != node[:-1]) | (tag[1:] != tag[:-1])])
-        start = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
-        # A node that came twice has its need twice, both the same: all need rows are skipped.
-        skipped = np.cumsum(is_need)
-        rank = np.arange(len(sig)) - start - (skipped - (skipped[start] - is_need[start]))
-        keep = ~is_need & (rank >= -size[start] - 1)
-        yield from _rows(["sig", "node"], [sig[keep], node[keep]])
-
-    return found.repartition(parts, "node").mapInArrow(f, "sig long, node long")
-
-
-def stars(kept: DataFrame, parts: int) -> DataFrame:
-    """(a, b): each member of a run with the run's first, once in a task."""
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in b.columns] for b in batches]
-        if not held:
-            return
-        sig, node = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        first = _starts(sig)
-        low = np.repeat(node[first], np.diff(np.append(first, len(sig))))
-        both = np.unique(np.stack([node, low], 1)[node != low], axis=0)
-        yield from _rows(["a", "b"], [both[:, 0].copy(), both[:, 1].copy()])
+        held: list[tuple] = []
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if held and r[0] != held[0][0]:
+                    yield batch(settle(held))
+                    held = []
+                held.append(r)
+        if held:
+            yield batch(settle(held))
 
-    # However finely the shuffle is dealt, ``parts`` tasks read it, as few tasks repeat few edges.
-    return kept.repartition(parts, "sig").coalesce(parts).mapInArrow(f, "a long, b long")
+    return map_arrow(answers.repartition(parts, "block").sortWithinPartitions("block"), f, "a long, b long")
 
 
 def bitmap(nodes: DataFrame) -> np.ndarray:
@@ -320,7 +362,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = materialize(member, folder, "member")
 
     rep = member.distinct()
-    near = stars(rarest(runs(blocks(known, parts), parts), parts), total // (SHARED * per_range) + 1).distinct()
+    near = edges(shared(blocks(known, parts), parts), parts).distinct()
     for k in ("a", "b"):
         near = near.join(rep.select(F.col("node").alias(k), F.col("rep").alias(f"r{k}")), k)
     families = components(near.select(F.col("ra").alias("a"), F.col("rb").alias("b")), folder, "families")
@@ -352,13 +394,20 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents without near duplicates: of each component the row with the smallest id stays.
 
-    Of rows that repeat that id the one with the smallest text stays; rows with a null id all stay.
+    Of rows that repeat that id the one with the smallest text stays (null last); rows with a null id
+    all stay; any other columns stay as they are, whatever their names.
     """
+    mark, key = (f"_{uuid.uuid4().hex}" for _ in range(2))
     found = similarity_join(docs, id_col, text_col, count=False)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    several = docs.groupBy(F.col(id_col).cast("long").alias(key)).agg(F.count(F.lit(1)).alias(mark)).filter((F.col(mark) > 1) & F.col(key).isNotNull()).select(key)
+    drop = lambda d, keys: d.join(keys, F.col(id_col) == F.col(key), "left_anti")
+    if several.isEmpty():
+        return drop(docs, gone)
+    # Only rows whose id repeats are ranked; all others need no order.
     first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    return left.withColumn("_row", F.row_number().over(first)).filter((F.col("_row") == 1) | F.col(id_col).isNull()).drop("_row")
+    again = drop(docs.join(several, F.col(id_col) == F.col(key), "left_semi"), gone).withColumn(mark, F.row_number().over(first)).filter(F.col(mark) == 1).drop(mark)
+    return drop(docs, gone.union(several).distinct()).unionByName(again)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ import xxhash
 #: Words of a shingle, and the similarity at least, as a fraction.
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
+#: Parts of a partition of the feature domain, and how many of them may differ: subsets of one part less are enumerated.
+SECOND, LEVEL = 3, 1
 #: Words kept with their hashes by a worker; the table starts anew when full.
 KEPT_WORDS = 200_000
 
@@ -65,57 +67,76 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
-@lru_cache(maxsize=512)
+@lru_cache(maxsize=4096)
 def bands(size: int) -> tuple[tuple[int, int, int], ...]:
-    """(tag, k, partitions) of the size bands of a set.
+    """(tag, partitions of the first level, bad ones at most) for the size bands of a set.
 
     Bands are [2**i, 2**(i + 1)).  Two similar sets either share a band, or they lie on both sides
-    of one band's upper bound b, each within a factor 0.8 of it; those get a tag of the bound.  In
-    a tag, similar sets of sizes m and n differ in (m + n) / 9 elements at most, k bounds that.
+    of one band's upper bound, each within a factor 0.8 of it; those get a tag of the bound.  Similar
+    sets of m and n elements differ in (m + n) / 9 elements at most.  The band's bound on that sets the
+    number of partitions; the set's own, with any partner in the tag, how many of them can hold more
+    than ``LEVEL`` differences.  No partitions stand for one signature of the whole set.
     """
+
+    def differ(m: int, n: int) -> int:
+        return (m + n) * (DENOMINATOR - NUMERATOR) // (NUMERATOR + DENOMINATOR)
+
+    def tagged(tag: int, most: int, own: int) -> tuple[int, int, int]:
+        bad = most // (LEVEL + 1)
+        return (tag, bad + 1 + bad // 6 + min(bad, 2) if most else 0, min(most, own) // (LEVEL + 1))
+
     i = size.bit_length() - 1
-    gap = DENOMINATOR - NUMERATOR
-    out = []
-    upper = (2 << i) - 1
-    k = 2 * upper * gap // (NUMERATOR + DENOMINATOR)
-    out.append((2 * i, k, k + 1 if not k else (3 * k + 1) // 2 + 1))
+    upper, largest = (2 << i) - 1, size * DENOMINATOR // NUMERATOR
+    out = [tagged(2 * i, differ(upper, upper), differ(size, min(upper, largest)))]
     for j in range(max(0, i - 1), i + 1):
         bound = 2 << j
-        # The smaller set is below the bound and at least 0.8 of the larger one.
-        if size < bound and DENOMINATOR * size >= NUMERATOR * bound or size >= bound and NUMERATOR * size <= DENOMINATOR * (bound - 1):
-            k = ((bound - 1) + (bound - 1) * DENOMINATOR // NUMERATOR) * gap // (NUMERATOR + DENOMINATOR)
-            out.append((2 * j + 1, k, k + 1 if not k else (13 * k + 9) // 10 + 1))
+        most = differ(bound - 1, (bound - 1) * DENOMINATOR // NUMERATOR)
+        if size < bound <= largest:
+            out.append(tagged(2 * j + 1, most, differ(size, largest)))
+        elif size >= bound and NUMERATOR * size <= DENOMINATOR * (bound - 1):
+            out.append(tagged(2 * j + 1, most, differ(size, bound - 1)))
     return tuple(out)
 
 
 def signatures(s: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """PartEnum signatures: for every tag the digest of each partition of the feature domain.
+    """PartEnum signatures: for every tag the digests of enumerated subsets of the domain's partitions.
 
-    Sets that differ in k elements differ in k partitions at most.  With more than k partitions
-    that hold elements, one that holds some is equal; a set with fewer also gets the signatures of
-    finer partitions, level by level, until it has more.  Of two sets, the one that stops first
-    has more than k at its last level, where the other has signatures too.
+    The first level cuts the domain into partitions, of which some differ in ``LEVEL`` elements at
+    most; the second cuts each of those into ``SECOND`` parts and takes all subsets of ``SECOND - LEVEL``
+    parts, of which one then agrees.  A partition with elements in more than ``LEVEL`` parts has some in
+    every subset; if more partitions are like that than can be bad, a similar set shares a subset that
+    is not empty.  A set with fewer also gets the signatures of other cuts of the domain, round by
+    round, until it has more; of two sets, the one that stops first shares one of its last round.
 
     Also returns (tag, need) for each tag: how many signatures of it every similar set shares.  So
     all but any need - 1 of them suffice.  The last byte of a signature is twice its tag, plus one
-    beyond the first level.
+    beyond the first round.
     """
     out, needs = [], []
-    for tag, k, n in bands(len(s)):
-        level = 0
-        h = mix(s, tag + 1)
+    for tag, parts, bad in bands(len(s)):
+        if not parts:
+            out.append((mix(s, tag + 1).sum(keepdims=True, dtype=np.uint64) & ~np.uint64(255)) | np.uint64(2 * tag))
+            needs.append((tag, 1))
+            continue
+        turn = 0
         while True:
-            parts = n << level
-            part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            # A partition's digest: the sum of its elements' scrambled hashes, salted by its number.
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            sums = np.add.reduceat(mix(h, level)[order], first)
-            sums = mix(sums ^ mix(part[first], (tag << 8) + level))
-            out.append((sums & ~np.uint64(255)) | np.uint64(2 * tag + (level > 0)))
-            if len(first) > k:
-                needs.append((tag, 1 if level else len(first) - k))
+            h = mix(s, (tag + 1 << 16) + turn)
+            cell = ((h >> np.uint64(32)) * np.uint64(parts * SECOND)) >> np.uint64(32)
+            # A part's digest: the sum of its elements' hashes, salted by its number; 0 for none.
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            digest = np.zeros(parts * SECOND, np.uint64)
+            digest[cell[first]] = mix(np.add.reduceat(h[order], first) ^ mix(cell[first], turn)) | np.uint64(1)
+            digest = digest.reshape(parts, SECOND)
+            full = (digest > 0).sum(1)
+            subsets = digest.sum(1, keepdims=True) - digest
+            held = full[:, None] - (digest > 0) > 0
+            place = np.arange(parts * SECOND, dtype=np.uint64).reshape(parts, SECOND)
+            out.append((mix(subsets[held] ^ mix(place[held], (tag << 8) + turn + 1)) & ~np.uint64(255)) | np.uint64(2 * tag + (turn > 0)))
+            rich = int((full > LEVEL).sum())
+            if rich > bad:
+                needs.append((tag, 1 if turn else rich - bad))
                 break
-            level += 1
+            turn += 1
     return np.concatenate(out), needs
