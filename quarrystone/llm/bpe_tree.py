@@ -1,14 +1,18 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text longer than ``LEAF`` characters is cut into leaves at fixed places, whatever stands there;
-the leaves are encoded in parallel, in any task.  Neighbours are then joined pairwise, as a tree:
-a window around each join is encoded anew and grows until both sides agree exactly with it.  The
-left side agrees where the window starts, at the start of a word of the left encoding away from
-its end; the right side agrees where a word of the window, away from the window's end, is also a
-word of the right encoding with the same ids.  The pre-tokeniser reads words left to right and
-looks no further ahead than the longest special string, so from such a word on both encodings go
-on alike, and the joined ids are those of the whole text.  A window that reaches both outer ends
-is the whole text, so the growth always ends; a text that is one single word ends that way.
+A text longer than ``LEAF`` characters is cut into leaves at fixed places, whatever stands there,
+within words too; the leaves are encoded in parallel, in any task.  Neighbours are then joined
+pairwise, as a tree: a window around each join is encoded anew and grows until both sides agree
+exactly with it, on a token each: the same id that ends at the same character.  The joined ids are
+the left side's up to its token, the window's between, and the right side's from its token on.
+
+That gives the ids of the whole text, because a sequence of tokens is what BPE makes of a stretch if
+and only if each two neighbours are what it makes of those two, and every pair of neighbours here
+stands in one of the three encodings.  So much for one word of any length; where words begin and end
+is known ``MARGIN`` characters behind a cut, as the pre-tokeniser reads left to right and looks no
+further ahead than the longest special string, so tokens nearer to a window's or a side's start do
+not count.  Windows begin and end where the normal form of either side does not touch the other.
+A window that reaches both outer ends is the whole stretch, so the growth always ends.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows each
 give their row; an empty table gives an empty result; other columns are ignored.
@@ -16,10 +20,13 @@ give their row; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import bisect
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,67 +35,74 @@ from .wordbpe import WordEncoder, default_path, encoder
 
 #: Characters of a leaf; longer texts are encoded in parallel.
 LEAF = 65_536
-#: Characters at either end of a leaf whose words go to the join one by one; those between go as one stretch.
-EDGE = 1024
 #: First reach of a window on each side of a join, in characters.
-REACH = 64
-#: A word counts only if it ends so many characters before a cut: more than any special string has.
+REACH = 256
+#: Characters behind a cut whose tokens do not count: more than any special string has.
 MARGIN = 32
 
 
+@dataclass
 class Piece:
-    """An encoded stretch [start, end) of a text: starts, ends and ids of its words."""
+    """The encoding of the stretch [start, end) of a text.
 
-    def __init__(self, start: int, end: int, spans: list[tuple[int, int, bytes]]):
-        self.start, self.end = start, end
-        self.starts = [a + start for a, *_ in spans]
-        self.ends = [b + start for _, b, _ in spans]
-        self.ids = [x for *_, x in spans]
+    ``marks`` has for each token twice the character where it ends, plus one if no token after it has a
+    part of that character.
+    """
+
+    start: int
+    end: int
+    ids: np.ndarray
+    marks: np.ndarray
 
 
 def encode_piece(e: WordEncoder, text: str, start: int = 0) -> Piece:
-    return Piece(start, start + len(text), e.spans(text))
+    ids, marks = e.marked(text)
+    return Piece(start, start + len(text), ids, marks + 2 * start)
 
 
-def fold(spans: list[tuple[int, int, bytes]], size: int, edge: int = EDGE) -> list[tuple[int, int, bytes]]:
-    """Spans of a leaf of ``size`` characters with the words away from its ends made one stretch.
+def apart(text: str, at: int) -> bool:
+    """Whether the normal form of a text is that of its parts before and from ``at`` on."""
+    if at <= 0 or at >= len(text) or text[at] < "\u0300":
+        return True
+    one, two = text[at - 1], text[at]
+    form = lambda x: unicodedata.normalize("NFC", x)
+    return not unicodedata.combining(two) and not unicodedata.combining(form(two)[0]) and form(one + two) == form(one) + form(two)
 
-    A stretch agrees with no word of a window, so a window that needs more grows past it.
-    """
-    low, high = bisect.bisect_left(spans, edge, key=lambda s: s[0]), bisect.bisect_left(spans, size - edge, key=lambda s: s[0])
-    if high - low < 2:
-        return spans
-    return [*spans[:low], (spans[low][0], spans[high - 1][1], b"".join(s[2] for s in spans[low:high])), *spans[high:]]
+
+def common(one: Piece, other: Piece, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both of the tokens that end at the same character in [low, high] and have the same id."""
+    a0, a1 = np.searchsorted(one.marks, [2 * low, 2 * high + 2])
+    b0, b1 = np.searchsorted(other.marks, [2 * low, 2 * high + 2])
+    found, a, b = np.intersect1d(one.marks[a0:a1] * (one.marks[a0:a1] & 1), other.marks[b0:b1] * (other.marks[b0:b1] & 1), return_indices=True)
+    a, b = a[found > 0] + a0, b[found > 0] + b0
+    same = one.ids[a] == other.ids[b]
+    return a[same], b[same]
 
 
 def join(e: WordEncoder, text: str, left: Piece, right: Piece) -> Piece:
     """Encoding of the stretch of both pieces; ``text`` is the whole text."""
-    first, cut, last, reach = left.start, left.end, right.end, REACH
+    cut, reach = left.end, REACH
     while True:
-        low = bisect.bisect_right(left.starts, cut - reach) - 1
-        a = left.starts[low] if low > 0 and cut - reach > first else first
-        b = min(last, cut + reach)
+        a, b = max(left.start, cut - reach), min(right.end, cut + reach)
+        while a > left.start and not apart(text, a):
+            a -= 1
+        while b < right.end and not apart(text, b):
+            b += 1
         window = encode_piece(e, text[a:b], a)
-        if a == first:
-            low = 0
-        agrees = a == first or (window.starts[:1] == [a] and window.ends[0] == left.ends[low] and window.ids[0] == left.ids[low])
-        if agrees and b == last and a == first:
-            return window
+        # Tokens of the left side to keep, and the window's place behind the same token; then the right side's.
+        keep, first, stop, rest = 0, 0, len(window.ids), len(right.ids)
+        agrees = True
+        if a > left.start:
+            x, w = common(left, window, a + MARGIN, cut)
+            agrees = len(x) > 0
+            keep, first = (x[-1] + 1, w[-1] + 1) if agrees else (0, 0)
+        if agrees and b < right.end:
+            w, y = common(window, right, cut + MARGIN, b)
+            agrees = len(w) > 0
+            stop, rest = (w[0] + 1, y[0] + 1) if agrees else (0, 0)
         if agrees:
-            for k, s in enumerate(window.starts):
-                if s < cut or window.ends[k] > b - MARGIN * (b < last):
-                    continue
-                at = bisect.bisect_left(right.starts, s)
-                if at < len(right.starts) and right.starts[at] == s and right.ends[at] == window.ends[k] and right.ids[at] == window.ids[k] and right.ends[at] <= last - MARGIN * (last < len(text)):
-                    out = Piece(first, last, [])
-                    for part in ("starts", "ends", "ids"):
-                        setattr(out, part, getattr(left, part)[:low] + getattr(window, part)[:k] + getattr(right, part)[at:])
-                    return out
-            if b == last:
-                out = Piece(first, last, [])
-                for part in ("starts", "ends", "ids"):
-                    setattr(out, part, getattr(left, part)[:low] + getattr(window, part))
-                return out
+            parts = lambda of: np.concatenate([of(left)[:keep], of(window)[first:stop], of(right)[rest:]])
+            return Piece(left.start, right.end, parts(lambda p: p.ids), parts(lambda p: p.marks))
         reach *= 2
 
 
@@ -99,19 +113,30 @@ def join_all(e: WordEncoder, text: str, pieces: list[Piece]) -> Piece:
     return pieces[0]
 
 
-def tree_encode(e: WordEncoder, text: str, leaf: int = LEAF, edge: int = EDGE) -> bytes:
+def leaves(text: str, leaf: int = LEAF) -> list[tuple[int, int]]:
+    """Stretches of about ``leaf`` characters; a cut moves on to where the normal form allows one."""
+    out, start = [], 0
+    while start < len(text):
+        stop = min(start + leaf, len(text))
+        while stop < len(text) and not apart(text, stop):
+            stop += 1
+        out.append((start, stop))
+        start = stop
+    return out
+
+
+def tree_encode(e: WordEncoder, text: str, leaf: int = LEAF) -> bytes:
     """The same within one task."""
     if len(text) <= leaf:
         return e.encode(text)
-    return b"".join(join_all(e, text, [Piece(k, min(k + leaf, len(text)), fold(e.spans(text[k : k + leaf]), min(leaf, len(text) - k), edge)) for k in range(0, len(text), leaf)]).ids)
+    return join_all(e, text, [encode_piece(e, text[a:b], a) for a, b in leaves(text, leaf)]).ids.tobytes()
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, leaf: int = LEAF) -> DataFrame:
     """Ids of every whole text (little-endian unsigned 32-bit), and with ``decode`` the decoded text.
 
-    Short texts are encoded where they were read.  Leaves of long ones are dealt out by id and
-    number, encoded, and met again by text; that group holds one text, or copies of it, which are
-    kept once with their count.
+    Short texts are encoded where they were read.  Leaves of long ones are dealt out by row and
+    number, encoded, and met again by row; that group holds one text.
     """
     path = path or default_path()
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
@@ -127,35 +152,37 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
         for b in batches:
             yield rows(b.column(0), e.encode_many(strings(b.column(1))), e)
 
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for b in batches:
+            for k, text in enumerate(strings(b.column(1))):
+                at = leaves(text, leaf)
+                for n in range(0, len(at), 64):
+                    some = at[n : n + 64]
+                    numbers = [pa.array([row] * len(some), pa.int64()), pa.array(range(n, n + len(some)), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k] * len(some))), *numbers, pa.array([text[x:y] for x, y in some], pa.string())], ["doc_id", "row", "n", "leaf"])
+                row += 1
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        kinds = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("ids", pa.binary())]))
         for b in batches:
-            found = [[{"a": x, "b": y, "ids": z} for x, y, z in fold(e.spans(t), len(t))] for t in strings(b.column(4))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kinds)], [*b.schema.names, "spans"])
+            found = [e.marked(t) for t in strings(b.column(3))]
+            ids, marks = (pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, ids, marks], [*b.schema.names, "ids", "marks"])
 
     def whole(key, table):
-        e = encoder(path)
-        # Equal texts of one id meet here: their leaves are equal, so each number is kept once.
-        found, copies = {}, 0
-        for r in table.to_pylist():
-            copies += r["n"] == 0
-            found[r["n"]] = r
-        text = "".join(found[n]["leaf"] for n in sorted(found))
-        pieces = [Piece(n * leaf, n * leaf + len(found[n]["leaf"]), [(s["a"], s["b"], s["ids"]) for s in found[n]["spans"]]) for n in sorted(found)]
-        ids = b"".join(join_all(e, text, pieces).ids)
-        return pa.Table.from_batches([rows(pa.array([found[0]["doc_id"]] * copies, table.schema.field("doc_id").type), [ids] * copies, e)])
-
-    small = map_arrow(d.filter(F.length("text") <= leaf), short, schema, 512)
-    cut = (
-        d.filter(F.length("text") > leaf)
-        .select("doc_id", F.sha2("text", 256).alias("digest"), F.length("text").alias("size"), "text")
-        .select("doc_id", "digest", "size", F.explode(F.transform(F.sequence(F.lit(0), ((F.col("size") - 1) / leaf).cast("int")), lambda k: F.struct(k.alias("n"), F.substring(F.col("text"), k * leaf + 1, F.lit(leaf)).alias("leaf")))).alias("x"))
-        .select("doc_id", "digest", "size", F.col("x.n").alias("n"), F.col("x.leaf").alias("leaf"))
-        .repartition("digest", "n")
-    )
-    spans = map_arrow(cut, leaves, f"doc_id {kind}, digest string, size int, n int, leaf string, spans array<struct<a:int,b:int,ids:binary>>", 64)
-    return small.unionByName(spans.groupBy("doc_id", "digest").applyInArrow(whole, schema))
+        e, pieces, at = encoder(path), [], 0
+        found = sorted(table.select(["n", "leaf", "ids", "marks"]).to_pylist(), key=lambda r: r["n"])
+        for r in found:
+            pieces.append(Piece(at, at + len(r["leaf"]), np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["marks"], "<i8") + 2 * at))
+            at += len(r["leaf"])
+        joined = join_all(e, "".join(r["leaf"] for r in found), pieces)
+        return pa.Table.from_batches([rows(table.column("doc_id").combine_chunks().slice(0, 1), [joined.ids.tobytes()], e)])
+
+    small = map_arrow(d.filter(F.length("text") <= leaf), short, schema)
+    dealt = map_arrow(d.filter(F.length("text") > leaf), cut, f"doc_id {kind}, row long, n int, leaf string", 16).repartition("row", "n")
+    coded = map_arrow(dealt, encode, f"doc_id {kind}, row long, n int, leaf string, ids binary, marks binary", 64)
+    return small.unionByName(coded.groupBy("row").applyInArrow(whole, schema))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, strings
-from .bpe_tree import LEAF, tree_encode
 from .wordbpe import default_path, encoder
 
 SIZE = 4096
@@ -164,9 +163,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
         for b in batches:
             key_type = b.schema.field(0).type
             texts = strings(b.column(1))
-            short = iter(e.encode_many([t for t in texts if len(t) <= LEAF]))
-            for key, text in zip(b.column(0).to_pylist(), texts):
-                ids = (next(short) if len(text) <= LEAF else tree_encode(e, text)) + tail
+            for key, ids in zip(b.column(0).to_pylist(), e.encode_many(texts)):
+                ids += tail
                 open_docs.append((key, ids, 0, len(ids) // 4))
                 held += len(ids) // 4
                 if held >= block:

@@ -65,7 +65,9 @@ class WordEncoder:
         """Ids of distinct words of plain texts: encoded in one go, spaces between, and cut where words end."""
         ids = np.array(self.by_word.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         raw, stops = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-        assert len(stops) == len(words), "a word was cut"
+        if len(stops) != len(words):
+            # A file whose words do not all end by their mark: each word alone, by the library.
+            return {w: self.whole(w) for w in words}
         return {w: raw[a:b] for w, a, b in zip(words, [0, *stops], stops)}
 
     def whole(self, text: str) -> bytes:
@@ -108,23 +110,13 @@ class WordEncoder:
             kept.update((w, x) for w, x in new.items() if len(w) <= KEPT_LENGTH)
         return out
 
-    def spans(self, text: str) -> list[tuple[int, int, bytes]]:
-        """Words as (start, end, ids) in characters of ``text``; special strings count as words."""
-        words = None if ODD.search(low := text.lower()) or len(low) != len(text) else WORD.finditer(low)
-        if words is not None:
-            found = [(m.start(), m.end(), m[0]) for m in words]
-            known = self.kept
-            if missing := {w for *_, w in found if w not in known}:
-                known = {**{w: known[w] for *_, w in found if w in known}, **self.fresh(list(missing))}
-            return [(a, b, known[w]) for a, b, w in found]
+    def marked(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by the library, and for each twice the character where it ends, plus one if it is the last with a part of that."""
         e = self.library.encode(text, add_special_tokens=False)
-        ends = [self.strings[i].endswith("</w>") or self.strings[i].startswith("<|") for i in e.ids]
-        out, first = [], 0
-        for k, end in enumerate(ends):
-            if end:
-                out.append((e.offsets[first][0], e.offsets[k][1], np.array(e.ids[first : k + 1], "<u4").tobytes()))
-                first = k + 1
-        return out
+        spans = np.array(e.offsets, np.int64).reshape(-1, 2)
+        # Tokens of one character in parts all have its whole place.
+        last = np.append(spans[1:, 0] >= spans[:-1, 1], [True] * min(1, len(spans)))
+        return np.array(e.ids, "<u4"), np.maximum.accumulate(spans[:, 1]) * 2 + last if len(spans) else np.zeros(0, np.int64)
 
     def decode(self, ids: bytes) -> str:
         """As the library decodes with a file that names no decoder: the tokens' strings, spaced."""

@@ -98,15 +98,35 @@ def test_word_encoder_equals_library(encoder):
     texts = _texts(1500, 3)
     for t, ids in zip(texts, encoder.encode_many(texts)):
         want = np.array(encoder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        assert ids == want and b"".join(x for *_, x in encoder.spans(t)) == want, t
+        assert ids == want and encoder.marked(t)[0].tobytes() == want, t
         assert encoder.decode(ids) == encoder.library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
 
 
-def test_tree_equals_whole(encoder):
+def test_tree_equals_whole(encoder, monkeypatch):
     r = random.Random(4)
     for t in _texts(600, 5):
-        t = r.choice([t, t * 5, t.replace(" ", ""), "x" * 400 + t])
-        assert bpe_tree.tree_encode(encoder, t, r.choice([16, 50, 128]), r.choice([4, 30, 900])) == encoder.whole(t), t
+        monkeypatch.setattr(bpe_tree, "REACH", r.choice([33, 64, 256]))
+        t = r.choice([t, t * 5, t.replace(" ", ""), "x" * 400 + t, t + "'ll" * 90, t + "!'s" * 120, "<|endoftext|>" * 30 + t])
+        assert bpe_tree.tree_encode(encoder, t, r.choice([16, 50, 128])) == encoder.whole(t), t
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "aab", "etaoinshrdlu", "e\u0301\u0323o", "中文字日本", "\u1100\u1161\u11a8\uac00", "a\u0345\u0301\u0308\u0316"])
+def test_tree_within_one_word(encoder, monkeypatch, alphabet):
+    r = random.Random(len(alphabet))
+    for leaf in (97, 700, 1500):
+        monkeypatch.setattr(bpe_tree, "REACH", r.choice([33, 64]))
+        t = "".join(r.choice(alphabet) for _ in range(5000))
+        assert bpe_tree.tree_encode(encoder, t, leaf) == encoder.whole(t)
+
+
+def test_tree_windows_of_a_long_word_stay_small(encoder, monkeypatch):
+    r, sizes = random.Random(6), []
+    text = "".join(r.choices("etaoinshrdlcumw", k=1_000_000))
+    piece = bpe_tree.encode_piece
+    monkeypatch.setattr(bpe_tree, "encode_piece", lambda e, t, start=0: sizes.append(len(t)) or piece(e, t, start))
+    pieces = [piece(encoder, text[a:b], a) for a, b in bpe_tree.leaves(text)]
+    assert bpe_tree.join_all(encoder, text, pieces).ids.tobytes() == encoder.whole(text)
+    assert len(sizes) >= len(pieces) - 1 and max(sizes) <= 4096
 
 
 def test_tree_in_spark(spark, encoder, odd_docs, no_docs):
