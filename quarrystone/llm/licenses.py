@@ -4,11 +4,15 @@ evaluates the licence expressions behind the tags.
 Words are lower-cased (A-Z only) runs of ASCII letters, digits and all characters beyond ASCII.
 A phrase is found where its words stand consecutively; overlapping places all count.  One
 automaton holds all phrases of words; it runs over a text's words joined by single spaces.  A
-second one finds the tags in the raw text; the rest of the tag's line, up to the first part that
-is no expression, is parsed with ``with`` binding tighter than ``and``, and ``and`` than ``or``.
-
-Defined results: a null or empty text has no words, places or labels and score 0; repeated rows
-each give their row; an empty table gives an empty result; other columns are ignored.
+second one finds the tags in the raw text.  Behind a tag, on its line, the longest start that is an
+expression of known identifiers is parsed, ``with`` binding tighter than ``and``, and ``and`` than
+``or``, and evaluated to its choices: ``or`` gives the choices of both sides, ``and`` joins each choice
+of one with each of the other, ``with`` attaches an exception to a licence.  A choice that holds
+another one whole is left out.
+
+Defined results: a null or empty text has no words, places or labels and score 0; a tag without a
+known identifier behind it gives nothing; repeated rows each give their row; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,70 +46,107 @@ NOTICES = (
 )
 BASE_WEIGHT, TAG_WEIGHT = 0.8, 1.0
 TAGS = ("spdx-license-identifier:", "license-expression:")
-#: Families of identifiers: start of the lower-cased identifier, label.
-FAMILIES = (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("cc-by", "cc-by"), ("cc0", "cc0"), ("mit", "mit"), ("mpl", "mpl"), ("bsd", "bsd"), ("epl", "epl"))
+#: Families of identifiers: label, pattern of the whole lower-cased identifier.
+FAMILIES = (
+    ("agpl", r"agpl(-?v?[0-9](\.[0-9])?)?(-only|-or-later|\+)?"),
+    ("lgpl", r"lgpl(-?v?[0-9](\.[0-9])?)?(-only|-or-later|\+)?"),
+    ("gpl", r"gpl(-?v?[0-9](\.[0-9])?)?(-only|-or-later|\+)?"),
+    ("apache", r"apache(-[0-9](\.[0-9])?)?"),
+    ("cc-by", r"cc-by(-nc)?(-sa|-nd)?(-[0-9](\.[0-9])?)?"),
+    ("cc0", r"cc0(-[0-9](\.[0-9])?)?"),
+    ("mit", r"mit(-0)?"),
+    ("mpl", r"mpl(-[0-9](\.[0-9])?)?"),
+    ("bsd", r"0bsd|bsd(-[0-4]-clause)?"),
+    ("epl", r"epl(-[0-9](\.[0-9])?)?"),
+    ("isc", r"isc"),
+    ("unlicense", r"unlicense"),
+)
+EXCEPTION = r"[a-z0-9.+-]*-exception(-[0-9.]+)?"
 
 #: Every byte but digits, letters (lowered) and those of characters beyond ASCII becomes a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+_TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*)")
 _RANK = {"or": 1, "and": 2, "with": 3}
+_FAMILIES = [(label, re.compile(pattern)) for label, pattern in FAMILIES]
+_EXCEPTION = re.compile(EXCEPTION)
+
+SCHEMA = "doc_id {id}, n_words long, places array<struct<label:string,start:long,base:boolean>>, expressions array<struct<start:long,text:string,rpn:string,choices:array<array<string>>,labels:array<string>>>, score double"
+
 
-SCHEMA = "doc_id {id}, n_words long, places array<struct<label:string,start:long,base:boolean>>, expressions array<struct<start:long,text:string,rpn:string,labels:array<string>>>, score double"
+@lru_cache(maxsize=4096)
+def label_of(identifier: str) -> str | None:
+    """The family of a known identifier."""
+    return next((label for label, pattern in _FAMILIES if pattern.fullmatch(identifier.lower())), None)
 
 
-def parse(text: str) -> list[str] | None:
-    """Shunting yard: the longest start of ``text`` that is an expression, in postfix order.
+def parse(text: str, pos: int = 0) -> tuple[list[str], int]:
+    """Shunting yard: the longest expression at ``pos``, in postfix order, and where it ends; empty where none is.
 
-    None where none is.  Identifiers keep their case; operators are lower-cased.
+    Identifiers keep their case; operators are lower-cased.
     """
-    best, out, stack, depth, want_operand, pos = None, [], [], 0, True, 0
+    best, out, stack, depth, want = ([], pos), [], [], 0, "licence"
     while m := _TOKEN.match(text, pos):
         token, low = m[1], m[1].lower()
-        if want_operand:
-            if token == "(":
-                stack.append("(")
-                depth += 1
-            elif token == ")" or low in _RANK:
-                break
+        if want == "operator":
+            if token == ")" and depth:
+                while stack[-1] != "(":
+                    out.append(stack.pop())
+                stack.pop()
+                depth -= 1
+            elif low in _RANK:
+                # An exception belongs to a licence, not to an expression.
+                if low == "with" and label_of(out[-1]) is None:
+                    break
+                while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
+                    out.append(stack.pop())
+                stack.append(low)
+                want = "exception" if low == "with" else "licence"
             else:
-                out.append(token)
-                want_operand = False
-        elif token == ")":
-            if not depth:
                 break
-            while stack[-1] != "(":
-                out.append(stack.pop())
-            stack.pop()
-            depth -= 1
-        elif low in _RANK:
-            while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
-                out.append(stack.pop())
-            stack.append(low)
-            want_operand = True
+        elif want == "exception":
+            if not _EXCEPTION.fullmatch(low):
+                break
+            out.append(token)
+            want = "operator"
+        elif token == "(":
+            stack.append("(")
+            depth += 1
+        elif label_of(token):
+            out.append(token)
+            want = "operator"
         else:
             break
         pos = m.end()
-        if not want_operand and not depth:
-            best = out + stack[::-1]
+        if want == "operator" and not depth:
+            best = (out + stack[::-1], pos)
     return best
 
 
-def label_of(identifier: str) -> str:
-    low = identifier.lower()
-    return next((label for start, label in FAMILIES if low.startswith(start)), low)
+def smallest(choices: set[frozenset[str]]) -> set[frozenset[str]]:
+    """Choices without those that hold another one whole."""
+    return {c for c in choices if not any(o < c for o in choices)}
 
 
-def evaluate(rpn: list[str]) -> frozenset[str]:
-    """Labels that an expression names: and/or join both sides, an exception after ``with`` adds none."""
-    stack: list[frozenset[str]] = []
+def evaluate(rpn: list[str]) -> list[list[str]]:
+    """Choices of a postfix expression, each the licences that hold together, sorted."""
+    stack: list = []
     for token in rpn:
-        if token in _RANK:
+        if token == "with":
+            exception, licence = stack.pop(), stack.pop()
+            stack.append({frozenset([f"{x} with {exception}"]) for c in licence for x in c})
+        elif token in _RANK:
             right, left = stack.pop(), stack.pop()
-            stack.append(left if token == "with" else left | right)
+            stack.append(smallest(left | right if token == "or" else {a | b for a in left for b in right}))
         else:
-            stack.append(frozenset([label_of(token)]))
-    return stack[-1]
+            label = label_of(token)
+            stack.append({frozenset([label])} if label else token.lower())
+    return sorted(map(sorted, stack[-1]))
+
+
+def named(choices: list[list[str]]) -> list[str]:
+    """Labels of all choices, exceptions left out."""
+    return sorted({x.split(" with ")[0] for c in choices for x in c})
 
 
 @lru_cache(maxsize=4)
@@ -133,20 +174,27 @@ def scan(text: str, base: tuple = BASE, notices: tuple = NOTICES) -> tuple[int,
     split = [w for w in split if w]
     joined = f" {b' '.join(split).decode('latin-1')} "
     places, doubt = [], 1.0
+    # Matches come in order of their ends: one cursor counts the words before them.
+    at, before = 0, 0
     for end, (phrase, found) in by_words.iter(joined):
-        start = joined.count(" ", 0, end - len(phrase) - 1)
+        before += joined.count(" ", at, end)
+        at = end
         for label, is_base, weight in found:
-            places.append((start, label, is_base))
+            places.append((before - 1 - phrase.count(" "), label, is_base))
             doubt *= 1 - weight
     expressions = []
     if b":" in raw:
         lowered = raw.translate(_LOWER).decode("latin-1")
+        shown = raw.decode("latin-1")
+        at, before = 0, 0
         for end, tag in by_tags.iter(lowered):
-            stop = raw.find(b"\n", end + 1)
-            line = raw[end + 1 : stop if stop >= 0 else len(raw)].decode("utf-8", "replace")
-            if rpn := parse(line):
-                start = len(raw[: end + 1 - len(tag)].decode("utf-8", "replace"))
-                expressions.append((start, line.strip(), " ".join(rpn), sorted(evaluate(rpn))))  # the line as it stands, prose behind the expression included
+            rpn, stop = parse(shown, end + 1)
+            if rpn:
+                start = end + 1 - len(tag)
+                before += len(raw[at:start].decode("utf-8", "replace"))
+                at = start
+                choices = evaluate(rpn)
+                expressions.append((before, shown[end + 1 : stop].strip(), " ".join(rpn), choices, named(choices)))
                 doubt *= 1 - TAG_WEIGHT
     return len(split), sorted(places), expressions, 1 - doubt
 
@@ -159,11 +207,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kinds = None
         for b in batches:
             found = [scan(t, base, notices) for t in strings(b.column(1))]
-            kinds = kinds or [pa.int64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("base", pa.bool_())])), pa.list_(pa.struct([("start", pa.int64()), ("text", pa.string()), ("rpn", pa.string()), ("labels", pa.list_(pa.string()))])), pa.float64()]
+            kinds = kinds or [pa.int64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("base", pa.bool_())])), pa.list_(pa.struct([("start", pa.int64()), ("text", pa.string()), ("rpn", pa.string()), ("choices", pa.list_(pa.list_(pa.string()))), ("labels", pa.list_(pa.string()))])), pa.float64()]
             columns = [
                 [x[0] for x in found],
                 [[{"label": n, "start": s, "base": k} for s, n, k in x[1]] for x in found],
-                [[{"start": s, "text": t, "rpn": r, "labels": n} for s, t, r, n in x[2]] for x in found],
+                [[{"start": s, "text": t, "rpn": r, "choices": c, "labels": n} for s, t, r, c, n in x[2]] for x in found],
                 [x[3] for x in found],
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_words", "places", "expressions", "score"])
@@ -186,4 +234,5 @@ def query(spark, sf_dir: str) -> DataFrame:
         join(F.transform(places, lambda p: p["label"])).alias("base_labels"),
         join(every).alias("labels"),
         "score",
+        F.array_join(F.transform("expressions", lambda e: F.array_join(F.transform(e["choices"], lambda c: F.array_join(c, " and ")), " or ")), "; ").alias("choices"),
     )

@@ -56,23 +56,89 @@ def test_license_phrases_match_brute_force(spark):
 
 
 @pytest.mark.parametrize(
-    "text, rpn, labels",
+    "text, rpn, choices",
     [
-        ("MIT", "MIT", ["mit"]),
-        ("MIT OR Apache-2.0 AND GPL-2.0", "MIT Apache-2.0 GPL-2.0 and or", ["apache", "gpl", "mit"]),
-        ("(MIT or BSD-3-Clause) and GPL-2.0-only WITH Classpath-exception-2.0", "MIT BSD-3-Clause or GPL-2.0-only Classpath-exception-2.0 with and", ["bsd", "gpl", "mit"]),
-        ("MIT some prose behind it", "MIT", ["mit"]),
-        ("MIT AND", "MIT", ["mit"]),
-        ("((MIT)", None, None),
-        ("AND MIT", None, None),
-        ("", None, None),
+        ("MIT", "MIT", [["mit"]]),
+        ("MIT OR Apache-2.0 AND GPL-2.0", "MIT Apache-2.0 GPL-2.0 and or", [["apache", "gpl"], ["mit"]]),
+        ("MIT AND Apache-2.0 OR GPL-2.0", "MIT Apache-2.0 and GPL-2.0 or", [["apache", "mit"], ["gpl"]]),
+        ("(MIT or BSD-3-Clause) and GPL-2.0-only WITH Classpath-exception-2.0", "MIT BSD-3-Clause or GPL-2.0-only Classpath-exception-2.0 with and", [["bsd", "gpl with classpath-exception-2.0"], ["gpl with classpath-exception-2.0", "mit"]]),
+        ("MIT or (MIT and ISC)", "MIT MIT ISC and or", [["mit"]]),
+        ("MIT some prose behind it", "MIT", [["mit"]]),
+        ("MIT AND", "MIT", [["mit"]]),
+        ("MIT AND (GPL-2.0", "MIT", [["mit"]]),
+        ("MIT with nothing", "MIT", [["mit"]]),
+        ("(MIT or ISC) with x-exception", "MIT ISC or", [["isc"], ["mit"]]),
+        ("see the file below", "", None),
+        ("mitre-thing", "", None),
+        ("((MIT)", "", None),
+        ("AND MIT", "", None),
+        ("\nMIT", "", None),
+        ("", "", None),
     ],
 )
-def test_license_expressions(text, rpn, labels):
-    got = licenses.parse(text)
-    assert (got and " ".join(got)) == rpn
+def test_license_expressions(text, rpn, choices):
+    got, end = licenses.parse(text)
+    assert " ".join(got) == rpn and (not got or text[:end].split()[-1].strip("()") == text[:end].strip(" ()").split()[-1])
     if got:
-        assert sorted(licenses.evaluate(got)) == labels
+        assert licenses.evaluate(got) == choices
+
+
+def _choices(tokens):
+    """The longest start of the tokens that is an expression, by descent: its choices, None without any."""
+
+    def atom(k):
+        if k < len(tokens) and tokens[k] == "(":
+            found = either(k + 1)
+            return (found[0], found[1] + 1) if found and found[1] < len(tokens) and tokens[found[1]] == ")" else None
+        label = licenses.label_of(tokens[k]) if k < len(tokens) else None
+        if not label:
+            return None
+        if k + 2 < len(tokens) and tokens[k + 1].lower() == "with" and tokens[k + 2].lower().endswith("-exception"):
+            return [{f"{label} with {tokens[k + 2].lower()}"}], k + 3
+        return [{label}], k + 1
+
+    def series(k, word, part, merge):
+        found = part(k)
+        while found and found[1] < len(tokens) and tokens[found[1]].lower() == word:
+            more = part(found[1] + 1)
+            if not more:
+                break
+            found = merge(found[0], more[0]), more[1]
+        return found
+
+    both = lambda k: series(k, "and", atom, lambda a, b: [x | y for x in a for y in b])
+    either = lambda k: series(k, "or", both, lambda a, b: a + b)
+    found = either(0)
+    return found and sorted({tuple(sorted(x)) for x in found[0] if not any(y < x for y in found[0])})
+
+
+def test_license_query_matches_brute_force(spark, tmp_path):
+    r = random.Random(12)
+    vocabulary = ["GNU", "general", "public", "License", "mit", "cc", "by", "bsd 3 clause", "é", ";", "\n", "SPDX-License-Identifier:", "x License-Expression:", "MIT", "GPL-2.0+", "Apache-2.0", "OR", "and", "(", ")", "WITH", "x-exception", "prose"]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 60))) for _ in range(300)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    phrases = [(p.split(), n, True, licenses.BASE_WEIGHT) for p, n in licenses.BASE] + [(p.split(), n, False, w) for p, n, w in licenses.NOTICES]
+    some = 0
+    for row in licenses.query(spark, str(tmp_path)).collect():
+        t = texts[row["doc_id"]] or ""
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        found = [(i, n, base, weight) for p, n, base, weight in phrases for i in range(len(w)) if w[i : i + len(p)] == p]
+        lines = [t[m.end() :].split("\n")[0] for m in re.finditer("(?i)spdx-license-identifier:|license-expression:", t)]
+        told = [c for c in (_choices(re.findall(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*|\S", x)) for x in lines) if c]
+        starts = [i for i, _, base, _ in found if base]
+        score = 1 - np.prod([1 - weight for *_, weight in found] + [1 - licenses.TAG_WEIGHT] * len(told))
+        labels = {n for _, n, _, _ in found} | {x.split(" with ")[0] for c in told for a in c for x in a}
+        assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (len(w), len(starts), min(starts, default=None), max(starts, default=None))
+        assert row["base_labels"] == ",".join(sorted({n for _, n, base, _ in found if base})) and row["labels"] == ",".join(sorted(labels))
+        assert row["score"] == pytest.approx(score) and row["choices"] == "; ".join(" or ".join(" and ".join(a) for a in c) for c in told), t
+        some += len(told)
+    assert some > 100
+
+
+def test_license_scan_is_linear():
+    out = licenses.scan("License-Expression: MIT or (Apache-2.0 " * 800)
+    assert len(out[2]) == 800 and sum(len(x[1]) for x in out[2]) < 20_000
+    assert len(licenses.scan("mit license " * 200_000)[1]) == 200_000 and not licenses.scan("License-Expression: " + "(" * 500_000)[2]
 
 
 def test_license_edges(odd_docs, no_docs):
@@ -80,7 +146,7 @@ def test_license_edges(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all(r["score"] == 0 and not r["places"] for r in rows)
     assert licenses.license_scan(no_docs).count() == 0
     n, places, expressions, score = licenses.scan("é SPDX-License-Identifier: MIT\nx")
-    assert expressions == [(2, "MIT", "MIT", ["mit"])] and score == 1.0
+    assert expressions == [(2, "MIT", "MIT", [["mit"]], ["mit"])] and score == 1.0
 
 
 @pytest.fixture(scope="module")
