@@ -9,18 +9,19 @@ sections by a rule for those that cross a boundary:
 - ``most``: the section with most of its characters, the earlier one if equal.
 
 Tokens that touch no section count as ``outside``, so a document's counts always add up to its
-tokens.  Sections are given as a table of (doc_id, section, start, end), disjoint in a document, or
-by default they are the document's paragraphs: stretches between line feeds, each with its own line
-feed, so that together they cover the text.
-
-Defined results: a null or empty text has one empty section 0 without tokens; equal rows are
-counted each; sections of unknown documents are ignored; an empty table gives an empty result;
-other columns are ignored.
+tokens.  Sections are given as a table of (doc_id, section, start, end) or by default they are the
+document's paragraphs: stretches between line feeds, each with its own line feed, so that together
+they cover the text.  Of given sections that overlap, in order of start, end and name, a character
+belongs to the first that holds it.
+
+Defined results: a null or empty text has one empty section 0 without tokens; a document without
+given sections has the section ``OUTSIDE`` with all its tokens; equal rows are counted each; sections
+of unknown documents, and those that end before they start or lack a number, are ignored; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
@@ -29,33 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytebpe import ByteEncoder, default_path, plain_words
 from .common import map_arrow, strings, table
 
-FILE = "byte_bpe_50k.json"
 RULES = ("first", "last", "most")
 OUTSIDE = -1
 #: Words kept by a worker; the table starts anew when full.
 KEPT_WORDS = 300_000
-#: The file's pre-tokeniser for texts of plain characters, fixed by its format.
-PLAIN = bytes(c for c in range(256) if not (c < 9 or 13 < c < 32 or 126 < c < 161 or c in (0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE)))
-WORD = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t-\rA-Za-zÀ-ÖØ-öø-ÿ0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-
-
-def default_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(FILE)
 
 
 class Spans:
     """Ends of the tokens of whole texts, in characters, by the library or from known words."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library = ByteEncoder(path).library
         self.kept: dict[str, tuple[int, ...]] = {}
 
     def whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -63,17 +51,10 @@ class Spans:
         spans = np.array(self.library.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
         return spans[:, 0], spans[:, 1]
 
-    def plain(self, text: str) -> list[str] | None:
-        """The pre-tokeniser's words, if all characters are plain ones of Latin-1."""
-        try:
-            return None if text.encode("latin-1").translate(None, PLAIN) else WORD.findall(text)
-        except UnicodeEncodeError:
-            return None
-
     def many(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Starts and ends of the tokens of each text; a character of several tokens is in each of them."""
         kept = self.kept
-        split = [self.plain(t) for t in texts]
+        split = [plain_words(t) for t in texts]
         new = {w for words in split if words for w in words if w not in kept}
         if len(kept) + len(new) > KEPT_WORDS:
             kept.clear()
@@ -101,22 +82,37 @@ class Spans:
 _SPANS: dict[str, Spans] = {}
 
 
-def attribute(starts: np.ndarray, ends: np.ndarray, sections: list[tuple[int, int]], rule: str = "first") -> np.ndarray:
-    """Index of each token's section, ``OUTSIDE`` where it touches none; sections ascend and are disjoint.
-
-    A token touches the sections that hold one of its characters; for ``first`` and ``last`` these
-    are the first and last characters that lie in any section.
-    """
-    if not sections:
-        return np.full(len(starts), OUTSIDE)
-    low, high = (np.array(x, np.int64) for x in zip(*sections))
+def touched(starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last section that hold a character of each token, ``OUTSIDE`` where none does; sections ascend and are disjoint."""
     # First section that ends after the token starts, last one that starts before the token ends.
     first, last = np.searchsorted(high, starts, "right"), np.searchsorted(low, ends, "left") - 1
-    out = np.where(first <= last, first if rule == "first" else last, OUTSIDE)
-    if rule == "most":
-        for k in np.flatnonzero(first < last):
-            held = [min(high[s], ends[k]) - max(low[s], starts[k]) for s in range(first[k], last[k] + 1)]
-            out[k] = first[k] + int(np.argmax(held))
+    none = first > last
+    return np.where(none, OUTSIDE, first), np.where(none, OUTSIDE, last)
+
+
+def choose(starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray, rule: str) -> np.ndarray:
+    """Each token's section by the rule, from what ``touched`` says."""
+    if rule != "most":
+        return first if rule == "first" else last
+    out = first.copy()
+    for k in np.flatnonzero(first < last):
+        held = np.minimum(high[first[k] : last[k] + 1], ends[k]) - np.maximum(low[first[k] : last[k] + 1], starts[k])
+        out[k] += int(np.argmax(held))
+    return out
+
+
+def attribute(starts: np.ndarray, ends: np.ndarray, sections: list[tuple[int, int]], rule: str = "first") -> np.ndarray:
+    """Index of each token's section, ``OUTSIDE`` where it touches none; sections ascend and are disjoint."""
+    low, high = np.array(sections, np.int64).reshape(-1, 2).T
+    return choose(starts, ends, low, high, *touched(starts, ends, low, high), rule)
+
+
+def disjoint(sections: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What of each section (start, end, name), in order, no earlier one holds."""
+    out, at = [], 0
+    for start, end, _ in sections:
+        out.append((max(start, at), max(end, at)))
+        at = out[-1][1]
     return out
 
 
@@ -130,8 +126,8 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
 def token_counts(docs: DataFrame, sections: DataFrame | None = None, rule: str = "first", path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per section: doc_id, section, start, end, n_tokens and n_crossing, the tokens that also touch another.
 
-    With given sections the documents that have any get a row ``OUTSIDE`` for tokens in none, if
-    there are such tokens.
+    With given sections there is a row ``OUTSIDE`` for tokens in none, if there are such tokens or the
+    document has no section.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -141,22 +137,26 @@ def token_counts(docs: DataFrame, sections: DataFrame | None = None, rule: str =
     given = sections is not None
     if given:
         s = sections.select(F.col(id_col).alias("_id"), F.col("section").cast("long").alias("section"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).filter("start <= `end`").groupBy("_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "section"))).alias("sections"))
-        d = d.join(s, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "sections")
+        d = d.join(s, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "sections")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = _SPANS.setdefault(path, Spans(path)) if path not in _SPANS else _SPANS[path]
         for b in batches:
             texts = strings(b.column(1))
-            named = [[(x["start"], x["end"], x["section"]) for x in r] for r in b.column(2).to_pylist()] if given else [[(s, e, k) for k, (s, e) in enumerate(paragraphs(t))] for t in texts]
+            named = [[(x["start"], x["end"], x["section"]) for x in r] for r in (x or [] for x in b.column(2).to_pylist())] if given else [[(s, e, k) for k, (s, e) in enumerate(paragraphs(t))] for t in texts]
             at, columns = [], [[] for _ in range(5)]
             for k, ((starts, ends), own) in enumerate(zip(spans.many(texts), named)):
-                bare = [(s, e) for s, e, _ in own]
-                index = attribute(starts, ends, bare, rule)
-                crossing = attribute(starts, ends, bare, "first") != attribute(starts, ends, bare, "last")
+                low, high = np.array(disjoint(own) if given else [x[:2] for x in own], np.int64).reshape(-1, 2).T
+                # Sections without a character touch no token.
+                full = np.flatnonzero(low < high)
+                low, high = low[full], high[full]
+                first, last = touched(starts, ends, low, high)
+                index, crossing = choose(starts, ends, low, high, first, last, rule), first != last
+                index = np.append(full, OUTSIDE)[index]
                 counts = np.bincount(index + 1, minlength=len(own) + 1).tolist()
                 crosses = np.bincount(index[crossing] + 1, minlength=len(own) + 1).tolist()
                 rows = [(name, s, e, counts[j + 1], crosses[j + 1]) for j, (s, e, name) in enumerate(own)]
-                if counts[0]:
+                if counts[0] or not own:
                     rows.append((OUTSIDE, None, None, counts[0], crosses[0]))
                 at += [k] * len(rows)
                 for c, values in zip(columns, zip(*rows)):
