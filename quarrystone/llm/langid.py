@@ -5,8 +5,9 @@ The model is learned here from texts with a known language: counts of hashed cha
 (one to three characters of a word between edge marks) and of scripts, over all training rows.
 Tasks pre-aggregate, so ``languages * BUCKETS`` counts at most come from each task and reach the
 driver, whatever the input.  A word's score for a language is the log-likelihood of its n-grams
-against the best language, not below ``-CLIP``; languages whose training words hardly use the
-word's script are not candidates.  The best labelling pays ``SWITCH`` for every change of language.
+against the best candidate, not below ``-CLIP``; languages whose training words hardly use the
+word's script are no candidates for it (``REMOVED``, a score that no path takes if another can),
+unless no language uses it.  The best labelling pays ``SWITCH`` for every change of language.
 
 Where, for the language of the largest sum, no stretch of words gains more than ``SWITCH`` by any
 other choice, one label for all words is optimal, so the general search is not run.
@@ -31,6 +32,8 @@ from .common import keep_rows, map_arrow, strings, table
 
 BUCKETS = 1 << 15
 CLIP, SWITCH = 4.0, 9.0
+#: Score of a word for a language that is no candidate: worse than two changes of language and any word's scores.
+REMOVED = -1000.0
 #: Least score of a text that a filter keeps; a text in several languages has a low one and is kept.
 KEEP_AT = 0.2
 #: A language is a candidate for a script that at least this share of its training words uses.
@@ -99,7 +102,7 @@ class Model:
         s = np.stack([np.bincount(of, row[at], len(words)) for row in self.log], 1)
         ok = self.allowed[:, scripts(words)].T
         s -= np.where(ok, s, -np.inf).max(1, keepdims=True)
-        return np.maximum(np.where(ok, s, -CLIP), -CLIP).astype(np.float32)
+        return np.where(ok, np.maximum(s, -CLIP), REMOVED).astype(np.float32)
 
     def matrices(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Scores of the words of each text; words that are not kept yet are scored together."""
