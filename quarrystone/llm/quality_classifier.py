@@ -3,12 +3,14 @@ follow-the-regularised-leader updates and scored as sparse dot products.
 
 Words are runs of letters, of digits and of other visible characters, in their case.  Features of
 a text are its distinct n-grams of one and two words, hashed to ``BUCKETS``, each with the square
-root of its share of the places; and n-grams of two to four words by how often they occur in the
-text (class of multiplicity), with their share of the places.
+root of its share of the places; and n-grams of two and of four words by how often they occur in
+the text (class of multiplicity), with their share of the places.  Values are kept to half precision,
+in training and in scoring.
 
 Training takes a bounded sample of labelled rows: at most ``TRAIN_ROWS``, the first by a hash of
-the id; features are made where the texts lie, and one task runs the updates over the sample in
-that order, ``EPOCHS`` times.  The weights (``BUCKETS`` numbers) go to the scoring tasks.
+the id, and of those, in that order, as many as have ``TRAIN_VALUES`` features together, so that the
+sample fits one task; features are made where the texts lie, and one task runs the updates over the
+sample in that order, ``EPOCHS`` times.  The weights (``BUCKETS`` numbers) go to the scoring tasks.
 
 Defined results: a null or empty text has no features and gets the score of the bias; without
 labelled rows every score is 0.5; documents with a null label teach nothing, nor do labels without
@@ -32,6 +34,8 @@ from .common import keep_rows, map_arrow, strings, table
 BUCKETS = 1 << 18
 #: Bound of the training sample, in rows.
 TRAIN_ROWS = 10_000
+#: Bound of the training sample, in features (6 bytes each).
+TRAIN_VALUES = 1 << 24
 EPOCHS = 3
 #: Learning rate, its smoothing, and the two regularisers.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
@@ -81,7 +85,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
             places.append(np.array([zlib.crc32(b"times %d %d" % (n, k)) % BUCKETS for k in at], np.int32))
             values.append(share[at])
     at, first = np.unique(np.concatenate(places), return_inverse=True)
-    return at, np.bincount(first, np.concatenate(values)).astype(np.float32)
+    return at, np.bincount(first, np.concatenate(values)).astype(np.float16).astype(np.float32)
 
 
 def train(rows: Iterator[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> np.ndarray:
@@ -94,7 +98,7 @@ def train(rows: Iterator[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOC
 
     for _ in range(epochs):
         for label, at, x in rows:
-            at, x = np.append(at, BUCKETS), np.append(x, 1.0)
+            at, x = np.append(at, BUCKETS), np.append(x.astype(np.float32), 1.0)
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
             g = (sigmoid(float(w @ x)) - label) * x
@@ -113,8 +117,10 @@ def score(weights: np.ndarray, text: str) -> float:
     return float(sigmoid(float(weights[at] @ x) + float(weights[-1])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights from at most ``rows`` labelled documents."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, values: int = TRAIN_VALUES) -> np.ndarray:
+    """Weights from at most ``rows`` labelled documents with ``values`` features together."""
+    if rows > TRAIN_ROWS:
+        raise ValueError(f"at most {TRAIN_ROWS} rows, as their ids go to every task")
     key = F.col(id_col)
     sample = (
         labels.filter(key.isNotNull() & F.col(label_col).isNotNull())
@@ -136,9 +142,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     made = map_arrow(known, make, f"_id {kind}, _label int, at binary, x binary", 512)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, left = [], values
         for b in batches:
-            rows += [(y, np.frombuffer(a, np.int32), np.frombuffer(x, np.float16).astype(np.float32)) for y, a, x in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
+            for y, a, x in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
+                left -= len(a) // 4
+                if left >= 0:
+                    rows.append((y, np.frombuffer(a, np.int32), np.frombuffer(x, np.float16)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([train(rows).tobytes()], pa.binary())], ["weights"])
 

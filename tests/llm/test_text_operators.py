@@ -283,14 +283,41 @@ def test_token_counts_match_brute_force(spark, odd_docs, no_docs):
 
 
 def test_token_counts_of_given_sections(spark):
-    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "none")], "doc_id long, text string")
-    sections = spark.createDataFrame([(1, 7, 0, 5), (1, 8, 6, 8), (9, 1, 0, 2)], "doc_id long, section long, start long, end long")
-    rows = {r["section"]: r["n_tokens"] for r in token_counts.token_counts(docs, sections).collect()}
-    assert rows[7] >= 1 and set(rows) == {7, 8, token_counts.OUTSIDE}
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "none here"), (3, None)], "doc_id long, text string")
+    sections = spark.createDataFrame([(1, 7, 0, 5), (1, 8, 6, 8), (9, 1, 0, 2), (1, 9, 6, 8), (1, 10, 3, None), (1, 11, 5, 2)], "doc_id long, section long, start long, end long")
+    rows = {}
+    for r in token_counts.token_counts(docs, sections).collect():
+        rows.setdefault(r["doc_id"], {})[r["section"]] = r["n_tokens"]
+    library = token_counts.Spans(token_counts.default_path()).library
+    assert rows[1][7] >= 1 and rows[1][8] >= 1 and rows[1][9] == 0 and set(rows[1]) == {7, 8, 9, token_counts.OUTSIDE}
+    assert sum(rows[1].values()) == len(library.encode("alpha beta gamma").ids) and rows[2] == {token_counts.OUTSIDE: len(library.encode("none here").ids)} and rows[3] == {token_counts.OUTSIDE: 0}
     with pytest.raises(ValueError):
         token_counts.token_counts(docs, rule="middle")
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_of_overlapping_sections_add_up(spark, rule):
+    r = random.Random(13)
+    texts = _texts(30, 14)
+    given = [(k, n, a, a + r.randint(0, 30)) for k, t in enumerate(texts) for n in range(r.randint(0, 6)) for a in [r.randint(0, max(len(t), 1))]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for x in token_counts.token_counts(docs, spark.createDataFrame(given, "doc_id long, section long, start long, end long"), rule).collect():
+        got.setdefault(x["doc_id"], {})[x["section"]] = x["n_tokens"]
+    library = token_counts.Spans(token_counts.default_path()).library
+    for k, t in enumerate(texts):
+        of = {}
+        for start, end, n in sorted((a, b, n) for d, n, a, b in given if d == k):
+            for c in range(start, end):
+                of.setdefault(c, n)
+        want = {n: 0 for d, n, _, _ in given if d == k}
+        for a, b in library.encode(t, add_special_tokens=False).offsets:
+            inside = [of[c] for c in range(a, b) if c in of]
+            name = token_counts.OUTSIDE if not inside else inside[0] if rule == "first" else inside[-1] if rule == "last" else max(dict.fromkeys(inside), key=inside.count)
+            want[name] = want.get(name, 0) + 1
+        assert got[k] == (want or {token_counts.OUTSIDE: 0}), t
+
+
 def test_viterbi_equals_brute_force():
     import itertools
 
@@ -302,6 +329,40 @@ def test_viterbi_equals_brute_force():
         assert abs(sum(s[t, p] for t, p in enumerate(path)) - 5 * sum(a != b for a, b in zip(path, path[1:])) - best) < 1e-9
 
 
+def test_one_label_for_all_words_is_as_good_as_the_search():
+    r = np.random.default_rng(15)
+    model = langid.Model({"a": np.ones(langid.BUCKETS + len(langid.NAMES)), "b": np.ones(langid.BUCKETS + len(langid.NAMES)), "c": np.ones(langid.BUCKETS + len(langid.NAMES))})
+    gain = lambda s, path: sum(s[t, p] for t, p in enumerate(path)) - langid.SWITCH * sum(a != b for a, b in zip(path, path[1:]))
+    short = 0
+    for _ in range(400):
+        s = np.minimum(0, r.normal(size=(int(r.integers(1, 40)), 3)) * r.choice([0.5, 2.0, 4.0]) - 1 + (r.random(3) - 0.5) * 2)
+        got = model.label(s)
+        if isinstance(got, int):
+            short += 1
+            assert abs(gain(s, [got] * len(s)) - gain(s, langid.viterbi(s, langid.SWITCH).tolist())) < 1e-6
+    assert 20 < short < 400
+
+
+def test_word_scores_equal_plain_ones():
+    train = {"de": ["der", "hund", "straße"], "en": ["the", "dog", "the"], "ru": ["собака"]}
+    sums = {}
+    for lang, words in train.items():
+        sums[lang] = np.zeros(langid.BUCKETS + len(langid.NAMES))
+        for w in words:
+            np.add.at(sums[lang], langid.grams([w])[0], 1)
+            sums[lang][langid.BUCKETS + langid.scripts([w])[0]] += 1
+    model = langid.Model(sums)
+    for word in ("the", "hunde", "собака", "中文", "ö"):
+        at, of = langid.grams([word])
+        assert len(at) == len(word) + 2 + len(word) + 1 + len(word) and set(of) == {0}
+        logs = {n: sum(np.log((sums[n][k] + 0.05) / (sums[n][: langid.BUCKETS] + 0.05).sum()) for k in at) for n in train}
+        name = langid.scripts([word])[0]
+        use = [n for n in train if sums[n][langid.BUCKETS + name] / sums[n][langid.BUCKETS :].sum() >= langid.SCRIPT_SHARE] or list(train)
+        top = max(logs[n] for n in use)
+        want = [max(logs[n] - top, -langid.CLIP) if n in use else langid.REMOVED for n in sorted(train)]
+        assert model.score([word])[0].tolist() == pytest.approx(want, abs=1e-3)
+
+
 def test_language_of_held_out_documents(spark, sf):
     rows = langid.query(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
@@ -334,6 +395,57 @@ def test_quality_classifier_held_out(spark):
     assert docs.count() == quality_classifier.query(spark, sf).count()
 
 
+def _plain_features(text):
+    word = lambda x: zlib.crc32(x.encode()) * 0x9E3779B97F4A7C15 % 2**64
+    mult, words = 0xC2B2AE3D27D4EB4F, [word(x) for x in re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", text)]
+    out = {}
+    for n in (1, 2, 4):
+        grams = []
+        for k in range(len(words) - n + 1):
+            g = words[k]
+            for m in range(1, n):
+                g = (g * mult % 2**64) ^ ((words[k + m] + m + 1) % 2**64)
+            grams.append(g)
+        for g in set(grams) if n < 4 else ():
+            at = (g * mult % 2**64) >> 46
+            out[at] = out.get(at, 0) + (grams.count(g) / len(grams)) ** 0.5
+        for k in range(8) if n > 1 and grams else ():
+            share = sum(min(grams.count(g).bit_length() - 1, 7) == k for g in grams) / len(grams)
+            at = zlib.crc32(b"times %d %d" % (n, k)) % quality_classifier.BUCKETS
+            if share:
+                out[at] = out.get(at, 0) + share
+    return out
+
+
+def test_quality_classifier_equals_plain_one(spark):
+    r, c = random.Random(16), quality_classifier
+    texts = [" ".join(r.choice(["buy", "now", "!!", "a", "fine", "text", "7", "_"] if k % 3 else ["long", "and", "fine", "text", "é", "of", "words"]) for _ in range(r.randint(0, 40))) for k in range(60)]
+    for t in texts:
+        at, x = c.features(t)
+        want = _plain_features(t)
+        assert at.tolist() == sorted(want) and x.tolist() == pytest.approx([want[k] for k in sorted(want)], rel=2e-3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, quality int")
+    weights = c.fit(docs, labels)
+    order = [x["doc_id"] for x in labels.selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h").collect()]
+    z, n, w = {}, {}, lambda k: 0.0 if abs(z.get(k, 0)) <= c.L1 else -(z[k] - (c.L1 if z[k] > 0 else -c.L1)) / ((c.BETA + n[k] ** 0.5) / c.ALPHA + c.L2)
+    for _ in range(c.EPOCHS):
+        for k in order:
+            x = dict(zip(*(v.tolist() for v in c.features(texts[k])))) | {c.BUCKETS: 1.0}
+            held = {j: w(j) for j in x}
+            p = 1 / (1 + np.exp(-sum(held[j] * v for j, v in x.items())))
+            for j, v in x.items():
+                g = (p - (k % 3 == 0)) * v
+                z[j] = z.get(j, 0) + g - ((n.get(j, 0) + g * g) ** 0.5 - n.get(j, 0) ** 0.5) / c.ALPHA * held[j]
+                n[j] = n.get(j, 0) + g * g
+    assert {k: weights[k] for k in z} == pytest.approx({k: w(k) for k in z}, abs=1e-4) and np.count_nonzero(weights) <= len(z)
+    for x in c.quality_scores(docs, weights).collect():
+        at = c.features(texts[x["doc_id"]])
+        assert x["score"] == pytest.approx(1 / (1 + np.exp(-sum(w(k) * v for k, v in zip(*(v.tolist() for v in at))) - w(c.BUCKETS))), abs=1e-4)
+    few = c.fit(docs, labels, values=sum(len(c.features(texts[k])[0]) for k in order[:5]))
+    assert np.allclose(few, c.train([(int(k % 3 == 0), *c.features(texts[k])) for k in order[:5]]), atol=1e-5)
+
+
 def test_quality_classifier_edges(spark, odd_docs, no_docs):
     none = quality_classifier.fit(odd_docs, spark.createDataFrame([(99, 1), (3, None)], "doc_id long, quality int"))
     assert {r["score"] for r in quality_classifier.quality_scores(odd_docs, none).collect()} == {0.5}
