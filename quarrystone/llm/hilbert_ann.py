@@ -2,17 +2,20 @@
 
 Vectors are projected to ``DIMS`` dimensions by ``CURVES`` random orthogonal maps, each with a shift
 of its own, and numbered along a Hilbert curve.  Quantiles of the numbers cut every curve into
-windows of about equally many vectors.  A query is sent to its own window and to the
-neighbouring ones on every curve, the candidates of all curves merge, and the nearest by exact
-Euclidean distance in double precision are kept.  The index holds every vector.
+windows of about equally many vectors; Spark range-partitions the vectors by curve and window, so a
+task holds stretches of a curve and takes them window by window.  A query is sent to its own window
+and to the neighbouring ones on every curve, the candidates of all curves merge, and the nearest by
+exact Euclidean distance in double precision are kept.  The index holds every vector: ``CURVES`` copies
+of each are shuffled, in the precision given.
 
 Equal vectors are one point of the index; of their ids the ``k + 1`` smallest can be among anyone's
 ``k`` nearest, and only those are kept (a limit that is exact, applied before any shuffle).
 
 A window is a share of all vectors (``SHARE``), not a number: in data without a low-dimensional
 shape, near neighbours are no nearer on a curve than their share, so a fixed number would lose
-recall as the table grows.  Windows of more than ``WINDOW_ROWS`` rows are cut further and
-the query goes to more of them, so that a task's memory stays bounded.
+recall as the table grows.  A window has ``WINDOW_LEAST`` rows at least; shares of more than
+``WINDOW_ROWS`` rows are cut into several windows and the query goes to all of them, so that a task's
+memory stays bounded.
 
 Defined results: vectors that are null, empty, all zero, or hold a null or non-finite component take
 no part, nor do rows without an id or vectors of another length than the most frequent one; with
@@ -31,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, shared_dir, table
 
-CURVES, DIMS, BITS, SEED = 24, 8, 7, 20
+CURVES, DIMS, BITS, SEED = 10, 8, 7, 20
 #: Windows of a curve each hold this share of the vectors; a query also searches one on either side.
-SHARE = 1 / 56
+SHARE = 1 / 25
 #: Rows of a window, at least and at most, on average.
 WINDOW_LEAST, WINDOW_ROWS = 160, 50_000
 
@@ -83,8 +86,9 @@ class Curves:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): finite, not all zero, minus zero as zero."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))
+    """(vec_id, v): finite, not all zero, minus zero as zero; floats stay floats, other numbers become doubles."""
+    kind = "float" if vectors.select(vector_col).schema[0].dataType.simpleString() == "array<float>" else "double"
+    v = F.transform(F.col(vector_col), lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
     d = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return d.filter(~F.coalesce(bad, F.lit(True))).filter(F.exists("v", lambda x: x != 0.0))
@@ -98,12 +102,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     spark = vectors.sparkSession
     folder = shared_dir(spark)
     base = usable(vectors, id_col, vector_col)
-    row = base.groupBy(F.size("v").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("sq")).orderBy(F.desc("n"), "length").first()
+    row = base.groupBy(F.size("v").alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("sq")).orderBy(F.desc("n"), "length").first()
     if row is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     length, n = row["length"], row["n"]
     shape = Curves(length, float(np.sqrt(row["sq"] / length)), curves)
     base = base.filter(F.size("v") == length)
+    kind = np.dtype("<f4" if base.schema["v"].dataType.simpleString() == "array<float>" else "<f8")
     # The limit runs before the shuffle too, so a vector that many rows share stays small.
     first = base.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("_r") <= k + 1)
     points = first.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
@@ -123,31 +128,34 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     bounds = {r["curve"]: np.array(r["at"] or [], np.int64) for r in found}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["curve", "window", "point", "x", "ids", "asks"]
         for b in batches:
             x = matrix(b.column(1), length)
             keys = shape.keys(x)
-            raw = [r.tobytes() for r in x]
-            point, ids, asks = b.column(0).to_pylist(), b.column(2).to_pylist(), np.array(b.column(3).to_pylist())
-            out = []
+            n, raw = len(x), x.astype(kind).tobytes()
+            vector = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * length * kind.itemsize).astype(np.int32).tobytes()), pa.py_buffer(raw)])
+            asks = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False))
             for c in range(curves):
-                window = np.searchsorted(bounds[c], keys[:, c], "right")
-                out += [(c, w, p, r, i, False) for w, p, r, i in zip(window.tolist(), point, raw, ids)]
-                for k in np.flatnonzero(asks).tolist():
-                    out += [(c, w, point[k], raw[k], None, True) for w in range(max(0, window[k] - reach), min(cuts - 1, window[k] + reach) + 1)]
-            names = ["curve", "window", "point", "x", "ids", "asks"]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-
-    def rerank(key, rows):
+                window = np.searchsorted(bounds[c], keys[:, c], "right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c, np.int32)), pa.array(window), b.column(0), vector, b.column(2), pa.array(np.zeros(n, bool))], names)
+                for k in range(-reach, reach + 1):
+                    at = asks[(window[asks] + k >= 0) & (window[asks] + k < cuts)]
+                    if len(at):
+                        rows = pa.array(at)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)), pa.array(window[at] + np.int32(k)), b.column(0).take(rows), vector.take(rows), pa.nulls(len(at), b.column(2).type), pa.array(np.ones(len(at), bool))], names)
+
+    def rerank(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
         asks = rows.column("asks").to_numpy(zero_copy_only=False)
         data, queries = rows.filter(pa.array(~asks)), rows.filter(pa.array(asks))
-        x = np.frombuffer(b"".join(data.column("x").to_pylist()), np.float64).reshape(-1, length)
-        ids = data.column("ids").to_pylist()
+        x = np.frombuffer(b"".join(data.column("x").to_pylist()), kind).reshape(-1, length).astype(np.float64)
+        ids = data.column("ids").combine_chunks()
+        first, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
         out_q, out_i, out_s = [], [], []
         raw, point = queries.column("x").to_pylist(), queries.column("point").to_pylist()
         norm = (x * x).sum(1)
         for a in range(0, len(raw) if len(x) else 0, 256):
-            q = np.frombuffer(b"".join(raw[a : a + 256]), np.float64).reshape(-1, length)
+            q = np.frombuffer(b"".join(raw[a : a + 256]), kind).reshape(-1, length).astype(np.float64)
             rough = norm - 2 * (q @ x.T)
             for j in range(len(q)):
                 # All rows within rounding of the (k + 1)th nearest are measured exactly.
@@ -157,14 +165,28 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
                 else:
                     at = np.arange(len(x))
                 exact = np.sqrt(((q[j] - x[at]) ** 2).sum(1))
-                pairs = sorted((s, i) for s, r in zip(exact.tolist(), at.tolist()) for i in ids[r])[: k + 1]
+                pairs = sorted((s, i) for s, r in zip(exact.tolist(), at.tolist()) for i in flat[first[r] : first[r + 1]].tolist())[: k + 1]
                 out_q += [point[a + j]] * len(pairs)
                 out_s += [s for s, _ in pairs]
                 out_i += [i for _, i in pairs]
-        return pa.table([pa.array(out_q, pa.int64()), pa.array(out_i, pa.int64()), pa.array(out_s, pa.float64())], ["point", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_i, pa.int64()), pa.array(out_s, pa.float64())], ["point", "vec_id", "score"])
 
-    dealt = map_arrow(points, deal, "curve int, window int, point long, x binary, ids array<long>, asks boolean", 256)
-    near = dealt.groupBy("curve", "window").applyInArrow(rerank, "point long, vec_id long, score double")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for b in batches:
+            place = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy()
+            cut = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+            for start, stop in zip(cut[:-1], cut[1:]):
+                if held and place[start] != now:
+                    yield rerank(held)
+                    held = []
+                now = place[start]
+                held.append(b.slice(start, stop - start))
+        if held:
+            yield rerank(held)
+
+    dealt = map_arrow(points, deal, "curve int, window int, point long, x binary, ids array<long>, asks boolean", 1024)
+    near = map_arrow(dealt.repartitionByRange("curve", "window").sortWithinPartitions("curve", "window"), search, "point long, vec_id long, score double", 4096)
     best = near.groupBy("point", "vec_id").agg(F.min("score").alias("score"))
     best = best.withColumn("_r", F.row_number().over(Window.partitionBy("point").orderBy("score", "vec_id"))).filter(F.col("_r") <= k + 1)
     of = points.filter("asks").select("point", F.col("v").alias("_p")).join(asked.withColumnRenamed("vec_id", "query_id"), F.col("_p") == F.col("_v")).select("query_id", F.col("point").alias("_point"))

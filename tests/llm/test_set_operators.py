@@ -1,5 +1,6 @@
 """Similarity join, nearest neighbours, chat trees and the pipeline: brute force and edge cases."""
 
+import os
 import random
 
 import numpy as np
@@ -139,14 +140,21 @@ def test_small_tables_are_exact(spark):
     assert hilbert_ann.nearest(d.filter("vec_id in (0, 1, 2)"), "vec_id = 0").count() == 2
 
 
-def test_recall(spark):
-    sf = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("name, stated", [("sf0.1", 0.9), ("check_s", 0.9)])
+def test_recall(spark, name, stated):
+    """Against brute force; with the given windows a query sees about 0.7 of the vectors where a table has all windows, as check_s has."""
+    sf = f"/root/testdata/{name}"
+    if not os.path.exists(sf):
+        pytest.skip("no such table here")
     e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
     v = dict(zip(e.vec_id.tolist(), np.array(e.embedding.tolist(), np.float64)))
-    want = _nearest(v, [k for k in v if k % 100 == 0], 10)
+    want = _nearest(v, [k for k in v if k % 100 == 0][:60], 10)
     got = hilbert_ann.query(spark, sf).toPandas()
+    got = got[got["query_id"].isin(want.keys())]
     hit = sum(len({i for i, _ in want[q]} & set(g.vec_id)) for q, g in got.groupby("query_id"))
-    assert hit >= 0.9 * 10 * len(want)
+    assert hit >= stated * 10 * len(want)
+    exact = {(q, i): s for q in want for i, s in want[q]}
+    assert all(abs(exact[r.query_id, r.vec_id] - r.score) < 1e-12 for r in got.itertuples() if (r.query_id, r.vec_id) in exact)
 
 
 def test_template_round_trip():
