@@ -1,6 +1,10 @@
 """Corpus pipeline: language, quality, near duplicates, packing.
 
 Each stage takes all that its predecessor kept, written as Parquet and read again.
+
+Defined results, of every stage: an empty table gives an empty result; the filters return rows as they
+are, with any further columns whatever their names, and judge equal rows alike; ``doc_id`` and ``text``
+may be null, other columns but those a stage names are not read.
 """
 
 from __future__ import annotations
@@ -12,22 +16,34 @@ from quarrystone.llm.common import discard, materialize, shared_dir, table
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those of no clear language."""
+    """Drops documents without a letter and those spread over so many languages that none has a share.
+
+    The model is learned from text and ``lang`` of all rows; rows where one is null teach nothing.  Null
+    and empty texts go, so do all where nothing can be learned; very long texts are read whole.
+    """
     return langid.in_known_language(docs, langid.learn(docs))
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier, trained on the labels of ``docs``, rejects."""
+    """Drops documents that the classifier, trained on the labels of ``docs``, rejects.
+
+    Labels come by ``doc_id``; without any, and for empty or null texts, the score is the bias's.  A score
+    at the threshold stays.
+    """
     return quality_classifier.of_quality(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates, the one with the smallest ``doc_id``.
+
+    Texts without words are like no other and stay; of rows that repeat an id one stays, the one with
+    the smallest text; rows without an id all stay.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences."""
+    """Packs the documents' tokens into sequences; a null or empty text is its end token alone."""
     return packing.pack_documents(docs)
 
 
