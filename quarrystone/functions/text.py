@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import BANNED_DOMAINS, DISCRIMINATORS, GENERIC_URLS, MISSING_ENTITY, NAME_PATTERNS, NOT_SPECIFIED, NOT_SPECIFIED_MARKERS, OUT_OF_SCOPE_NAMES, OUT_OF_SCOPE_SUFFIXES, PAPER_DOMAINS, PROJECTS, STOP_WORDS
+from .constants import ADMIN_TERMS, BANNED_DOMAINS, DISCRIMINATORS, GENERIC_URLS, MISSING_ENTITY, NAME_PATTERNS, NOT_SPECIFIED, NOT_SPECIFIED_MARKERS, OUT_OF_SCOPE_NAMES, OUT_OF_SCOPE_SUFFIXES, PAPER_DOMAINS, PROJECTS, RUN_PREFIXES, RUN_PROJECTS, SAFE_ENDINGS, SAFE_FILES, STOP_WORDS, TRASH_WORDS
 
 URL = r"https?://[^\s'\"\])>,]+"
 
@@ -277,6 +277,61 @@ def file_type(x: Column | str) -> Column:
     return _ordered(s, cases, "Other")
 
 
+def is_console_file(x: Column | str) -> Column:
+    """Whether a file comes from a cloud console, by its name."""
+    return any_of(F.lower(text_or_empty(x)), ("cloud", "cascade", "monolithic", "consolelog"))
+
+
+def is_admin_file(x: Column | str) -> Column:
+    """Whether a file name is an administrative one: no console file, and of no project, a script or with a word of those."""
+    s = F.lower(text_or_empty(x))
+    homeless = (project_of_file(x) == "Unknown") & ~text_or_empty(x).startswith("Bench_")
+    script = reduce(lambda a, b: a | b, [s.endswith(e) for e in (".py", ".sh", ".json", ".md")])
+    return ~is_console_file(x) & (homeless | script | any_of(s, ADMIN_TERMS))
+
+
+def workspace_folder(x: Column | str) -> Column:
+    """Where a workspace file belongs by its name: Ignored, VRAM, Trash_Bin, Colab, run2 or run1, the first that holds."""
+    s = F.lower(text_or_empty(x))
+    ends = lambda endings: reduce(lambda a, b: a | b, [s.endswith(e) for e in endings])
+    short = [s.contains(f"_{p}_") | s.startswith(f"{p}_") for p in RUN_PROJECTS if len(p) == 2]
+    run1 = reduce(lambda a, b: a | b, short) | any_of(s, [p for p in RUN_PROJECTS if len(p) > 2])
+    cases = [
+        (ends(SAFE_ENDINGS) | s.isin(*SAFE_FILES) | s.contains("goldenkb"), "Ignored"),
+        (s.contains("vram") & s.endswith(".csv"), "VRAM"),
+        (any_of(s, TRASH_WORDS) | ~ends((".csv", ".log", ".txt")), "Trash_Bin"),
+        (any_of(s, ("cloud", "colab", "20260702")), "Colab"),
+        (any_of(s, ("run2", "20260707", "20260708")), "run2"),
+        (run1, "run1"),
+    ]
+    return _ordered(s, cases, "Trash_Bin")
+
+
+def is_run_file(x: Column | str) -> Column:
+    """Whether a file name has the prefix of a project's runs."""
+    s = F.lower(text_or_empty(x))
+    return reduce(lambda a, b: a | b, [s.startswith(p) for p in RUN_PREFIXES])
+
+
+def parsed_time(x: Column | str) -> Column:
+    """A text as a time, by the first format that it has; null where it has none."""
+    s = strip(text_or_empty(x))
+    formats = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy", "yyyyMMdd_HHmm", "yyyyMMdd")
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+
+
+def head_of(x: Column | str, n: int) -> Column:
+    """The first ``n`` characters of a text."""
+    return F.substring(text_or_empty(x), 1, n)
+
+
+def project_in_text(x: Column | str, within: int = 50_000) -> Column:
+    """Project that the head of a log names."""
+    mark = r"(?i)(?:Processing Project|STARTING PROJECT|Project|STARTING:.*?\|\s*Project):\s*([A-Za-z0-9_]+)"
+    found = F.regexp_extract(head_of(x, within), mark, 1)
+    return F.when(found == "", "Unknown").otherwise(project_of_file(found))
+
+
 def fill_template(template: Column | str, name: Column | str) -> Column:
     return F.replace(text_or_empty(template), F.lit("{name}"), text_or_empty(name))
 

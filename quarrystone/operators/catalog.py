@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions.constants import COLLECTION_KEYWORDS, EXACT_COLLECTIONS, GATE, INVALID_NAMES, LEAF_PATTERNS, LOCK, MISSING_CELL, PROVIDER_KEYWORDS
 from quarrystone.functions.text import any_of, clean_url, in_scope, strip, text_or_empty, tidy_url, is_banned_url
 from quarrystone.functions.values import cell_missing, confidence
+from quarrystone.operators.work import few
 
 CELL = "struct<value:string,confidence:double>"
 
@@ -68,8 +69,9 @@ def classify_results(results: DataFrame, cells: DataFrame, keys: Sequence[str])
 
 
 def candidate_cells(datasets: DataFrame, fields: DataFrame, cells: DataFrame, name: str = "dataset_name", lock: float = LOCK) -> DataFrame:
-    """All (dataset, field) pairs whose cell is below the lock; fields are the schema's few rows."""
-    grid = datasets.select(name).distinct().join(F.broadcast(fields.select("field").distinct()), F.lit(True))
+    """All (dataset, field) pairs whose cell is below the lock; fields are the schema's few rows, a thousand at most."""
+    known = [r["field"] for r in few(fields.select("field").distinct(), 1_000)]
+    grid = datasets.select(name).distinct().withColumn("field", F.explode(F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")))
     joined = grid.join(cells.select(name, "field", "confidence"), [name, "field"], "left")
     return joined.withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).filter(F.col("confidence") < lock)
 

@@ -33,7 +33,9 @@ def prepared(records: DataFrame, id_: str, name: Column, type_: Column, t: Colum
     )
     # Ranks of all records: ranges are sorted, ids rise within and over them.
     keys = [f"_o{k}" for k in range(len(order))] + ["id"]
-    return d.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("ord", F.monotonically_increasing_id()).drop(*[f"_o{k}" for k in range(len(order))])
+    ranked = d.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("ord", F.monotonically_increasing_id()).drop(*[f"_o{k}" for k in range(len(order))])
+    # Written once, as numbers may fall otherwise when they are made again.
+    return written(ranked, folder(records.sparkSession), "ranked")
 
 
 def reason(pairs: DataFrame, later: str = "b", leader: str = "a") -> DataFrame:

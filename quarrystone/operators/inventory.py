@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.constants import JOB_SECONDS
 from quarrystone.functions.text import context_of_file, file_type, model_of_file, project_of_file, run_of_file, time_of_file
+from quarrystone.operators.work import few
 
 
 def registry(files: DataFrame, path: str) -> DataFrame:
@@ -43,10 +44,11 @@ def completion_matrix(rows: DataFrame, keys: Sequence[str], column: str, values:
 
 
 def missing_combinations(sides: Sequence[DataFrame], actual: DataFrame) -> DataFrame:
-    """Combinations of the sides' few values that ``actual`` lacks."""
+    """Combinations of the sides' few values, a thousand rows a side at most behind the first, that ``actual`` lacks."""
     grid = sides[0]
     for s in sides[1:]:
-        grid = grid.join(F.broadcast(s), F.lit(True))
+        rows = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, s.schema)]) for r in few(s, 1_000)])
+        grid = grid.select("*", F.inline(rows))
     return grid.join(actual.select(*grid.columns).distinct(), grid.columns, "left_anti")
 
 
@@ -80,6 +82,20 @@ def stalled(gaps: Sequence[int], least: int = 2, rounds: int = 3) -> bool:
     return len(closed) >= rounds and all(c < least for c in closed[-rounds:])
 
 
+def stalls(rounds: DataFrame, key: str, order: str, gaps: str, least: int = 2, times: int = 3) -> DataFrame:
+    """Adds ``closed``, the gaps that a round closed, and ``stalled``: it and the rounds before, ``times`` in all, each closed fewer than ``least``."""
+    w = Window.partitionBy(key).orderBy(order)
+    d = rounds.withColumn("closed", F.lag(gaps).over(w) - F.col(gaps))
+    few_closed = F.sum(F.coalesce((F.col("closed") < least).cast("int"), F.lit(0))).over(w.rowsBetween(1 - times, 0))
+    return d.withColumn("stalled", few_closed == times)
+
+
+def first_gaps(gaps: DataFrame, key: str, order: str, most: int = 15) -> DataFrame:
+    """The first ``most`` gaps of each round in scan order, which are searched."""
+    w = Window.partitionBy(key).orderBy(order)
+    return gaps.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
+
+
 def sampled_peaks(series: DataFrame, key: str, value: str) -> DataFrame:
     """Samples, peak and mean of a sampled series; marks that are no numbers do not count."""
     v = F.col(value).cast("string").try_cast("double")

@@ -60,6 +60,11 @@ def match_any(rows: DataFrame, names: DataFrame, columns: Sequence[str], name: s
     return names.join(spread, F.col(name) == F.col("_key")).groupBy(name).agg(F.min_by(F.struct(*[c for c in rows.columns]), order).alias("row")).select(name, "row.*")
 
 
+def absent(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct rows of the batch that are not known."""
+    return batch.subtract(known.select(*batch.columns))
+
+
 def insert_absent(base: DataFrame, batch: DataFrame, key: Column, other: Column) -> DataFrame:
     """Rows of the batch whose key the base lacks."""
     return batch.withColumn("_k", other).join(base.select(key.alias("_k")).distinct(), "_k", "left_anti").drop("_k")
@@ -70,6 +75,8 @@ def new_ids(batch: DataFrame, base: DataFrame, column: str, prefix: str, order:
     top = base.agg(F.coalesce(F.max(F.regexp_extract(F.col(column), "([0-9]+)$", 1).try_cast("long")), F.lit(0)).alias("_top"))
     # Running numbers of a whole batch: ranges are counted, then numbered within.
     ranged = batch.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
+    # Written once, as ranges may fall otherwise when they are made again.
+    ranged = written(ranged, folder(batch.sparkSession), "ranged")
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy("_n"))

@@ -25,25 +25,36 @@ def new_documents(batch: DataFrame, indexed: DataFrame, ref: str, content: str,
     return d.withColumn("_r", F.row_number().over(Window.partitionBy(ref).orderBy(order))).filter("_r = 1").drop("_r")
 
 
-def chunks(docs: DataFrame, id_: str, text: str, size: int = CHUNK_WORDS) -> DataFrame:
+def chunks(docs: DataFrame, id_: str, text: str, size: int = CHUNK_WORDS, overlap: int = 0) -> DataFrame:
     """(id, chunk, text): whole sentences packed in order, up to ``size`` words; a longer sentence is its own chunk.
 
     A token is a word between white space; sentences end at ``.``, ``!`` or ``?`` before white space, or at a line feed.
+    A chunk repeats the last sentences of the one before that have ``overlap`` words together at most and
+    leave room for the next sentence.
     """
     parts = F.filter(F.split(text_or_empty(text), r"(?<=[.!?])\s+|\n+"), lambda s: strip(s) != "")
     words = lambda s: F.size(F.split(strip(s), r"\s+"))
-    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
-
-    def step(a, s):
-        fits = (a["n"] == 0) | (a["n"] + words(s) <= size)
-        joined = F.when(a["n"] == 0, s).otherwise(F.concat(a["open"], F.lit(" "), s))
-        go = F.struct((a["n"] + words(s)).alias("n"), joined.alias("open"), a["done"].alias("done"))
-        cut = F.struct(words(s).alias("n"), s.alias("open"), F.array_append(a["done"], a["open"]).alias("done"))
+    sized = F.transform(parts, lambda s: F.struct(words(s).alias("n"), s.alias("s")))
+    # Where each chunk begins and ends, as numbers of sentences; the texts are put together once, behind the fold.
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("n"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
+
+    def step(a, x):
+        fits = (a["n"] == 0) | (a["n"] + x["n"] <= size)
+        go = F.struct((a["at"] + 1).alias("at"), a["first"].alias("first"), (a["n"] + x["n"]).alias("n"), a["done"].alias("done"))
+        closed = F.struct(a["first"].alias("first"), a["at"].alias("last"))
+        back = F.aggregate(
+            F.reverse(F.slice(F.col("_s"), a["first"] + 1, a["at"] - a["first"])),
+            F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("on")),
+            lambda b, y: F.when(b["on"] & (b["n"] + y["n"] <= overlap) & (b["n"] + y["n"] + x["n"] <= size), F.struct((b["k"] + 1).alias("k"), (b["n"] + y["n"]).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(b["k"].alias("k"), b["n"].alias("n"), F.lit(False).alias("on"))),
+        )
+        k, n = (back["k"], back["n"]) if overlap else (F.lit(0), F.lit(0))
+        cut = F.struct((a["at"] + 1).alias("at"), (a["at"] - k).alias("first"), (n + x["n"]).alias("n"), F.array_append(a["done"], closed).alias("done"))
         return F.when(fits, go).otherwise(cut)
 
-    end = lambda a: F.when(a["n"] > 0, F.array_append(a["done"], a["open"])).otherwise(a["done"])
-    d = docs.select(F.col(id_), parts.alias("_p"))
-    return d.select(id_, F.posexplode(F.aggregate("_p", start, step, end)).alias("chunk", "text"))
+    end = lambda a: F.when(a["n"] > 0, F.array_append(a["done"], F.struct(a["first"].alias("first"), a["at"].alias("last")))).otherwise(a["done"])
+    d = docs.select(F.col(id_), sized.alias("_s"))
+    d = d.select(id_, "_s", F.posexplode(F.aggregate("_s", start, step, end)).alias("chunk", "_c"))
+    return d.select(id_, "chunk", F.array_join(F.transform(F.slice("_s", F.col("_c.first") + 1, F.col("_c.last") - F.col("_c.first")), lambda x: x["s"]), " ").alias("text"))
 
 
 def norm(v: Column) -> Column:

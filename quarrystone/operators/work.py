@@ -23,6 +23,14 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def few(df: DataFrame, most: int = 10_000) -> list:
+    """Rows of a table that must be small, for plans that hold them as literals; more than ``most`` are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return rows
+
+
 def written(df: DataFrame, path: str, name: str, codec: str = "snappy") -> DataFrame:
     df.write.mode("overwrite").option("compression", codec).parquet(f"{path}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")

@@ -91,11 +91,14 @@ def inspected(content: pd.Series, name: pd.Series) -> pd.DataFrame:
 
 
 def inspect_files(spark: SparkSession, path: str, pattern: str | None = None, largest: int = LARGEST) -> DataFrame:
-    """Inspects all files below a path that hold a byte; too large ones are left out by their metadata, before they are read."""
+    """Inspects all files below a path; too large ones are refused by their metadata, before they are read, and say so."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         r = r.option("pathGlobFilter", pattern)
-    return r.load(path).filter(F.col("length") <= largest).select("path", "length", inspected("content", "path").alias("result")).select("path", "length", "result.*")
+    files = r.load(path)
+    read = files.filter(F.col("length") <= largest).select("path", "length", inspected("content", "path").alias("result"))
+    refused = F.struct(*[F.lit({"status": "ERROR", "file_type": "UNKNOWN", "error": "too large"}.get(f.name)).cast(f.dataType).alias(f.name) for f in RESULT])
+    return read.unionByName(files.filter(F.col("length") > largest).select("path", "length", refused.alias("result"))).select("path", "length", "result.*")
 
 
 def raw_url(url):

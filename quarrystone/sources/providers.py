@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Provider(ABC):
@@ -34,6 +37,52 @@ class Disabled(Provider):
         return [None] * len(prompts)
 
 
+class Embedder(ABC):
+    """Vectors of texts, inside the executors."""
+
+    @abstractmethod
+    def embed(self, texts: list[str]) -> list[list[float]]: ...
+
+    def ready(self) -> bool:
+        """Whether it can be used here."""
+        return True
+
+    def apply(self, rows: DataFrame, text: str = "text", vector: str = "embedding") -> DataFrame:
+        """Adds vectors; each distinct text is embedded once, null and blank ones have none."""
+        embedder = self
+
+        def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b.assign(**{vector: embedder.embed(b[text].tolist())})
+
+        asked = rows.select(text).filter(F.trim(text) != "").distinct().mapInPandas(f, f"`{text}` string, `{vector}` array<float>")
+        return rows.join(asked, text, "left")
+
+
+class HashedWords(Embedder):
+    """Counts of a text's words in hashed places with hashed signs, of length one; it needs no model."""
+
+    def __init__(self, size: int = 64):
+        self.size = size
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out = np.zeros((len(texts), self.size))
+        for k, text in enumerate(texts):
+            for word in text.lower().split():
+                h = zlib.crc32(word.encode())
+                out[k, h % self.size] += 1 if h >> 31 else -1
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(length > 0, length, 1)).tolist()
+
+
+def first_ready(candidates: Sequence[Embedder]) -> Embedder:
+    """The first of several embedders that can be used here."""
+    found = next((c for c in candidates if c.ready()), None)
+    if found is None:
+        raise LookupError("no embedder is ready")
+    return found
+
+
 class Harvester(ABC):
     """A source of catalog records."""
 

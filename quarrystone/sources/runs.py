@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.constants import SCHEMA_MAP
-from quarrystone.functions.text import normalize, project_of_file, stamp_of_file, strip, text_or_empty
+from quarrystone.functions.text import head_of, normalize, project_of_file, stamp_of_file, strip, text_or_empty
 from quarrystone.operators.inventory import carry_forward
 
 NO_VALUES = ("", "nan", "none", "[missing]", "unknown")
@@ -54,9 +54,10 @@ def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.posexplode(F.split(text_or_empty(text), "\r?\n")).alias("line_no", "line"))
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row a file, whole, with its path."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+def read_logs(spark: SparkSession, path: str, head: int | None = None) -> DataFrame:
+    """One row a file, whole or its first ``head`` characters, with its path."""
+    text = F.col("value") if head is None else head_of("value", head)
+    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), text.alias("text"))
 
 
 def cells_of(line: Column) -> Column:

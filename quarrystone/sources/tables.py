@@ -40,23 +40,33 @@ def read_sheet(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFr
 
 
 def read_table(spark: SparkSession, root: str, tab: str) -> DataFrame:
-    """A tab of the knowledge base, empty where it was never written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{tab}")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in TABS[tab]))
-    return conform(spark.read.parquet(f"{root}/{tab}"), TABS[tab])
+    """A tab of the knowledge base, empty where it was never written.
+
+    Between the two renames of a writer that was lost, the tab stands under its former name.
+    """
+    for name in (tab, f"_{tab}.before"):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return conform(spark.read.parquet(f"{root}/{name}"), TABS[tab])
+    return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in TABS[tab]))
 
 
 def write_table(df: DataFrame, root: str, tab: str) -> None:
-    """Replaces a tab: written beside it, then renamed, so that a reader never sees half of it."""
+    """Replaces a tab: written beside it, then the present one steps aside and the new one takes its place.
+
+    A reader sees either whole, as ``read_table`` knows the name that the former one has meanwhile.
+    """
     spark = df.sparkSession
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    stage, target = fs_path(f"{root}/_{tab}"), fs_path(f"{root}/{tab}")
+    stage, target, before = fs_path(f"{root}/_{tab}"), fs_path(f"{root}/{tab}"), fs_path(f"{root}/_{tab}.before")
     out = conform(df, TABS[tab])
     out.select(*[guard_formula(F.col(f"`{c}`")).alias(c) for c in out.columns]).write.mode("overwrite").parquet(f"{root}/_{tab}")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
+    if fs.exists(target):
+        fs.delete(before, True)
+        fs.rename(target, before)
     fs.rename(stage, target)
+    fs.delete(before, True)
 
 
 def append_row(spark: SparkSession, root: str, tab: str, row: dict) -> None:
