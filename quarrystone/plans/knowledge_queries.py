@@ -178,7 +178,7 @@ def dedupe_first(spark, d):
 def new_brands(spark, d):
     sold = t(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")).distinct()
     p = t(spark, d, "part")
-    return p.select("p_name").subtract(p.join(sold, "p_partkey", "left_semi").filter("p_size > 25").select("p_name"))
+    return kb.absent(p.select("p_name", "p_brand"), p.join(sold, "p_partkey", "left_semi").filter("p_size > 25"))
 
 
 def _parts(spark, d):
@@ -256,7 +256,7 @@ QUERIES = {
     "kb_unrun_projects": (unrun, "SELECT 'proj_' || n_nationkey AS project FROM nation WHERE n_nationkey % 7 <> 0 AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 3 = 0)"),
     "kb_link_fan_out": (fan_out, "SELECT o_custkey AS c_custkey, count(DISTINCT o_orderstatus) AS projects FROM orders GROUP BY 1"),
     "kb_dedupe_keep_first": (dedupe_first, "SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY lower(trim(text, ' '))"),
-    "kb_new_names": (new_brands, "SELECT DISTINCT p_name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size > 25 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49))"),
+    "kb_new_names": (new_brands, "SELECT p_name, p_brand FROM part EXCEPT SELECT p_name, p_brand FROM part WHERE p_size > 25 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)"),
     "entity_fuzzy_pairs": (fuzzy_pairs, None),
     "entity_leader_groups": (groups, None),
     "entity_merge_summary": (merge_summary, None),

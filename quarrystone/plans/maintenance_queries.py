@@ -92,9 +92,11 @@ def simple_queries(spark, d):
 
 
 def page_counts(spark, d):
-    n = t(spark, d, "nation").select("n_nationkey", F.concat(F.lit("<div><p>Instances</p><p>1 of "), (F.col("n_nationkey") + 10).cast("string"), F.lit("</p></div>")).alias("html"))
-    r = n.select("n_nationkey", pages.page_numbers("html").alias("n"))
-    return r.select("n_nationkey", F.col("n.features").alias("features"))
+    """Pages that show a count of instances, some a count of features and some a table of variables."""
+    k = F.col("page_id")
+    shown = F.when(k % 3 == 0, F.concat(F.lit("<div><p>Number of Features</p><p>7, then "), (k % 50 + 1).cast("string"), F.lit(" in all</p></div>"))).when(k % 3 == 1, F.concat(F.lit("<table><tr><th>Variable</th></tr>"), F.repeat(F.lit("<tr><td>x</td></tr>"), (k % 7 + 1).cast("int")), F.lit("</table>"))).otherwise("")
+    p = t(spark, d, "pages").select("page_id", F.concat(F.lit("<div><p>Instances</p><p>1 of "), (k + 10).cast("string"), F.lit(" rows</p></div>"), "html", shown).alias("html"))
+    return p.select("page_id", pages.page_numbers("html").alias("n")).select("page_id", "n.instances", "n.features")
 
 
 def provider_answers(spark, d):
@@ -112,6 +114,6 @@ QUERIES = {
     "catalog_without_data_url": (zombies, "SELECT c_name AS dataset_name FROM customer WHERE c_nationkey % 3 <> 1 AND c_custkey % 4 <> 0"),
     "catalog_maintain": (chain, _CHAIN),
     "text_simple_queries": (simple_queries, "SELECT p_partkey, p_name || '  size' AS q, p_brand AS cell FROM part"),
-    "page_counts": (page_counts, "SELECT n_nationkey, CAST(NULL AS BIGINT) AS features FROM nation"),
+    "page_counts": (page_counts, "SELECT page_id, page_id + 10 AS instances, CASE page_id % 3 WHEN 0 THEN page_id % 50 + 1 WHEN 1 THEN page_id % 7 + 1 END AS features FROM pages"),
     "entity_provider_answers": (provider_answers, "SELECT event_id, event_id % 3 = 0 AS same FROM events"),
 }

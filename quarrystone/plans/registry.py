@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, evaluation_queries, knowledge_queries, maintenance_queries, text_queries
+from . import catalog_queries, evaluation_queries, knowledge_queries, maintenance_queries, source_queries, text_queries
 
 FLAGSHIP = "catalog_cell_fold"
-_MODULES = (catalog_queries, evaluation_queries, knowledge_queries, maintenance_queries, text_queries)
+_MODULES = (catalog_queries, evaluation_queries, knowledge_queries, maintenance_queries, source_queries, text_queries)
 
 
 def queries() -> dict:

@@ -265,14 +265,18 @@ SELECT query_id, md5(c) AS digest, length(c) AS n FROM c
 
 
 def best_files(spark, d):
-    n = t(spark, d, "nation").select("n_nationkey", F.concat(F.lit('<a href="../">up</a><a href="b.txt">b</a><a href="'), F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, ".csv").otherwise(".zip"), F.lit('">x</a><a href="README.md">r</a>')).alias("html"))
-    return pages.best_file(n, "n_nationkey", "html")
+    """Pages whose own links come before those of a listing."""
+    p = t(spark, d, "pages").select("page_id", F.concat("html", F.lit('<a href="../">up</a><a href="b.txt">b</a><a href="f'), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".csv").otherwise(".zip"), F.lit('">x</a><a href="README.md">r</a><a href="last.CSV">l</a>')).alias("html"))
+    return pages.best_file(p, "page_id", "html")
 
 
 def embedded(spark, d):
-    n = t(spark, d, "nation").select("n_nationkey", F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props": {"pageProps": {"dataset": {"ID": '), F.col("n_nationkey").cast("string"), F.lit(', "Name": "'), F.col("n_name"), F.lit('", "Types": "Multivariate, Time-Series", "Abstract": "taken every 5 minutes"}}}}</script>')).alias("html"))
-    r = n.select("n_nationkey", pages.repository_record(pages.embedded_json("html")).alias("r"))
-    return r.select("n_nationkey", F.col("r.id").alias("id"), F.col("r.name").alias("name"), F.col("r.frequency").alias("frequency"), pages.is_time_series(F.col("r.types")).alias("series"))
+    """Pages with a data script behind their own; every third has none, as the pages themselves."""
+    k = F.col("page_id")
+    script = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props": {"pageProps": {"dataset": {"ID": '), k.cast("string"), F.lit(', "Name": " n'), k.cast("string"), F.when(k % 2 == 0, '", "Types": "Multivariate, Time-Series').otherwise('", "Types": "Text'), F.lit('", "Abstract": "taken every 5 minutes"}}}}</script>'))
+    n = t(spark, d, "pages").select("page_id", F.concat("html", F.when(k % 3 != 0, script).otherwise("")).alias("html"))
+    r = n.select("page_id", pages.repository_record(pages.embedded_json("html")).alias("r"))
+    return r.select("page_id", F.col("r.id").alias("id"), F.col("r.name").alias("name"), F.col("r.frequency").alias("frequency"), pages.is_time_series(F.col("r.types")).alias("series"))
 
 
 QUERIES = {
@@ -305,6 +309,6 @@ QUERIES = {
     "search_hybrid_top_k": (hybrid, _HYBRID),
     "search_multi_query": (multi_query, _MULTI),
     "search_contexts": (contexts, _CONTEXT),
-    "page_best_files": (best_files, "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name || '.csv' ELSE 'b.txt' END AS file FROM nation"),
-    "page_embedded_json": (embedded, "SELECT n_nationkey, CAST(n_nationkey AS BIGINT) AS id, n_name AS name, '5 minutes' AS frequency, true AS series FROM nation"),
+    "page_best_files": (best_files, "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'f' || page_id || '.csv' ELSE 'last.CSV' END AS file FROM pages"),
+    "page_embedded_json": (embedded, "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN page_id END AS id, CASE WHEN page_id % 3 <> 0 THEN 'n' || page_id ELSE '' END AS name, CASE WHEN page_id % 3 <> 0 THEN '5 minutes' END AS frequency, page_id % 3 <> 0 AND page_id % 2 = 0 AS series FROM pages"),
 }

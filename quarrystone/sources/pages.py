@@ -17,6 +17,8 @@ ELEMENTS = ("p", "table", "li", "h1", "h2", "h3", "h4", "div", "span", "pre", "c
 LEAST_WORDS = 50
 #: Least words of a page that was loaded by its address.
 LOADED_WORDS = 15
+#: Elements whose text may be the label of a number.
+LABELS = ("h1", "h2", "h3", "p", "span", "div")
 #: Parsable file endings by preference.
 PRIORITY = {"csv": 10, "tsv": 9, "txt": 8, "data": 8, "zip": 7, "gz": 6}
 
@@ -138,11 +140,46 @@ def table_rows(html: pd.Series) -> pd.Series:
     return html.map(rows_of_table)
 
 
+class _Parents(HTMLParser):
+    """Texts of labels' elements with those of the elements around them, in the order of the labels' start."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        #: Open elements and their texts; the page itself comes first.
+        self.open: list[list] = [["", []]]
+        #: (parts of the label's text, parts of its parent's).
+        self.found: list[tuple[list[str], list[str]]] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _Text.void:
+            return
+        parts: list[str] = []
+        if tag in LABELS:
+            self.found.append((parts, self.open[-1][1]))
+        self.open.append([tag, parts])
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                return
+
+    def handle_data(self, data):
+        if data.strip():
+            for _, parts in self.open:
+                parts.append(data.strip())
+
+
 def labelled_number(html: str | None, label: str) -> int | None:
-    """Last number in the text behind a label, up to the next label-like word; else rows of a variable table for features."""
-    text = page_text(html)
-    if m := re.search(rf"(?i)\b(?:number of )?{label}\b\W*((?:[0-9]+\W+)*[0-9]+)", text):
-        return int(re.findall("[0-9]+", m[1])[-1])
+    """Last number of the element around the first label that has one; for features, else the rows of the first table of variables."""
+    parser = _Parents()
+    parser.feed(html or "")
+    parser.close()
+    for own, around in parser.found:
+        text = "".join(own).lower()
+        if text == label or f"number of {label}" in text:
+            if digits := re.findall("[0-9]+", " ".join(around)):
+                return int(digits[-1])
     if label == "features":
         for table in re.findall(r"(?is)<table.*?</table>", html or ""):
             head = re.search(r"(?is)<th[^>]*>(.*?)</th>", table)

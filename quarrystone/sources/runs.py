@@ -57,7 +57,7 @@ def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
 def read_logs(spark: SparkSession, path: str, head: int | None = None) -> DataFrame:
     """One row a file, whole or its first ``head`` characters, with its path."""
     text = F.col("value") if head is None else head_of("value", head)
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), text.alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), text.alias("text"))
 
 
 def cells_of(line: Column) -> Column:

@@ -144,3 +144,68 @@ def test_windowed_stream(spark, tmp_path):
 def test_best_file(spark, html, file):
     d = spark.createDataFrame([(1, html)], "k int, html string")
     assert pages.best_file(d, "k", "html").first()["file"] == file
+
+
+def test_chunks_overlap_equals_one_by_one(spark):
+    import random
+    import re
+
+    from quarrystone.operators import retrieval
+
+    r = random.Random(1)
+    texts = [" ".join(" ".join("w" * r.randint(1, 3) for _ in range(r.randint(1, 9))) + r.choice([".", "!", "\n", ""]) for _ in range(r.randint(0, 30))) for _ in range(60)] + [None, "", " \n "]
+    for size, overlap in ((12, 0), (12, 5), (12, 20), (3, 2)):
+        want = {}
+        for k, t in enumerate(texts):
+            sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n+", t or "") if s.strip()]
+            out, now = [], []
+            words = lambda xs: sum(len(x.split()) for x in xs)
+            for s in sentences:
+                if now and words(now) + words([s]) > size:
+                    out.append(" ".join(now))
+                    back = []
+                    while len(back) < len(now) and words(now[-len(back) - 1 :]) <= overlap and words(now[-len(back) - 1 :]) + words([s]) <= size:
+                        back = now[-len(back) - 1 :]
+                    now = back
+                now = [*now, s]
+            want[k] = out + [" ".join(now)] * bool(now)
+        got = {k: [] for k in want}
+        docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        for x in sorted(retrieval.chunks(docs, "id", "text", size, overlap).collect(), key=lambda x: x["chunk"]):
+            got[x["id"]].append(x["text"])
+        assert got == want
+
+
+def test_embedder(spark):
+    import numpy as np
+
+    class Broken(providers.Embedder):
+        def ready(self):
+            return False
+
+        def embed(self, texts):
+            raise RuntimeError
+
+    e = providers.first_ready([Broken(), providers.HashedWords(8)])
+    d = spark.createDataFrame([(1, "a b a"), (2, "a b a"), (3, " "), (4, None), (5, "b a a")], "id int, text string")
+    got = {r["id"]: r["embedding"] for r in e.apply(d).collect()}
+    assert got[1] == got[2] == got[5] and got[3] is None and got[4] is None and abs(np.linalg.norm(got[1]) - 1) < 1e-6 and len(got[1]) == 8
+    with pytest.raises(LookupError):
+        providers.first_ready([Broken()])
+
+
+def test_tables_between_renames(spark, tmp_path):
+    one, two = (spark.createDataFrame([(x,)], "Name string") for x in ("one", "two"))
+    tables.write_table(one, str(tmp_path), "Projects")
+    tables.write_table(two, str(tmp_path), "Projects")
+    assert [r["Name"] for r in tables.read_table(spark, str(tmp_path), "Projects").collect()] == ["two"]
+    (tmp_path / "Projects").rename(tmp_path / "_Projects.before")
+    assert [r["Name"] for r in tables.read_table(spark, str(tmp_path), "Projects").collect()] == ["two"]
+    tables.write_table(one, str(tmp_path), "Projects")
+    assert [r["Name"] for r in tables.read_table(spark, str(tmp_path), "Projects").collect()] == ["one"] and not (tmp_path / "_Projects.before").exists()
+
+
+def test_too_large_files_have_a_row(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    got = data_files.inspect_files(spark, str(tmp_path), largest=3).collect()
+    assert [(r["status"], r["error"]) for r in got] == [("ERROR", "too large")]
