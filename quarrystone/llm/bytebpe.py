@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import claim
+
 FILE = "byte_bpe_50k.json"
 #: Words kept by an encoder; the table starts anew when full.
 KEPT_WORDS = 200_000
@@ -69,9 +71,13 @@ class ByteEncoder:
     def library_ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def forget(self) -> None:
+        self.kept.clear()
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         split = [plain_words(t) for t in texts]
         whole = iter(self.library_ids([t for t, w in zip(texts, split) if w is None]))
+        claim(self)
         kept = self.kept
         new = list({w for words in split if words for w in words if w not in kept})
         if len(kept) + len(new) > KEPT_WORDS:

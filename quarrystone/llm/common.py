@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarrystone.operators.work import folder as shared_dir
 from quarrystone.operators.work import written as materialize
 
-__all__ = ["discard", "keep_rows", "map_arrow", "materialize", "shared_dir", "slices", "strings", "table", "words_column"]
+__all__ = ["claim", "discard", "keep_rows", "map_arrow", "materialize", "shared_dir", "slices", "strings", "table", "words_column"]
 
 #: White space that separates words: space and the control characters tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -23,12 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_holder = None
+
+
+def claim(table) -> None:
+    """Says which table of known words this worker uses now; the one before forgets its words, as stages share workers."""
+    global _holder
+    if _holder is not table:
+        if _holder is not None:
+            _holder.forget()
+        _holder = table
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
-    """Deletes work tables that no later plan reads."""
+    """Deletes work tables that no later plan reads; paths may be patterns."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        files = p.getFileSystem(conf)
+        for found in files.globStatus(p) or []:
+            files.delete(found.getPath(), True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

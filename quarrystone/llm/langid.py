@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_arrow, strings, table
+from .common import claim, keep_rows, map_arrow, strings, table
 
 BUCKETS = 1 << 15
 CLIP, SWITCH = 4.0, 9.0
@@ -86,6 +86,9 @@ class Model:
         self.log = np.log(seen / seen.sum(1, keepdims=True)).astype(np.float32)
         used = scripts_ / np.maximum(scripts_.sum(1, keepdims=True), 1) >= SCRIPT_SHARE
         self.allowed = np.where(used.any(0), used, True)
+        self.forget()
+
+    def forget(self) -> None:
         self.kept: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.langs)), np.float32)
 
@@ -94,7 +97,7 @@ class Model:
 
     def __setstate__(self, state):
         self.__dict__ |= state
-        self.kept, self.rows = {}, np.zeros((1024, len(self.langs)), np.float32)
+        self.forget()
 
     def score(self, words: list[str]) -> np.ndarray:
         """Scores of distinct words, a row each."""
@@ -106,6 +109,7 @@ class Model:
 
     def matrices(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Scores of the words of each text; words that are not kept yet are scored together."""
+        claim(self)
         kept = self.kept
         found = [list(map(kept.get, words)) for words in texts]
         open_ = [k for k, x in enumerate(found) if None in x]

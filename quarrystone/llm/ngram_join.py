@@ -39,9 +39,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, shared_dir, table
+from .common import claim, discard, map_arrow, materialize, shared_dir, table
 from .components import components
-from .shingles import DENOMINATOR, NUMERATOR, fingerprint, shingle_set, signatures, similar
+from .shingles import DENOMINATOR, HASHES, NUMERATOR, fingerprint, shingle_set, signatures, similar
 
 #: Signatures of a range, on average; the number of ranges follows from the corpus.
 RANGE = 1 << 20
@@ -68,6 +68,7 @@ def describe(docs: DataFrame) -> DataFrame:
     """Size and fingerprint of every document's set, and how many of its elements fall in each of ``BINS``."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(HASHES)
         for b in batches:
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
             prints = np.frombuffer(b"".join(fingerprint(s) for s in sets), "<i8").reshape(-1, 2)
@@ -111,6 +112,7 @@ def blocks(docs: DataFrame, parts: int) -> DataFrame:
         owners: list[int] = []
         needs: list[tuple[int, int, int]] = []
         held, block = 0, TaskContext.get().partitionId() << 32
+        claim(HASHES)
 
         def flush() -> pa.RecordBatch:
             sigs = np.concatenate(found)
@@ -259,6 +261,7 @@ def sets_of(docs: DataFrame, words: np.ndarray) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(words)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(HASHES)
         bits = held.value
         for b in batches:
             node = b.column(0).to_numpy()
@@ -381,6 +384,7 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same_id = rep.join(same_id, "node").withColumn("b", F.min("rep").over(Window.partitionBy("node"))).select(F.col("rep").alias("a"), "b")
     links = links.unionByName(same_id)
     labels = components(links, folder, "labels")
+    discard(spark, f"{folder}/member", f"{folder}/families-*")
 
     class_of = classes.select(F.col("p1").alias("_p1"), F.col("p2").alias("_p2"), "rep", "copies").join(labels, F.col("rep") == F.col("node"), "left")
     if count:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_arrow, strings, table
+from .common import claim, keep_rows, map_arrow, strings, table
 
 BUCKETS = 1 << 18
 #: Bound of the training sample, in rows.
@@ -46,6 +46,9 @@ WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
 class Hashes(dict):
+    def forget(self) -> None:
+        self.clear()
+
     def __missing__(self, word: str) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
@@ -134,6 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = texts.join(F.broadcast(sample), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_HASHES)
         for b in batches:
             found = [features(t) for t in strings(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([x.astype(np.float16).tobytes() for _, x in found], pa.binary())], ["_id", "_label", "at", "x"])
@@ -163,6 +167,7 @@ def quality_scores(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id",
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
+        claim(_HASHES)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score(w, t) for t in strings(b.column(1))], pa.float64())], ["doc_id", "score"])
 
@@ -175,6 +180,7 @@ def of_quality(docs: DataFrame, weights: np.ndarray, least: float = PREDICT_AT,
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def keep(texts: list[str]) -> list[bool]:
+        claim(_HASHES)
         return [score(held.value, t) >= least for t in texts]
 
     return keep_rows(docs, text_col, keep)

@@ -21,6 +21,9 @@ _S = np.uint64(31)
 
 
 class _Hashes(dict):
+    def forget(self) -> None:
+        self.clear()
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
@@ -30,7 +33,7 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
+HASHES = _Hashes()
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -48,7 +51,7 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
     n = len(h) - width + 1
     total = h[:n].copy()
     for k in range(1, width):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import ByteEncoder, default_path, plain_words
-from .common import map_arrow, strings, table
+from .common import claim, map_arrow, strings, table
 
 RULES = ("first", "last", "most")
 OUTSIDE = -1
@@ -46,6 +46,9 @@ class Spans:
         self.library = ByteEncoder(path).library
         self.kept: dict[str, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        self.kept.clear()
+
     def whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of tokens by the library's offset map."""
         spans = np.array(self.library.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
@@ -53,6 +56,7 @@ class Spans:
 
     def many(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Starts and ends of the tokens of each text; a character of several tokens is in each of them."""
+        claim(self)
         kept = self.kept
         split = [plain_words(t) for t in texts]
         new = {w for words in split if words for w in words if w not in kept}

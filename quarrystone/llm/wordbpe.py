@@ -17,6 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import claim
+
 FILE = "word_bpe_49k.json"
 #: Words kept by an encoder; the table starts anew when full.
 KEPT_WORDS = 450_000
@@ -83,11 +85,15 @@ class WordEncoder:
             odd = ODD.search(low)
         return None if odd else WORD.findall(low)
 
+    def forget(self) -> None:
+        self.kept.clear()
+
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts; the words that are not kept yet are encoded together."""
+        claim(self)
         kept, out, open_, missing = self.kept, [], [], set()
         for k, text in enumerate(texts):
             words = self.words(text)
