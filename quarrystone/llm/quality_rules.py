@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize, shared_dir, words_column
+from .common import SPACE_CLASS, words_column
 
 WINDOW = 5
 RULES = ("length", "word_length", "symbols", "dense_symbols", "shouting", "lines", "repeats")
@@ -71,10 +71,10 @@ def votes() -> dict[str, Column]:
     }
 
 
-def estimate(voted: DataFrame) -> dict | None:
+def estimate(voted: DataFrame) -> DataFrame:
     """Expectation-maximisation over the counts of vote patterns, as one SQL expression on one row.
 
-    Returns prior, keep rates on good and reject rates on bad documents; None without documents.
+    One row: prior, keep rates on good and reject rates on bad documents; none without documents.
     """
     m = len(RULES)
     patterns = voted.groupBy(*RULES).agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -100,8 +100,7 @@ def estimate(voted: DataFrame) -> dict | None:
         return sums
 
     start = state(F.lit(START[0]), F.array(*[F.lit(START[1])] * m), F.array(*[F.lit(START[2])] * m))
-    got = row.filter("total > 0").select(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step).alias("s")).first()
-    return got and got["s"].asDict()
+    return row.filter("total > 0").select(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step).alias("s")).select("s.*")
 
 
 def clip(x: Column) -> Column:
@@ -119,19 +118,18 @@ def posterior(v, prior, good, bad) -> Column:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, votes and posterior per document, and the verdict: base conditions, then posterior >= 0.5.
 
-    The counts are written once to the shared folder, as both the estimate and the result read them.
+    The counts, small rows, are shuffled once, as both the estimate and the result read them: what deals
+    them names all their columns, so both need the same ones and share the exchange.
     """
-    spark = docs.sparkSession
-    counts = materialize(features(docs, id_col, text_col), shared_dir(spark), "counts")
+    counts = features(docs, id_col, text_col).withColumn("_part", F.spark_partition_id())
+    counts = counts.repartition(F.xxhash64(*counts.columns))
     voted = counts.select("*", *[v.alias(k) for k, v in votes().items()])
-    got = estimate(voted)
-    if got is None:
-        p = F.lit(0.0)
-    else:
-        p = posterior([F.col(r) for r in RULES], F.lit(got["prior"]), [F.lit(x) for x in got["good"]], [F.lit(x) for x in got["bad"]])
+    # The state is one row.
+    voted = voted.drop("_part").join(F.broadcast(estimate(voted)), F.lit(True))
+    p = posterior([F.col(r) for r in RULES], F.col("prior"), [F.col("good")[j] for j in range(len(RULES))], [F.col("bad")[j] for j in range(len(RULES))])
     w = F.col("n_words")
     failed = (w < 10) | (100 * F.col("n_repeat_words") > 20 * w)
-    return voted.withColumn("posterior", p).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= KEEP_AT))
+    return voted.withColumn("posterior", p).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= KEEP_AT)).drop("prior", "good", "bad")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
