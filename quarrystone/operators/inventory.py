@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrystone.functions.constants import JOB_SECONDS
 from quarrystone.functions.text import context_of_file, file_type, model_of_file, project_of_file, run_of_file, time_of_file
@@ -21,21 +23,26 @@ def registry(files: DataFrame, path: str) -> DataFrame:
 def anchored_jobs(rows: DataFrame, key: str, time: str, order: str, seconds: int = JOB_SECONDS) -> DataFrame:
     """Adds ``job``, numbered within the key: a job takes rows up to ``seconds`` after its first row.
 
-    The jobs depend on each other, so a key's times are folded in order in one row; keys are many.
+    The jobs depend on each other, so a key's rows pass in order through one task, which holds a batch;
+    rows without a time go.
     """
-    t = F.unix_micros(F.col(time).cast("timestamp"))
-    item = F.struct(t.alias("t"), F.col(order).alias("o"))
-    start = F.struct(F.lit(None).cast("long").alias("from"), F.lit(0).alias("job"), F.array().cast("array<int>").alias("jobs"))
-
-    def step(s, x):
-        new = s["from"].isNull() | (x["t"] - s["from"] > seconds * 1_000_000)
-        job = F.when(new, s["job"] + 1).otherwise(s["job"])
-        return F.struct(F.when(new, x["t"]).otherwise(s["from"]).alias("from"), job.alias("job"), F.array_append(s["jobs"], job).alias("jobs"))
-
-    listed = rows.filter(F.col(time).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_l"))
-    jobs = listed.select(F.col(key).alias("_key"), F.explode(F.arrays_zip(F.transform("_l", lambda x: x["o"]).alias("o"), F.aggregate("_l", start, step)["jobs"].alias("j"))).alias("x"))
-    jobs = jobs.select("_key", F.col("x.o").alias("_order"), F.col("x.j").cast("long").alias("job"))
-    return rows.join(jobs, rows[key].eqNullSafe(jobs["_key"]) & (rows[order] == jobs["_order"])).drop("_key", "_order")
+    ordered = rows.filter(F.col(time).isNotNull()).withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
+    ordered = ordered.repartition(key).sortWithinPartitions(key, "_t", order)
+    at = ordered.columns.index(key)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, job = None, None, 0
+        for b in batches:
+            jobs = []
+            for k, t in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if first is None or k != now:
+                    now, first, job = k, t, 1
+                elif t - first > seconds * 1_000_000:
+                    first, job = t, job + 1
+                jobs.append(job)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(jobs, pa.int64())], [*b.schema.names[:-1], "job"])
+
+    return ordered.mapInArrow(f, T.StructType([*rows.schema.fields, T.StructField("job", T.LongType())]))
 
 
 def completion_matrix(rows: DataFrame, keys: Sequence[str], column: str, values: Sequence, run: str) -> DataFrame:
