@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarrystone.functions.constants import LOCK, MISSING_CELL
+from quarrystone.functions.constants import JOB_SECONDS, LOCK, MISSING_CELL
 
 _MISSING = frozenset(MISSING_CELL)
 
@@ -41,6 +41,53 @@ def upsert_stream(updates: DataFrame, key: str = "key", order: str = "ord", lock
     return typed.groupBy("key").applyInPandasWithState(f, "key string, value string, confidence double", "value string, confidence double", "update", GroupStateTimeout.NoTimeout)
 
 
+def anchored_jobs_stream(runs: DataFrame, key: str, time: str, order: str, seconds: int = JOB_SECONDS) -> DataFrame:
+    """Jobs of a stream of runs (key, order, time): a job takes runs up to ``seconds`` after its first one.
+
+    The state of a key is its job's number and first time.  Runs of one micro-batch are taken by time and
+    ``order``; across batches in order of arrival, so one that comes late counts to the job that is open.
+    """
+
+    def f(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        job, first = state.get if state.exists else (0, 0)
+        rows = pd.concat(list(frames)).sort_values(["t", "o"], kind="stable")
+        jobs = []
+        for t in rows["t"].tolist():
+            if not job or t - first > seconds * 1_000_000:
+                job, first = job + 1, t
+            jobs.append(job)
+        state.update((job, first))
+        yield pd.DataFrame({"key": [k[0]] * len(jobs), "o": rows["o"].to_numpy(), "job": jobs})
+
+    typed = runs.filter(F.col(time).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("o"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"))
+    return typed.groupBy("key").applyInPandasWithState(f, "key string, o long, job long", "job long, first long", "append", GroupStateTimeout.NoTimeout)
+
+
+def not_cooling(calls: DataFrame, key: str, time: str, order: str, seconds: float, late: str = "10 minutes") -> DataFrame:
+    """Calls of a stream whose key made no other accepted call within ``seconds`` before; others are refused.
+
+    A key is forgotten when the watermark has passed the end of its cooldown.
+    """
+
+    def f(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["t", "o"], kind="stable")
+        taken = []
+        for t, o in zip(rows["t"].tolist(), rows["o"].tolist()):
+            if until is None or t >= until:
+                until = t + int(seconds * 1_000_000)
+                taken.append((k[0], o, t))
+        state.update((until,))
+        state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(taken, columns=["key", "o", "t"])
+
+    typed = calls.filter(F.col(time).isNotNull()).withWatermark(time, late).select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("o"), F.col(time), F.unix_micros(F.col(time)).alias("t"))
+    return typed.groupBy("key").applyInPandasWithState(f, "key string, o long, t long", "until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def read_series(spark: SparkSession, path: str, schema: str, files: int = 16) -> DataFrame:
     """A stream of sampled CSV files."""
     return spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files).csv(path)

@@ -209,3 +209,26 @@ def test_too_large_files_have_a_row(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b\n1,2\n")
     got = data_files.inspect_files(spark, str(tmp_path), largest=3).collect()
     assert [(r["status"], r["error"]) for r in got] == [("ERROR", "too large")]
+
+
+def test_job_stream_equals_batch(spark, tmp_path):
+    from quarrystone.operators.inventory import anchored_jobs
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    want = {(str(r["user_id"]), r["event_id"]): r["job"] for r in anchored_jobs(e, "user_id", "ts", "event_id").collect()}
+    middle = sorted(r["ts"] for r in e.collect())[500]
+    for part in (e.filter(F.col("ts") < F.lit(middle)), e.filter(F.col("ts") >= F.lit(middle))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = cells.run_once(cells.anchored_jobs_stream(s, "user_id", "ts", "event_id"), "jobs_out", str(tmp_path / "ck"))
+    assert {(r["key"], r["o"]): r["job"] for r in got.collect()} == want
+
+
+def test_cooldown_stream(spark, tmp_path):
+    rows = [("a", 1, "2024-01-01 00:00:00"), ("a", 2, "2024-01-01 00:00:30"), ("a", 3, "2024-01-01 00:01:00"), ("b", 4, "2024-01-01 00:00:10"), ("a", 5, None)]
+    d = spark.createDataFrame(rows, "k string, o long, ts string").select("k", "o", F.to_timestamp("ts").alias("ts"))
+    d.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
+    got = cells.run_once(cells.not_cooling(s, "k", "ts", "o", 60), "cool_out", str(tmp_path / "ck")).collect()
+    assert {(r["key"], r["o"]) for r in got} == {("a", 1), ("a", 3), ("b", 4)}
