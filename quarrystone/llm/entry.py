@@ -17,6 +17,7 @@ MODULES = {
     "op9_quality_classifier": "quality_classifier",
     "op10_packing": "packing",
     "op12_merkle_manifest": "merkle",
+    "op13_source_divergence": "divergence",
 }
 
 
