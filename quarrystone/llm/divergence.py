@@ -43,7 +43,7 @@ SCALE = 1_000_000_000
 #: Most pairs of language and source.
 GROUPS = 100_000
 #: Leaves of a task's tries together, and pairs of term and source counted before they go to the tries.
-LEAVES, COUNTED = 1 << 17, 1 << 21
+LEAVES, COUNTED = 1 << 18, 1 << 22
 #: Bytes as the terms see them: A-Z in lower case, other ASCII characters but letters as spaces.
 SEEN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 COUNTER = np.dtype([("slot", "<u4"), ("n", "<u8")])
@@ -52,42 +52,48 @@ COUNTER = np.dtype([("slot", "<u4"), ("n", "<u8")])
 class RadixTrie:
     """Terms (bytes) to a number of documents and counters by slot; edges hold as many bytes as have one way on."""
 
-    #: A node is [its edge's label, children by first byte, documents, packed counters]; no leaf: documents is None.
+    #: A node is [its edge's label, children by first byte, documents, packed counters, whether these may repeat a slot]; no leaf: documents is None.
     def __init__(self):
-        self.top, self.leaves = [b"", {}, None, b""], 0
-
-    def add(self, term: bytes, docs: int, counters: bytes) -> None:
-        node, k = self.top, 0
-        while k < len(term):
-            kids = node[1]
-            child = kids.get(term[k])
+        self.top, self.leaves = [b"", {}, None, b"", False], 0
+
+    def add(self, term: bytes, docs: int, counters: bytes, repeats: bool = False) -> None:
+        node, k, n = self.top, 0, len(term)
+        while k < n:
+            kids, byte = node[1], term[k]
+            if kids is None:
+                kids = node[1] = {}
+            child = kids.get(byte)
             if child is None:
-                node = kids[term[k]] = [term[k:], {}, None, b""]
-                break
+                kids[byte] = [term[k:], None, docs, counters, repeats]
+                self.leaves += 1
+                return
             label = child[0]
             if not term.startswith(label, k):
-                same = 0
-                while same < len(label) and k + same < len(term) and label[same] == term[k + same]:
+                same = 1
+                while same < len(label) and k + same < n and label[same] == term[k + same]:
                     same += 1
-                upper = [label[:same], {label[same]: child}, None, b""]
+                upper = [label[:same], {label[same]: child}, None, b"", False]
                 child[0] = label[same:]
-                kids[term[k]] = child = upper
-            node, k = child, k + len(child[0])
+                kids[byte] = child = upper
+                label = upper[0]
+            node = child
+            k += len(label)
         if node[2] is None:
-            node[2] = 0
+            node[2:] = docs, counters, repeats
             self.leaves += 1
-        node[2] += docs
-        node[3] += counters
+        else:
+            node[2:] = node[2] + docs, node[3] + counters, True
 
     def walk(self) -> Iterator[tuple[bytes, int, bytes]]:
         """Leaves in the order of their bytes, which for UTF-8 is that of the characters."""
         stack = [(b"", self.top)]
         while stack:
-            before, node = stack.pop()
-            term = before + node[0]
-            if node[2] is not None:
-                yield term, node[2], merged(node[3])
-            stack += [(term, node[1][b]) for b in sorted(node[1], reverse=True)]
+            before, (label, kids, docs, counters, repeats) = stack.pop()
+            term = before + label
+            if docs is not None:
+                yield term, docs, merged(counters) if repeats else counters
+            if kids:
+                stack += [(term, kids[b]) for b in sorted(kids, reverse=True)]
 
 
 def merged(counters: bytes) -> bytes:
@@ -203,18 +209,48 @@ def counted(docs: DataFrame, slot_of: dict[tuple[str, str], int], langs: np.ndar
     return map_arrow(docs, f, LEAF, 4096)
 
 
+def summed_leaves(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[int, bytes, int, bytes]]:
+    """Sorted leaves, equal ones as one; those of fewer than ``least`` documents go.  The last of a batch waits for the next one."""
+    rest = None
+    for b in batches:
+        if rest is not None:
+            b = pa.concat_batches([rest, b])
+        if not b.num_rows:
+            continue
+        new = pc.or_(pc.not_equal(b.column(0)[1:], b.column(0)[:-1]), pc.not_equal(b.column(1)[1:], b.column(1)[:-1]))
+        starts = np.concatenate([[0], 1 + np.flatnonzero(new.to_numpy(zero_copy_only=False))])
+        last = int(starts[-1])
+        if last:
+            yield from leaf_sums(b.slice(0, last), starts[:-1], least)
+        # One row, so that a term of very many tasks gathers nothing.
+        lang, term, docs, counters = next(leaf_sums(b.slice(last), np.zeros(1, np.int64), 0))
+        rest = pa.RecordBatch.from_arrays([pa.array([x], kind.type) for x, kind in zip((lang, term, docs, merged(counters)), b.schema)], schema=b.schema)
+    if rest is not None:
+        yield from leaf_sums(rest, np.zeros(1, np.int64), least)
+
+
+def leaf_sums(b: pa.RecordBatch, starts: np.ndarray, least: int) -> Iterator[tuple[int, bytes, int, bytes]]:
+    docs = np.add.reduceat(b.column(2).to_numpy(), starts)
+    ends = np.append(starts[1:], b.num_rows)
+    counters = b.column(3)
+    at = np.frombuffer(counters.buffers()[1], np.int32)[counters.offset : counters.offset + b.num_rows + 1]
+    raw = counters.buffers()[2]
+    for k in np.flatnonzero(docs >= least).tolist():
+        lo, hi = int(starts[k]), int(ends[k])
+        # Counters of rows that follow each other lie one after another.
+        yield b.column(0)[lo].as_py(), b.column(1)[lo].as_py(), int(docs[k]), raw[at[lo] : at[hi]].to_pybytes()
+
+
 def kept_terms(leaves: DataFrame, least: int) -> DataFrame:
     """Leaves of all tries merged by prefix range; those of at least ``least`` documents stay, in UTF-8 order within a range."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries, last = {}, None
-        for b in batches:
-            for lang, term, docs, counters in zip(*(c.to_pylist() for c in b.columns)):
-                if (lang, term) != last and sum(t.leaves for t in tries.values()) >= LEAVES:
-                    yield from packed(tries, least=least)
-                    tries = {}
-                last = (lang, term)
-                tries.setdefault(lang, RadixTrie()).add(term, docs, counters)
+        tries = {}
+        for lang, term, docs, counters in summed_leaves(batches, least):
+            if sum(t.leaves for t in tries.values()) >= LEAVES:
+                yield from packed(tries, least=least)
+                tries = {}
+            tries.setdefault(lang, RadixTrie()).add(term, docs, counters, True)
         yield from packed(tries, least=least)
 
     return leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(f, LEAF)
