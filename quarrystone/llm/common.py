@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.operators.work import folder as shared_dir
 from quarrystone.operators.work import written as materialize
 
-__all__ = ["claim", "discard", "keep_rows", "map_arrow", "materialize", "shared_dir", "slices", "strings", "table", "words_column"]
+__all__ = ["claim", "coded_words", "discard", "keep_rows", "map_arrow", "materialize", "shared_dir", "slices", "strings", "table", "words_column"]
 
 #: White space that separates words: space and the control characters tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -69,6 +71,16 @@ def strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def coded_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words between white space, and for every word, in order, the number of its text and of its word."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    values = lists.values
+    text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    some = pc.greater(pc.binary_length(values), 0)
+    coded = values.filter(some).dictionary_encode()
+    return coded.dictionary.view(pa.large_binary()).to_pylist(), text[some.to_numpy(zero_copy_only=False)], coded.indices.to_numpy().astype(np.int64)
+
+
 def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list[str]], list[bool]], rows: int = 512) -> DataFrame:
     """The rows for whose text ``keep`` says so (null as empty text), all columns as they are, where they lie."""
     k = docs.columns.index(text_col)

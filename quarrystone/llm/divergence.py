@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.operators.work import few
 
-from .common import map_arrow, materialize, shared_dir, table
+from .common import coded_words, map_arrow, materialize, shared_dir, table
 
 #: Documents of a language that a kept term occurs in.
 LEAST_DOCS = 10
@@ -108,17 +108,6 @@ def merged(counters: bytes) -> bytes:
     return out.tobytes()
 
 
-def terms_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct terms of texts, and for every occurrence the number of its text and of its term."""
-    seen = pa.array([t.translate(SEEN) for t in texts], pa.large_binary()).view(pa.large_string())
-    lists = pc.ascii_split_whitespace(seen)
-    values = lists.values
-    doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-    some = pc.greater(pc.binary_length(values), 0)
-    coded = values.filter(some).dictionary_encode()
-    return coded.dictionary.view(pa.large_binary()).to_pylist(), doc[some.to_numpy(zero_copy_only=False)], coded.indices.to_numpy().astype(np.int64)
-
-
 class Counts:
     """Counts of a task on their way to the tries: numbers for terms and, by number and slot, occurrences."""
 
@@ -126,7 +115,7 @@ class Counts:
         self.langs, self.tries, self.number, self.held = langs, {}, {}, []
 
     def add(self, slots: np.ndarray, texts: list[bytes]) -> None:
-        terms, doc, at = terms_of(texts)
+        terms, doc, at = coded_words([t.translate(SEEN) for t in texts])
         number = np.fromiter((self.number.setdefault(t, len(self.number)) for t in terms), np.int64, len(terms))
         at = number[at]
         found, n = np.unique(at << 20 | slots[doc], return_counts=True)

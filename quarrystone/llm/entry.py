@@ -16,6 +16,7 @@ MODULES = {
     "op8_language_id": "langid",
     "op9_quality_classifier": "quality_classifier",
     "op10_packing": "packing",
+    "op11_bloom_lm": "bloom_lm",
     "op12_merkle_manifest": "merkle",
     "op13_source_divergence": "divergence",
 }
