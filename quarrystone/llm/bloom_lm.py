@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import coded_words, discard, map_arrow, materialize, shared_dir, table
 
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 FILTER_BITS, ENTRY_BITS = 1 << 29, 8
 #: Bits set by an entry, all in one word of 64 bits; words of a line of 512 bits.
 SET_BITS, LINE_BITS = 4, 512
@@ -351,6 +351,28 @@ def exact_counts(blocks: DataFrame) -> DataFrame:
     return asked.select("block", "at", F.sum("n").over(every).alias("c"), (F.row_number().over(same) == 1).alias("first"))
 
 
+def answered(counts: DataFrame) -> DataFrame:
+    """(block, c): the counts of a block's tokens, packed."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for b in batches:
+            block, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if block[lo] != now and parts:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([b"".join(parts)], pa.binary())], ["block", "c"])
+                    parts = []
+                now = int(block[lo])
+                parts.append(c[lo:hi].astype("<i8").tobytes())
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([b"".join(parts)], pa.binary())], ["block", "c"])
+
+    return counts.select("block", "at", "c").repartition("block").sortWithinPartitions("block", "at").select("block", "c").mapInArrow(f, "block long, c binary")
+
+
 def bloom_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, filter_bits: int = FILTER_BITS, entry_bits: int = ENTRY_BITS, prior: float = PRIOR) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; those that are not held out teach."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
@@ -364,7 +386,7 @@ def bloom_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
     counts = materialize(exact_counts(blocks), folder, "counts")
     distinct = counts.filter("first AND c > 0").count()
     held = spark.sparkContext.broadcast(Filter(words, least, sums["t"], distinct, prior))
-    answers = counts.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "c"))).getField("c").alias("c"))
+    answers = answered(counts)
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +395,7 @@ def bloom_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
             for k in range(b.num_rows):
                 row = b.slice(k, 1)
                 ids = row.column("ids").flatten()
-                c = row.column("c").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                c = np.frombuffer(row.column("c")[0].as_py(), "<i8")
                 r = {x: row.column(x)[0].as_py() for x in ("held", "lens", "places", "tokens", "tokens_size", "n")}
                 numbers, lens = unzipped(r["places"], r["n"]), np.frombuffer(r["lens"], "<i8")
                 out = np.unpackbits(np.frombuffer(r["held"], np.uint8), count=len(lens)).astype(bool)
