@@ -10,8 +10,8 @@
    The filter has at most ``FILTER_BITS`` bits, which bounds what is collected and broadcast: its
    lowest level is the first one from which all entries of all n-grams, by the histogram of their levels, fit
    at ``ENTRY_BITS`` bits each; n-grams below that level count as unseen.  The rule is the same at every size.
-4. The filter is broadcast.  A count is read by probing levels upwards until one is missing; each block asks once
-   for each of its distinct n-grams.  With c the count so read, N the training tokens, V the distinct ones
+4. The filter is broadcast.  A count is read by probing levels upwards until one is missing; each block asks
+   for its tokens and pairs.  With c the count so read, N the training tokens, V the distinct ones
    and K = ``PRIOR``: p(w) = (c(w) + 1) / (N + V + 1), p(w after v) = (min(c(vw), c(v)) + K p(w)) / (c(v) + K).
    A false positive (some per cent of unseen n-grams) counts as one level too many.
 5. Exact counts of single tokens, for the base columns, are sums over the blocks that hold a token: each block sends each of
@@ -47,6 +47,8 @@ PRIOR = 300.0
 HASH_BITS, ROW_BITS = 48, 40
 #: Entries that wait in a range until they are merged.
 WAITING = 1 << 21
+#: Places of a block that are scored at once.
+AT_ONCE = 1 << 17
 END = b" "
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -111,16 +113,16 @@ def read_levels(words: np.ndarray, least: int, grams: np.ndarray) -> np.ndarray:
 
 
 def zipped(x: np.ndarray) -> bytes:
-    """Numbers below 2^32 by planes of their bytes, compressed."""
+    """Numbers below 2^31 by planes of their bytes, compressed."""
     planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
 
 
 def unzipped(raw: bytes, n: int) -> np.ndarray:
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     planes = np.frombuffer(pa.decompress(raw, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def counted(x: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +205,7 @@ def pairs_of(row: dict, numbers: np.ndarray, lens: np.ndarray, end: int) -> np.n
 
 
 def pair_counts(numbers: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return counted(before << 32 | numbers)
+    return counted(before.astype(np.int64) << 32 | numbers)
 
 
 def gram_counts(blocks: DataFrame, ranges: int) -> DataFrame:
@@ -290,11 +292,14 @@ class Filter:
         """log10 of the probability of every place."""
         h = token_hashes(tokens)
         c = self.counts(ones(h))
-        p = (c + 1) / (self.n + self.v + 1)
-        pairs, at = np.unique(before << 32 | numbers, return_inverse=True)
-        v, w = pairs >> 32, pairs & 0xFFFFFFFF
-        joint = np.minimum(self.counts(twos(h[v], h[w])), c[v])
-        return np.log10((joint + self.prior * p[w]) / (c[v] + self.prior))[at]
+        p = self.prior * (c + 1) / (self.n + self.v + 1)
+        out = np.empty(len(numbers))
+        # Most pairs of a block occur once there, so places are asked for as they come.
+        for k in range(0, len(numbers), AT_ONCE):
+            v, w = before[k : k + AT_ONCE], numbers[k : k + AT_ONCE]
+            joint = np.minimum(self.counts(twos(h[v], h[w])), c[v])
+            out[k : k + AT_ONCE] = np.log10((joint + p[w]) / (c[v] + self.prior))
+        return out
 
 
 def fill(levels: DataFrame, ranges: int, filter_bits: int, entry_bits: int) -> tuple[np.ndarray, int]:
