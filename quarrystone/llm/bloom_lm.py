@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import coded_words, discard, map_arrow, materialize, shared_dir, table
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 FILTER_BITS, ENTRY_BITS = 1 << 29, 8
 #: Bits set by an entry, all in one word of 64 bits; words of a line of 512 bits.
 SET_BITS, LINE_BITS = 4, 512
@@ -188,7 +188,7 @@ def in_blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
         if ids:
             yield block()
 
-    return map_arrow(docs, f, f"block long, ids array<{kind}>, held binary, lens binary, places binary, tokens binary, tokens_size long, training binary, n long, n_training long", 4096)
+    return map_arrow(docs, f, f"block long, ids array<{kind}>, held binary, lens binary, places binary, tokens binary, tokens_size long, training binary, n long, n_training long", 1024)
 
 
 def tokens_of(row: dict) -> list[bytes]:
