@@ -69,18 +69,6 @@ ANSWER_FENCE = r"```(?:json)?\n(.*?)\n```"
 AUDIT_FILLED, AUDIT_ADDED, AUDIT_REPLACED, AUDIT_UPGRADED = "Filled {}", "Added {}", "Replaced {} with longer text", "Upgraded {}"
 AUDIT_NOTES = 5
 
-# Words of administrative files, of intermediate files, kept endings and files, prefixes of run files.
-ADMIN_TERMS = (
-    "chronological", "adjudicated", "actionable", "inventory", "leaderboard", "goldenkb", "oracle", "run_missing_jobs", "pdfgems", "matrix_auditor", "reorganize_files", "gatherout", "plot",
-    "agent_log", "full_context", "benchmark_terminal", "master_suite_progress", "licences", "requirements", "token", "credentials", "full_codebase", "deepcollector_context",
-    "master_gauntlet", "master_ablation", "qwen_master", "gemma_master", "vram_time_series.csv", "audit_and_group", "test_drive",
-)
-TRASH_WORDS = ("checkpoint", "ablation", "master", "leaderboard", "actionable", "plot.txt", "gatherout.txt")
-SAFE_ENDINGS = (".py", ".sh", ".json", ".ipynb", ".md", ".zip")
-SAFE_FILES = ("goldenkb_platinum.csv", "oracle_full_dataset_audit.csv", "makefile", "deepcollector_context.txt")
-RUN_PROJECTS = ("utsd", "lotsa", "timebench", "tempo", "tsfm", "kagglets", "kag", "m2", "m6")
-RUN_PREFIXES = ("bench_", "utsd_", "lotsa_", "timebench_", "tempo_", "tsfm_", "kagglets_", "kag_", "m2_", "m6_")
-
 # Thresholds.
 LOCK = 0.95
 GATE = 0.40

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import ADMIN_TERMS, BANNED_DOMAINS, DISCRIMINATORS, GENERIC_URLS, MISSING_ENTITY, NAME_PATTERNS, NOT_SPECIFIED, NOT_SPECIFIED_MARKERS, OUT_OF_SCOPE_NAMES, OUT_OF_SCOPE_SUFFIXES, PAPER_DOMAINS, PROJECTS, RUN_PREFIXES, RUN_PROJECTS, SAFE_ENDINGS, SAFE_FILES, STOP_WORDS, TRASH_WORDS
+from .constants import BANNED_DOMAINS, DISCRIMINATORS, GENERIC_URLS, MISSING_ENTITY, NAME_PATTERNS, NOT_SPECIFIED, NOT_SPECIFIED_MARKERS, OUT_OF_SCOPE_NAMES, OUT_OF_SCOPE_SUFFIXES, PAPER_DOMAINS, PROJECTS, STOP_WORDS
 
 URL = r"https?://[^\s'\"\])>,]+"
 
@@ -213,7 +214,7 @@ def _ordered(s: Column, cases: list[tuple[Column, str]], default: str) -> Column
 
 
 def any_of(s: Column, parts) -> Column:
-    return reduce(lambda a, b: a | b, [s.contains(p) for p in parts])
+    return reduce(lambda a, b: a | b, [s.contains(p) for p in parts], F.lit(False))
 
 
 def model_of_file(x: Column | str) -> Column:
@@ -282,35 +283,50 @@ def is_console_file(x: Column | str) -> Column:
     return any_of(F.lower(text_or_empty(x)), ("cloud", "cascade", "monolithic", "consolelog"))
 
 
-def is_admin_file(x: Column | str) -> Column:
+@dataclass(frozen=True)
+class Workspace:
+    """How the files of a workspace are named, all in lower case; every workspace gives its own lists."""
+
+    #: Words of administrative files, and of files that may go.
+    admin_words: tuple[str, ...] = ()
+    spent_words: tuple[str, ...] = ()
+    #: Endings, words and whole names of files that stay where they are.
+    kept_endings: tuple[str, ...] = (".py", ".sh", ".json", ".ipynb", ".md", ".zip")
+    kept_words: tuple[str, ...] = ()
+    kept_files: tuple[str, ...] = ()
+    #: Projects whose runs are filed, and folders with the words that lead to them, in order of precedence.
+    projects: tuple[str, ...] = ()
+    folders: tuple[tuple[str, tuple[str, ...]], ...] = ()
+
+
+def is_admin_file(x: Column | str, w: Workspace) -> Column:
     """Whether a file name is an administrative one: no console file, and of no project, a script or with a word of those."""
     s = F.lower(text_or_empty(x))
     homeless = (project_of_file(x) == "Unknown") & ~text_or_empty(x).startswith("Bench_")
     script = reduce(lambda a, b: a | b, [s.endswith(e) for e in (".py", ".sh", ".json", ".md")])
-    return ~is_console_file(x) & (homeless | script | any_of(s, ADMIN_TERMS))
+    return ~is_console_file(x) & (homeless | script | any_of(s, w.admin_words))
 
 
-def workspace_folder(x: Column | str) -> Column:
-    """Where a workspace file belongs by its name: Ignored, VRAM, Trash_Bin, Colab, run2 or run1, the first that holds."""
+def workspace_folder(x: Column | str, w: Workspace) -> Column:
+    """Where a workspace file belongs by its name: Ignored, VRAM, Trash_Bin, a folder of the workspace's or run1, the first that holds."""
     s = F.lower(text_or_empty(x))
-    ends = lambda endings: reduce(lambda a, b: a | b, [s.endswith(e) for e in endings])
-    short = [s.contains(f"_{p}_") | s.startswith(f"{p}_") for p in RUN_PROJECTS if len(p) == 2]
-    run1 = reduce(lambda a, b: a | b, short) | any_of(s, [p for p in RUN_PROJECTS if len(p) > 2])
+    ends = lambda endings: reduce(lambda a, b: a | b, [s.endswith(e) for e in endings], F.lit(False))
+    # Short names of projects count as whole parts of a name only.
+    runs = reduce(lambda a, b: a | b, [s.contains(f"_{p}_") | s.startswith(f"{p}_") for p in w.projects if len(p) == 2], F.lit(False))
     cases = [
-        (ends(SAFE_ENDINGS) | s.isin(*SAFE_FILES) | s.contains("goldenkb"), "Ignored"),
+        (ends(w.kept_endings) | s.isin(*w.kept_files) | any_of(s, w.kept_words), "Ignored"),
         (s.contains("vram") & s.endswith(".csv"), "VRAM"),
-        (any_of(s, TRASH_WORDS) | ~ends((".csv", ".log", ".txt")), "Trash_Bin"),
-        (any_of(s, ("cloud", "colab", "20260702")), "Colab"),
-        (any_of(s, ("run2", "20260707", "20260708")), "run2"),
-        (run1, "run1"),
+        (any_of(s, w.spent_words) | ~ends((".csv", ".log", ".txt")), "Trash_Bin"),
+        *[(any_of(s, words), folder) for folder, words in w.folders],
+        (runs | any_of(s, [p for p in w.projects if len(p) > 2]), "run1"),
     ]
     return _ordered(s, cases, "Trash_Bin")
 
 
-def is_run_file(x: Column | str) -> Column:
+def is_run_file(x: Column | str, w: Workspace) -> Column:
     """Whether a file name has the prefix of a project's runs."""
     s = F.lower(text_or_empty(x))
-    return reduce(lambda a, b: a | b, [s.startswith(p) for p in RUN_PREFIXES])
+    return reduce(lambda a, b: a | b, [s.startswith(f"{p}_") for p in ("bench", *w.projects)])
 
 
 def parsed_time(x: Column | str) -> Column:

@@ -112,13 +112,22 @@ FILES = (
     ("cascade_anything.log", "Trash_Bin", False, False, "Log"),
 )
 
+WORKSPACE = text.Workspace(
+    admin_words=("leaderboard", "inventory", "goldenkb", "token"),
+    spent_words=("checkpoint", "leaderboard", "ablation"),
+    kept_words=("goldenkb",),
+    kept_files=("makefile",),
+    projects=("utsd", "lotsa", "timebench", "tempo", "m2", "m6"),
+    folders=(("Colab", ("cloud", "colab", "20260702")), ("run2", ("run2", "20260707", "20260708"))),
+)
+
 
 def _files(spark, d):
     return t(spark, d, "orders").select("o_orderkey", _pick([f[0] for f in FILES], "o_orderkey").alias("file"))
 
 
 def file_folders(spark, d):
-    return _files(spark, d).select("o_orderkey", text.workspace_folder("file").alias("folder"), text.is_admin_file("file").alias("admin"), text.is_run_file("file").alias("of_run"))
+    return _files(spark, d).select("o_orderkey", text.workspace_folder("file", WORKSPACE).alias("folder"), text.is_admin_file("file", WORKSPACE).alias("admin"), text.is_run_file("file", WORKSPACE).alias("of_run"))
 
 
 def file_types(spark, d):
