@@ -116,6 +116,9 @@ def parse(text: str, pos: int = 0) -> tuple[list[str], int]:
     start, best = pos, (0, [], pos, False)
     while m := _TOKEN.match(text, pos):
         token, low = m[1], m[1].lower()
+        if text.startswith(":", m.end()):
+            # The next tag.
+            break
         if want == "operator":
             if token == ")" and depth:
                 while stack[-1] != "(":
