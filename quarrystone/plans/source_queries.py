@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from quarrystone.functions import text, values
 from quarrystone.functions.constants import SCHEMA_MAP, TABS
 from quarrystone.operators import catalog, evaluation, inventory, maintenance, retrieval
 from quarrystone.operators.work import folder
-from quarrystone.sources import data_files, pages, runs, sheets, tables
+from quarrystone.sources import data_files, pages, runs, sheets, store, tables
 from quarrystone.sources.providers import HashedWords, first_ready
 
 from .fixtures import t
@@ -37,6 +38,52 @@ UNION ALL SELECT 'PROJ_X', '["a", "b"]', '', '' UNION ALL SELECT 'PROJ_LOST', 'l
 """
 
 
+def concurrent_writers(spark, d):
+    """Four writers upsert a quarter of the suppliers each into one tab, all at once; half of them under the lease."""
+    root = folder(spark)
+    s = t(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("PROJ_"), F.col("s_suppkey").cast("string")).alias("ProjectID"), F.col("s_name").alias("Name"))
+    parts = [s.filter(F.col("s_suppkey") % 4 == k).drop("s_suppkey") for k in range(4)]
+
+    def write(k):
+        change = lambda now: now.join(parts[k].select("ProjectID"), "ProjectID", "left_anti").unionByName(tables.conform(parts[k], now.columns))
+        if k % 2:
+            with store.Lease(spark, root):
+                tables.update_table(spark, root, "Projects", change)
+        else:
+            tables.update_table(spark, root, "Projects", change)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    return tables.read_table(spark, root, "Projects").select(F.col("ProjectID").alias("project"), F.col("Name").alias("name"))
+
+
+class _Lost(Exception):
+    pass
+
+
+def resumed_rounds(spark, d):
+    """Orders come to their customers' totals in four rounds; the writer is lost in the third, another one goes on."""
+    at = store.Store(spark, folder(spark))
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    seen = []
+
+    def start():
+        return o.limit(0).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("most"))
+
+    def step(now, k):
+        if k == 3 and not seen:
+            seen.append(k)
+            raise _Lost
+        more = o.filter(F.col("o_orderkey") % 4 == k - 1).select("o_custkey", F.lit(1).cast("long").alias("n"), F.col("o_totalprice").alias("most"))
+        return now.unionByName(more).groupBy("o_custkey").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
+
+    try:
+        at.iterate("totals", start, step, 4)
+    except _Lost:
+        pass
+    return at.iterate("totals", start, step, 4)
+
+
 def wiped(spark, d):
     root = folder(spark)
     tables.write_table(t(spark, d, "nation").select(F.col("n_name").alias("ProjectID")), root, "Projects")
@@ -342,6 +389,8 @@ def chunks_with_overlap(spark, d):
 
 QUERIES = {
     "kb_table_round_trip": (table_round_trip, _ROUND_TRIP),
+    "kb_concurrent_writers": (concurrent_writers, "SELECT 'PROJ_' || s_suppkey AS project, s_name AS name FROM supplier"),
+    "kb_resumed_rounds": (resumed_rounds, "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY o_custkey"),
     "kb_wiped_tables": (wiped, "SELECT unnest([" + ", ".join(repr(x) for x in TABS) + "]) AS tab, CAST(0 AS BIGINT) AS n"),
     "runs_exported_facts": (exported_runs, _EXPORTED),
     "runs_empty_export": (empty_export, "SELECT 'UTSD' AS project, '[no datasets]' AS name"),

@@ -1,11 +1,9 @@
-"""Tables with fixed, all-text columns: reading with a header somewhere in the first rows, writing, appending, locking."""
+"""Tables with fixed, all-text columns: reading with a header somewhere in the first rows, and versions that several drivers may write."""
 
 from __future__ import annotations
 
 import json
-import os
-import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 from quarrystone.functions.constants import TABS
 from quarrystone.functions.text import guard_formula, hyperlink_urls, text_or_empty
 
+from .store import Lease, Store
+
 
 def conform(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exactly ``columns``, in order, as text; absent ones and nulls are empty."""
@@ -39,80 +39,41 @@ def read_sheet(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFr
     return body.select(*[(hyperlink_urls(F.col("cells")[found[c]]) if c in found else F.lit("")).alias(c) for c in columns])
 
 
-def read_table(spark: SparkSession, root: str, tab: str) -> DataFrame:
-    """A tab of the knowledge base, empty where it was never written.
-
-    Between the two renames of a writer that was lost, the tab stands under its former name.
-    """
-    for name in (tab, f"_{tab}.before"):
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return conform(spark.read.parquet(f"{root}/{name}"), TABS[tab])
+def _empty(spark: SparkSession, tab: str) -> DataFrame:
     return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in TABS[tab]))
 
 
-def write_table(df: DataFrame, root: str, tab: str) -> None:
-    """Replaces a tab: written beside it, then the present one steps aside and the new one takes its place.
-
-    A reader sees either whole, as ``read_table`` knows the name that the former one has meanwhile.
-    """
-    spark = df.sparkSession
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    stage, target, before = fs_path(f"{root}/_{tab}"), fs_path(f"{root}/{tab}"), fs_path(f"{root}/_{tab}.before")
+def _guarded(df: DataFrame, tab: str) -> DataFrame:
     out = conform(df, TABS[tab])
-    out.select(*[guard_formula(F.col(f"`{c}`")).alias(c) for c in out.columns]).write.mode("overwrite").parquet(f"{root}/_{tab}")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(before, True)
-        fs.rename(target, before)
-    fs.rename(stage, target)
-    fs.delete(before, True)
+    return out.select(*[guard_formula(F.col(f"`{c}`")).alias(c) for c in out.columns])
+
+
+def read_table(spark: SparkSession, root: str, tab: str) -> DataFrame:
+    """The latest whole version of a tab of the knowledge base, empty where it was never written."""
+    found = Store(spark, root).read(tab)
+    return _empty(spark, tab) if found is None else conform(found, TABS[tab])
+
 
+def write_table(df: DataFrame, root: str, tab: str, lease: Lease | None = None) -> None:
+    """Replaces a tab by a new version, whatever the present one holds; under a lease only while that is held."""
+    Store(df.sparkSession, root).update(tab, lambda _: _guarded(df, tab), lease)
 
-def append_row(spark: SparkSession, root: str, tab: str, row: dict) -> None:
+
+def update_table(spark: SparkSession, root: str, tab: str, change: Callable[[DataFrame], DataFrame], lease: Lease | None = None) -> None:
+    """Replaces a tab by ``change`` of its present version; where another writer was first, of that one's."""
+    Store(spark, root).update(tab, lambda now: _guarded(change(_empty(spark, tab) if now is None else conform(now, TABS[tab])), tab), lease)
+
+
+def append_row(spark: SparkSession, root: str, tab: str, row: dict, lease: Lease | None = None) -> None:
     """Appends one row; dictionaries and lists as JSON."""
     values = [json.dumps(v) if isinstance(v, dict | list) else "" if v is None else str(v) for v in (row.get(c) for c in TABS[tab])]
-    spark.createDataFrame([values], ", ".join(f"`{c}` string" for c in TABS[tab])).write.mode("append").parquet(f"{root}/{tab}")
+    append_rows(spark.createDataFrame([values], ", ".join(f"`{c}` string" for c in TABS[tab])), root, tab, lease)
+
+
+def append_rows(df: DataFrame, root: str, tab: str, lease: Lease | None = None) -> None:
+    Store(df.sparkSession, root).update(tab, lambda _: conform(df, TABS[tab]), lease, append=True)
 
 
 def wipe_tables(spark: SparkSession, root: str) -> None:
     for tab, columns in TABS.items():
         write_table(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns)), root, tab)
-
-
-class Lock:
-    """A lock file made atomically, on a file system of the driver's; one older than ``ttl`` seconds is dead and replaced."""
-
-    def __init__(self, path: str, ttl: float = 600, poll: float = 0.2):
-        self.path, self.ttl, self.poll = path, ttl, poll
-
-    def acquire(self, timeout: float = 600) -> bool:
-        end = time.time() + timeout
-        while True:
-            try:
-                os.close(os.open(self.path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-                return True
-            except FileExistsError:
-                try:
-                    if time.time() - os.path.getmtime(self.path) > self.ttl:
-                        os.unlink(self.path)
-                        continue
-                except FileNotFoundError:
-                    continue
-            if time.time() >= end:
-                return False
-            time.sleep(self.poll)
-
-    def release(self) -> None:
-        try:
-            os.unlink(self.path)
-        except FileNotFoundError:
-            pass
-
-    def __enter__(self):
-        if not self.acquire():
-            raise TimeoutError(self.path)
-        return self
-
-    def __exit__(self, *_):
-        self.release()

@@ -39,15 +39,6 @@ def test_sheet_with_header_below(spark, tmp_path):
     assert [(x["ProjectID"], x["Name"], x["Type"]) for x in r] == [("P1", "http://a", "")]
 
 
-def test_lock(tmp_path):
-    path = str(tmp_path / "lock")
-    with tables.Lock(path):
-        assert not tables.Lock(path).acquire(timeout=0)
-        os.utime(path, (time.time() - 1000,) * 2)
-        assert tables.Lock(path, ttl=600).acquire(timeout=0)
-    assert tables.Lock(path).acquire(timeout=0)
-
-
 def test_run_files_to_facts(spark, tmp_path):
     (tmp_path / "Bench_Lotsa_q_20260701_1200.csv").write_text("Dataset Name,Domain,Domain (C),Type\nETTh1,Energy,0.9,nan\nX,,0.1,Dataset\n")
     (tmp_path / "Bench_kaggle_q.csv").write_text("Dataset Name,Frequency\nY,\"daily, or so\"\n")
@@ -194,17 +185,6 @@ def test_embedder(spark):
         providers.first_ready([Broken()])
 
 
-def test_tables_between_renames(spark, tmp_path):
-    one, two = (spark.createDataFrame([(x,)], "Name string") for x in ("one", "two"))
-    tables.write_table(one, str(tmp_path), "Projects")
-    tables.write_table(two, str(tmp_path), "Projects")
-    assert [r["Name"] for r in tables.read_table(spark, str(tmp_path), "Projects").collect()] == ["two"]
-    (tmp_path / "Projects").rename(tmp_path / "_Projects.before")
-    assert [r["Name"] for r in tables.read_table(spark, str(tmp_path), "Projects").collect()] == ["two"]
-    tables.write_table(one, str(tmp_path), "Projects")
-    assert [r["Name"] for r in tables.read_table(spark, str(tmp_path), "Projects").collect()] == ["one"] and not (tmp_path / "_Projects.before").exists()
-
-
 def test_too_large_files_have_a_row(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b\n1,2\n")
     got = data_files.inspect_files(spark, str(tmp_path), largest=3).collect()
