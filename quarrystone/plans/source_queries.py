@@ -143,6 +143,26 @@ SELECT 'SUCCESS' AS status, 'DELIMITED' AS file_type, 3 AS columns, 'p_partkey,p
 UNION ALL SELECT 'SUCCESS', 'DELIMITED', 2, 'col_0,col_1', 'Multivariate', count(*) FROM region
 """
 
+def many_inspected(spark, d):
+    """The line items of each shipping month as CSV files of at most a thousand rows, inspected by their heads."""
+    path = folder(spark)
+    l = t(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("month"), "l_orderkey", "l_quantity", "l_returnflag")  # noqa: E741
+    l.write.partitionBy("month").option("header", True).option("maxRecordsPerFile", 1000).csv(f"{path}/files")
+    found = data_files.inspect_files(spark, f"{path}/files", "*.csv").filter(F.col("bytes_read") <= data_files.HEAD + 512)
+    month = F.regexp_extract("path", "month=([0-9-]+)", 1)
+    return found.groupBy(month.alias("month"), "status", "file_type").agg(F.max("column_count").cast("long").alias("columns"), F.max(F.array_join("headers_sample", ",")).alias("headers"), F.max("data_type_estimate").alias("kind"), F.sum("preview_rows_parsed").alias("n"))
+
+
+def archives(spark, d):
+    """All customers in ZIP files written by the tasks that read them, inspected by the archives' directories."""
+    path = folder(spark)
+    c = t(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    written = data_files.write_archives(c, f"{path}/zips").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("rows")).first()
+    found = data_files.inspect_files(spark, f"{path}/zips", "*.zip")
+    whole = found.agg(F.count(F.lit(1)).alias("found"), F.sum("preview_rows_parsed").alias("n"), F.max("column_count").cast("long").alias("columns"), F.max(F.array_join("headers_sample", ",")).alias("headers"), F.max("file_type").alias("file_type"), F.max("extracted_file_name").alias("member"))
+    return whole.select((F.col("found") == written["n"]).alias("all_found"), F.lit(written["rows"]).alias("written"), "n", "columns", "headers", "file_type", "member")
+
+
 #: File names with the folder, whether administrative, whether of a run and the class, worked out by hand.
 FILES = (
     ("Bench_UTSD_q_20260701_1200.csv", "run1", False, True, "Data CSV"),
@@ -399,6 +419,8 @@ QUERIES = {
     "log_heads": (log_heads, "SELECT r_regionkey, CAST(40 AS BIGINT) AS n, ['UTSD', 'LOTSA', 'M2', 'Unknown', 'TEMPO'][r_regionkey % 5 + 1] AS project FROM region"),
     "log_pipe_facts": (pipe_facts, "SELECT n_nationkey, n_name AS dataset, CASE WHEN n_nationkey % 3 = 0 THEN 'Domain' ELSE 'Type' END AS field, CASE WHEN n_nationkey % 3 = 0 THEN 'v' ELSE 'w' END AS value FROM nation WHERE n_nationkey % 3 <> 2"),
     "file_inspections": (inspected_files, _INSPECTED),
+    "file_many_inspections": (many_inspected, "SELECT strftime(l_shipdate, '%Y-%m') AS month, 'SUCCESS' AS status, 'DELIMITED' AS file_type, 3 AS columns, 'l_orderkey,l_quantity,l_returnflag' AS headers, 'Multivariate' AS kind, count(*) AS n FROM lineitem GROUP BY 1"),
+    "file_archives": (archives, "SELECT true AS all_found, count(*) AS written, count(*) AS n, 3 AS columns, 'c_custkey,c_acctbal,c_mktsegment' AS headers, 'ZIP' AS file_type, 'data.csv' AS member FROM customer"),
     "file_folders": (file_folders, f"SELECT o_orderkey, {_listed(1)} AS folder, {_listed(2)} AS admin, {_listed(3)} AS of_run FROM orders"),
     "file_type_counts": (file_types, f"SELECT {_listed(4)} AS type, count(*) AS n FROM orders GROUP BY 1"),
     "text_parsed_times": (parsed_times, _TIMES),

@@ -1,4 +1,9 @@
-"""Inspection of data files: delimited text, also in gzip and ZIP, from bytes that the cluster read."""
+"""Inspection of data files: delimited text, also in gzip and ZIP, by ranges of their bytes.
+
+Spark lists the files and deals them to tasks; a task opens each and reads its head, or an archive's directory at
+its end and the start of one member, never the whole file, so size does not matter.  Stores that only Spark
+reads have no ranges: there, files up to ``LARGEST`` bytes are read whole by Spark and larger ones refused.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +11,10 @@ import csv
 import gzip
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +24,8 @@ RESULT = T.StructType([
     T.StructField("data_type_estimate", T.StringType()), T.StructField("preview_rows_parsed", T.IntegerType()), T.StructField("extracted_file_name", T.StringType()), T.StructField("error", T.StringType()),
 ])
 ROWS, SAMPLE, LARGEST = 1000, 10, 50 << 20
+#: Bytes of a file, or of what an archive holds, that are parsed.
+HEAD = 1 << 20
 ENDINGS = (".csv", ".tsv", ".txt", ".data", ".dat")
 
 
@@ -59,46 +68,153 @@ def inspect_delimited(content: bytes, name: str, kind: str = "DELIMITED") -> dic
     }
 
 
-def inspect(content: bytes | None, name: str) -> dict:
-    """Dispatch by content: HTML is refused, archives give their largest parsable member."""
-    if not content:
-        return _failed("UNKNOWN", "empty")
-    if len(content) > LARGEST:
-        return _failed("UNKNOWN", "too large")
-    low = content[:512].lstrip().lower()
-    if low.startswith((b"<!doctype html", b"<html")):
-        return _failed("HTML", "a page, no data file")
+class Ranged(io.RawIOBase):
+    """A file of a store, read where it is asked for only; ``taken`` counts the bytes."""
+
+    def __init__(self, file, size: int):
+        self.file, self.length, self.at, self.taken = file, size, 0, 0
+
+    def seekable(self) -> bool:
+        return True
+
+    def readable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        self.at = max(0, offset + (0, self.at, self.length)[whence])
+        return self.at
+
+    def read(self, n: int = -1) -> bytes:
+        n = max(0, self.length - self.at) if n is None or n < 0 else min(n, max(0, self.length - self.at))
+        self.file.seek(self.at)
+        got = self.file.read(n)
+        self.at += len(got)
+        self.taken += len(got)
+        return got
+
+    def readinto(self, into) -> int:
+        got = self.read(len(into))
+        into[: len(got)] = got
+        return len(got)
+
+
+def parsable_member(z: zipfile.ZipFile) -> zipfile.ZipInfo | None:
+    """The largest member with one of the endings; hidden ones and folders do not count."""
+    found = [m for m in z.infolist() if not m.is_dir() and "__MACOSX" not in m.filename and not m.filename.rsplit("/", 1)[-1].startswith(".") and m.filename.lower().endswith(ENDINGS)]
+    return max(found, key=lambda m: m.file_size, default=None)
+
+
+def inspect_file(file: io.IOBase, name: str) -> dict:
+    """Dispatch by the first bytes: HTML is refused, archives give their largest parsable member."""
     try:
-        if content[:4] == b"PK\x03\x04":
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                members = [m for m in z.infolist() if not m.is_dir() and "__MACOSX" not in m.filename and not m.filename.rsplit("/", 1)[-1].startswith(".") and m.filename.lower().endswith(ENDINGS)]
-                if not members:
+        start = file.read(512)
+        if not start:
+            return _failed("UNKNOWN", "empty")
+        if start.lstrip().lower().startswith((b"<!doctype html", b"<html")):
+            return _failed("HTML", "a page, no data file")
+        file.seek(0)
+        if start[:4] in (b"PK\x03\x04", b"PK\x05\x06"):
+            with zipfile.ZipFile(file) as z:
+                best = parsable_member(z)
+                if best is None:
                     return _failed("ZIP", "no parsable member")
-                best = max(members, key=lambda m: m.file_size)
                 with z.open(best) as f:
-                    return inspect_delimited(f.read(1 << 20), best.filename, "ZIP")
-        if content[:2] == b"\x1f\x8b":
-            with gzip.open(io.BytesIO(content)) as f:
-                return inspect_delimited(f.read(1 << 20), name.removesuffix(".gz"), "GZIP")
-        return inspect_delimited(content[: 1 << 20], name)
+                    return inspect_delimited(f.read(HEAD), best.filename, "ZIP")
+        if start[:2] == b"\x1f\x8b":
+            with gzip.GzipFile(fileobj=file) as f:
+                return inspect_delimited(f.read(HEAD), name.removesuffix(".gz"), "GZIP")
+        return inspect_delimited(file.read(HEAD), name)
     except Exception as e:  # a broken file is a result of its own
         return _failed("UNKNOWN", f"{type(e).__name__}: {e}"[:200])
 
 
+def inspect(content: bytes | None, name: str) -> dict:
+    return inspect_file(io.BytesIO(content or b""), name)
+
+
 @F.pandas_udf(RESULT)
 def inspected(content: pd.Series, name: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([inspect(c, n or "") for c, n in zip(content, name)])
 
 
-def inspect_files(spark: SparkSession, path: str, pattern: str | None = None, largest: int = LARGEST) -> DataFrame:
-    """Inspects all files below a path; too large ones are refused by their metadata, before they are read, and say so."""
+def listed(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, length, content) of all files below a path; content is read only where it is used."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if pattern:
-        r = r.option("pathGlobFilter", pattern)
-    files = r.load(path)
-    read = files.filter(F.col("length") <= largest).select("path", "length", inspected("content", "path").alias("result"))
-    refused = F.struct(*[F.lit({"status": "ERROR", "file_type": "UNKNOWN", "error": "too large"}.get(f.name)).cast(f.dataType).alias(f.name) for f in RESULT])
-    return read.unionByName(files.filter(F.col("length") > largest).select("path", "length", refused.alias("result"))).select("path", "length", "result.*")
+    return (r.option("pathGlobFilter", pattern) if pattern else r).load(path)
+
+
+def ranges_of(spark: SparkSession, path: str) -> tuple[str, str] | None:
+    """How a path of Spark's begins and how its files begin where tasks can read ranges; None for other stores."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at = files.makeQualified(at)
+    real = files.resolvePath(at).toString()
+    try:
+        arrow_fs.FileSystem.from_uri(real)
+    except (OSError, NotImplementedError, ValueError):
+        return None
+    return at.toString(), real
+
+
+def inspect_files(spark: SparkSession, path: str, pattern: str | None = None, largest: int = LARGEST) -> DataFrame:
+    """Inspects all files below a path: (path, length, bytes_read, result)."""
+    files, known = listed(spark, path, pattern), ranges_of(spark, path)
+    if known is None:
+        read = files.filter(F.col("length") <= largest).select("path", "length", F.col("length").alias("bytes_read"), inspected("content", "path").alias("result"))
+        refused = F.struct(*[F.lit({"status": "ERROR", "file_type": "UNKNOWN", "error": "too large"}.get(f.name)).cast(f.dataType).alias(f.name) for f in RESULT])
+        rest = files.filter(F.col("length") > largest).select("path", "length", F.lit(0).cast("long").alias("bytes_read"), refused.alias("result"))
+        return read.unionByName(rest).select("path", "length", "bytes_read", "result.*")
+    shown, real = (x.rstrip("/") for x in known)
+    names = [f.name for f in RESULT]
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, length in zip(batch["path"], batch["length"]):
+                # The listing writes file:/x where the path says file:///x.
+                below = name.split(shown.split(":", 1)[1].lstrip("/"), 1)[1]
+                store, at = arrow_fs.FileSystem.from_uri(real)
+                with store.open_input_file(at + below) as opened:
+                    ranged = Ranged(opened, int(length))
+                    found = inspect_file(ranged, name)
+                out.append((name, length, ranged.taken, *(found[n] for n in names)))
+            yield pd.DataFrame(out, columns=["path", "length", "bytes_read", *names])
+
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType()), T.StructField("bytes_read", T.LongType()), *RESULT.fields])
+    return files.select("path", "length").mapInPandas(f, schema)
+
+
+def write_archives(df: DataFrame, path: str, rows: int = 1000, member: str = "data.csv") -> DataFrame:
+    """Writes the rows as ZIP files of one CSV of at most ``rows`` rows each, by the tasks that hold them; (path, n) of each."""
+    spark, columns = df.sparkSession, df.columns
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    known = ranges_of(spark, path)
+    if known is None:
+        raise ValueError(f"tasks cannot write files to {path}")
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), 0
+        store, at = arrow_fs.FileSystem.from_uri(known[1])
+        for batch in batches:
+            for k in range(0, len(batch), rows):
+                rows_of = batch.iloc[k : k + rows]
+                packed = io.BytesIO()
+                with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(member, rows_of.to_csv(index=False, columns=columns))
+                # A task that is run again writes the same names anew.
+                name = f"{at.rstrip('/')}/part-{part:05d}-{n:05d}.zip"
+                with store.open_output_stream(name) as out:
+                    out.write(packed.getvalue())
+                n += 1
+                yield pd.DataFrame({"path": [name], "n": [len(rows_of)]})
+
+    return df.mapInPandas(f, "path string, n long")
 
 
 def raw_url(url):

@@ -185,10 +185,39 @@ def test_embedder(spark):
         providers.first_ready([Broken()])
 
 
-def test_too_large_files_have_a_row(spark, tmp_path):
+def test_files_of_stores_without_ranges(spark, tmp_path, monkeypatch):
     (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    monkeypatch.setattr(data_files, "ranges_of", lambda *_: None)
     got = data_files.inspect_files(spark, str(tmp_path), largest=3).collect()
     assert [(r["status"], r["error"]) for r in got] == [("ERROR", "too large")]
+    got = data_files.inspect_files(spark, str(tmp_path)).collect()
+    assert [(r["status"], r["column_count"], r["bytes_read"]) for r in got] == [("SUCCESS", 2, 8)]
+
+
+def test_a_large_archive_is_read_in_part(spark, tmp_path):
+    rows = b"a,b,c\n" + b"1,2,3\n" * ((16 << 20) // 6)
+    path = tmp_path / "large.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for k in range(3000):
+            z.writestr(f"notes/{k}.md", "x")
+        with z.open("in/big.csv", "w", force_zip64=True) as f:
+            for _ in range(64):
+                f.write(rows)
+        z.writestr("small.csv", "x,y\n1,2\n")
+    with gzip.open(tmp_path / "large.csv.gz", "wb", compresslevel=1) as f:
+        f.write(rows)
+    (tmp_path / "plain file, large.csv").write_bytes(rows)
+    (tmp_path / "none.zip").write_bytes(b"PK\x05\x06" + b"\0" * 18)
+    try:
+        assert path.stat().st_size > 1 << 30
+        got = {r["path"].rsplit("/", 1)[-1]: r for r in data_files.inspect_files(spark, str(tmp_path)).collect()}
+        for name in ("large.zip", "large.csv.gz", "plain file, large.csv"):
+            r = got[name]
+            assert (r["status"], r["column_count"], r["preview_rows_parsed"]) == ("SUCCESS", 3, 1000), r
+            assert 0 < r["bytes_read"] < 3_000_000
+        assert got["large.zip"]["extracted_file_name"] == "big.csv" and got["none.zip"]["error"] == "no parsable member"
+    finally:
+        path.unlink()
 
 
 def test_job_stream_equals_batch(spark, tmp_path):
