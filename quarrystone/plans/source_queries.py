@@ -11,8 +11,8 @@ from quarrystone.functions import text, values
 from quarrystone.functions.constants import SCHEMA_MAP, TABS
 from quarrystone.operators import catalog, evaluation, inventory, maintenance, retrieval
 from quarrystone.operators.work import folder
-from quarrystone.sources import data_files, pages, runs, sheets, store, tables
-from quarrystone.sources.providers import HashedWords, first_ready
+from quarrystone.sources import cascade, data_files, pages, runs, sheets, store, tables
+from quarrystone.sources.providers import HashedWords, Seeded, first_ready
 
 from .fixtures import t
 
@@ -407,7 +407,26 @@ def chunks_with_overlap(spark, d):
     return c.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+CASCADE = (("first", 90, 3000), ("second", 120, 3000), ("third", 160, 3000))
+
+
+def cascade_answers(spark, d):
+    """Every document's text asked of three providers in turn, again with less of it where none answers."""
+    asked = cascade.Cascade([(n, Seeded(n, fails, 20, most)) for n, fails, most in CASCADE], store.Store(spark, folder(spark)), batches=4)
+    got = cascade.with_answers(t(spark, d, "documents").select("doc_id", "text"), asked, lambda c: F.concat(F.lit("Context: "), c), "text", (4000, 1500, 200), key="doc_id")
+    return got.select("doc_id", F.get_json_object("answer", "$.value").alias("value"), "attempt")
+
+
+def _asked_sql():
+    short = lambda n: f"CASE WHEN length(text) > {n} THEN left(text, {n}) || '... [TRUNCATED]' ELSE text END"
+    fails = lambda p: " AND ".join(f"(length({p}) > {most} OR ('0x' || left(md5('{n}' || {p}), 2))::INTEGER < {bad})" for n, bad, most in CASCADE)
+    prompts = ", ".join(f"'Context: ' || {short(n)} AS p{k}" for k, n in enumerate((4000, 1500, 200), 1))
+    case = lambda x: "CASE " + " ".join(f"WHEN NOT ({fails(f'p{k}')}) THEN {x(k)}" for k in (1, 2, 3)) + " END"
+    return f"SELECT doc_id, {case(lambda k: f'left(md5(p{k}), 8)')} AS value, {case(str)} AS attempt FROM (SELECT doc_id, {prompts} FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"
+
+
 QUERIES = {
+    "provider_cascade": (cascade_answers, _asked_sql()),
     "kb_table_round_trip": (table_round_trip, _ROUND_TRIP),
     "kb_concurrent_writers": (concurrent_writers, "SELECT 'PROJ_' || s_suppkey AS project, s_name AS name FROM supplier"),
     "kb_resumed_rounds": (resumed_rounds, "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY o_custkey"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
 import zlib
 from abc import ABC, abstractmethod
 from collections.abc import Iterator, Sequence
@@ -18,6 +21,13 @@ class Provider(ABC):
     @abstractmethod
     def answer(self, prompts: list[str]) -> list[str | None]: ...
 
+    def timed(self, prompts: list[str]) -> list[tuple[str | None, float]]:
+        """Answers and the seconds that each took, by its share of the call's time."""
+        start = time.perf_counter()
+        got = self.answer(prompts)
+        each = (time.perf_counter() - start) / max(1, len(prompts))
+        return [(a, each) for a in got]
+
     def apply(self, rows: DataFrame, prompt: str = "prompt", answer: str = "answer") -> DataFrame:
         """Adds answers; each distinct prompt is asked once."""
         provider = self
@@ -37,6 +47,27 @@ class Disabled(Provider):
         return [None] * len(prompts)
 
 
+class Seeded(Provider):
+    """Stands in for a model in tests and queries: answers, failures and times follow from digests of the prompts.
+
+    Of 256 prompts ``fails`` have no answer and ``slow`` take a minute; prompts beyond ``most`` characters have none.
+    """
+
+    def __init__(self, name: str, fails: int = 0, slow: int = 0, most: int = 1 << 30):
+        self.name, self.fails, self.slow, self.most = name, fails, slow, most
+
+    def timed(self, prompts: list[str]) -> list[tuple[str | None, float]]:
+        out = []
+        for p in prompts:
+            own = hashlib.md5((self.name + p).encode()).digest()
+            answer = json.dumps({"value": hashlib.md5(p.encode()).hexdigest()[:8], "confidence": 0.9})
+            out.append((None if own[0] < self.fails or len(p) > self.most else answer, 60.0 if own[1] < self.slow else 0.1))
+        return out
+
+    def answer(self, prompts: list[str]) -> list[str | None]:
+        return [a for a, _ in self.timed(prompts)]
+
+
 class Embedder(ABC):
     """Vectors of texts, inside the executors."""
 
