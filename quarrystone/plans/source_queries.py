@@ -5,13 +5,14 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrystone.functions import text, values
 from quarrystone.functions.constants import SCHEMA_MAP, TABS
 from quarrystone.operators import catalog, evaluation, inventory, maintenance, retrieval
 from quarrystone.operators.work import folder
-from quarrystone.sources import cascade, data_files, pages, runs, sheets, store, tables
+from quarrystone.sources import cascade, data_files, documents, pages, runs, sheets, store, tables
 from quarrystone.sources.providers import HashedWords, Seeded, first_ready
 
 from .fixtures import t
@@ -407,6 +408,29 @@ def chunks_with_overlap(spark, d):
     return c.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+def registry_entries(spark, d):
+    """Pages with a registry pasted in: a decoy table, a larger one with a table in a cell, and references."""
+    k = F.col("page_id").cast("string")
+    row = lambda *cells: F.concat(F.lit("<tr>"), *[x for c in cells for x in (F.lit("<td>"), c if isinstance(c, Column) else F.lit(c), F.lit("</td>"))], F.lit("</tr>"))
+    decoy = F.lit("<table><tr><td>a</td><td>b</td><td>c</td><td>d</td></tr><tr><td>e</td><td>f</td><td>g</td></tr></table>")
+    rows = [row("Name", "x", "y"), row(F.concat(F.lit("Set "), k), "-", "plain"), row(F.concat(F.lit("Deep "), k), "<table><tr><td>in</td><td>ner</td></tr></table>", F.concat(F.lit("as <b>[2]</b> and [1], not ["), k, F.lit("0]"))), row("two", "cells"), row("", "no", "name")]
+    refs = F.concat(F.lit("<ul><li>[1] first of "), k, F.lit("<li> [2]  second </ul><p>[3] third</p>"))
+    pages = t(spark, d, "pages").select("page_id", F.concat("html", decoy, F.lit("<table>"), *rows, F.lit("</table>"), refs).alias("html"))
+    return documents.entries(pages, "page_id", "html").select("page_id", "name", "description", "augmented")
+
+
+_REGISTRY = """
+SELECT page_id, 'Set ' || page_id AS name, 'plain' AS description, 'plain' AS augmented FROM pages
+UNION ALL SELECT page_id, 'Deep ' || page_id, d, d || chr(10) || chr(10) || 'References:' || chr(10) || '[1]: first of ' || page_id || chr(10) || '[2]: second' FROM (SELECT page_id, 'as [2] and [1], not [' || page_id || '0]' AS d FROM pages)
+"""
+
+
+def names_in_documents(spark, d):
+    """Openings of the benchmark's items in all documents."""
+    names = t(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("name"))
+    return documents.names_in_texts(names, t(spark, d, "documents"), "item_id", "name", "doc_id", "text")
+
+
 CASCADE = (("first", 90, 3000), ("second", 120, 3000), ("third", 160, 3000))
 
 
@@ -426,6 +450,8 @@ def _asked_sql():
 
 
 QUERIES = {
+    "registry_entries": (registry_entries, _REGISTRY),
+    "registry_names_in_texts": (names_in_documents, "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40)) WHERE b.text <> ''"),
     "provider_cascade": (cascade_answers, _asked_sql()),
     "kb_table_round_trip": (table_round_trip, _ROUND_TRIP),
     "kb_concurrent_writers": (concurrent_writers, "SELECT 'PROJ_' || s_suppkey AS project, s_name AS name FROM supplier"),
