@@ -12,7 +12,7 @@ from quarrystone.functions import text, values
 from quarrystone.functions.constants import SCHEMA_MAP, TABS
 from quarrystone.operators import catalog, evaluation, inventory, maintenance, retrieval
 from quarrystone.operators.work import folder
-from quarrystone.sources import cascade, data_files, documents, pages, runs, sheets, store, tables
+from quarrystone.sources import cascade, data_files, documents, harvest, pages, runs, sheets, store, tables
 from quarrystone.sources.providers import HashedWords, Seeded, first_ready
 
 from .fixtures import t
@@ -431,6 +431,26 @@ def names_in_documents(spark, d):
     return documents.names_in_texts(names, t(spark, d, "documents"), "item_id", "name", "doc_id", "text")
 
 
+def _harvested(found):
+    """Records of pages with a data script pasted in; every two pages in turn share an id, every ninth has none."""
+    k = F.col("page_id")
+    script = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props": {"pageProps": {"dataset": {"ID": '), F.floor(k / 2).cast("string"), F.lit(', "Name": "n'), k.cast("string"), F.lit('", "Types": "Text", "Abstract": "a"}}}}</script>'))
+    r = found.select("page_id", F.concat("html", F.when(k % 9 != 0, script).otherwise("")).alias("html")).select("page_id", pages.repository_record(pages.embedded_json("html")).alias("r"))
+    return r.select(F.col("r.id").alias("id"), "page_id", F.col("r.name").alias("name"))
+
+
+_HARVESTED = "SELECT page_id // 2 AS id, min(page_id) AS page_id, 'n' || min(page_id) AS name FROM pages WHERE page_id % 9 <> 0 GROUP BY 1"
+
+
+def harvest_batch(spark, d):
+    return harvest.first_records(_harvested(harvest.read_pages(spark, f"{d}/pages.parquet")), "id", "page_id")
+
+
+def harvest_streamed(spark, d):
+    path = folder(spark)
+    return harvest.harvest_stream(_harvested(harvest.stream_pages(spark, f"{d}/pages.parquet")), store.Store(spark, f"{path}/kb"), "records", "id", "page_id", f"{path}/checkpoint")
+
+
 CASCADE = (("first", 90, 3000), ("second", 120, 3000), ("third", 160, 3000))
 
 
@@ -450,6 +470,8 @@ def _asked_sql():
 
 
 QUERIES = {
+    "harvest_records": (harvest_batch, _HARVESTED),
+    "harvest_stream": (harvest_streamed, _HARVESTED),
     "registry_entries": (registry_entries, _REGISTRY),
     "registry_names_in_texts": (names_in_documents, "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40)) WHERE b.text <> ''"),
     "provider_cascade": (cascade_answers, _asked_sql()),
