@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarrystone.functions.text import normalize, strip, text_or_empty, urls_of
 from quarrystone.functions.values import cell_missing
 
 K1, B = 1.5, 0.75
 CHUNK_WORDS = 1024
+#: Queries of a block, and vectors of the index that meet it at once.
+QUERY_BLOCK, INDEX_ROWS = 2048, 4096
 
 
 def document_text(url: Column, title: Column, kind: Column, content: Column) -> Column:
@@ -73,19 +78,62 @@ def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int) -> DataFr
 
 
 def vector_top_k(index: DataFrame, queries: DataFrame, id_: str, vector: str, k: int = 10) -> DataFrame:
-    """Nearest by cosine for a stated set of queries: the index stays in place, the few queries are broadcast.
+    """(query_id, rank, id, score): nearest by cosine for a stated set of queries, ties to smaller ids.
 
-    Beyond 10,000 queries they are joined in blocks instead, block by block of the index.
+    Queries are packed into blocks of about ``QUERY_BLOCK`` and vectors of the index into rows of at most
+    ``INDEX_ROWS``; every row meets every block by the block's number, and a task keeps the best of what it has
+    seen of a block, so that what is shuffled is k rows for each query, block and task, not the pairs.  Candidates
+    come from a matrix product; scores are then sums over the vectors alone, equal for equal vectors.
+
+    Vectors that are null or of length zero, or hold nulls, and those of another dimension than the query's, take no part.
     """
-    q = queries.select(F.col(id_).alias("query_id"), F.col(vector).alias("_q"), norm(F.col(vector)).alias("_qn"))
-    d = index.select(F.col(id_), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_vn"))
-    if q.limit(10_001).count() <= 10_000:
-        pairs = d.join(F.broadcast(q), F.lit(True))
-    else:
-        n = 64
-        q = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n)))
-        pairs = d.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(q, "_b")
-    return top_k(pairs.withColumn("score", cosine(F.col("_v"), F.col("_q"), F.col("_vn") * F.col("_qn"))), "query_id", "score", id_, k).select("query_id", "rank", id_, "score")
+    whole = lambda v: v.isNotNull() & ~F.exists(v, lambda x: x.isNull()) & (norm(v) > 0)
+    q = queries.filter(whole(F.col(vector))).select(F.col(id_).alias("query_id"), F.col(vector).cast("array<double>").alias("_q"), F.size(vector).alias("_dim"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    packed = q.groupBy("_dim", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("query_id", "_q"))).alias("_queries"))
+    d = index.filter(whole(F.col(vector))).select(F.col(id_).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), F.size(vector).alias("_dim"))
+    id_kind, query_kind = (df.schema[c].dataType.simpleString() for df, c in ((d, "_id"), (q, "query_id")))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b.column(2).to_numpy()
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                for lo in range(0, len(at), INDEX_ROWS):
+                    part = b.take(pa.array(at[lo : lo + INDEX_ROWS]))
+                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), ids, pa.array([part.column(1).flatten().to_numpy().tobytes()], pa.binary())], ["_dim", "_ids", "_vectors"])
+
+    rows = d.mapInArrow(rows_of, f"_dim int, _ids array<{id_kind}>, _vectors binary").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+        for b in batches:
+            for dim, block, asked, ids, raw in zip(*(b.column(c).to_pylist() for c in ("_dim", "_block", "_queries", "_ids", "_vectors"))):
+                names, q = [x["query_id"] for x in asked], np.array([x["_q"] for x in asked])
+                v = np.frombuffer(raw).reshape(-1, dim)
+                lengths = np.sqrt((v * v).sum(1))
+                score = (q @ v.T) / (np.sqrt((q * q).sum(1))[:, None] * lengths)
+                least = np.partition(score, -min(k, len(v)), axis=1)[:, -min(k, len(v))] - 1e-9
+                for j, name in enumerate(names):
+                    at = np.flatnonzero(score[j] >= least[j])
+                    exact = (v[at] * q[j]).sum(1) / (np.sqrt((q[j] * q[j]).sum()) * lengths[at])
+                    found = seen.get((block, dim, name), []) + [(-float(s), ids[x]) for s, x in zip(exact, at)]
+                    seen[block, dim, name] = sorted(found)[:k]
+                if len(seen) > 4 * QUERY_BLOCK:
+                    yield told(seen)
+                    seen = {}
+        if seen:
+            yield told(seen)
+
+    def told(seen: dict) -> pa.RecordBatch:
+        flat = [(name, i, -s) for (_, _, name), found in seen.items() for s, i in found]
+        return pa.RecordBatch.from_arrays([pa.array([x[n] for x in flat], kind) for n, kind in enumerate(kinds)], ["query_id", "_id", "score"])
+
+    kinds = [to_arrow_type(q.schema["query_id"].dataType), to_arrow_type(d.schema["_id"].dataType), pa.float64()]
+    met = rows.join(packed, ["_dim", "_block"]).select("_dim", "_block", "_queries", "_ids", "_vectors")
+    found = met.mapInArrow(best, f"query_id {query_kind}, _id {id_kind}, score double")
+    return top_k(found, "query_id", "score", "_id", k).select("query_id", "rank", F.col("_id").alias(id_), "score")
 
 
 def terms(x: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import text
 from quarrystone.operators import maintenance
+from quarrystone.operators.intervals import interval_join
+from quarrystone.operators.phases import Phases
 from quarrystone.sources import pages
 
 from .fixtures import CELLS, JOBS, cells, jobs, t
@@ -104,7 +106,42 @@ def provider_answers(spark, d):
     return e.select("event_id", maintenance.provider_says(F.col("a"), "is_same").alias("same"))
 
 
+def samples_in_jobs(spark, d):
+    """Views and clicks as samples of a machine, purchases and errors as its jobs, some of minutes and some of days."""
+    e = t(spark, d, "events").select("event_id", "event_type", "value", (F.col("user_id") % 10).alias("machine"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    seconds = F.col("event_id") % 977
+    ran = e.filter(F.col("event_type").isin("purchase", "error")).select(F.col("event_id").alias("job"), "machine", F.col("at").alias("start"), (F.col("at") + seconds * seconds).alias("end"))
+    taken = interval_join(e.filter(F.col("event_type").isin("view", "click")).select("machine", "at", "value"), ran, "at", "start", "end", ["machine"])
+    return taken.groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"), F.min("value").alias("least"))
+
+
+_SAMPLES = """
+WITH e AS (SELECT event_id, event_type, value, user_id % 10 AS machine, epoch_us(ts) / 1e6 AS x FROM events),
+j AS (SELECT event_id AS job, machine, x AS a, x + (event_id % 977) * (event_id % 977) AS b FROM e WHERE event_type IN ('purchase', 'error'))
+SELECT job, count(*) AS n, max(value) AS most, min(value) AS least FROM j JOIN e ON e.machine = j.machine AND x BETWEEN a AND b WHERE event_type IN ('view', 'click') GROUP BY job
+"""
+
+
+def profiled(spark, d):
+    """The phases of a chain over orders, with the rows and a sum that their own jobs saw."""
+    o = t(spark, d, "orders")
+    seen = Phases({"keys": F.sum("o_custkey")})
+    seen.chain(o, [("read", lambda x: x), ("open", lambda x: x.filter("o_orderstatus = 'O'")), ("known", lambda x: x.join(t(spark, d, "customer").filter("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left_semi"))])
+    seen.run("by customer", o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), {"most": F.max("n")})
+    return seen.report(spark).select("phase", F.col("place").cast("long").alias("place"), "rows", F.col("metrics")["keys"].cast("long").alias("keys"), F.col("metrics")["most"].cast("long").alias("most"), (F.col("seconds") > 0).alias("timed"))
+
+
+_PROFILED = """
+WITH o AS (SELECT * FROM orders WHERE o_orderstatus = 'O'), k AS (SELECT * FROM o WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)), g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT 'read' AS phase, 0::BIGINT AS place, count(*) AS rows, sum(o_custkey)::BIGINT AS keys, NULL::BIGINT AS most, true AS timed FROM orders
+UNION ALL SELECT 'open', 1, count(*), sum(o_custkey)::BIGINT, NULL, true FROM o UNION ALL SELECT 'known', 2, count(*), sum(o_custkey)::BIGINT, NULL, true FROM k
+UNION ALL SELECT 'by customer', 3, count(*), sum(o_custkey)::BIGINT, max(n), true FROM g
+"""
+
+
 QUERIES = {
+    "runs_samples_in_jobs": (samples_in_jobs, _SAMPLES),
+    "runs_observed_phases": (profiled, _PROFILED),
     "kb_discovered": (discovered, _DISCOVERED),
     "kb_reconcile": (reconcile, _RECONCILE),
     "eval_map_truth": (truth, "SELECT c_custkey, c_nationkey AS nation, coalesce(s, '') AS truth FROM customer LEFT JOIN (SELECT s_nationkey, arg_max(s_name, s_suppkey) AS s FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey"),
