@@ -6,13 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quarrystone.functions.text import normalize, strip, text_or_empty, urls_of
 from quarrystone.functions.values import cell_missing
 
+from .work import folder, written
+
 K1, B = 1.5, 0.75
 CHUNK_WORDS = 1024
 #: Queries of a block, and vectors of the index that meet it at once.
@@ -143,17 +145,19 @@ def terms(x: Column) -> Column:
 def bm25_top_k(docs: DataFrame, queries: DataFrame, id_: str, text: str, query_id: str, query_text: str, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """BM25 scores of the documents that share a term with a query.
 
-    Only the queries' terms are counted in the documents: postings meet them by term.
+    Only the queries' terms are counted in the documents: postings meet them by term.  Texts are cut into words
+    once: the job that writes the postings observes the numbers of documents and words too.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
-    words = docs.select(F.col(id_).alias("id"), terms(F.col(text)).alias("_w"))
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_w")).alias("avgdl"))
+    seen = Observation()
+    words = docs.select(F.col(id_).alias("id"), terms(F.col(text)).alias("_w")).observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("_w").cast("long")), F.lit(0)).alias("words"))
     posts = words.select("id", F.size("_w").alias("dl"), F.explode("_w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = posts.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = written(posts.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), folder(docs.sparkSession), "postings")
+    n, avgdl = float(seen.get["n"]), seen.get["words"] / max(1, seen.get["n"])
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    d = tf.join(df, "term").join(asked, "term").join(F.broadcast(stats), F.lit(True))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    d = tf.join(df, "term").join(asked, "term")
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = d.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
     return top_k(scored.withColumn("_s", F.round("score", 6)), "query_id", "_s", "id", k).select("query_id", "rank", F.col("id").alias(id_), F.col("_s").alias("score"))
 

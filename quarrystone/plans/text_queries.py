@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import text, values
 from quarrystone.operators import inventory, retrieval
+from quarrystone.operators.search_index import SearchIndex
+from quarrystone.operators.work import folder
 from quarrystone.sources import pages, runs, sheets
+from quarrystone.sources.store import Store
 from quarrystone.sources.tables import conform, header_row
 
 from .fixtures import t
@@ -215,6 +218,15 @@ def bm25(spark, d):
     return _bm25(spark, d)
 
 
+def indexed(spark, d):
+    """All documents come to an index in two batches; every benchmark item is searched in it."""
+    index, docs = SearchIndex(Store(spark, folder(spark))), t(spark, d, "documents")
+    for part in (docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 <> 0")):
+        index.add(part, "doc_id", "text")
+    found = index.search(t(spark, d, "benchmark"), "item_id", "text", 5)
+    return found.select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
 _BM25_BASE = """
 w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
 st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
@@ -306,6 +318,7 @@ QUERIES = {
     "search_document_text": (templates, "SELECT doc_id, md5('Title: ' || source || chr(10) || 'URL: http://x/' || repeat('y', 141) || chr(10) || 'Context: ' || lang || chr(10) || 'Content: ' || text) AS digest FROM documents"),
     "search_vector_top_k": (vector_top, _VECTOR),
     "search_bm25_top_k": (bm25, f"WITH {_BM25_BASE} SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 5"),
+    "search_index_top_k": (indexed, f"WITH {_BM25_BASE} SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 5"),
     "search_hybrid_top_k": (hybrid, _HYBRID),
     "search_multi_query": (multi_query, _MULTI),
     "search_contexts": (contexts, _CONTEXT),
