@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarrystone.functions.constants import JOB_SECONDS, LOCK, MISSING_CELL
@@ -63,6 +64,65 @@ def anchored_jobs_stream(runs: DataFrame, key: str, time: str, order: str, secon
     return typed.groupBy("key").applyInPandasWithState(f, "key string, o long, job long", "job long, first long", "append", GroupStateTimeout.NoTimeout)
 
 
+class _JobsInOrder(StatefulProcessor):
+    """Waiting runs by event time, and the open job; one timer a key, at its earliest waiting run."""
+
+    def __init__(self, seconds: int):
+        self.span = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long, o long")
+        self.open = handle.getValueState("open", "job long, first long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.waiting.exists()
+        first = min(int(t) for t, _ in self.waiting.get()) if held else None
+        new = [(int(t), int(o)) for b in rows for t, o in zip(b["t"], b["o"])]
+        self.waiting.appendList(new)
+        earliest = min(t for t, _ in new)
+        if first is None or earliest < first:
+            if first is not None:
+                self.handle.deleteTimer(first // 1000 + 1)
+            self.handle.registerTimer(earliest // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # All that lies before the watermark is there, as later rows from before it are dropped.
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((int(t), int(o)) for t, o in self.waiting.get())
+        ready, rest = [r for r in rows if r[0] < until], [r for r in rows if r[0] >= until]
+        job, first = map(int, self.open.get()) if self.open.exists() else (0, 0)
+        jobs = []
+        for t, _ in ready:
+            if not job or t - first > self.span:
+                job, first = job + 1, t
+            jobs.append(job)
+        self.open.update((job, first))
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+        if jobs:
+            yield pd.DataFrame({"key": [str(key[0])] * len(jobs), "o": [o for _, o in ready], "job": jobs})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_jobs_stream(runs: DataFrame, key: str, time: str, order: str, seconds: int = JOB_SECONDS, late: str = "1 hour") -> DataFrame:
+    """Jobs of a stream of runs (key, order, time) as the batch gives them, whatever the order in which runs come.
+
+    A run waits in its key's state until the watermark, ``late`` behind the latest run of all, has passed it; a timer then
+    takes all such runs in order of time and ``order``.  Runs that come later than that are dropped.  The session
+    needs the state store of Spark's ``RocksDBStateStoreProvider``.
+    """
+    typed = runs.filter(F.col(time).isNotNull()).withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late)
+    typed = typed.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("o"), F.unix_micros("_at").alias("t"), "_at")
+    return typed.groupBy("key").transformWithStateInPandas(_JobsInOrder(seconds), "key string, o long, job long", "Append", "EventTime")
+
+
 def not_cooling(calls: DataFrame, key: str, time: str, order: str, seconds: float, late: str = "10 minutes") -> DataFrame:
     """Calls of a stream whose key made no other accepted call within ``seconds`` before; others are refused.
 

@@ -234,6 +234,39 @@ def test_job_stream_equals_batch(spark, tmp_path):
     assert {(r["key"], r["o"]): r["job"] for r in got.collect()} == want
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_shuffled_job_stream_equals_batch(spark, tmp_path):
+    from quarrystone.operators.inventory import anchored_jobs
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    want = {(str(r["user_id"]), r["event_id"]): r["job"] for r in anchored_jobs(e, "user_id", "ts", "event_id").collect()}
+    last = spark.sql("SELECT -1L AS user_id, -1L AS event_id, TIMESTAMP '2024-06-01' AS ts")
+    more = last.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
+    late = spark.sql("SELECT 1L AS user_id, -2L AS event_id, TIMESTAMP '2024-01-02' AS ts")
+    mixed = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for part in (e.filter(mixed == 2), e.filter(mixed == 0), e.filter(mixed == 1), last, more, late):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        got = cells.run_once(cells.ordered_jobs_stream(s, "user_id", "ts", "event_id", late="40 days"), "ordered_out", str(tmp_path / "ck")).collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert len(got) == len(want) and {(r["key"], r["o"]): r["job"] for r in got} == want
+
+
+def test_each_key_once_within_the_watermark(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:05"), ("b", "2024-01-01 00:00:01"), (None, "2024-01-01 00:00:02"), (None, "2024-01-01 00:00:03")]
+    d = spark.createDataFrame(rows, "k string, ts string").select("k", F.to_timestamp("ts").alias("ts"))
+    d.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
+    got = cells.run_once(cells.unseen(s, "k", "ts"), "unseen_out", str(tmp_path / "ck")).collect()
+    assert sorted(str(r["k"]) for r in got) == ["None", "a", "b"]
+
+
 def test_cooldown_stream(spark, tmp_path):
     rows = [("a", 1, "2024-01-01 00:00:00"), ("a", 2, "2024-01-01 00:00:30"), ("a", 3, "2024-01-01 00:01:00"), ("b", 4, "2024-01-01 00:00:10"), ("a", 5, None)]
     d = spark.createDataFrame(rows, "k string, o long, ts string").select("k", "o", F.to_timestamp("ts").alias("ts"))
