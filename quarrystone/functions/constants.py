@@ -68,6 +68,8 @@ ANSWER_FENCE = r"```(?:json)?\n(.*?)\n```"
 # Notes of the audit's log.
 AUDIT_FILLED, AUDIT_ADDED, AUDIT_REPLACED, AUDIT_UPGRADED = "Filled {}", "Added {}", "Replaced {} with longer text", "Upgraded {}"
 AUDIT_NOTES = 5
+# Columns that an audit adds to.
+AUDIT_ADDITIVE = ("Description", "Assignment Rationale", "Project Citations", "Project WebLinks", "Primary URL", "Link to Data (Actual Source)", "Other URL")
 
 # Thresholds.
 LOCK = 0.95

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.constants import COLLECTION_KEYWORDS, EXACT_COLLECTIONS, GATE, INVALID_NAMES, LEAF_PATTERNS, LOCK, MISSING_CELL, PROVIDER_KEYWORDS
 from quarrystone.functions.text import any_of, clean_url, in_scope, strip, text_or_empty, tidy_url, is_banned_url
-from quarrystone.functions.values import cell_missing, confidence
+from quarrystone.functions.values import cell_missing, confidence, similarity
 from quarrystone.operators.work import few
 
 CELL = "struct<value:string,confidence:double>"
@@ -141,6 +141,30 @@ def entity_type(name: Column | str) -> Column:
     return F.when(leaf | (family & ~collection), "Dataset").when(collection, "Collection").when(provider, "Provider")
 
 
+def self_references(rows: DataFrame, name: str, terms: Sequence[Column], least: float = 0.9) -> DataFrame:
+    """Adds ``self_reference``: whether a name is one of a project's own terms, with or without ``dataset``, or all but one.
+
+    Terms of more than three characters also count by a ratio above ``least``; they are few, and texts of the row's project.
+    """
+    d = rows.withColumn("_name", strip(F.lower(text_or_empty(name))))
+    found = F.lit(False)
+    for k, term in enumerate(terms):
+        d = d.withColumn(f"_term{k}", strip(F.lower(text_or_empty(term))))
+        own = F.col(f"_term{k}")
+        # Only pairs whose lengths allow the ratio, and that are not decided yet, are compared.
+        near = (F.length(own) > 3) & (2 * F.least(F.length(own), F.length("_name")) > least * (F.length(own) + F.length("_name")))
+        d = d.withColumn(f"_ratio{k}", F.when(near & (own != F.col("_name")), similarity("_name", f"_term{k}")))
+        same = (own != "") & ((F.col("_name") == own) | (F.col("_name") == F.concat(own, F.lit(" dataset"))))
+        found = found | same | F.coalesce(F.col(f"_ratio{k}") > least, F.lit(False))
+    return d.withColumn("self_reference", found).select(*rows.columns, "self_reference")
+
+
+def demoted(rows: DataFrame, name: str, terms: Sequence[Column], conf: str) -> DataFrame:
+    """Rows with the assignment confidence of self-references set to ``0.0``."""
+    d = self_references(rows, name, terms)
+    return d.withColumn(conf, F.when(F.col("self_reference"), "0.0").otherwise(F.col(conf))).drop("self_reference")
+
+
 def effective_name(*candidates: Column, aliases: Column | None = None, at: int = 1, invalid: Sequence[str] = INVALID_NAMES) -> Column:
     """First valid name of several; the aliases' first valid entry stands at place ``at``."""
     ok = lambda c: ~F.lower(c).isin(*invalid) & ~c.startswith("DS_")

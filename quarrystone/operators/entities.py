@@ -25,14 +25,14 @@ BLOCK = 1_000
 ARBITRATED = ("WEAK", "MISMATCH", "FINGERPRINT")
 
 
-def prepared(records: DataFrame, id_: str, name: Column, type_: Column, t: Column, v: Column, url: Column, data_url: Column, order: Sequence[Column]) -> DataFrame:
-    """Compared forms of the records, numbered in ``order`` (ties by id)."""
+def prepared(records: DataFrame, id_: str, name: Column, type_: Column, t: Column, v: Column, url: Column, data_url: Column, order: Sequence[Column], descending: bool = False) -> DataFrame:
+    """Compared forms of the records, numbered in ``order``, or against it (ties by id, ascending)."""
     d = records.select(
         F.col(id_).alias("id"), text_or_empty(name).alias("name"), clean_name(name).alias("clean"), F.lower(strip(text_or_empty(type_))).alias("type"),
         first_integer(t).alias("t"), first_integer(v).alias("v"), clean_url(url).alias("url"), clean_url(data_url).alias("data_url"), *[o.alias(f"_o{k}") for k, o in enumerate(order)],
     )
     # Ranks of all records: ranges are sorted, ids rise within and over them.
-    keys = [f"_o{k}" for k in range(len(order))] + ["id"]
+    keys = [(F.desc if descending else F.asc)(f"_o{k}") for k in range(len(order))] + [F.asc("id")]
     ranked = d.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("ord", F.monotonically_increasing_id()).drop(*[f"_o{k}" for k in range(len(order))])
     # Written once, as numbers may fall otherwise when they are made again.
     return written(ranked, folder(records.sparkSession), "ranked")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrystone.functions import text
-from quarrystone.operators import maintenance
+from quarrystone.operators import catalog, maintenance
 from quarrystone.operators.intervals import interval_join
 from quarrystone.operators.phases import Phases
 from quarrystone.sources import pages
@@ -139,7 +139,27 @@ UNION ALL SELECT 'by customer', 3, count(*), sum(o_custkey)::BIGINT, max(n), tru
 """
 
 
+def demoted(spark, d):
+    """Finds of a customer's project: its own name in five spellings, of which three are the project itself."""
+    c = t(spark, d, "customer").select("c_custkey", "c_name", F.lit("0.7").alias("conf"))
+    k = F.col("c_custkey") % 5
+    name = F.when(k == 0, F.upper("c_name")).when(k == 1, F.concat("c_name", F.lit(" Dataset "))).when(k == 2, F.concat("c_name", F.lit("x"))).when(k == 3, F.concat("c_name", F.lit(" and twelve others beside"))).otherwise(F.lit("other"))
+    return catalog.demoted(c.withColumn("name", name), "name", [F.col("c_name"), F.lit("")], "conf").select("c_custkey", "conf")
+
+
+def audited(spark, d):
+    """Parts' names and variants of them audited: what was dropped, for what reason, and what it changed."""
+    p = t(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"), F.max("p_retailprice").alias("price"))
+    both = p.select(F.col("k").alias("DatasetID"), F.col("p_name").alias("Variant Name"), "price").union(p.select(F.col("k") + 1_000_000, F.concat("p_name", F.lit("s")), "price"))
+    conf = lambda n: (F.col("DatasetID") * n % 97 / 100.0).cast("string")
+    r = both.select("DatasetID", "Variant Name", conf(7).alias("Overall Confidence"), F.lit("J1").alias("Job_Updated"), F.repeat(F.lit("d"), (F.col("DatasetID") % 13).cast("int")).alias("Description"), F.concat(F.lit("u"), F.col("DatasetID") % 3).alias("Other URL"), F.col("price").cast("string").alias("Domain"), conf(11).alias("Domain (C)"))
+    clean, dropped = maintenance.audit_deduplicated(r)
+    return dropped.select("dropped", "kept", "reason", "notes").unionByName(clean.select(F.lit(None).cast("long").alias("dropped"), F.col("DatasetID").alias("kept"), F.lit("kept").alias("reason"), F.col("Description").alias("notes")))
+
+
 QUERIES = {
+    "catalog_demoted": (demoted, "SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 1, 2) THEN '0.0' ELSE '0.7' END AS conf FROM customer"),
+    "entity_audit_dedup": (audited, None),
     "runs_samples_in_jobs": (samples_in_jobs, _SAMPLES),
     "runs_observed_phases": (profiled, _PROFILED),
     "kb_discovered": (discovered, _DISCOVERED),
