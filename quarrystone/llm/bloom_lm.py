@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import coded_words, discard, map_arrow, materialize, shared_dir, table
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 FILTER_BITS, ENTRY_BITS = 1 << 29, 8
 #: Bits set by an entry, all in one word of 64 bits; words of a line of 512 bits.
 SET_BITS, LINE_BITS = 4, 512
