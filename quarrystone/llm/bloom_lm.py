@@ -27,7 +27,8 @@ cut within a text; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import coded_words, discard, map_arrow, materialize, shared_dir, table
 
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 20
 FILTER_BITS, ENTRY_BITS = 1 << 29, 8
 #: Bits set by an entry, all in one word of 64 bits; words of a line of 512 bits.
 SET_BITS, LINE_BITS = 4, 512
@@ -135,6 +136,21 @@ def counted(x: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.
     return x[first], np.add.reduceat(n, first) if len(x) else n
 
 
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int) -> DataFrame:
+    """``map_arrow``, after which a worker gives memory that it no longer needs back to the system, as others on its machine need it."""
+
+    def g(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            # A C library that keeps no such store.
+            pass
+
+    return map_arrow(df, g, schema, rows)
+
+
 def in_blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
     """Blocks of the documents (id, held_out, text as binary)."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -188,7 +204,7 @@ def in_blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
         if ids:
             yield block()
 
-    return map_arrow(docs, f, f"block long, ids array<{kind}>, held binary, lens binary, places binary, tokens binary, tokens_size long, training binary, n long, n_training long", 1024)
+    return mapped(docs, f, f"block long, ids array<{kind}>, held binary, lens binary, places binary, tokens binary, tokens_size long, training binary, n long, n_training long", 1024)
 
 
 def tokens_of(row: dict) -> list[bytes]:
@@ -235,7 +251,7 @@ def gram_counts(blocks: DataFrame, ranges: int) -> DataFrame:
                     ["range", "grams", "counts"],
                 )
 
-    return map_arrow(blocks.select("block", "held", "lens", "places", "tokens", "tokens_size", "training", "n"), f, "range int, grams binary, counts binary", 1)
+    return mapped(blocks.select("block", "held", "lens", "places", "tokens", "tokens_size", "training", "n"), f, "range int, grams binary, counts binary", 1)
 
 
 def gram_levels(counts: DataFrame) -> DataFrame:
@@ -269,7 +285,7 @@ def gram_levels(counts: DataFrame) -> DataFrame:
         if now is not None:
             yield row()
 
-    return map_arrow(counts.repartition("range").sortWithinPartitions("range"), f, "range int, grams binary, levels binary", 4096)
+    return mapped(counts.repartition("range").sortWithinPartitions("range"), f, "range int, grams binary, levels binary", 4096)
 
 
 def whole(raw: bytes) -> np.ndarray:
@@ -334,7 +350,7 @@ def fill(levels: DataFrame, ranges: int, filter_bits: int, entry_bits: int) -> t
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([words.tobytes()], pa.binary())], ["range", "words"])
 
     words = np.zeros(bits // 64, np.uint64)
-    for r in map_arrow(levels, part, "range int, words binary", 64).toLocalIterator():
+    for r in mapped(levels, part, "range int, words binary", 64).toLocalIterator():
         words[r["range"] * per_range : (r["range"] + 1) * per_range] = np.frombuffer(bytes(r["words"]), np.uint64)
     return words, least
 
@@ -350,7 +366,7 @@ def exact_counts(blocks: DataFrame) -> DataFrame:
                     part = tokens[k : k + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([row["block"]] * len(part), pa.int64()), pa.array(np.arange(k, k + len(part)), pa.int32()), pa.array(n[k : k + len(part)], pa.int64())], ["token", "block", "at", "n"])
 
-    asked = map_arrow(blocks.select("block", "tokens", "tokens_size", "training"), f, "token binary, block long, at int, n long", 1)
+    asked = mapped(blocks.select("block", "tokens", "tokens_size", "training"), f, "token binary, block long, at int, n long", 1)
     same = Window.partitionBy("token").orderBy("block")
     every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return asked.select("block", "at", F.sum("n").over(every).alias("c"), (F.row_number().over(same) == 1).alias("first"))
@@ -416,7 +432,7 @@ def bloom_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text
                 )
 
     ready = blocks.select("block", "ids", "held", "lens", "places", "tokens", "tokens_size", "n").join(answers, "block")
-    return map_arrow(ready, f, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", 1)
+    return mapped(ready, f, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", 1)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
