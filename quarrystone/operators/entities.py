@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from quarrystone.functions.constants import MISSING_ENTITY
 from quarrystone.functions.text import clean_name, clean_url, distinct_variants, first_integer, is_generic_url, strip, text_or_empty
 from quarrystone.functions.values import confidence, similarity
+from quarrystone.operators import name_join
 from quarrystone.operators.work import folder, written
 
 #: Names of a block, on average, whose pairs are compared in one task.
 BLOCK = 1_000
+#: Ratios at which closest matches are sought by a join, falling.
+THRESHOLDS = (0.9, 0.81)
 ARBITRATED = ("WEAK", "MISMATCH", "FINGERPRINT")
 
 
@@ -65,33 +68,30 @@ def reason(pairs: DataFrame, later: str = "b", leader: str = "a") -> DataFrame:
 def candidate_pairs(d: DataFrame, fuzzy: bool = True, weak: bool = False) -> DataFrame:
     """Pairs (a earlier, b later) that some sure rule could match, with ``weak`` any rule, each once.
 
-    Equal clean names, URLs and counts meet by equi joins.  For the fuzzy rule, names whose lengths
-    allow a ratio of 0.9 and that share a trigram meet; a ratio of 0.9 leaves a common run of three
-    characters in any name of five or more, so only shorter names, which are few, meet by length.
-    The weak rules need names of four or more characters, a ratio of 0.82 or one name inside the other,
-    so their names share two characters in a row; lengths do not bound them.
+    Equal clean names, URLs and counts meet by equi joins.  For the fuzzy rules the distinct clean names
+    are joined by similarity (``name_join``), for weak ones also by one name inside the other, and
+    only the pairs that hold go back to their records.
     """
-    cols = d.columns
-    left, right = (d.select(*[F.col(c).alias(f"{p}_{c}") for c in cols]) for p in ("a", "b"))
-    later = F.col("a_ord") < F.col("b_ord")
+    left, right = (d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns]) for p in ("a", "b"))
     keys = [
         F.when(F.col("clean") != "", F.concat(F.lit("n:"), "clean")),
         F.when(~is_generic_url("url"), F.concat(F.lit("u:"), "url")),
         F.when(~is_generic_url("data_url"), F.concat(F.lit("d:"), "data_url")),
         F.when((F.col("t") > 10) & (F.col("v") > 0), F.concat_ws(":", F.lit("f"), "t", "v")),
     ]
-    marks = F.array_compact(F.array(*keys))
+    spread = d.select("id", "ord", F.explode(F.array_compact(F.array(*keys))).alias("k"))
+    a, b = (spread.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "ord", "k")]) for p in ("a", "b"))
+    ids = a.join(b, (F.col("a_k") == F.col("b_k")) & (F.col("a_ord") < F.col("b_ord"))).select("a_id", "b_id")
     if fuzzy:
-        n = F.length("clean")
-        size = 2 if weak else 3
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.concat(F.lit("g:"), F.substring(F.col("clean"), i, F.lit(size))))
-        short = F.when(n >= 4, F.array_append(grams, F.lit("s:"))).otherwise(F.array(F.lit("s:"))) if weak else F.array(F.lit("s:"))
-        marks = F.when(F.col("clean") != "", F.array_union(marks, F.when(n >= 5, grams).otherwise(short))).otherwise(marks)
-    spread = d.select("id", "ord", F.length("clean").alias("n"), F.explode(marks).alias("k"))
-    a, b = (spread.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "ord", "n", "k")]) for p in ("a", "b"))
-    bound = F.lit(True) if weak else ~F.col("a_k").startswith("g:") | (2 * F.least("a_n", "b_n") >= 0.9 * (F.col("a_n") + F.col("b_n")))
-    ids = a.join(b, (F.col("a_k") == F.col("b_k")) & later & bound).select("a_id", "b_id").distinct()
-    return ids.join(left, "a_id").join(right, "b_id")
+        names = name_join.numbered(d.filter("clean <> ''").select(F.col("clean").alias("name")), folder(d.sparkSession))
+        found = name_join.similar(names, 0.82 if weak else 0.90)
+        if weak:
+            found = found.union(name_join.contained(names))
+        of = d.join(names, d["clean"] == names["name"]).select("nid", "id", "ord")
+        x, y = (of.select(F.col("nid").alias(p), F.struct("ord", "id").alias(f"{p}_r")) for p in ("x", "y"))
+        met = found.join(x, "x").join(y, "y").select(F.least("x_r", "y_r").alias("a"), F.greatest("x_r", "y_r").alias("b"))
+        ids = ids.union(met.select("a.id", "b.id"))
+    return ids.distinct().join(left, "a_id").join(right, "b_id")
 
 
 def matches(d: DataFrame, arbiter: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -203,40 +203,61 @@ def _beating(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple]:
 def closest_match(rows: DataFrame, id_: str, name: str, job: str, order: str) -> DataFrame:
     """For each record the most similar name of another job, the earliest of equals; null where none is similar at all.
 
-    Names that share a trigram are compared first, once a distinct pair.  What they reach is a lower
-    bound: of all other names, in pairs of blocks of about ``BLOCK``, those are compared whose common
-    characters allow as much, so the result is that of all pairs.
+    Thresholds fall: equal names, then ratios of ``THRESHOLDS`` by ``name_join``.  All pairs of a ratio
+    at a threshold are seen there, so a name whose best reaches it is done; those left ask at the
+    next.  Names that are like no other, with a best below the last threshold, have no join that
+    leaves out most of the others: they, and no others, meet all names in pairs of blocks of about
+    ``BLOCK``, where only names are compared whose common characters allow more than what is known.
+
+    A name sends its two earliest jobs only, as one of them is not the asking one.
     """
     s = F.lower(strip(text_or_empty(name)))
     d = rows.select(F.col(id_).alias("id"), s.alias("name"), F.col(job).alias("job"), F.col(order).alias("ord"))
-    gram = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 2, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(3)))))
-    names = d.select("name").distinct().select("name", gram.alias("g"))
-    pairs = names.join(names.select(F.col("name").alias("other"), "g"), "g").select("name", "other").distinct()
-    scored = pairs.withColumn("score", similarity("name", "other")).filter("score > 0")
-    first = d.filter("job is not null").groupBy("name", "job").agg(F.min("ord").alias("ord"), F.min_by("id", "ord").alias("id"))
-    best = scored.join(first.select(F.col("name").alias("other"), F.col("job").alias("_job"), "ord", F.col("id").alias("match")), "other")
-    asked = first.select("name", "job")
-    top = lambda x: x.groupBy("name", "job").agg(F.max_by(F.struct("match", "score", "ord"), F.struct("score", -F.col("ord"))).alias("m")).select("name", "job", "m.*")
-    near = top(asked.join(best, "name").filter(F.col("job") != F.col("_job")))
-    low = asked.join(near.select("name", "job", F.col("score").alias("low")), ["name", "job"], "left").fillna(0.0, "low")
-    k = first.count() // BLOCK + 1
-    dealt = lambda: F.pmod(F.xxhash64("name", "job"), F.lit(k)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    again = lambda x: x.select(*[F.col(c).alias(c) for c in x.columns])
-    left, right = again(low.withColumn("i", dealt()).withColumn("j", every)), again(first.withColumn("j", dealt()).withColumn("i", every))
+    path = folder(rows.sparkSession)
+    names = name_join.numbered(d, path)
+    asked = d.filter("job is not null").groupBy("name", "job").agg(F.min("ord").alias("ord"), F.min_by("id", "ord").alias("id"))
+    asked = written(asked.join(names, "name").select("nid", "name", "job", "ord", "id"), path, "asked")
+    two = lambda x, key, *by: x.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*by))).filter("_r <= 2").drop("_r")
+    offered = written(two(asked, "nid", "ord"), path, "offered")
+    theirs = offered.select(F.col("nid").alias("y"), F.col("job").alias("_job"), F.col("ord").alias("_ord"), F.col("id").alias("match"))
+
+    def top(found: DataFrame) -> DataFrame:
+        """Of (x, _job, match, score, _ord) the best of each x, and the best of another job."""
+        jobs = found.groupBy("x", "_job").agg(F.max_by(F.struct("score", "_ord", "match"), F.struct("score", -F.col("_ord"))).alias("m")).select("x", "_job", "m.*")
+        return two(jobs, "x", F.desc("score"), "_ord")
+
+    best = written(top(names.select(F.col("nid").alias("x"), F.col("nid").alias("y"), F.lit(1.0).alias("score")).join(theirs, "y").drop("y")), path, "best-0")
+
+    def answers() -> DataFrame:
+        mine = asked.select(F.col("nid").alias("x"), "name", "job")
+        other = mine.join(best, "x", "left").filter(F.col("_job").isNull() | (F.col("_job") != F.col("job")))
+        one = other.groupBy("x", "name", "job").agg(F.max_by(F.struct("match", "score", "_ord"), F.struct("score", -F.col("_ord"))).alias("m"))
+        return mine.join(one.select("x", "job", "m.*"), ["x", "job"], "left")
+
+    reached = 1.0
+    for step, least in enumerate(THRESHOLDS, 1):
+        left = answers().filter(F.coalesce("score", F.lit(0.0)) < reached).select(F.col("x").alias("nid")).distinct()
+        pairs = name_join.named(name_join.candidates(names, least, written(left, path, f"left-{step}")), names, least)
+        scored = pairs.withColumn("score", similarity("x_name", "y_name")).filter("score > 0").select("x", "y", "score")
+        best, reached = written(top(best.unionByName(scored.join(theirs, "y").drop("y"))), path, f"best-{step}"), least
+    found = written(answers(), path, "found")
+    rest = found.filter(F.coalesce("score", F.lit(0.0)) < reached).select("name", "job", F.coalesce("score", F.lit(0.0)).alias("low"))
+    k = offered.count() // BLOCK + 1
+    blocks = rest.count() // BLOCK + 1
+    dealt = lambda n: F.pmod(F.xxhash64("name", "job"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    right = offered.select("name", "job", "ord", "id").withColumn("j", dealt(k)).withColumn("i", every(blocks))
+    left = rest.withColumn("i", dealt(blocks)).withColumn("j", every(k))
     types = {f.name: f.dataType.simpleString() for f in d.schema}
-    out = f"name string, job {types['job']}, match {types['id']}, score double, ord {types['ord']}"
+    out = f"name string, job {types['job']}, match {types['id']}, score double, _ord {types['ord']}"
 
     def beating(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_beating(a, b)) if len(a) and len(b) else [], columns=["name", "job", "match", "score", "ord"])
-
-    rest = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(beating, out)
-    found = top(near.unionByName(rest)).drop("ord")
-    return d.join(found, ["name", "job"], "left").select("id", "match", "score")
-
+        return pd.DataFrame(list(_beating(a, b)) if len(a) and len(b) else [], columns=["name", "job", "match", "score", "_ord"])
 
-def name_ratio(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b).ratio()
+    more = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(beating, out)
+    known = found.filter("score > 0").select("name", "job", "match", "score", "_ord").unionByName(more)
+    known = known.groupBy("name", "job").agg(F.max_by(F.struct("match", "score"), F.struct("score", -F.col("_ord"))).alias("m")).select("name", "job", "m.*")
+    return d.join(known, ["name", "job"], "left").select("id", "match", "score")
 
 
 def duplicate_blocks(rows: DataFrame, id_: str, key: Column) -> DataFrame:
@@ -253,7 +274,3 @@ def arbitrate(pairs: DataFrame, provider: Callable[[Iterator[pd.DataFrame]], Ite
     on = (F.least("a_name", "b_name") == F.col("x")) & (F.greatest("a_name", "b_name") == F.col("y")) & (pairs["reason"] == F.col("_why"))
     joined = pairs.join(said.select("x", "y", F.col("reason").alias("_why"), "same"), on, "left")
     return joined.withColumn("matched", F.col("matched") | (F.col("needs_provider") & F.coalesce("same", F.lit(False)))).drop("x", "y", "_why", "same")
-
-
-def first_of_group(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_r = 1").drop("_r")
