@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -26,8 +27,9 @@ def anchored_jobs(rows: DataFrame, key: str, time: str, order: str, seconds: int
     The jobs depend on each other, so a key's rows pass in order through one task, which holds a batch;
     rows without a time go.
     """
-    ordered = rows.filter(F.col(time).isNotNull()).withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
-    ordered = ordered.repartition(key).sortWithinPartitions(key, "_t", order)
+    micros = f"_{uuid.uuid4().hex}"
+    ordered = rows.filter(F.col(time).isNotNull()).withColumn(micros, F.unix_micros(F.col(time).cast("timestamp")))
+    ordered = ordered.repartition(key).sortWithinPartitions(key, micros, order)
     at = ordered.columns.index(key)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

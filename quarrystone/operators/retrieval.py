@@ -198,11 +198,3 @@ def preflight_urls(text: Column | str, n: int = 5) -> Column:
 
 def grounding_text(name: Column, description: Column, urls: Column, n: int = 5, limit: int = 1_000_000) -> Column:
     return F.substring(F.concat_ws("\n", F.concat(F.lit("Project: "), text_or_empty(name)), F.concat(F.lit("Description: "), text_or_empty(description)), F.concat(F.lit("URLs: "), F.array_join(F.slice(urls, 1, n), ", "))), 1, limit)
-
-
-def search_key(x: Column | str) -> Column:
-    return normalize(x)
-
-
-def names_excluding(results: DataFrame, known: Sequence[str], name: str) -> DataFrame:
-    return results.filter(~F.col(name).isin(*known)) if known else results

@@ -10,7 +10,7 @@ from quarrystone.operators.search_index import SearchIndex
 from quarrystone.operators.work import folder
 from quarrystone.sources import pages, runs, sheets
 from quarrystone.sources.store import Store
-from quarrystone.sources.tables import conform, header_row
+from quarrystone.sources.tables import conform, header_rows
 
 from .fixtures import t
 
@@ -161,9 +161,19 @@ def sheet_hints(spark, d):
 
 
 def sheet_header(spark, d):
-    """The third row names most columns."""
-    rows = spark.createDataFrame([(0, ["x"]), (1, ["id", "y"]), (2, ["id", "name", "z"]), (3, ["name", "id"])], "row int, cells array<string>")
-    return header_row(rows, "cells", "row", ["id", "name", "note"]).select(F.col("row").cast("long").alias("row"), F.col("overlap").cast("long").alias("overlap"))
+    """Each customer is a sheet of its orders, some of which name columns; the header is the one that names most."""
+    k = F.col("o_orderkey") % 7
+    named = F.when(k == 3, F.array(F.lit("id"), F.lit("name"), F.col("o_orderstatus"))).when(k == 5, F.array(F.lit("name"), F.col("o_orderpriority"), F.lit("name")))
+    rows = t(spark, d, "orders").select("o_custkey", "o_orderkey", F.coalesce(named, F.array("o_orderstatus", "o_orderpriority")).alias("cells"))
+    found = header_rows(rows, "o_custkey", "cells", "o_orderkey", ["id", "name", "note"])
+    return found.select(F.col("sheet").cast("long").alias("sheet"), F.col("row").cast("long").alias("row"), F.col("overlap").cast("long").alias("overlap"))
+
+
+_SHEET_HEADER = """
+WITH r AS (SELECT o_custkey, o_orderkey, CASE o_orderkey % 7 WHEN 3 THEN 2 WHEN 5 THEN 1 ELSE 0 END AS overlap, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY overlap DESC, o_orderkey) AS best FROM r WHERE k <= 10)
+SELECT CAST(o_custkey AS BIGINT) AS sheet, CAST(o_orderkey AS BIGINT) AS row, CAST(overlap AS BIGINT) AS overlap FROM b WHERE best = 1
+"""
 
 
 def conformed(spark, d):
@@ -312,7 +322,7 @@ QUERIES = {
     "log_research_table": (research, "SELECT n_nationkey, unnest(['Dataset Name', 'Frequency']) AS field, unnest([n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'daily' ELSE 'hourly' END]) AS value, 0.85 AS confidence FROM nation"),
     "runs_facts": (facts, _FACTS),
     "sheet_hints": (sheet_hints, "SELECT 'dataset' AS type, n_name AS keyword, h AS hint, 'HINT_' || n_nationkey || '_' || k AS ref_id FROM (SELECT *, unnest(['hint', CASE WHEN n_nationkey % 2 = 0 THEN 'more' ELSE ' ' END]) AS h, unnest([0, 1]) AS k FROM nation) WHERE trim(h) <> ''"),
-    "sheet_header_row": (sheet_header, "SELECT CAST(2 AS BIGINT) AS row, CAST(2 AS BIGINT) AS overlap"),
+    "sheet_header_row": (sheet_header, _SHEET_HEADER),
     "sheet_conformed": (conformed, "SELECT n_name AS name, CAST(n_nationkey AS VARCHAR) AS key, '' AS type FROM nation"),
     "search_chunks": (chunked, None),
     "search_document_text": (templates, "SELECT doc_id, md5('Title: ' || source || chr(10) || 'URL: http://x/' || repeat('y', 141) || chr(10) || 'Context: ' || lang || chr(10) || 'Content: ' || text) AS digest FROM documents"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import gzip
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -159,6 +160,32 @@ def ranges_of(spark: SparkSession, path: str) -> tuple[str, str] | None:
     return at.toString(), real
 
 
+def opened(shown: str, real: str, name: str):
+    """The file ``name`` of a listing below ``shown``, for reading by ranges, as a task sees it at ``real``."""
+    # The listing writes file:/x where the path says file:///x.
+    below = name.split(shown.split(":", 1)[1].lstrip("/"), 1)[1]
+    store, at = arrow_fs.FileSystem.from_uri(real)
+    return store.open_input_file(at + below)
+
+
+def heads(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """(file, head): the first ``size`` bytes of all files below a path or pattern; no more is read where the store has ranges."""
+    files = listed(spark, path)
+    base = re.split(r"[*?\[{]", path)[0]
+    known = ranges_of(spark, path if base == path else base.rsplit("/", 1)[0] or "/")
+    if known is None:
+        return files.select(F.col("_metadata.file_path").alias("file"), F.substring("content", 1, size).alias("head"))
+    shown, real = (x.rstrip("/") for x in known)
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, name in zip(batch["file"], batch["path"]):
+                with opened(shown, real, name) as got:
+                    yield pd.DataFrame({"file": [file], "head": [got.read(size)]})
+
+    return files.select(F.col("_metadata.file_path").alias("file"), "path").mapInPandas(f, "file string, head binary")
+
+
 def inspect_files(spark: SparkSession, path: str, pattern: str | None = None, largest: int = LARGEST) -> DataFrame:
     """Inspects all files below a path: (path, length, bytes_read, result)."""
     files, known = listed(spark, path, pattern), ranges_of(spark, path)
@@ -174,11 +201,8 @@ def inspect_files(spark: SparkSession, path: str, pattern: str | None = None, la
         for batch in batches:
             out = []
             for name, length in zip(batch["path"], batch["length"]):
-                # The listing writes file:/x where the path says file:///x.
-                below = name.split(shown.split(":", 1)[1].lstrip("/"), 1)[1]
-                store, at = arrow_fs.FileSystem.from_uri(real)
-                with store.open_input_file(at + below) as opened:
-                    ranged = Ranged(opened, int(length))
+                with opened(shown, real, name) as file:
+                    ranged = Ranged(file, int(length))
                     found = inspect_file(ranged, name)
                 out.append((name, length, ranged.taken, *(found[n] for n in names)))
             yield pd.DataFrame(out, columns=["path", "length", "bytes_read", *names])

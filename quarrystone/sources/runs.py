@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions.constants import SCHEMA_MAP
 from quarrystone.functions.text import head_of, normalize, project_of_file, stamp_of_file, strip, text_or_empty
 from quarrystone.operators.inventory import carry_forward
+from quarrystone.sources.data_files import heads
 
 NO_VALUES = ("", "nan", "none", "[missing]", "unknown")
 
@@ -55,9 +56,11 @@ def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, path: str, head: int | None = None) -> DataFrame:
-    """One row a file, whole or its first ``head`` characters, with its path."""
-    text = F.col("value") if head is None else head_of("value", head)
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), text.alias("text"))
+    """One row a file, whole or its first ``head`` characters, with its path; of a head only its bytes are read.  Empty files have no row."""
+    if head is None:
+        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    # A character has four bytes at most, so the cut falls behind the head.
+    return heads(spark, path, 4 * head).select("file", head_of(F.col("head").cast("string"), head).alias("text"))
 
 
 def cells_of(line: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.constants import TABS
@@ -27,6 +27,20 @@ def header_row(rows: DataFrame, cells: str, order: str, columns: Sequence[str],
     return first.withColumn("overlap", F.size(F.array_intersect(F.col(cells), names))).orderBy(F.desc("overlap"), order).limit(1)
 
 
+def header_rows(rows: DataFrame, sheet: str, cells: str, order: str, columns: Sequence[str], within: int = 10) -> DataFrame:
+    """(sheet, row, overlap): of each sheet the row, of its first ``within``, that names most of ``columns``, the first of those that tie.
+
+    Cells that repeat count once; null cells name nothing; a sheet whose rows name none of the columns gives its first row.
+    """
+    names = F.array(*map(F.lit, columns))
+    overlap = F.coalesce(F.size(F.array_intersect(F.col(cells), names)), F.lit(0))
+    first = rows.select(F.col(sheet).alias("sheet"), F.col(order).alias("row"), overlap.alias("overlap"))
+    # The rank is cut before the shuffle, so that a task sends ``within`` rows of a sheet at most.
+    first = first.withColumn("_r", F.row_number().over(Window.partitionBy("sheet").orderBy("row"))).filter(F.col("_r") <= within)
+    best = first.groupBy("sheet").agg(F.max_by(F.struct("row", "overlap"), F.struct("overlap", -F.col("_r"))).alias("m"))
+    return best.select("sheet", "m.row", "m.overlap")
+
+
 def read_sheet(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """A CSV whose header stands in one of its first rows, conformed; formulas give their links."""
     raw = spark.read.option("header", False).option("multiLine", True).option("escape", '"').csv(path)

@@ -50,6 +50,26 @@ def test_run_files_to_facts(spark, tmp_path):
     assert spark.read.option("header", True).csv(out).first().asDict() == {"Project": "P", "a": "NONE_FOUND"}
 
 
+def test_log_heads_read_no_more(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    with open(tmp_path / "in" / "big one.log", "wb") as f:
+        f.write("é中\U0001f600x".encode() * 10)
+        f.truncate(1 << 33)
+    (tmp_path / "in" / "empty.log").write_text("")
+    for path in (f"{tmp_path}/in", f"{tmp_path}/in/*.log"):
+        got = {r["file"].rsplit("/", 1)[1].replace("%20", " "): r["text"] for r in runs.read_logs(spark, path, 7).collect()}
+        assert got == {"big one.log": "é中\U0001f600xé中\U0001f600"}
+    for head in (None, 7):
+        assert runs.read_logs(spark, f"{tmp_path}/in/empty.log", head).count() == 0
+
+
+def test_header_rows_of_many_sheets(spark):
+    rows = [("a", 0, ["x"]), ("a", 1, ["id", "y"]), ("a", 2, ["id", "name", "z"]), ("a", 3, ["name", "id"]), ("b", 0, ["q", None]), ("b", 1, ["w"]), ("c", 0, None), ("c", 1, ["id", "id"]), ("c", 20, ["id", "name"])]
+    rows += [("d", k, ["x"]) for k in range(10)] + [("d", 10, ["id", "name", "note"]), (None, 5, ["note"])]
+    got = {r["sheet"]: (r["row"], r["overlap"]) for r in tables.header_rows(spark.createDataFrame(rows, "s string, row int, cells array<string>"), "s", "cells", "row", ["id", "name", "note"]).collect()}
+    assert got == {"a": (2, 2), "b": (0, 0), "c": (20, 2), "d": (0, 0), None: (5, 1)}
+
+
 def test_log_tables(spark, tmp_path):
     (tmp_path / "a.log").write_text("x\nProcessing Project: P1\n| Dataset Name | A | B |\n|---|---|---|\n| d1 | 1 | 2 | 3 |\n| nan | 1 | 2 |\n| short | 1 |\nProcessing Project: P2\n| d2 | 4 | 5 |")
     got = {(r["project"], r["dataset"], r["field"], r["value"]) for r in runs.markdown_tables(runs.lines(runs.read_logs(spark, str(tmp_path)), "file", "text"), "file").collect()}
