@@ -115,6 +115,20 @@ def empty_export(spark, d):
     return runs.read_csv(spark, path).select(F.col("Project").alias("project"), F.col("n_name").alias("name"))
 
 
+def ordered_actions(spark, d):
+    """Actions on orders are written in order of action and project, and read back with their places."""
+    path = f"{folder(spark)}/actions"
+    rows = t(spark, d, "orders").select(_pick(["Repair", "Merge", "Keep"], "o_orderkey").alias("action"), F.concat(F.lit("P"), F.col("o_custkey") % 50).alias("project"), F.concat(F.col("o_orderpriority"), F.lit(', "'), "o_orderstatus", F.lit('"\nend')).alias("note"), F.col("o_orderkey").alias("key"))
+    runs.export_ordered(rows, path, ["action", "project", "key"])
+    return runs.read_ordered(spark, path).select("position", "action", "project", "note", F.col("key").cast("long").alias("key"))
+
+
+_ORDERED = """
+WITH a AS (SELECT ['Repair', 'Merge', 'Keep'][o_orderkey % 3 + 1] AS action, 'P' || (o_custkey % 50) AS project, o_orderpriority || ', "' || o_orderstatus || '"' || chr(10) || 'end' AS note, CAST(o_orderkey AS BIGINT) AS key FROM orders)
+SELECT row_number() OVER (ORDER BY action, project, key) AS position, action, project, note, key FROM a
+"""
+
+
 def log_heads(spark, d):
     """Logs are written, one a region; their heads name the project."""
     path = folder(spark) + "/logs"
@@ -483,6 +497,7 @@ QUERIES = {
     "runs_empty_export": (empty_export, "SELECT 'UTSD' AS project, '[no datasets]' AS name"),
     "runs_first_gaps": (first_gaps, "SELECT l_orderkey % 50 AS round, l_orderkey * 10 + l_linenumber AS at FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey * 10 + l_linenumber) <= 15"),
     "runs_stalls": (stalls, _STALLS),
+    "eval_ordered_actions": (ordered_actions, _ORDERED),
     "log_heads": (log_heads, "SELECT r_regionkey, CAST(40 AS BIGINT) AS n, ['UTSD', 'LOTSA', 'M2', 'Unknown', 'TEMPO'][r_regionkey % 5 + 1] AS project FROM region"),
     "log_pipe_facts": (pipe_facts, "SELECT n_nationkey, n_name AS dataset, CASE WHEN n_nationkey % 3 = 0 THEN 'Domain' ELSE 'Type' END AS field, CASE WHEN n_nationkey % 3 = 0 THEN 'v' ELSE 'w' END AS value FROM nation WHERE n_nationkey % 3 <> 2"),
     "file_inspections": (inspected_files, _INSPECTED),

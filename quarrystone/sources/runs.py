@@ -121,5 +121,32 @@ def export(rows: DataFrame, path: str, prepend: dict[str, str] | None = None, em
     out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def export_ordered(rows: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Writes text CSV in order of ``by`` (null first; ties by the other columns): within files, and over files by their names.
+
+    Ranges are cut by all columns, so that a key of very many rows is several files.
+    """
+    keys = [F.col(f"`{c}`").asc_nulls_first() for c in (*by, *(c for c in rows.columns if c not in by))]
+    text = [text_or_empty(F.col(f"`{c}`")).alias(c) for c in rows.columns]
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*text)
+    # Spaces around a value are part of it.
+    ordered.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def read_ordered(spark: SparkSession, path: str, position: str = "position") -> DataFrame:
+    """The rows of such a table with their ``position`` in it, from 1; an empty table has no rows.
+
+    A file is one task's, as values may hold line ends, and its rows are numbered as they come; only the files' counts meet in one place.
+    """
+    columns = read_csv(spark, path).drop("_path").columns
+    if not columns:
+        return spark.createDataFrame([], f"`{position}` long")
+    read = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    placed = read.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns], F.col("_metadata.file_name").alias("_f"), F.monotonically_increasing_id().alias("_k"))
+    counts = placed.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_first"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_f")) - F.col("_n")).drop("_n")
+    return placed.join(before, "_f").select((F.col("_before") + F.col("_k") - F.col("_first") + 1).alias(position), *[F.col(f"`{c}`") for c in columns])
+
+
 def project_name(path: str | Column) -> Column:
     return project_of_file(path)

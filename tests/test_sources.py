@@ -50,6 +50,16 @@ def test_run_files_to_facts(spark, tmp_path):
     assert spark.read.option("header", True).csv(out).first().asDict() == {"Project": "P", "a": "NONE_FOUND"}
 
 
+def test_ordered_export(spark, tmp_path):
+    rows = [(None, " x ", 1), ("b", "y\n\"z\"", 2), ("a", "", 3), ("a", "q,r", 4), ("b", None, 2), ("a", "q,r", 4)]
+    d = spark.createDataFrame(rows, "k string, v string, n int").repartition(3)
+    runs.export_ordered(d, str(tmp_path / "out"), ["k", "n"])
+    got = [tuple(r) for r in runs.read_ordered(spark, str(tmp_path / "out")).orderBy("position").collect()]
+    assert got == [(1, "", " x ", "1"), (2, "a", "", "3"), (3, "a", "q,r", "4"), (4, "a", "q,r", "4"), (5, "b", "", "2"), (6, "b", 'y\n"z"', "2")]
+    runs.export_ordered(d.filter("n > 9"), str(tmp_path / "none"), ["k"])
+    assert runs.read_ordered(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_log_heads_read_no_more(spark, tmp_path):
     (tmp_path / "in").mkdir()
     with open(tmp_path / "in" / "big one.log", "wb") as f:
