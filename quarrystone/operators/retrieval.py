@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarrystone.functions.text import normalize, strip, text_or_empty, urls_of
+from quarrystone.functions.text import strip, text_or_empty, urls_of
 from quarrystone.functions.values import cell_missing
 
 from .work import folder, written
