@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import text
 from quarrystone.operators import catalog, maintenance
-from quarrystone.operators.intervals import interval_join
+from quarrystone.operators.intervals import interval_stats
 from quarrystone.operators.phases import Phases
 from quarrystone.sources import pages
 
@@ -111,8 +111,7 @@ def samples_in_jobs(spark, d):
     e = t(spark, d, "events").select("event_id", "event_type", "value", (F.col("user_id") % 10).alias("machine"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     seconds = F.col("event_id") % 977
     ran = e.filter(F.col("event_type").isin("purchase", "error")).select(F.col("event_id").alias("job"), "machine", F.col("at").alias("start"), (F.col("at") + seconds * seconds).alias("end"))
-    taken = interval_join(e.filter(F.col("event_type").isin("view", "click")).select("machine", "at", "value"), ran, "at", "start", "end", ["machine"])
-    return taken.groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"), F.min("value").alias("least"))
+    return interval_stats(e.filter(F.col("event_type").isin("view", "click")).select("machine", "at", "value"), ran, "at", "start", "end", "value", ["job"], ["machine"])
 
 
 _SAMPLES = """

@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.operators.intervals import interval_join
+from quarrystone.operators import intervals
+from quarrystone.operators.intervals import interval_join, interval_stats
 from quarrystone.operators.phases import Phases
 
 
@@ -34,6 +36,36 @@ def test_long_intervals_touch_two_bins(spark):
     assert "NestedLoop" not in d._jdf.queryExecution().toString() and "Cartesian" not in d._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("bits", [1, 2, 6])
+def test_stats_equal_those_of_all_pairs(spark, monkeypatch, bits):
+    monkeypatch.setattr(intervals, "NODE_BITS", bits)
+    r = random.Random(4)
+    points = [(r.choice(["a", "b", None]), None if k % 29 == 0 else r.choice([r.uniform(-50, 500), 6.0 * r.randint(0, 60), 0.0, -0.0]), None if k % 7 == 0 else r.uniform(-1, 1)) for k in range(300)]
+    spans = []
+    for k in range(150):
+        a = r.choice([6.0 * r.randint(0, 60), r.uniform(-40, 400), 0.0])
+        spans.append((k % 120, r.choice(["a", "b", "c", None]), a, a + r.choice([0.0, 6.0, 96.0, r.uniform(0, 500), -1.0])))
+    spans += [(900, "a", None, 3.0), (901, "b", -1e7, 1e7), (901, "b", -1e7, 1e7), (902, "a", 1e6, 1e7)]
+    p = spark.createDataFrame(points, "key string, at double, v double").repartition(3)
+    s = spark.createDataFrame(spans, "s long, key string, lo double, hi double")
+    want = {}
+    for i, k, a, b in spans:
+        for k2, t, v in points:
+            if k is not None and k == k2 and t is not None and a is not None and a <= t <= b:
+                want.setdefault(i, []).append(v)
+    told = {i: (len(v), max((x for x in v if x is not None), default=None), min((x for x in v if x is not None), default=None)) for i, v in want.items()}
+    assert {x["s"]: (x["n"], x["most"], x["least"]) for x in interval_stats(p, s, "at", "lo", "hi", "v", ["s"], ["key"]).collect()} == told
+    assert interval_stats(p, s.limit(0), "at", "lo", "hi", "v", ["s"], ["key"]).count() == 0
+    assert interval_stats(p.limit(0), s, "at", "lo", "hi", "v", ["s"], ["key"]).count() == 0
+
+
+def test_stats_of_many_points_in_many_intervals(spark):
+    """Ten billion pairs: 100,000 points at one time, in each of 100,000 intervals."""
+    d = spark.range(100_000)
+    got = interval_stats(d.select(F.lit(5.0).alias("at"), F.col("id").alias("v")), d.select("id", F.lit(1.0).alias("lo"), F.lit(9.0).alias("hi")), "at", "lo", "hi", "v", ["id"])
+    assert [tuple(x) for x in got.groupBy("n", "most", "least").count().collect()] == [(100_000, 99_999, 0, 100_000)]
+
+
 def test_phases_report_what_each_job_saw(spark):
     d = spark.range(1000).withColumn("v", F.col("id") % 7)
     seen = Phases({"sum": F.sum("v")})
