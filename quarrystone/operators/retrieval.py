@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quarrystone.functions.text import strip, text_or_empty, urls_of
 from quarrystone.functions.values import cell_missing
 
+from .term_scores import K1, QUERY_BLOCK, Asked, B, Best, arrow_kind, asked_blocks, counted, weigher, whole_words
 from .work import folder, written
 
-K1, B = 1.5, 0.75
 CHUNK_WORDS = 1024
-#: Queries of a block, and vectors of the index that meet it at once.
-QUERY_BLOCK, INDEX_ROWS = 2048, 4096
+#: Vectors of the index that meet a block of queries at once.
+INDEX_ROWS = 4096
 
 
 def document_text(url: Column, title: Column, kind: Column, content: Column) -> Column:
@@ -138,28 +140,55 @@ def vector_top_k(index: DataFrame, queries: DataFrame, id_: str, vector: str, k:
     return top_k(found, "query_id", "score", "_id", k).select("query_id", "rank", F.col("_id").alias(id_), "score")
 
 
-def terms(x: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text_or_empty(x)), "[^a-z0-9]+"), "")
-
-
 def bm25_top_k(docs: DataFrame, queries: DataFrame, id_: str, text: str, query_id: str, query_text: str, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """BM25 scores of the documents that share a term with a query.
 
-    Only the queries' terms are counted in the documents: postings meet them by term.  Texts are cut into words
-    once: the job that writes the postings observes the numbers of documents and words too.
+    Queries come in blocks of ``QUERY_BLOCK``.  The texts are cut into words once for a block, and a row for each document
+    holds the counts of the block's terms in it; it is never moved by term, as a term may be in all documents.  Tasks score
+    the rows where they lie and keep the best of each query, so that k rows for each query and task are shuffled.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
-    seen = Observation()
-    words = docs.select(F.col(id_).alias("id"), terms(F.col(text)).alias("_w")).observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("_w").cast("long")), F.lit(0)).alias("words"))
-    posts = words.select("id", F.size("_w").alias("dl"), F.explode("_w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = written(posts.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), folder(docs.sparkSession), "postings")
-    n, avgdl = float(seen.get["n"]), seen.get["words"] / max(1, seen.get["n"])
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    d = tf.join(df, "term").join(asked, "term")
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scored = d.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
-    return top_k(scored.withColumn("_s", F.round("score", 6)), "query_id", "_s", "id", k).select("query_id", "rank", F.col("id").alias(id_), F.col("_s").alias("score"))
+    found = [_of_block(docs, asked, id_, text, k, k1, b, queries.schema[query_id].dataType) for asked in asked_blocks(queries, query_id, query_text)]
+    if not found:
+        return docs.limit(0).join(queries.limit(0)).select(F.col(query_id).alias("query_id"), F.lit(0).cast("long").alias("rank"), F.col(id_), F.lit(0.0).alias("score"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _of_block(docs: DataFrame, asked: Asked, id_: str, text: str, k: int, k1: float, b: float, query_type: T.DataType) -> DataFrame:
+    path, vocabulary = folder(docs.sparkSession), pa.array(asked.terms, pa.string())
+    id_kind, arrow_id = docs.schema[id_].dataType.simpleString(), arrow_kind(docs, id_)
+    columns = ["id", "words", "terms", "counts", "lengths"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                lists = batch.column(1).slice(lo, 1024)
+                row, length, term, tf, _ = counted(lists, vocabulary)
+                ends = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)), pa.int32())
+                of_row = lambda x: pa.ListArray.from_arrays(ends, pa.array(x, pa.int32()))  # noqa: B023, E731
+                texts = lists.flatten()
+                starts = pa.array(np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(False))]), pa.int32())
+                words = pa.ListArray.from_arrays(starts, texts.value_lengths())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 1024), words, of_row(term), of_row(tf), of_row(length)], columns)
+
+    posts = written(whole_words(docs, id_, text).mapInArrow(count, f"id {id_kind}, words array<int>, terms array<int>, counts array<int>, lengths array<int>"), path, "postings")
+    sizes = posts.agg(F.sum(F.size("words")), F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda s, x: s + x))).first()
+    df = {r[0]: r[1] for r in posts.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
+    weight = weigher(df, len(asked.terms), sizes[0] or 0, sizes[1] or 0, k1, b)
+    names, k = pa.array(asked.names, to_arrow_type(query_type)), max(1, k)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Best(asked, arrow_id, k)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, asked.step()):
+                part = batch.slice(lo, asked.step())
+                term, tf, dl = (part.column(c).flatten().to_numpy(False).astype(np.int64) for c in (1, 2, 3))
+                row = np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy(False))
+                kept.take(asked.sums(row, term, weight(term, tf, dl), part.num_rows), part.column(0))
+        yield from kept.rows(names)
+
+    found = posts.select("id", "terms", "counts", "lengths").mapInArrow(best, f"query_id {query_type.simpleString()}, id {id_kind}, score double")
+    # Written, so that what it meets next is planned by its size.
+    return written(top_k(found, "query_id", "score", "id", k).select("query_id", "rank", F.col("id").alias(id_), "score"), path, "best")
 
 
 def hybrid_top_k(first: DataFrame, second: DataFrame, id_: str, k: int = 10) -> DataFrame:

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from quarrystone.sources.store import Conflict, Store
 
-from .retrieval import K1, B, terms, top_k
+from .retrieval import top_k
+from .term_scores import K1, B, terms
 from .work import folder, written
 
 #: Documents of a bucket, about, and the buckets of a query that are scored first.
