@@ -7,6 +7,7 @@ import threading
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrystone.operators import search_index
 from quarrystone.operators.search_index import SearchIndex
@@ -70,3 +71,15 @@ def test_an_added_batch_leaves_former_files_alone(spark, tmp_path):
     index.add(spark.createDataFrame([(2, "a c")], "i long, t string"), "i", "t")
     after = {p: p.stat().st_mtime_ns for p in (tmp_path / "postings").rglob("*.parquet")}
     assert before.items() <= after.items() and len(after) > len(before)
+
+
+def test_neither_postings_nor_pairs_are_shuffled_by_term(spark, tmp_path, monkeypatch):
+    """A batch is made where it is read; what is ranked behind a search's tasks is k rows of each."""
+    docs = spark.range(0, 3000, 1, 3).select("id", F.concat(F.lit("the "), F.col("id").cast("string")).alias("t"))
+    assert "Exchange" not in search_index.postings(docs, "id", "t", "b")._jdf.queryExecution().executedPlan().toString()
+    index, seen, ranked = SearchIndex(Store(spark, str(tmp_path))), [], search_index.top_k
+    index.add(docs, "id", "t")
+    monkeypatch.setattr(search_index, "top_k", lambda scored, *a: (seen.append(scored.count()), ranked(scored, *a))[1])
+    found = index.search(spark.createDataFrame([(1, "the"), (2, "the 7")], "q long, text string"), "q", "text", 5)
+    assert [r["id"] for r in found.filter("query_id = 1").orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    assert found.filter("query_id = 2").orderBy("rank").first()["id"] == 7 and sum(seen) <= 4 * 2 * 5
