@@ -55,9 +55,18 @@ def replace_partition(base: DataFrame, batch: DataFrame, partition: str, values:
 
 
 def match_any(rows: DataFrame, names: DataFrame, columns: Sequence[str], name: str, order: str) -> DataFrame:
-    """First row, by ``order``, that has the name in any of ``columns``: one equi join over the spread keys."""
-    spread = rows.withColumn("_key", F.explode(F.array_distinct(F.array(*[F.col(c) for c in columns])))).filter(F.col("_key").isNotNull())
-    return names.join(spread, F.col(name) == F.col("_key")).groupBy(name).agg(F.min_by(F.struct(*[c for c in rows.columns]), order).alias("row")).select(name, "row.*")
+    """First row, by ``order``, that has the name in any of ``columns``.
+
+    The smallest order of each key comes first, which combines before the shuffle; only rows that hold it meet the names, so
+    no task gets all rows of a key.
+    """
+    keys = F.explode(F.array_distinct(F.array(*[F.col(c) for c in columns])))
+    least = rows.select(F.col(order).alias("_order"), keys.alias("_key")).filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_order").alias("_least"))
+    asked = least.join(names.select(F.col(name).alias("_name")).distinct(), F.col("_key") == F.col("_name"), "left_semi")
+    spread = rows.withColumn("_of", keys).filter(F.col("_of").isNotNull())
+    # Two keys of the join, so a frequent name is spread by the order of its rows.
+    found = spread.join(asked, (F.col("_of") == F.col("_key")) & F.col(order).eqNullSafe(F.col("_least")))
+    return found.groupBy(F.col("_key").alias(name)).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns]), order).alias("row")).select(name, "row.*")
 
 
 def absent(batch: DataFrame, known: DataFrame) -> DataFrame:
