@@ -61,7 +61,7 @@ def page_links(spark, d):
 
 
 def page_text(spark, d):
-    return t(spark, d, "pages").select("page_id", pages.html_text("html").alias("text"))
+    return pages.with_text(t(spark, d, "pages").select("page_id", "html"), "html")
 
 
 def loaded_pages(spark, d):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,8 @@ from quarrystone.functions.text import frequency, strip, text_or_empty
 #: Elements whose text counts; an element inside another one repeats its text.
 ELEMENTS = ("p", "table", "li", "h1", "h2", "h3", "h4", "div", "span", "pre", "code")
 LEAST_WORDS = 50
+#: Pages of which a task holds the texts at once.
+PAGES = 64
 #: Least words of a page that was loaded by its address.
 LOADED_WORDS = 15
 #: Elements whose text may be the label of a number.
@@ -76,6 +80,21 @@ def html_text(html: pd.Series) -> pd.Series:
     return html.map(page_text)
 
 
+def texts_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches with the text of the first column behind the others, ``PAGES`` rows at most in each."""
+    for b in batches:
+        for lo in range(0, b.num_rows, PAGES):
+            part = b.slice(lo, PAGES)
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([page_text(x) for x in part.column(0).to_pylist()], pa.string())], names)
+
+
+def with_text(pages: DataFrame, html: str, text: str = "text") -> DataFrame:
+    """The other columns and the text of each page, which may be many times the page; texts leave a task some at a time."""
+    kept = [c for c in pages.columns if c != html]
+    schema = T.StructType([*[pages.schema[c] for c in kept], T.StructField(text, T.StringType())])
+    return pages.select(html, *kept).mapInArrow(lambda batches: texts_of(batches, [*kept, text]), schema)
+
+
 def loaded(pages: DataFrame, text: str, least: int = LOADED_WORDS) -> DataFrame:
     """Pages with enough words."""
     return pages.filter(F.size(F.split(strip(text_or_empty(text)), r"\s+")) >= least)
