@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ from quarrystone.operators.work import folder, written
 from .providers import Provider
 from .store import Store
 
+#: Prompts that a provider is asked at once; a task holds no more of its calls than these.
+CALL_PROMPTS = 256
 TRIES = "prompt string, provider string, answer string, seconds double, bad boolean"
 
 
@@ -63,21 +65,24 @@ class Cascade:
     def _ask(self, prompts: DataFrame, order: list[str]) -> DataFrame:
         providers, slow = [(n, self.providers[n]) for n in order], self.slow_after
 
-        def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                left = b["prompt"].tolist()
-                for name, provider in providers:
-                    if not left:
-                        break
-                    start = time.perf_counter()
-                    try:
-                        got = provider.timed(left)
-                    except Exception:  # a provider that breaks has answered none of them
-                        got = [(None, (time.perf_counter() - start) / len(left))] * len(left)
-                    yield pd.DataFrame([(p, name, a, s, a is None or s > slow) for p, (a, s) in zip(left, got)], columns=["prompt", "provider", "answer", "seconds", "bad"])
-                    left = [p for p, (a, _) in zip(left, got) if a is None]
-
-        return prompts.mapInPandas(f, TRIES)
+                for lo in range(0, b.num_rows, CALL_PROMPTS):
+                    left = b.column(0).slice(lo, CALL_PROMPTS).to_pylist()
+                    for name, provider in providers:
+                        if not left:
+                            break
+                        start = time.perf_counter()
+                        try:
+                            got = provider.timed(left)
+                        except Exception:  # a provider that breaks has answered none of them
+                            got = [(None, (time.perf_counter() - start) / len(left))] * len(left)
+                        told = [(p, name, a, s, a is None or s > slow) for p, (a, s) in zip(left, got)]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*told), kinds)], names)
+                        left = [p for p, (a, _) in zip(left, got) if a is None]
+
+        names, kinds = ["prompt", "provider", "answer", "seconds", "bad"], [pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_()]
+        return prompts.mapInArrow(f, TRIES)
 
     def known(self) -> DataFrame:
         """(prompt, answer) of all prompts answered so far."""

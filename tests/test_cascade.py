@@ -83,3 +83,18 @@ def test_shorter_contexts(spark, tmp_path):
     assert sorted((r["id"], r["attempt"]) for r in got) == [(1, 3), (2, 1), (3, 1), (4, 3), (4, 3)]
     none = cascade.Cascade([("d", providers.Disabled())], store.Store(spark, str(tmp_path / "d")), batches=2)
     assert [(r["answer"], r["attempt"]) for r in cascade.with_answers(rows, none, lambda c: c, "text", (9,)).collect()] == [(None, None)] * 5
+
+
+class Few(providers.Seeded):
+    """Takes few prompts at once."""
+
+    def timed(self, prompts):
+        if len(prompts) > 256:
+            raise ValueError("too many")
+        return super().timed(prompts)
+
+
+def test_calls_are_bounded(spark, tmp_path):
+    asked = cascade.Cascade([("a", Few("a"))], store.Store(spark, str(tmp_path)), batches=1)
+    rows = spark.range(3000).selectExpr("id", "concat('p', id) AS prompt").coalesce(1)
+    assert asked.apply(rows).filter("answer IS NULL").count() == 0
