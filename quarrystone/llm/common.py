@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from quarrystone.operators.work import folder as shared_dir
 from quarrystone.operators.work import written as materialize
 
-__all__ = ["claim", "coded_words", "discard", "keep_rows", "map_arrow", "materialize", "shared_dir", "slices", "strings", "table", "words_column"]
+__all__ = ["claim", "coded_words", "discard", "give_back", "keep_rows", "map_arrow", "materialize", "shared_dir", "slices", "strings", "table", "words_column"]
 
 #: White space that separates words: space and the control characters tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -37,6 +38,16 @@ def claim(table) -> None:
         _holder = table
 
 
+def give_back() -> None:
+    """After a task, a worker gives memory that it no longer needs back to the system, as others on its machine need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # A C library that keeps no such store.
+        pass
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Deletes work tables that no later plan reads; paths may be patterns."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -57,7 +68,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = SLICE
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
     """``mapInArrow`` over parts of the batches; no setting of the session is touched."""
-    return df.mapInArrow(lambda batches: f(slices(batches, rows)), schema)
+
+    def g(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(slices(batches, rows))
+        give_back()
+
+    return df.mapInArrow(g, schema)
 
 
 def words_column(text: Column | str) -> Column:
@@ -88,5 +104,6 @@ def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list[str]], list[b
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, rows):
             yield b.filter(pa.array(keep(strings(b.column(k))), pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(f, docs.schema)
